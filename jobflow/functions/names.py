@@ -146,13 +146,26 @@ def row_patterns(owner_name: str | None = None, name: str = rules.NAME_CAPTURE)
     return out
 
 
+def _linear(pattern: str) -> str:
+    """Same matches without trying every start: a pattern that opens with the name itself is
+    only tried where a run of name characters begins, or where the last match ended."""
+    if not pattern.startswith(rules.NAME_CAPTURE):
+        return pattern
+    return rf"(?:\G|(?<!{rules.NAME_CHARS}))[&.,'’()/ -]*+" + pattern
+
+
 def row_candidates(row: Column, owner_name: str | None = None) -> Column:
     """Every company a mailbox row names, in rule order, repeats kept."""
 
     def collect(text):
-        captures = [
-            F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in row_patterns(owner_name)
-        ]
+        none = F.array().cast("array<string>")
+        low = F.lower(text)
+        captures = []
+        for p in row_patterns(owner_name):
+            found = F.regexp_extract_all(text, F.lit("(?iU)" + _linear(p)), F.lit(1))
+            if p.startswith(rules.NAME_CAPTURE):
+                found = F.when(low.contains("@ icims"), found).otherwise(none)
+            captures.append(found)
         names = F.transform(F.concat(*captures), lambda c: canonical_name(c, owner_name))
         return F.array_compact(F.concat(F.array(sender_company(text, owner_name)), names))
 

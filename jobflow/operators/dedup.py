@@ -211,25 +211,26 @@ def _shared_identity(rows: DataFrame, spans: DataFrame, chunk_rows: int) -> Data
 
 def _next_assignment(state: DataFrame, chunk_rows: int) -> DataFrame:
     """Every row chooses again, given what the current assignment says was known when."""
-    rows = _with_entity_times(state)
+    # both frames feed several joins below: written once instead of computed once per use
+    rows = cut_lineage(_with_entity_times(state))
     owners = _url_owners(rows)
-    spans = _identity_spans(rows)
+    spans = cut_lineage(_identity_spans(rows))
     single = spans.groupBy("identity").agg(
         F.min("start").alias("known_at"), F.min("entity").alias("lo"), F.max("entity").alias("hi")
     )
-    shared = _shared_identity(rows, spans, chunk_rows)
+    several = single.where("lo <> hi").limit(1).count()
     by_url = F.when(F.col("owned_at") < F.col("seq"), F.col("url_entity"))
     by_identity = F.when(F.col("lo") == F.col("hi"), F.when(F.col("known_at") < F.col("seq"), F.col("lo")))
+    joined = state.join(owners, "url_key", "left").join(single, "identity", "left")
+    if several:
+        joined = joined.join(_shared_identity(rows, spans, chunk_rows), "seq", "left")
+    else:
+        joined = joined.withColumn("shared_entity", F.lit(None).cast("long"))
     kept = ["seq", "url_key", *[f"{n}_key" for n in _PARTS], "filled", "url_len", "identity"]
-    return (
-        state.join(owners, "url_key", "left")
-        .join(single, "identity", "left")
-        .join(shared, "seq", "left")
-        .select(
-            *kept,
-            F.col("entity").alias("old_entity"),
-            F.coalesce(by_url, by_identity, F.col("shared_entity"), F.col("seq")).alias("entity"),
-        )
+    return joined.select(
+        *kept,
+        F.col("entity").alias("old_entity"),
+        F.coalesce(by_url, by_identity, F.col("shared_entity"), F.col("seq")).alias("entity"),
     )
 
 
