@@ -144,7 +144,11 @@ FROM (SELECT seq, n, {_sql_pick(NAMES, 'n')} AS name, {_sql_body('text')} AS bod
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Run-log lines: one run per user, numbered by time."""
+    return log_lines(table(spark, sf, "events"))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """Run-log lines of an events frame (batch or stream): one run per user, in event order."""
     e = F.col("event_id")
     note = _pick(
         ["linkedin search", "indeed page", "glassdoor", "zip_recruiter", "google", "dedup pass",
@@ -153,7 +157,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(e % 29 == 0, "  ").otherwise(
         F.concat("event_type", F.lit(" total: "), F.get_json_object("props", "$.k"), F.lit(" "), note)
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("run_id"), e.alias("line_no"), "ts", line.alias("line")
     )
 

@@ -214,3 +214,16 @@ def parse_records(html, site):
         return pd.Series([reader(p, site) for p in pages], dtype=object)
 
     return run(html)
+
+
+def html_texts(fragments):
+    """Visible text of an array of HTML fragments, all joined by one blank."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        joined = [
+            None if row is None else " ".join(_Page(f).text() for f in row if f is not None) for row in rows
+        ]
+        return pd.Series(joined, dtype=object)
+
+    return run(fragments)

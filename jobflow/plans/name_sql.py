@@ -214,6 +214,6 @@ def registry_ctes(mail):
         WHERE NOT {personal('r')} AND NOT {vendor('r')} AND (kind = 'email' OR NOT {S.ends_any('r', rules.DOMAIN_ASSET_SUFFIXES)})
       UNION ALL {overrides})),
   m_example AS MATERIALIZED (SELECT resolved, rank, example FROM (
-      SELECT resolved, example, row_number() OVER (PARTITION BY resolved ORDER BY at) AS rank FROM (
-        SELECT resolved, example, min((lower(company), company, rank)) AS at FROM resolved JOIN ev_example USING (company)
+      SELECT resolved, example, row_number() OVER (PARTITION BY resolved ORDER BY pos) AS rank FROM (
+        SELECT resolved, example, min((lower(company), company, rank)) AS pos FROM resolved JOIN ev_example USING (company)
         GROUP BY resolved, example)) WHERE rank <= 5)"""
