@@ -6,6 +6,7 @@ from jobflow import rules
 from jobflow.functions import html, text, urls
 from jobflow.functions.text import let
 from jobflow.operators.registry import _none, _overrides
+from jobflow.session import cut_lineage
 
 CRAWL_SEEDS, SEARCH_LINKS = 3, 10
 
@@ -79,14 +80,17 @@ def page_links(pages: DataFrame) -> DataFrame:
     anchors = pages.select("url", F.explode(html.parse_page(F.col("html"))["anchors"]).alias("a"))
     href = F.col("a.href")
     usable = (href != "") & ~href.rlike("^(?:mailto:|javascript:|#)")
-    links = anchors.where(usable).select(
-        "url", urls.clean_url(urls.join_url(F.col("url"), href)).alias("link")
-    )
-    link = F.col("link")
-    return links.where(
-        ~urls.is_blocked_result(link) & ~urls.is_asset_url(link)
-        & (urls.board_type(link).isNotNull() | urls.is_useful_url(link))
-    ).distinct()
+
+    def wanted(link):
+        good = (
+            ~urls.is_blocked_result(link) & ~urls.is_asset_url(link)
+            & (urls.board_type(link).isNotNull() | urls.is_useful_url(link))
+        )
+        return F.when(good, link)
+
+    link = let(urls.clean_url(urls.join_url(F.col("url"), href)), wanted)
+    links = anchors.where(usable).select("url", link.alias("link"))
+    return links.where("link IS NOT NULL").distinct()
 
 
 def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
@@ -94,15 +98,19 @@ def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
 
     ``results`` holds company, query_pos, html.
     """
+
+
+    def wanted(target):
+        good = (
+            target.startswith("http") & ~urls.is_blocked_result(target)
+            & (text.any_contains(F.lower(target), rules.SEARCH_RESULT_TOKENS) | urls.board_type(target).isNotNull())
+        )
+        return F.when(good, urls.clean_url(target))
+
     anchors = results.select(
         "company", "query_pos", F.posexplode(html.parse_page(F.col("html"))["anchors"]).alias("pos", "a")
-    ).select("company", "query_pos", "pos", urls.unwrap_redirect(F.col("a.href")).alias("target"))
-    low = F.lower("target")
-    good = (
-        F.col("target").startswith("http") & ~urls.is_blocked_result(F.col("target"))
-        & (text.any_contains(low, rules.SEARCH_RESULT_TOKENS) | urls.board_type(F.col("target")).isNotNull())
-    )
-    first = anchors.where(good).groupBy("company", urls.clean_url(F.col("target")).alias("link")).agg(
+    ).select("company", "query_pos", "pos", let(urls.unwrap_redirect(F.col("a.href")), wanted).alias("link"))
+    first = anchors.where("link IS NOT NULL").groupBy("company", "link").agg(
         F.min(F.struct("query_pos", "pos")).alias("at")
     )
     w = Window.partitionBy("company").orderBy("at")
@@ -111,10 +119,11 @@ def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
 
 def discovery_urls(records: DataFrame, pages: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """(company, url): board urls, and useful urls on the company's own domains."""
-    known = records.select(
+    # url generation is a long expression read four times below: written once
+    known = cut_lineage(records.select(
         "company", F.size("ats_hints").alias("hints"), board_url_candidates().alias("urls"),
         F.array_distinct(F.transform(domain_guesses(), text.registrable_domain)).alias("roots"),
-    )
+    ))
     listed = known.select("company", F.explode("urls").alias("url"))
     seed_rank = F.row_number().over(Window.partitionBy("company").orderBy("url"))
     seeds = listed.where(urls.board_type(F.col("url")).isNull()).withColumn("rank", seed_rank).where(

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 def load_all():
     from jobflow.plans import (  # noqa: F401 (each module registers its queries)
         queries_dedup, queries_filters, queries_names, queries_output, queries_pages,
-        queries_registry, queries_scoring, queries_sources, queries_text,
+        queries_registry, queries_scoring, queries_searches, queries_sources, queries_text,
     )
 
     return QUERIES, ORACLES

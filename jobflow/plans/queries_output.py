@@ -95,7 +95,7 @@ def csv_results(spark, sf):
 _RULE = "chr(10) || chr(10) || repeat('-', 80) || chr(10) || chr(10)"
 
 
-@query("text_chunks", f"""SELECT 'jobs_' || lpad(CAST(chunk + 1 AS VARCHAR), greatest(4, length(CAST(chunk + 1 AS VARCHAR))), '0') || '.txt' AS chunk_file, string_agg('Job ' || number || chr(10) || 'Title:       ' || title || chr(10)
+@query("text_chunks", f"""SELECT 'jobs_' || lpad(CAST(chunk + 1 AS VARCHAR), CAST(greatest(4, length(CAST(chunk + 1 AS VARCHAR))) AS INT), '0') || '.txt' AS chunk_file, string_agg('Job ' || number || chr(10) || 'Title:       ' || title || chr(10)
   || 'Institution: ' || institution || chr(10) || 'Location:    ' || location || chr(10) || 'Source:      ' || source || chr(10) || 'Posted:      ' || date_posted || chr(10)
   || 'URL:         ' || url || chr(10) || 'Description:' || chr(10) || CASE WHEN description = '' THEN '(fetch from URL)' ELSE description END || {_RULE}, '' ORDER BY number) AS value
 FROM (SELECT *, i // 5 AS chunk, i % 5 + 1 AS number FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM ({POSTINGS_DOCS_SQL}))) GROUP BY chunk""")

@@ -46,8 +46,9 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(parse_keywords(F.col("value")).alias("keywords"))
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REGISTRY_RECORD).json(path, multiLine=True)
+def read_registry(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+    """Raw registry from JSON lines, or from one JSON array per file."""
+    return spark.read.schema(REGISTRY_RECORD).json(path, multiLine=array_file)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

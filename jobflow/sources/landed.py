@@ -68,10 +68,14 @@ def _workday_date() -> Column:
 def workday_portals(landed: DataFrame, scraped_at: str, portals=None) -> DataFrame:
     """Laboratory portals: (host, query_pos, json) to broad postings, first per url and portal."""
     portals = rules.WORKDAY_PORTALS if portals is None else portals
+    listed = F.array(*[F.lit(host) for _, host, _ in portals])
     name = F.try_element_at(
         F.create_map(*[F.lit(x) for portal, host, _ in portals for x in (host, portal)]), F.col("host")
     )
-    jobs = _workday_jobs(landed.withColumn("portal", name).where("portal IS NOT NULL"), "portal", "host", "query_pos")
+    # portals are read in listed order
+    at = F.struct(F.array_position(listed, F.col("host")).alias("portal_pos"), "query_pos")
+    asked = landed.withColumn("portal", name).where("portal IS NOT NULL").withColumn("query_pos", at)
+    jobs = _workday_jobs(asked, "portal", "host", "query_pos")
     path = F.col("externalPath")
     url = F.when(first_filled(path) != "", F.concat(F.lit("https://"), "host", path)).otherwise("")
     rows = broad_posting(
@@ -79,7 +83,7 @@ def workday_portals(landed: DataFrame, scraped_at: str, portals=None) -> DataFra
         location=first_filled(F.col("locationsText"), F.col("primaryLocation")), description=F.col("briefDesc"),
         url=url, source=F.concat(F.lit("workday/"), F.lower("portal")), date_posted=_workday_date(),
     ).withColumn("at", F.struct("query_pos", "pos"))
-    return first_per_key(rows, ["portal", "url"], "at").drop("at", "portal", "query_pos", "pos")
+    return first_per_key(rows, ["portal", "url"], "at").drop("portal", "query_pos", "pos")
 
 
 def workday_boards(landed: DataFrame, scraped_at: str) -> DataFrame:

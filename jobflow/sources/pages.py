@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobflow.functions import dates, html, urls
-from jobflow.functions.text import squash
+from jobflow.functions.text import let, squash
 from jobflow.operators.dedup import first_per_key
 from jobflow.operators.filters import build_posting, keyword_match
 from jobflow.sources.landed import broad_posting
@@ -28,7 +28,7 @@ def site_records(
     ).withColumn("at", F.struct("query_pos", "pos"))
     if first_only:
         rows = first_per_key(rows, ["url"], "at")
-    return rows.drop("at")
+    return rows.drop("query_pos", "pos")
 
 
 def academic_jobs(pages: DataFrame, scraped_at: str) -> DataFrame:
@@ -143,14 +143,17 @@ def board_job_links(parsed: DataFrame, keywords, strong=(), support=(), keep: in
     anchors = parsed.where(F.size("postings") == 0).select(
         "company", F.col("url").alias("career_page"), F.explode("page.anchors").alias("a")
     ).select("company", "career_page", "a.href", squash(F.col("a.text")).alias("text"))
-    links = anchors.where((F.col("href") != "") & (F.length("text") >= 4)).withColumn(
-        "url", urls.clean_url(urls.join_url(F.col("career_page"), F.col("href")))
-    )
     text = F.col("text")
     too_long = (F.size(F.split(text, " ")) > 8) & ~keyword_match(text, text, keywords, strong, support)
-    useful = links.where(
-        (F.lower("url") != urls.clean_url(F.col("career_page"))) & urls.is_useful_url(F.col("url")) & ~too_long
-    ).select("company", "career_page", "url").distinct()
+
+    def wanted(url):
+        other_page = F.lower(url) != urls.clean_url(F.col("career_page"))
+        return F.when(other_page & urls.is_useful_url(url), url)
+
+    link = let(urls.clean_url(urls.join_url(F.col("career_page"), F.col("href"))), wanted)
+    useful = anchors.where((F.col("href") != "") & (F.length("text") >= 4) & ~too_long).select(
+        "company", "career_page", link.alias("url")
+    ).where("url IS NOT NULL").distinct()
     w = Window.partitionBy("company", "career_page").orderBy("url")
     return useful.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("rank")
 

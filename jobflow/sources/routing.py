@@ -40,7 +40,7 @@ def collect_postings(
 
     def docs(route):
         on = routed.where(F.col("route") == route).select("company", "board_url")
-        return on.join(documents[route], "board_url")
+        return on.join(documents[route].drop("company"), "board_url")
 
     parts = []
     if "greenhouse" in documents:
