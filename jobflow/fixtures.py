@@ -24,8 +24,14 @@ KEYWORDS = ["data scientist", "research analyst", "thank", "worthless", "Über",
 SIGNALS = ["engineer station", "reading", "notion", "thing", "station"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A given table. ``spread_by`` spreads a small one over all cores before costly text work;
+    an input that already has a partition per core is left as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_by)
+    return df
 
 
 def _pick(values, index):
@@ -46,7 +52,7 @@ def postings_docs(spark: SparkSession, sf: str) -> DataFrame:
         .when(d % 6 == 4, F.concat(F.lit("2024-01-"), F.lpad((d % 31 + 1).cast("string"), 2, "0")))
         .otherwise("")
     )
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         d.alias("seq"),
         F.when(d % 13 == 0, "").otherwise(F.concat(_pick(ROLES, n), F.lit(" "), first_word)).alias("title"),
         F.concat(F.lit("Org "), n % 5).alias("institution"),
@@ -87,10 +93,10 @@ FROM documents
 
 def mail_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Mailbox rows: matched, vendor-sent and unmatched texts."""
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", "doc_id").select(
         (F.col("doc_id") * 2).alias("seq"), F.col("n_chars").alias("n"), "text"
     )
-    talk = table(spark, sf, "conversations").select(
+    talk = table(spark, sf, "conversations", "conv_id").select(
         ((F.col("conv_id") * 1000 + F.col("turn")) * 2 + 1).alias("seq"),
         F.length("text").cast("long").alias("n"), "text",
     )

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobflow import rules
 
@@ -17,14 +17,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections read without computing it again.
+
+    The optimizer copies a projected expression into every filter above it; it does not move
+    anything through a generator, so a one-element explode keeps the work to once per row.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(map(_quoted, values))})") if values else F.array().cast("array<string>")
 
 
 def lookup(table: dict, key: Column) -> Column:
     """Equi lookup in a small fixed table; NULL when the key is absent."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(_quoted(x) for item in table.items() for x in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def any_contains(text: Column, fragments) -> Column:

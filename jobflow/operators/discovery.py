@@ -46,12 +46,9 @@ def board_url_candidates() -> Column:
         F.flatten(F.transform("aliases", lambda a: F.array(text.slug_words(a), text.slugify(a)))),
         F.transform("sender_emails", lambda e: F.lower(F.substring_index(e, "@", 1))),
     ), lambda s: s != ""))
+    patterns = {name: " ".join(values) for name, values in rules.BOARD_URL_TEMPLATES.items()}
     templates = F.flatten(F.transform(
-        "ats_hints",
-        lambda h: F.coalesce(F.try_element_at(F.create_map(*[
-            x for name, values in rules.BOARD_URL_TEMPLATES.items()
-            for x in (F.lit(name), text.literal_array(values))
-        ]), h), _none()),
+        "ats_hints", lambda h: F.coalesce(F.split(text.lookup(patterns, h), " "), _none())
     ))
     boards = let(slugs, lambda s: F.flatten(F.transform(
         templates, lambda t: F.transform(s, lambda v: F.replace(t, F.lit("{}"), v))
@@ -89,7 +86,7 @@ def page_links(pages: DataFrame) -> DataFrame:
         return F.when(good, link)
 
     link = let(urls.clean_url(urls.join_url(F.col("url"), href)), wanted)
-    links = anchors.where(usable).select("url", link.alias("link"))
+    links = text.computed(anchors.where(usable), "link", link).select("url", "link")
     return links.where("link IS NOT NULL").distinct()
 
 
@@ -109,7 +106,8 @@ def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
 
     anchors = results.select(
         "company", "query_pos", F.posexplode(html.parse_page(F.col("html"))["anchors"]).alias("pos", "a")
-    ).select("company", "query_pos", "pos", let(urls.unwrap_redirect(F.col("a.href")), wanted).alias("link"))
+    )
+    anchors = text.computed(anchors, "link", let(urls.unwrap_redirect(F.col("a.href")), wanted))
     first = anchors.where("link IS NOT NULL").groupBy("company", "link").agg(
         F.min(F.struct("query_pos", "pos")).alias("at")
     )

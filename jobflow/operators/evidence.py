@@ -21,7 +21,7 @@ def match_rows(rows: DataFrame, owner_name: str | None = None) -> DataFrame:
         F.array("sender_domain"),
     ).otherwise(F.array().cast("array<string>"))
     return (
-        rows.withColumn("companies", found)
+        text.computed(rows, "companies", found)
         .withColumn("sender_email", text.sender_email(row))
         .withColumn("sender_domain", text.email_domain(F.col("sender_email")))
         .withColumn("ats_hints", text.ats_hints(row))
@@ -62,7 +62,9 @@ def first_examples(df: DataFrame, key: str, order, value: Column, keep: int) ->
 def collect_evidence(matched: DataFrame) -> DataFrame:
     """Raw registry: one record per company with its row count and all evidence."""
     # the rule ladders are the costly part, so their result is written once and read three times
-    facts = cut_lineage(matched.where(F.size("companies") > 0).drop("row"))
+    facts = cut_lineage(
+        matched.where(F.size("companies") > 0).withColumn("example", F.substring("row", 1, EXAMPLE_CHARS)).drop("row")
+    )
     per_company = facts.withColumn("company", F.explode("companies"))
     counts = per_company.groupBy("company").agg(F.count("*").alias("count"))
 
@@ -73,12 +75,8 @@ def collect_evidence(matched: DataFrame) -> DataFrame:
         "ats_hints": F.col("ats_hints"), "company_domains": F.col("company_domains"),
         "sender_domains": one("sender_domain"), "sender_emails": one("sender_email"),
     })
-    first = per_company.select("company", "seq").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("company").orderBy("seq"))
-    ).where(F.col("rank") <= EXAMPLES_KEPT)
-    texts = matched.select("seq", F.substring("row", 1, EXAMPLE_CHARS).alias("text"))
-    examples = first.join(texts, "seq").groupBy("company").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda e: e["text"]).alias("examples")
+    examples = first_examples(
+        per_company.select("company", "seq", "example"), "company", ["seq"], F.col("example"), EXAMPLES_KEPT
     )
     return counts.join(sets, "company").join(examples, "company").select(
         "company", "count", "ats_hints", "company_domains", "sender_domains", "sender_emails", "examples"

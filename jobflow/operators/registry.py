@@ -60,7 +60,7 @@ def registry_votes(registry: DataFrame, owner_name: str | None = None, personal=
     # the same text often votes many times: add up before the rule ladder, not after
     texts = ballots.groupBy("company", "v.text").agg(F.sum("v.weight").alias("weight"))
     return (
-        texts.withColumn("candidate", names.candidate_name(F.col("text"), owner_name))
+        text.computed(texts, "candidate", names.candidate_name(F.col("text"), owner_name))
         .where(F.col("candidate").isNotNull())
         .groupBy("company", "candidate")
         .agg(F.sum("weight").alias("votes"))
@@ -97,11 +97,7 @@ def cleaned_domains(personal=None) -> Column:
 
 
 def _overrides(table: dict, company: Column) -> Column:
-    out = None
-    for name, values in table.items():
-        value = text.literal_array(values)
-        out = F.when(company == name, value) if out is None else out.when(company == name, value)
-    return out.otherwise(_none())
+    return F.coalesce(F.split(text.lookup({k: " ".join(v) for k, v in table.items()}, company), " "), _none())
 
 
 def merge_registry(registry: DataFrame, owner_name: str | None = None, personal=None) -> DataFrame:

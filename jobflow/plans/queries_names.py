@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobflow.fixtures import MAIL_ROWS_SQL, mail_rows, table
 from jobflow.functions import names
+from jobflow.functions.text import computed
 from jobflow.operators import evidence
 from jobflow.plans import name_sql as N
 from jobflow.plans.catalog import query
@@ -38,7 +39,7 @@ def sender_company(spark, sf):
 
 @query("mail_candidates", f"SELECT seq, string_agg(name, '|' ORDER BY name) AS names FROM ({N.candidates(MAIL_ROWS_SQL)}) GROUP BY seq")
 def mail_candidates(spark, sf):
-    found = mail_rows(spark, sf).select("seq", names.row_candidates(F.col("row")).alias("names"))
+    found = computed(mail_rows(spark, sf), "names", names.row_candidates(F.col("row")))
     return found.where(F.size("names") > 0).select("seq", F.array_join(F.array_sort("names"), "|").alias("names"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobflow.functions import dates, html, urls
-from jobflow.functions.text import let, squash
+from jobflow.functions.text import computed, let, squash
 from jobflow.operators.dedup import first_per_key
 from jobflow.operators.filters import build_posting, keyword_match
 from jobflow.sources.landed import broad_posting
@@ -151,9 +151,8 @@ def board_job_links(parsed: DataFrame, keywords, strong=(), support=(), keep: in
         return F.when(other_page & urls.is_useful_url(url), url)
 
     link = let(urls.clean_url(urls.join_url(F.col("career_page"), F.col("href"))), wanted)
-    useful = anchors.where((F.col("href") != "") & (F.length("text") >= 4) & ~too_long).select(
-        "company", "career_page", link.alias("url")
-    ).where("url IS NOT NULL").distinct()
+    named = anchors.where((F.col("href") != "") & (F.length("text") >= 4) & ~too_long)
+    useful = computed(named, "url", link).where("url IS NOT NULL").select("company", "career_page", "url").distinct()
     w = Window.partitionBy("company", "career_page").orderBy("url")
     return useful.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("rank")
 
