@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from jobflow.functions.text import is_blank, normalize_key, normalize_text, strip
 from jobflow.functions.urls import clean_url, normalize_url
 from jobflow.schema import BROAD_FIELDS
-from jobflow.session import cut_lineage
+from jobflow.session import cut_lineage, discard
 
 #: fields a better row replaces in an entity
 REPLACED_FIELDS = ["description", "date_posted", "url", "source", "scraped_at"]
@@ -209,12 +209,12 @@ def _shared_identity(rows: DataFrame, spans: DataFrame, chunk_rows: int) -> Data
     )
 
 
-def _next_assignment(state: DataFrame, chunk_rows: int) -> DataFrame:
+def _next_assignment(state: DataFrame, chunk_rows: int, written: list) -> DataFrame:
     """Every row chooses again, given what the current assignment says was known when."""
     # both frames feed several joins below: written once instead of computed once per use
-    rows = cut_lineage(_with_entity_times(state))
+    rows = cut_lineage(_with_entity_times(state), written)
     owners = _url_owners(rows)
-    spans = cut_lineage(_identity_spans(rows))
+    spans = cut_lineage(_identity_spans(rows), written)
     single = spans.groupBy("identity").agg(
         F.min("start").alias("known_at"), F.min("entity").alias("lo"), F.max("entity").alias("hi")
     )
@@ -240,12 +240,16 @@ def assign_entities(facts: DataFrame, chunk_rows: int = 1_000_000, max_rounds: i
     facts = facts.withColumn("identity", identity)
     # first guess: rows of one identity are one entity
     guess = facts.groupBy("identity").agg(F.min("seq").alias("entity"))
-    state = cut_lineage(facts.join(guess, "identity"))
+    done: list = []
+    state = cut_lineage(facts.join(guess, "identity"), done)
     rounds = 0
     while True:
-        following = cut_lineage(_next_assignment(state, chunk_rows))
+        fresh: list = []
+        following = cut_lineage(_next_assignment(state, chunk_rows, fresh), fresh)
         changed = following.where(F.col("entity") != F.col("old_entity")).limit(1).count()
         state = following.drop("old_entity")
+        discard(facts.sparkSession, done)  # the round before is no longer read
+        done = fresh
         rounds += 1
         if not changed:
             return state

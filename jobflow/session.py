@@ -28,7 +28,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame reliably, so that later rounds neither recompute nor depend on it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, written: list | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Later steps neither recompute it nor lose it with an executor, and the planner knows its
+    size. The path is added to ``written`` so that a loop can discard tables it is done with.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    if written is not None:
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths) -> None:
+    """Delete written tables that no later step reads."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
