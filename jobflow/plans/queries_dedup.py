@@ -69,6 +69,33 @@ def distinct_boards(spark, sf):
     )
 
 
-@query("dedup_entities")
+# One row at a time, as the rule is stated: the state after row i holds the url index, the identity
+# index and the entities so far. Blank-only fields of the sample postings stay out of the state.
+_STATE = "seq BIGINT, title VARCHAR, institution VARCHAR, location VARCHAR, tk VARCHAR, ik VARCHAR, lk VARCHAR, date VARCHAR, url VARCHAR, uk VARCHAR, dseq BIGINT, source VARCHAR"
+MERGED_SQL = f"""
+WITH RECURSIVE f AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY seq) AS i, seq, title, institution, location, {S.norm_text('title')} AS tk, {S.norm_text('institution')} AS ik,
+    {S.norm_text('location')} AS lk, date_posted AS date, url, {S.normalize_url('url')} AS uk, source FROM ({POSTINGS_DOCS_SQL})),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS urls, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS ids, CAST([] AS STRUCT({_STATE})[]) AS ents
+  UNION ALL
+  SELECT i, map_concat(urls, MAP {{ne.uk: k}}), map_concat(ids, MAP {{ne.tk || '|' || ne.ik || '|' || ne.lk: k}}),
+    CASE WHEN e IS NULL THEN list_append(ents, ne) ELSE list_concat(list_concat(ents[:k - 1], [ne]), ents[k + 1:]) END
+  FROM (SELECT *, CAST(CASE WHEN e IS NULL THEN row(seq, title, institution, location, tk, ik, lk, date, url, uk, seq, source)
+      ELSE row(e.seq, CASE WHEN e.title = '' THEN title ELSE e.title END, e.institution, CASE WHEN e.location = '' THEN location ELSE e.location END,
+        CASE WHEN e.title = '' THEN tk ELSE e.tk END, e.ik, CASE WHEN e.location = '' THEN lk ELSE e.lk END,
+        CASE WHEN date <> '' AND (e.date = '' OR better) THEN date ELSE e.date END, CASE WHEN better THEN url ELSE e.url END,
+        CASE WHEN better THEN uk ELSE e.uk END, CASE WHEN better THEN seq ELSE e.dseq END, CASE WHEN better THEN source ELSE e.source END) END AS STRUCT({_STATE})) AS ne
+    FROM (SELECT *, (date <> '') > (e.date <> '') OR ((date <> '') = (e.date <> '') AND length(url) > length(e.url)) AS better
+      FROM (SELECT *, CASE WHEN k <= len(ents) THEN ents[k] END AS e FROM (
+        SELECT f.*, st.urls, st.ids, st.ents, coalesce(st.urls[f.uk], st.ids[f.tk || '|' || f.ik || '|' || f.lk], len(st.ents) + 1) AS k
+        FROM st JOIN f ON f.i = st.i + 1)))))
+SELECT e.seq, e.title, e.institution, e.location, e.url, d.text AS description, e.source, e.date AS date_posted
+FROM (SELECT unnest(ents) AS e FROM st WHERE i = (SELECT count(*) FROM f)) JOIN documents d ON d.doc_id = e.dseq"""
+
+
+@query("dedup_entities", MERGED_SQL)
 def dedup_entities(spark, sf):
-    return dedup.merge_entities(postings_docs(spark, sf))
+    return dedup.merge_entities(postings_docs(spark, sf)).select(
+        "seq", "title", "institution", "location", "url", "description", "source", "date_posted"
+    )

@@ -3,15 +3,16 @@
 from pyspark.sql import functions as F
 
 from jobflow.fixtures import AS_OF, AS_OF_ISO, KEYWORDS, MAIL_ROWS_SQL, POSTINGS_DOCS_SQL, SIGNALS, mail_rows, postings_docs
-from jobflow.operators import dedup, metrics
+from jobflow.functions import urls
+from jobflow.operators import dedup, discovery, metrics
 from jobflow.plans import name_sql as N
 from jobflow.plans import searches
 from jobflow.plans.catalog import query
-from jobflow.plans.queries_dedup import two_pass_sql
-from jobflow.plans.queries_filters import COMPOSITE_SQL
-from jobflow.plans.queries_registry import registry_raw, site_pages
+from jobflow.plans.queries_dedup import MERGED_SQL, two_pass_sql
+from jobflow.plans.queries_filters import COMPOSITE_SQL, CUTOFF, broad_date, restricted_sql
+from jobflow.plans.queries_registry import registry_clean, registry_raw, site_pages
 from jobflow.plans.queries_scoring import _SCORED, _texts
-from jobflow.plans.queries_sources import greenhouse_docs, search_results
+from jobflow.plans.queries_sources import search_results
 from jobflow.sources import landed
 
 FLAGSHIP_SQL = f"SELECT institution, count(*) AS jobs FROM ({two_pass_sql(COMPOSITE_SQL)}) GROUP BY institution"
@@ -30,7 +31,8 @@ def company_results(spark, sf):
     return dedup.in_result_order(kept).select("seq", "title", "institution", "location", "url", "order_seq")
 
 
-@query("broad_results")
+@query("broad_results", f"""SELECT source, count(*) AS count FROM ({MERGED_SQL})
+WHERE {broad_date()} >= {CUTOFF} AND NOT {restricted_sql(['license', 'worthless'])} GROUP BY source""")
 def broad_results(spark, sf):
     result = searches.broad_search(postings_docs(spark, sf), AS_OF, phrases=["license", "worthless"])
     return metrics.source_counts(result.clean)
@@ -45,11 +47,25 @@ def sequenced_sources(spark, sf):
 
 @query("company_search")
 def company_search(spark, sf):
+    """Landed answers for every generated board, and a job page on every guessed domain."""
+    records = registry_clean(spark, sf)
+    boards = records.select("company", F.explode(discovery.board_url_candidates()).alias("board_url"))
+    job = F.struct(
+        F.concat(F.lit("Research Analyst at "), "company").alias("title"), F.lit("we say thank you").alias("content"),
+        F.lit("2024-01-20").alias("updated_at"), F.concat("board_url", F.lit("/1")).alias("absolute_url"),
+    )
+    answers = boards.where(urls.board_type(F.col("board_url")) == "greenhouse").select(
+        "board_url", F.to_json(F.struct(F.array(job).alias("jobs"))).alias("json")
+    ).distinct()
+    job_pages = records.select(F.explode(discovery.domain_guesses()).alias("d")).distinct().select(
+        F.concat(F.lit("https://"), "d", F.lit("/jobs/1")).alias("url"),
+        F.lit("<h1>Data Scientist</h1><p>Posted on 2024-01-22</p>").alias("html"),
+    )
     found = searches.company_search(
-        registry_raw(spark, sf), {"greenhouse": greenhouse_docs(spark, sf)}, site_pages(spark, sf), AS_OF_ISO, AS_OF,
+        registry_raw(spark, sf), {"greenhouse": answers}, site_pages(spark, sf).unionByName(job_pages), AS_OF_ISO, AS_OF,
         KEYWORDS, (), SIGNALS,
     )
-    return found.raw.groupBy("institution", "source").agg(F.count("*").alias("jobs"))
+    return found.deduped.select("institution", "title", "url", "date_posted", "ats_platform")
 
 
 @query("mailbox_registry", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)} SELECT company, count, {N.joined('ev_vals', 'company', 'email')} AS sender_emails FROM ev_count b""")
