@@ -20,7 +20,7 @@ def identity_keys(spark, sf):
     return postings_docs(spark, sf).select(
         "seq", dedup.identity_key(F.col("title"), F.col("institution"), F.col("location")).alias("identity"),
         urls.normalize_url(F.col("url")).alias("url_key"),
-        (q["has_description"] * 1000000 + q["has_date"] * 100000 + q["url_length"]).alias("quality"),
+        (q["has_description"] * 1000000 + q["has_date"] * 100000 + q["url_length"]).cast("long").alias("quality"),
     )
 
 
