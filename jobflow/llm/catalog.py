@@ -1,6 +1,6 @@
 """All queries of this subpackage and their checking SQL."""
 
-from jobflow.llm import html_text, mixing, warc  # noqa: F401 (each module registers its query)
+from jobflow.llm import ann, html_text, mixing, warc  # noqa: F401 (each module registers its query)
 from jobflow.llm.registry import ORACLES, QUERIES
 
 
