@@ -63,11 +63,11 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]] if len(offsets) else data, offsets - offsets[0] if len(offsets) else offsets
 
 
-def passes(offsets: np.ndarray):
-    """(first, last) row ranges of about ``PASS_BYTES`` bytes each."""
+def passes(offsets: np.ndarray, most: int = PASS_BYTES):
+    """(first, last) row ranges of about ``most`` bytes each."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PASS_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
 
