@@ -1,6 +1,8 @@
 """All queries of this subpackage and their checking SQL."""
 
-from jobflow.llm import ann, html_text, lm, mixing, near_vectors, passages, pieces, quality, warc  # noqa: F401 (each registers its query)
+from jobflow.llm import (  # noqa: F401 (each module registers its query)
+    ann, html_text, lm, mixing, near_vectors, ngram_join, passages, pieces, quality, warc,
+)
 from jobflow.llm.registry import ORACLES, QUERIES
 
 
