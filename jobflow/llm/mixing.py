@@ -2,8 +2,8 @@
 
 Every source is cut into blocks: random groups of documents of about ``block_words`` words (the
 block of a document follows from a hash of its id). A source is taken in whole passes plus one part
-of a pass: its first blocks, and of the next block the documents that still fit, largest first. The
-block draws of all sources are dealt to output shards by a splitting tree: each node halves its
+of a pass: its first blocks, and of the next block the documents that still fit, largest first, so
+it misses its target by less than any document of that block it leaves out. The block draws of all sources are dealt to output shards by a splitting tree: each node halves its
 draws between two children by an exact multivariate hypergeometric draw (balls taken one by one), so
 the quotas of the shards add up to the quotas of the sources. The draws of a source are then
 permuted and cut by these quotas, so shards get disjoint blocks; rows are shuffled inside a shard.

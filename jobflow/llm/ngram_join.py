@@ -148,7 +148,8 @@ def tiles(docs: DataFrame, tile: int = TILE) -> DataFrame:
                                                  ["bucket", "kind", "x", "y", "z"])
 
     def meet(table: pa.Table) -> pa.Table:
-        out, posts = [], []
+        none = np.zeros(0, np.int64)
+        out, posts = [(none.astype(np.int32), none, none, none.astype(np.int32), none.astype(np.int32))], []
         for row in table.to_pylist():
             x, y, z = np.frombuffer(row["x"], np.int64), np.frombuffer(row["y"], np.int64), np.frombuffer(row["z"], np.int32)
             if row["kind"] == 0:
