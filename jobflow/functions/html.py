@@ -14,10 +14,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _HIDDEN = frozenset(["script", "style", "template"])
 _CHROME = frozenset(["script", "style", "template", "nav", "footer", "header"])
 
-PAGE_SCHEMA = (
-    "text string, main_text string, readable string, h1 string, title string, meta_date string,"
-    " anchors array<struct<href:string,text:string>>, jsonld array<string>"
-)
+PAGE_FIELDS = {
+    "text": "string", "main_text": "string", "readable": "string", "h1": "string", "title": "string",
+    "meta_date": "string", "anchors": "array<struct<href:string,text:string>>", "jsonld": "array<string>",
+}
 RECORD_SCHEMA = (
     "array<struct<href:string,title:string,institution:string,location:string,posted:string>>"
 )
@@ -42,26 +42,50 @@ LAB_ANCHORS = {"anchor_attr": "data-job-id", "below_classes": ["job-title", "tit
 
 
 class _Page(HTMLParser):
-    """A page as opened elements and text runs, each with the ids of its open ancestors."""
+    """A page as opened elements and text runs, built in one linear pass.
+
+    Elements are numbered as they open, so what lies inside one is a range of element numbers and a
+    range of runs; each run knows whether it is hidden or part of the page's frame.
+    """
 
     def __init__(self, source):
         super().__init__(convert_charrefs=True)
-        self.path, self.elements, self.runs, self.pending = [], [], [], []
+        self.elements, self.parents, self.ends = [], [], []  # (tag, attributes), parent, element behind the last inside
+        self.runs, self.spans = [], []  # (data, hidden, chrome), and per element its range of runs
+        self.path, self.open, self.pending = [], {}, []
+        self.hidden = self.chrome = 0
         self.feed(source or "")
         self.close()
         self.flush()
+        while self.path:
+            self._pop()
 
     def flush(self):
         if self.pending:
-            self.runs.append((tuple(self.path), "".join(self.pending)))
+            self.runs.append(("".join(self.pending), self.hidden > 0, self.chrome > 0))
             self.pending = []
 
+    def _pop(self):
+        ident = self.path.pop()
+        tag = self.elements[ident][0]
+        self.open[tag] -= 1
+        self.hidden -= tag in _HIDDEN
+        self.chrome -= tag in _CHROME
+        self.ends[ident] = len(self.elements)
+        self.spans[ident][1] = len(self.runs)
+
     def handle_starttag(self, tag, attrs):
         self.flush()
         ident = len(self.elements)
-        self.elements.append((tag, {k: v or "" for k, v in attrs}, tuple(self.path)))
+        self.elements.append((tag, {k: v or "" for k, v in attrs}))
+        self.parents.append(self.path[-1] if self.path else -1)
+        self.ends.append(ident + 1)
+        self.spans.append([len(self.runs), len(self.runs)])
         if tag not in _VOID:
             self.path.append(ident)
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.hidden += tag in _HIDDEN
+            self.chrome += tag in _CHROME
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -69,9 +93,10 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush()
-        for depth in reversed(range(len(self.path))):
-            if self.elements[self.path[depth]][0] == tag:
-                del self.path[depth:]
+        while self.open.get(tag):
+            last = self.elements[self.path[-1]][0] == tag
+            self._pop()
+            if last:
                 return
 
     def handle_data(self, data):
@@ -82,26 +107,23 @@ class _Page(HTMLParser):
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
-    def text(self, inside=None, joiner=" ", hidden=_HIDDEN):
-        """Visible text of the page, or of one element."""
-        pieces = (
-            data.strip()
-            for path, data in self.runs
-            if (inside is None or inside in path)
-            and not any(self.elements[i][0] in hidden for i in path)
-        )
+    def text(self, inside=None, joiner=" ", frame=True):
+        """Visible text of the page, or of one element; without the page's frame if asked."""
+        runs = self.runs if inside is None else self.runs[slice(*self.spans[inside])]
+        pieces = (data.strip() for data, hidden, chrome in runs if not (hidden if frame else chrome))
         return joiner.join(p for p in pieces if p)
 
+    def source(self, inside):
+        """All character data of an element, hidden or not."""
+        return "".join(data for data, _, _ in self.runs[slice(*self.spans[inside])])
+
     def find(self, tag, inside=None):
-        return [
-            i
-            for i, (name, _, path) in enumerate(self.elements)
-            if name == tag and (inside is None or inside in path)
-        ]
+        within = range(len(self.elements)) if inside is None else range(inside + 1, self.ends[inside])
+        return [i for i in within if self.elements[i][0] == tag]
 
     def first_text(self, tag):
-        hits = self.find(tag)
-        return self.text(hits[0]) if hits else None
+        hit = next((i for i, e in enumerate(self.elements) if e[0] == tag), None)
+        return None if hit is None else self.text(hit)
 
     def classes(self, ident):
         return self.elements[ident][1].get("class", "").split()
@@ -110,6 +132,11 @@ class _Page(HTMLParser):
         return any(n in self.classes(ident) for n in names)
 
 
+def _main_text(page):
+    main = (page.find("main") or page.find("body") or [None])[0]
+    return page.text(main)
+
+
 def _meta_date(page):
     for attr, value in (("property", "article:published_time"), ("name", "date")):
         for i in page.find("meta"):
@@ -118,32 +145,35 @@ def _meta_date(page):
     return None
 
 
-def _page_row(source):
-    page = _Page(source)
-    main = (page.find("main") or page.find("body") or [None])[0]
-    anchors = [
+def _anchors(page):
+    return [
         {"href": page.elements[i][1]["href"].strip(), "text": page.text(i)}
         for i in page.find("a")
         if "href" in page.elements[i][1]
     ]
-    jsonld = [
-        "".join(data for path, data in page.runs if i in path)
-        for i in page.find("script")
-        if page.elements[i][1].get("type") == "application/ld+json"
+
+
+def _jsonld(page):
+    return [
+        page.source(i) for i in page.find("script") if page.elements[i][1].get("type") == "application/ld+json"
     ]
-    return (
-        page.text(), page.text(main), page.text(joiner="\n", hidden=_CHROME),
-        page.first_text("h1"), page.first_text("title"), _meta_date(page), anchors, jsonld,
-    )
 
 
-def parse_page(html):
-    """Struct column of page facts: text, main text, readable text, headings, links, JSON-LD."""
+_READERS = {
+    "text": _Page.text, "main_text": _main_text, "readable": lambda page: page.text(joiner="\n", frame=False),
+    "h1": lambda page: page.first_text("h1"), "title": lambda page: page.first_text("title"),
+    "meta_date": _meta_date, "anchors": _anchors, "jsonld": _jsonld,
+}
+
+
+def parse_page(html, *fields):
+    """Struct column of page facts: those of ``PAGE_FIELDS`` that are named, else all."""
+    fields = fields or tuple(PAGE_FIELDS)
 
-    @F.pandas_udf(PAGE_SCHEMA)
+    @F.pandas_udf(", ".join(f"{f} {PAGE_FIELDS[f]}" for f in fields))
     def run(pages: pd.Series) -> pd.DataFrame:
-        names = ["text", "main_text", "readable", "h1", "title", "meta_date", "anchors", "jsonld"]
-        return pd.DataFrame([_page_row(p) for p in pages], columns=names)
+        parsed = map(_Page, pages)
+        return pd.DataFrame([tuple(_READERS[f](page) for f in fields) for page in parsed], columns=list(fields))
 
     return run(html)
 
@@ -161,7 +191,7 @@ def html_text(html):
 def _record_rows(source, site):
     page = _Page(source)
     rows = []
-    for row, (tag, attrs, _) in enumerate(page.elements):
+    for row, (tag, attrs) in enumerate(page.elements):
         if not any(
             (not want or tag == want)
             and (value in attrs.get("class", "") if how == "class*" else page.has_class(row, [value]))
@@ -178,28 +208,28 @@ def _record_rows(source, site):
         cells = page.find("td", row)
         for field in ("institution", "location", "posted"):
             at = site.get("cells", {}).get(field)
-            hits = [cells[at]] if at is not None and at < len(cells) else [
-                i for i in range(row + 1, len(page.elements))
-                if row in page.elements[i][2] and page.has_class(i, site.get("classes", {}).get(field, []))
-            ]
-            out[field] = page.text(hits[0], "") if hits else ""
+            hit = cells[at] if at is not None and at < len(cells) else next(
+                (i for i in range(row + 1, page.ends[row]) if page.has_class(i, site.get("classes", {}).get(field, []))), None
+            )
+            out[field] = "" if hit is None else page.text(hit, "")
         rows.append(out)
     return rows
 
 
 def _anchor_rows(source, site):
     page = _Page(source)
-    rows = []
-    for a in page.find("a"):
-        _, attrs, path = page.elements[a]
-        listed = (
-            page.has_class(a, site.get("anchor_classes", []))
-            or site.get("anchor_attr") in attrs
-            or any(page.elements[i][0] == "h2" or page.has_class(i, site["below_classes"]) for i in path)
-        )
-        if listed:
+    rows, below = [], []
+    for i, (tag, _) in enumerate(page.elements):  # whether an element lies below a listing's heading
+        up = page.parents[i]
+        below.append(up >= 0 and (
+            below[up] or page.elements[up][0] == "h2" or page.has_class(up, site["below_classes"])
+        ))
+        if tag != "a":
+            continue
+        attrs = page.elements[i][1]
+        if page.has_class(i, site.get("anchor_classes", [])) or site.get("anchor_attr") in attrs or below[i]:
             rows.append({
-                "href": attrs.get("href", ""), "title": page.text(a, ""),
+                "href": attrs.get("href", ""), "title": page.text(i, ""),
                 "institution": "", "location": "", "posted": "",
             })
     return rows

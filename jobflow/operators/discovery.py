@@ -74,7 +74,7 @@ def search_queries() -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, link): useful or board links on landed pages, absolute, cleaned, distinct."""
-    anchors = pages.select("url", F.explode(html.parse_page(F.col("html"))["anchors"]).alias("a"))
+    anchors = pages.select("url", F.explode(html.parse_page(F.col("html"), "anchors")["anchors"]).alias("a"))
     href = F.col("a.href")
     usable = (href != "") & ~href.rlike("^(?:mailto:|javascript:|#)")
 
@@ -105,7 +105,7 @@ def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
         return F.when(good, urls.clean_url(target))
 
     anchors = results.select(
-        "company", "query_pos", F.posexplode(html.parse_page(F.col("html"))["anchors"]).alias("pos", "a")
+        "company", "query_pos", F.posexplode(html.parse_page(F.col("html"), "anchors")["anchors"]).alias("pos", "a")
     )
     anchors = text.computed(anchors, "link", let(urls.unwrap_redirect(F.col("a.href")), wanted))
     first = anchors.where("link IS NOT NULL").groupBy("company", "link").agg(

@@ -54,7 +54,7 @@ WHERE rn = 1""")
 def dedup_first_href(spark, sf):
     anchors = table(spark, sf, "pages").select(
         "page_id", F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("scope"),
-        F.explode(html.parse_page(F.col("html"))["anchors"]).alias("a"),
+        F.explode(html.parse_page(F.col("html"), "anchors")["anchors"]).alias("a"),
     ).select("page_id", "scope", "a.href")
     return dedup.first_per_key(anchors, ["scope", "href"], "page_id")
 

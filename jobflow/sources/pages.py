@@ -99,7 +99,9 @@ def jsonld_postings(scripts: Column) -> Column:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Landed pages with their parsed facts in ``page`` and JSON-LD postings in ``postings``."""
-    parsed = pages.withColumn("page", html.parse_page(F.col("html")))
+    parsed = pages.withColumn("page", html.parse_page(
+        F.col("html"), "main_text", "h1", "title", "meta_date", "anchors", "jsonld"
+    ))
     return parsed.withColumn("postings", jsonld_postings(F.col("page.jsonld"))).drop("html")
 
 
@@ -170,4 +172,4 @@ def board_postings(
 
 def profile_text(html_column: Column, chars: int = 6000) -> Column:
     """Readable text of a profile page, cut to the length a profile may have."""
-    return F.substring(html.parse_page(html_column)["readable"], 1, chars)
+    return F.substring(html.parse_page(html_column, "readable")["readable"], 1, chars)
