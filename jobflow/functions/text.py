@@ -162,6 +162,11 @@ def sender_local_tokens(email: Column) -> Column:
     )
 
 
-def prefix(text: Column, n: int) -> Column:
-    """First n characters of a field, where the product defines the field that way."""
-    return F.substring(text, 1, n)
+def prefix(text: Column, n: int | None = None) -> Column:
+    """First n characters of a field where a caller asks for a cut, else all of it."""
+    return text if n is None else F.substring(text, 1, n)
+
+
+def first_items(items: Column, n: int | None = None) -> Column:
+    """First n elements of an array where a caller asks for a cut, else all."""
+    return items if n is None else F.slice(items, 1, n)

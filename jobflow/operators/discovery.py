@@ -8,8 +8,6 @@ from jobflow.functions.text import let
 from jobflow.operators.registry import _none, _overrides
 from jobflow.session import cut_lineage
 
-CRAWL_SEEDS, SEARCH_LINKS = 3, 10
-
 
 def domain_guesses() -> Column:
     """Sorted domains a clean record's company may own."""
@@ -58,11 +56,11 @@ def board_url_candidates() -> Column:
     )))
 
 
-def search_queries() -> Column:
-    """Search-engine queries for a clean record, in order, repeats dropped."""
+def search_queries(domains: int | None = None) -> Column:
+    """Search-engine queries for a clean record, in order, repeats dropped; ``domains`` limits its own sites."""
     company = F.col("company")
     sites = F.transform(
-        F.slice(domain_guesses(), 1, 2),
+        text.first_items(domain_guesses(), domains),
         lambda d: F.concat(F.lit("site:"), d, F.lit(" "), company, F.lit(" careers")),
     )
     hints = F.array_compact(F.transform(
@@ -90,13 +88,12 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.where("link IS NOT NULL").distinct()
 
 
-def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
-    """(company, link): first ``keep`` distinct career links on landed search-result pages.
+def search_links(results: DataFrame, keep: int | None = None) -> DataFrame:
+    """(company, link): distinct career links on landed search-result pages; with ``keep`` the first ones.
 
     ``results`` holds company, query_pos, html.
     """
 
-
     def wanted(target):
         good = (
             target.startswith("http") & ~urls.is_blocked_result(target)
@@ -111,23 +108,31 @@ def search_links(results: DataFrame, keep: int = SEARCH_LINKS) -> DataFrame:
     first = anchors.where("link IS NOT NULL").groupBy("company", "link").agg(
         F.min(F.struct("query_pos", "pos")).alias("at")
     )
+    if keep is None:
+        return first.select("company", "link")
     w = Window.partitionBy("company").orderBy("at")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("company", "link")
 
 
-def discovery_urls(records: DataFrame, pages: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """(company, url): board urls, and useful urls on the company's own domains."""
+def discovery_urls(
+    records: DataFrame, pages: DataFrame, results: DataFrame | None = None, seeds: int | None = None,
+    keep_links: int | None = None,
+) -> DataFrame:
+    """(company, url): board urls, and useful urls on the company's own domains.
+
+    ``seeds`` limits the pages crawled per company, ``keep_links`` the links taken from its results.
+    """
     # url generation is a long expression read four times below: written once
     known = cut_lineage(records.select(
         "company", F.size("ats_hints").alias("hints"), board_url_candidates().alias("urls"),
         F.array_distinct(F.transform(domain_guesses(), text.registrable_domain)).alias("roots"),
     ))
     listed = known.select("company", F.explode("urls").alias("url"))
-    seed_rank = F.row_number().over(Window.partitionBy("company").orderBy("url"))
-    seeds = listed.where(urls.board_type(F.col("url")).isNull()).withColumn("rank", seed_rank).where(
-        F.col("rank") <= CRAWL_SEEDS
-    )
-    crawled = seeds.join(page_links(pages.join(seeds.select("url").distinct(), "url", "left_semi")), "url").select(
+    start = listed.where(urls.board_type(F.col("url")).isNull())
+    if seeds is not None:
+        rank = F.row_number().over(Window.partitionBy("company").orderBy("url"))
+        start = start.withColumn("rank", rank).where(F.col("rank") <= seeds)
+    crawled = start.join(page_links(pages.join(start.select("url").distinct(), "url", "left_semi")), "url").select(
         "company", F.col("link").alias("url")
     )
     found = listed.unionByName(crawled)
@@ -136,7 +141,7 @@ def discovery_urls(records: DataFrame, pages: DataFrame, results: DataFrame | No
         asking = known.where("hints > 0").select("company").unionByName(
             known.select("company").join(on_boards, "company", "left_anti")
         ).distinct()
-        searched = search_links(results).join(asking, "company", "left_semi")
+        searched = search_links(results, keep_links).join(asking, "company", "left_semi")
         found = found.unionByName(searched.withColumnRenamed("link", "url"))
     url = F.col("url")
     own = (F.size("roots") == 0) | F.array_contains("roots", text.registrable_domain(urls.authority(url)))

@@ -1,27 +1,21 @@
 """Mailbox rows to company evidence."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from jobflow import rules
 from jobflow.functions import names, text
 from jobflow.session import cut_lineage
 
-#: how much of a matched row a registry record keeps as an example, and how many of them
-EXAMPLE_CHARS, EXAMPLES_KEPT = 400, 3
-
-
 def match_rows(rows: DataFrame, owner_name: str | None = None) -> DataFrame:
-    """Mailbox rows with the companies they name and the evidence they carry (narrow)."""
+    """Mailbox rows with the names they hold, their companies, and the evidence they carry (narrow)."""
     row = F.col("row")
-    found = F.array_distinct(
-        F.filter(names.row_candidates(row, owner_name), lambda c: ~c.isin(rules.GENERIC_COMPANIES))
-    )
+    found = F.array_distinct(F.filter("named", lambda c: ~c.isin(rules.GENERIC_COMPANIES)))
     sender = F.when(
         F.col("sender_domain").isNotNull() & ~text.is_vendor_domain(F.col("sender_domain")),
         F.array("sender_domain"),
     ).otherwise(F.array().cast("array<string>"))
     return (
-        text.computed(rows, "companies", found)
+        text.computed(rows, "named", names.row_candidates(row, owner_name)).withColumn("companies", found)
         .withColumn("sender_email", text.sender_email(row))
         .withColumn("sender_domain", text.email_domain(F.col("sender_email")))
         .withColumn("ats_hints", text.ats_hints(row))
@@ -48,24 +42,40 @@ def union_sets(df: DataFrame, key: str, sets: dict) -> DataFrame:
     ])
 
 
-def first_examples(df: DataFrame, key: str, order, value: Column, keep: int) -> DataFrame:
-    """First ``keep`` values per key by ``order``; all but ``keep`` per task drop out before the shuffle."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-    return first.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", value.alias("value")))), lambda e: e["value"]
-        ).alias("examples")
-    )
+def first_rows(rows: DataFrame, keep: int, chars: int, owner_name: str | None = None) -> DataFrame:
+    """First ``keep`` rows per company by ``at``, cut to ``chars``, with the names the cut text holds.
 
+    All but ``keep`` rows per company and task drop out before the shuffle.
+    """
+    w = Window.partitionBy("company").orderBy("at")
+    first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    cut = first.select("company", "at", text.prefix(F.col("row"), chars).alias("row"))
+    return text.computed(cut, "named", names.row_candidates(F.col("row"), owner_name))
 
-def collect_evidence(matched: DataFrame) -> DataFrame:
-    """Raw registry: one record per company with its row count and all evidence."""
-    # the rule ladders are the costly part, so their result is written once and read three times
-    facts = cut_lineage(
-        matched.where(F.size("companies") > 0).withColumn("example", F.substring("row", 1, EXAMPLE_CHARS)).drop("row")
+
+def with_examples(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """Records with their rows as an ``examples`` array; ``rows`` must be limited per company."""
+    listed = rows.groupBy("company").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda e: e["row"]).alias("examples")
+    )
+    return records.join(listed, "company", "left").withColumn(
+        "examples", F.coalesce("examples", F.array().cast("array<string>"))
     )
-    per_company = facts.withColumn("company", F.explode("companies"))
+
+
+def evidence_facts(matched: DataFrame) -> DataFrame:
+    """Rows that name a company, written once: the rule ladders are the costly part."""
+    return cut_lineage(matched.where(F.size("companies") > 0))
+
+
+def company_rows(facts: DataFrame) -> DataFrame:
+    """(company, at, row, named): every matched row of every company, in full."""
+    return facts.select(F.explode("companies").alias("company"), F.col("seq").alias("at"), "row", "named")
+
+
+def company_records(facts: DataFrame) -> DataFrame:
+    """Raw registry: one record per company with its row count and the sets of its evidence."""
+    per_company = facts.drop("row", "named").withColumn("company", F.explode("companies"))
     counts = per_company.groupBy("company").agg(F.count("*").alias("count"))
 
     def one(name):
@@ -75,11 +85,8 @@ def collect_evidence(matched: DataFrame) -> DataFrame:
         "ats_hints": F.col("ats_hints"), "company_domains": F.col("company_domains"),
         "sender_domains": one("sender_domain"), "sender_emails": one("sender_email"),
     })
-    examples = first_examples(
-        per_company.select("company", "seq", "example"), "company", ["seq"], F.col("example"), EXAMPLES_KEPT
-    )
-    return counts.join(sets, "company").join(examples, "company").select(
-        "company", "count", "ats_hints", "company_domains", "sender_domains", "sender_emails", "examples"
+    return counts.join(sets, "company").select(
+        "company", "count", "ats_hints", "company_domains", "sender_domains", "sender_emails"
     )
 
 
@@ -103,6 +110,7 @@ def report_totals(matched: DataFrame) -> DataFrame:
     )
 
 
-def report_unmatched(matched: DataFrame, keep: int = 100) -> DataFrame:
-    """The first unmatched rows shown in the report."""
-    return unmatched_rows(matched).orderBy("seq").limit(keep)
+def report_unmatched(matched: DataFrame, keep: int | None = None) -> DataFrame:
+    """Unmatched rows of the report in order; with ``keep`` the first ones."""
+    ordered = unmatched_rows(matched).orderBy("seq")
+    return ordered if keep is None else ordered.limit(keep)

@@ -66,7 +66,7 @@ def _key(term: str) -> str:
     return " ".join(kept.split())
 
 
-def signal_terms(keyword_lines, limit: int = 20):
+def signal_terms(keyword_lines, limit: int | None = None):
     """Phrases and words that signal relevance, from the user's keyword lines.
 
     The list is what one user typed, so it is handled as a parameter, not as data.

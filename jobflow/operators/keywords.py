@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobflow import rules
-from jobflow.functions.text import let, strip
+from jobflow.functions.text import first_items, let, strip
 
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|,"
 
@@ -11,11 +11,17 @@ _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|,"
 def distinct_ignoring_case(values: Column) -> Column:
     """First spelling of each value wins, order kept."""
 
-    def first_only(v):
-        low = F.transform(v, lambda x: F.lower(x))
-        return F.filter(v, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    # sorted by lower-case form and place, repeats stand next to each other
+    def by_form(v):
+        return F.sort_array(F.transform(v, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("as_is"))))
 
-    return let(values, first_only)
+    def first_only(s):
+        kept = F.filter(s, lambda e, i: (i == 0) | (e["low"] != F.get(s, i - 1)["low"]))
+        return F.transform(
+            F.sort_array(F.transform(kept, lambda e: F.struct(e["at"], e["as_is"]))), lambda e: e["as_is"]
+        )
+
+    return let(by_form(values), first_only)
 
 
 def _pieces(text: Column, separators: str) -> Column:
@@ -61,9 +67,9 @@ def combine_keywords(exact: Column, titles: Column, skills: Column) -> Column:
     )
 
 
-def first_queries(keywords: Column, n: int = 10) -> Column:
-    """Keywords sent to the secondary sources."""
-    return F.slice(keywords, 1, n)
+def first_queries(keywords: Column, n: int | None = None) -> Column:
+    """Keywords sent to the secondary sources: all, or the first n."""
+    return first_items(keywords, n)
 
 
 def keyword_preview(df: DataFrame, keywords: str = "keywords", shown: int = 12) -> DataFrame:
@@ -74,7 +80,7 @@ def keyword_preview(df: DataFrame, keywords: str = "keywords", shown: int = 12)
     )
 
 
-def signal_terms_of(text: Column, limit: int = 20) -> Column:
+def signal_terms_of(text: Column, limit: int | None = None) -> Column:
     """Struct(strong, support) of a keyword text, split by line only."""
     lines = F.filter(
         F.transform(
@@ -88,8 +94,8 @@ def signal_terms_of(text: Column, limit: int = 20) -> Column:
         words = F.flatten(F.transform(ls, lambda p: F.split(p, r"[\t-\r\x1c-\x20\x{85}\p{Z}]+")))
         kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(rules.SIGNAL_STOPWORDS))
         return F.struct(
-            F.slice(ls, 1, limit).alias("strong"),
-            F.slice(F.array_distinct(kept), 1, limit).alias("support"),
+            first_items(ls, limit).alias("strong"),
+            first_items(F.array_distinct(kept), limit).alias("support"),
         )
 
     return let(lines, build)

@@ -25,9 +25,10 @@ def result_metrics(df: DataFrame, blank_as_null: bool = True) -> DataFrame:
     )
 
 
-def preview(df: DataFrame, order, n: int = 1000) -> DataFrame:
-    """First n rows in a declared order, NULL shown as blank."""
-    return df.orderBy(*order).limit(n).fillna("")
+def preview(df: DataFrame, order, n: int | None = None) -> DataFrame:
+    """Rows in a declared order (the first n where asked), NULL shown as blank."""
+    ordered = df.orderBy(*order)
+    return (ordered if n is None else ordered.limit(n)).fillna("")
 
 
 def stage_funnel(df: DataFrame, stages: dict) -> DataFrame:

@@ -1,16 +1,15 @@
 """Company registry: resolve each record's name by weighted evidence, merge, rank."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobflow import rules
 from jobflow.functions import names, text
 from jobflow.functions.text import let
-from jobflow.operators.evidence import first_examples, union_sets
+from jobflow.operators.evidence import union_sets
 from jobflow.operators.filters import keyword_match
 
 #: fixed values: votes of the record's own name, an example, an address, a domain
 OWN_VOTES, EXAMPLE_VOTES, EMAIL_VOTES, DOMAIN_VOTES = 2, 5, 3, 3
-MERGED_EXAMPLES = 5
 
 
 def _none():
@@ -25,8 +24,8 @@ def _email_roots(emails: Column) -> Column:
     return F.transform(emails, lambda e: text.registrable_domain(text.email_domain(e)))
 
 
-def vote_texts(owner_name: str | None = None, personal=None) -> Column:
-    """Array of (text, weight): everything in a record that may name its company."""
+def vote_texts(personal=None) -> Column:
+    """Array of (text, weight): everything in a record, but its rows, that may name its company."""
     personal = rules.PERSONAL_DOMAINS if personal is None else personal
 
     def weighted(values, weight):
@@ -46,19 +45,22 @@ def vote_texts(owner_name: str | None = None, personal=None) -> Column:
     )
     return F.concat(
         weighted(F.array("company"), OWN_VOTES),
-        weighted(
-            F.flatten(F.transform("examples", lambda e: names.row_candidates(e, owner_name))), EXAMPLE_VOTES
-        ),
         weighted(F.flatten(F.transform("sender_emails", from_email)), EMAIL_VOTES),
         weighted(F.transform(roots, _label), DOMAIN_VOTES),
     )
 
 
-def registry_votes(registry: DataFrame, owner_name: str | None = None, personal=None) -> DataFrame:
-    """(company, candidate, votes): weighted votes per record, repeats counted."""
-    ballots = registry.select("company", F.explode(vote_texts(owner_name, personal)).alias("v"))
+def registry_votes(records: DataFrame, rows: DataFrame, owner_name: str | None = None, personal=None) -> DataFrame:
+    """(company, candidate, votes): weighted votes per record, repeats counted.
+
+    Every name in every row of ``rows`` (company, at, row, named) votes for its company.
+    """
+    ballots = records.select("company", F.explode(vote_texts(personal)).alias("v")).select("company", "v.*")
+    ballots = ballots.unionByName(rows.select(
+        "company", F.explode("named").alias("text"), F.lit(EXAMPLE_VOTES).alias("weight")
+    ))
     # the same text often votes many times: add up before the rule ladder, not after
-    texts = ballots.groupBy("company", "v.text").agg(F.sum("v.weight").alias("weight"))
+    texts = ballots.groupBy("company", "text").agg(F.sum("weight").alias("weight"))
     return (
         text.computed(texts, "candidate", names.candidate_name(F.col("text"), owner_name))
         .where(F.col("candidate").isNotNull())
@@ -100,10 +102,15 @@ def _overrides(table: dict, company: Column) -> Column:
     return F.coalesce(F.split(text.lookup({k: " ".join(v) for k, v in table.items()}, company), " "), _none())
 
 
-def merge_registry(registry: DataFrame, owner_name: str | None = None, personal=None) -> DataFrame:
+def file_rows(registry: DataFrame, owner_name: str | None = None) -> DataFrame:
+    """(company, at, row, named) of a registry that keeps its rows as ``examples``, as files do."""
+    rows = registry.select("company", F.posexplode("examples").alias("at", "row"))
+    return text.computed(rows, "named", names.row_candidates(F.col("row"), owner_name))
+
+
+def merge_registry(records: DataFrame, resolved: DataFrame, personal=None) -> DataFrame:
     """Clean registry: records of one resolved company merged into one."""
-    resolved = resolve_names(registry_votes(registry, owner_name, personal), owner_name)
-    records = registry.join(resolved, "company").withColumn("domains", cleaned_domains(personal))
+    records = records.join(resolved, "company").withColumn("domains", cleaned_domains(personal))
     counts = records.groupBy("resolved").agg(F.sum("count").alias("count"))
     sender_roots = F.transform(
         F.filter(F.col("sender_domains"), lambda d: d != ""), text.registrable_domain
@@ -112,39 +119,45 @@ def merge_registry(registry: DataFrame, owner_name: str | None = None, personal=
         "aliases": F.array("company"), "ats_hints": F.col("ats_hints"), "company_domains": F.col("domains"),
         "sender_domains": sender_roots, "sender_emails": F.col("sender_emails"),
     })
-    example_rows = records.select(
-        "resolved", F.lower("company").alias("by"), "company", F.posexplode("examples").alias("pos", "example")
-    ).groupBy("resolved", "example").agg(F.min(F.struct("by", "company", "pos")).alias("at"))
-    examples = first_examples(example_rows, "resolved", ["at"], F.col("example"), MERGED_EXAMPLES)
-    merged = counts.join(sets, "resolved").join(examples, "resolved", "left")
     company = F.col("resolved")
-    return merged.select(
+    return counts.join(sets, "resolved").select(
         company.alias("company"), "count", "aliases", "ats_hints",
         F.array_sort(
             F.array_union("company_domains", _overrides(rules.COMPANY_DOMAIN_OVERRIDES, company))
         ).alias("company_domains"),
-        "sender_domains", "sender_emails", F.coalesce("examples", _none()).alias("examples"),
+        "sender_domains", "sender_emails",
     )
 
 
-def record_priority(keywords, strong=(), support=()) -> Column:
-    """Evidence weight of a clean record for the search order."""
-    relevant = F.filter(
-        "examples", lambda e: keyword_match(F.col("company"), e, keywords, strong, support)
-    )
-    return (
+def merged_rows(rows: DataFrame, resolved: DataFrame, keep: int | None = None) -> DataFrame:
+    """(company, at, row): the distinct rows of each resolved company; with ``keep`` its first ones."""
+    at = F.struct(F.lower("company").alias("by"), "company", "at")
+    named = rows.join(resolved, "company").select(F.col("resolved"), at.alias("at"), "row")
+    distinct = named.groupBy(F.col("resolved").alias("company"), "row").agg(F.min("at").alias("at"))
+    if keep is None:
+        return distinct.select("company", "at", "row")
+    rank = F.row_number().over(Window.partitionBy("company").orderBy("at"))
+    return distinct.withColumn("rank", rank).where(F.col("rank") <= keep).select("company", "at", "row")
+
+
+def rank_companies(clean: DataFrame, rows: DataFrame, keywords, strong=(), support=()) -> DataFrame:
+    """Clean records with ``priority``, their evidence weight for the search order; ``rows`` as of
+    :func:`merged_rows`."""
+    relevant = rows.where(keyword_match(F.col("company"), F.col("row"), keywords, strong, support))
+    counts = relevant.groupBy("company").agg(F.count("*").alias("_relevant"))
+    weight = (
         F.col("count")
         + F.when(F.size("ats_hints") > 0, 3).otherwise(0)
         + F.when(F.size("company_domains") > 0, 2).otherwise(0)
-        + 5 * F.size(relevant)
+        + 5 * F.coalesce("_relevant", F.lit(0))
     )
+    return clean.join(counts, "company", "left").withColumn("priority", weight).drop("_relevant")
 
 
-def top_companies(clean: DataFrame, keywords, n: int, strong=(), support=()) -> DataFrame:
-    """The n records to search first; all of them when n is 0."""
-    if n <= 0:
-        return clean
-    ranked = clean.withColumn("priority", record_priority(keywords, strong, support))
+def top_companies(ranked: DataFrame, n: int | None = None) -> DataFrame:
+    """The n records to search first; all of them without n."""
+    if not n:
+        return ranked
     return ranked.orderBy(F.desc("priority"), F.lower("company"), "company").limit(n)
 
 

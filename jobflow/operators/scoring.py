@@ -1,35 +1,30 @@
 """Data side of model-assisted scoring: prompts out, landed replies in."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobflow import rules
-from jobflow.functions.text import let, strip
+from jobflow.functions.text import first_items, let, prefix, strip
 from jobflow.operators.indexing import with_row_index
 from jobflow.schema import REVIEW_JSON
 
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def number_jobs(df: DataFrame, order, max_jobs: int | None = rules.SCORED_JOBS) -> DataFrame:
-    """Postings with ``rank``, ``batch_id`` and ``pos`` (1-based in the batch).
-
-    With a cap only that many rows are ranked; without one the distributed row index is used.
-    """
-    if max_jobs is None:
-        ranked = with_row_index(df, order, "rank")
-    else:
-        top = df.orderBy(*order).limit(max_jobs)
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+def number_jobs(df: DataFrame, order, max_jobs: int | None = None) -> DataFrame:
+    """Postings (the first ``max_jobs`` where asked) with ``rank``, ``batch_id`` and ``pos`` (1-based in the batch)."""
+    ranked = with_row_index(df if max_jobs is None else df.orderBy(*order).limit(max_jobs), order, "rank")
     return ranked.withColumn("batch_id", F.floor(F.col("rank") / rules.SCORE_BATCH)).withColumn(
         "pos", (F.col("rank") % rules.SCORE_BATCH + 1).cast("int")
     )
 
 
-def score_prompts(numbered: DataFrame, profile: str) -> DataFrame:
-    """(batch_id, jobs, prompt): one prompt per batch of at most ten postings."""
+def score_prompts(
+    numbered: DataFrame, profile: str, chars: int | None = None, profile_chars: int | None = None
+) -> DataFrame:
+    """(batch_id, jobs, prompt): one prompt per batch of at most ten postings; limits cut descriptions and profile."""
     block = F.concat(
         F.lit("\nJOB "), F.col("pos").cast("string"), F.lit(": "), F.col("title"), F.lit(" at "), F.col("institution"),
-        F.lit("\n"), F.substring("description", 1, 300), F.lit("\n"),
+        F.lit("\n"), prefix(F.col("description"), chars), F.lit("\n"),
     )
     batches = numbered.groupBy("batch_id").agg(
         F.count("*").alias("jobs"), F.array_sort(F.collect_list(F.struct("pos", block.alias("block")))).alias("blocks")
@@ -37,7 +32,7 @@ def score_prompts(numbered: DataFrame, profile: str) -> DataFrame:
     return batches.select(
         "batch_id", "jobs",
         F.concat(
-            F.lit(rules.SCORE_PROMPT_HEAD + profile[:1500] + "\n\nJobs:\n"),
+            F.lit(rules.SCORE_PROMPT_HEAD + profile[:profile_chars] + "\n\nJobs:\n"),
             F.array_join(F.transform("blocks", lambda b: b["block"]), ""),
             F.lit("\nReply with exactly "), F.col("jobs").cast("string"), F.lit(rules.SCORE_PROMPT_TAIL),
         ).alias("prompt"),
@@ -130,9 +125,9 @@ def fill_prompt(template: str, **parts: Column) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
-def suggest_prompt(profile: Column, existing: Column) -> Column:
-    listed = F.when(F.size(existing) > 0, F.array_join(F.slice(existing, 1, 20), "\n")).otherwise("(none yet)")
-    return fill_prompt(rules.SUGGEST_PROMPT, profile=F.substring(profile, 1, 4000), existing=listed)
+def suggest_prompt(profile: Column, existing: Column, keep: int | None = None, chars: int | None = None) -> Column:
+    listed = F.when(F.size(existing) > 0, F.array_join(first_items(existing, keep), "\n")).otherwise("(none yet)")
+    return fill_prompt(rules.SUGGEST_PROMPT, profile=prefix(profile, chars), existing=listed)
 
 
 def merge_suggestions(existing: Column, reply: Column) -> Column:
@@ -141,22 +136,22 @@ def merge_suggestions(existing: Column, reply: Column) -> Column:
     return F.array_distinct(F.concat(existing, lines))
 
 
-def review_prompt(keywords: Column, profile: Column) -> Column:
+def review_prompt(keywords: Column, profile: Column, chars: int | None = None) -> Column:
     listed = F.array_join(F.transform(keywords, lambda k: F.concat(F.lit("- "), k)), "\n")
     context = F.when(
-        profile != "", F.concat(F.lit("\nCandidate profile (for context):\n"), F.substring(profile, 1, 1500))
+        profile != "", F.concat(F.lit("\nCandidate profile (for context):\n"), prefix(profile, chars))
     ).otherwise("")
     return F.concat(F.lit(rules.REVIEW_PROMPT_HEAD), listed, context, F.lit(rules.REVIEW_PROMPT_TAIL))
 
 
-def parse_review(reply: Column) -> Column:
-    """Review struct of a reply; when it is not JSON the summary holds its first 300 characters."""
+def parse_review(reply: Column, chars: int | None = None) -> Column:
+    """Review struct of a reply; when it is not JSON the summary holds it (its first ``chars`` where asked)."""
     bare = strip(F.btrim(F.btrim(strip(reply), F.lit("`json")), F.lit("`")))
 
     def read(raw):
         empty = F.array().cast("array<string>")
         fallback = F.struct(
-            F.lit(None).cast("int").alias("quality_score"), F.substring(raw, 1, 300).alias("summary"),
+            F.lit(None).cast("int").alias("quality_score"), prefix(raw, chars).alias("summary"),
             empty.alias("weak"), F.array().cast("array<array<string>>").alias("redundant"), empty.alias("suggestions"),
         )
         return F.when(F.try_parse_json(raw).isNotNull(), F.from_json(raw, REVIEW_JSON)).otherwise(fallback)
@@ -164,24 +159,24 @@ def parse_review(reply: Column) -> Column:
     return let(bare, read)
 
 
-def cover_letter_prompt(profile: str) -> Column:
-    return _posting_prompt(rules.COVER_LETTER_PROMPT, profile[:2000])
+def cover_letter_prompt(profile: str, chars: int | None = None, profile_chars: int | None = None) -> Column:
+    return _posting_prompt(rules.COVER_LETTER_PROMPT, profile[:profile_chars], chars)
 
 
-def fit_prompt(profile: str) -> Column:
-    return _posting_prompt(rules.FIT_PROMPT, profile[:1500])
+def fit_prompt(profile: str, chars: int | None = None, profile_chars: int | None = None) -> Column:
+    return _posting_prompt(rules.FIT_PROMPT, profile[:profile_chars], chars)
 
 
-def _posting_prompt(template, profile):
+def _posting_prompt(template, profile, chars):
     return fill_prompt(
         template, profile=F.lit(profile), title=F.coalesce("title", F.lit("N/A")),
-        institution=F.coalesce("institution", F.lit("N/A")), description=F.substring("description", 1, 800),
+        institution=F.coalesce("institution", F.lit("N/A")), description=prefix(F.col("description"), chars),
     )
 
 
-def digest(df: DataFrame, order, n: int = 30) -> DataFrame:
-    """One row with the mail text of the first n postings, best score first within those."""
-    top = df.orderBy(*order).limit(n)
+def digest_lines(df: DataFrame, order, n: int | None = None) -> DataFrame:
+    """(at, line): mail lines of all postings, or of the first n; best score first within those."""
+    chosen = df if n is None else df.orderBy(*order).limit(n)
     scored = "ai_score" in df.columns
     by = [F.desc_nulls_last("ai_score"), *order] if scored else order
     score = F.when(F.col("ai_score").isNotNull(), F.concat(F.lit("[AI score: "), F.col("ai_score").cast("string"), F.lit("/10] "))) if scored else F.lit("")
@@ -194,23 +189,25 @@ def digest(df: DataFrame, order, n: int = 30) -> DataFrame:
         score, F.concat("title", F.lit(" @ "), "institution"), part("date_posted", "  |  "), part("source", "  |  "),
         part("url", "\n   "), reason,
     )])
-    numbered = top.withColumn("at", F.row_number().over(Window.orderBy(*by))).select(
-        "at", F.concat(F.col("at").cast("string"), F.lit(". "), line).alias("line")
-    )
-    return numbered.agg(
+    at = F.col("at") + 1
+    return with_row_index(chosen, by, "at").select(at.alias("at"), F.concat(at.cast("string"), F.lit(". "), line).alias("line"))
+
+
+def digest(df: DataFrame, order, n: int) -> DataFrame:
+    """One row with the mail text of the first n postings."""
+    return digest_lines(df, order, n).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda e: e["line"]), "\n\n").alias("digest")
     )
 
 
 def pick_posting(df: DataFrame, order, index: int) -> DataFrame:
     """The selected posting (the last one when the index is past the end) and its panel label."""
-    w = Window.orderBy(*order)
-    first = df.orderBy(*order).limit(index + 1)
-    at = first.withColumn("at", F.row_number().over(w)).orderBy(F.desc("at")).limit(1)
+    numbered = with_row_index(df, order, "_at")
+    picked = numbered.where(F.col("_at") <= index).orderBy(F.desc("_at")).limit(1).drop("_at")
     name = F.concat(F.coalesce("title", F.lit("?")), F.lit(" @ "), F.coalesce("institution", F.lit("?")))
     if "ai_score" in df.columns:
         name = F.when(
             F.coalesce("ai_score", F.lit(0)) != 0,
             F.concat(F.lit("★ "), F.col("ai_score").cast("string"), F.lit("/10 · "), name),
         ).otherwise(name)
-    return at.drop("at").withColumn("label", name)
+    return picked.withColumn("label", name)

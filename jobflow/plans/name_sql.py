@@ -145,7 +145,7 @@ def ats_hints(x):
 _DOMAIN = r"\b([a-z0-9.-]+\.[a-z]{2,})(?:/[^\s]*)?\b"
 
 
-def evidence_ctes(mail):
+def evidence_ctes(mail, limited=False):
     """CTE list: mail, cand(seq, company), ev_count, ev_vals(company, kind, value), ev_example."""
     email = f"lower(regexp_extract(row, {S.q('(' + S.EMAIL + ')')}, 1))"
     sdom = "split_part(email, '@', 2)"
@@ -165,8 +165,9 @@ def evidence_ctes(mail):
       UNION ALL SELECT seq, 'domain', {sdom} FROM fact WHERE email <> '' AND NOT {S.contains_any(sdom, rules.VENDOR_DOMAINS)}
       UNION ALL SELECT seq, 'sender', {sdom} FROM fact WHERE email <> ''
       UNION ALL SELECT seq, 'email', email FROM fact WHERE email <> '') USING (seq)),
-  ev_example AS MATERIALIZED (SELECT company, rank, substr(row, 1, 400) AS example FROM (
-      SELECT company, seq, row_number() OVER (PARTITION BY company ORDER BY seq) AS rank FROM cand) JOIN mail USING (seq) WHERE rank <= 3)"""
+  ev_example AS MATERIALIZED (SELECT company, rank, {'substr(row, 1, 400)' if limited else 'row'} AS example FROM (
+      SELECT company, seq, row_number() OVER (PARTITION BY company ORDER BY seq) AS rank FROM cand) JOIN mail USING (seq)
+      {'WHERE rank <= 3' if limited else ''})"""
 
 
 def joined(rel, key, kind, order="value"):
@@ -176,7 +177,7 @@ def joined(rel, key, kind, order="value"):
     )
 
 
-def registry_ctes(mail):
+def registry_ctes(mail, limited=False):
     """evidence_ctes plus votes, resolved, and the merged registry m_count, m_vals, m_example."""
     root = S.root_domain
     vendor = lambda x: S.contains_any(x, rules.VENDOR_DOMAINS)
@@ -190,7 +191,7 @@ def registry_ctes(mail):
         f"SELECT resolved, 'domain', {S.q(d)} FROM m_count WHERE resolved = {S.q(c)}"
         for c, ds in rules.COMPANY_DOMAIN_OVERRIDES.items() for d in ds
     )
-    return f"""{evidence_ctes(mail)},
+    return f"""{evidence_ctes(mail, limited)},
   ex_rows AS MATERIALIZED (SELECT row_number() OVER () AS seq, company, example AS row FROM ev_example),
   ballot AS MATERIALIZED (
     SELECT company, company AS raw, 2 AS weight FROM ev_count
@@ -216,4 +217,4 @@ def registry_ctes(mail):
   m_example AS MATERIALIZED (SELECT resolved, rank, example FROM (
       SELECT resolved, example, row_number() OVER (PARTITION BY resolved ORDER BY pos) AS rank FROM (
         SELECT resolved, example, min((lower(company), company, rank)) AS pos FROM resolved JOIN ev_example USING (company)
-        GROUP BY resolved, example)) WHERE rank <= 5)"""
+        GROUP BY resolved, example)) {'WHERE rank <= 5' if limited else ''})"""

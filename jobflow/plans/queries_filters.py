@@ -156,20 +156,33 @@ def _parse_sql(x, pattern=r"[\n,]"):
     return f"list_filter(list_transform({parts}, lambda p: {trimmed}), lambda p: p <> '')"
 
 
-@query("signal_terms", f"""
+def _signal_sql(cut):
+    return f"""
 SELECT p_partkey, array_to_string(strong, '|') AS strong,
-  array_to_string(list_filter(words, lambda w, i: list_position(words, w) = i)[1:20], '|') AS support
-FROM (SELECT p_partkey, lines[1:20] AS strong, list_filter(flatten(list_transform(lines, lambda p: regexp_split_to_array(p, ' +'))),
+  array_to_string(list_filter(words, lambda w, i: list_position(words, w) = i){cut}, '|') AS support
+FROM (SELECT p_partkey, lines{cut} AS strong, list_filter(flatten(list_transform(lines, lambda p: regexp_split_to_array(p, ' +'))),
     lambda w: length(w) > 2 AND NOT {S.in_list('w', rules.SIGNAL_STOPWORDS)}) AS words
-  FROM (SELECT p_partkey, list_transform({_parse_sql(_FORM, chr(92) + 'n')}, lambda p: lower(p)) AS lines FROM part))""")
-def signal_terms(spark, sf):
+  FROM (SELECT p_partkey, list_transform({_parse_sql(_FORM, chr(92) + 'n')}, lambda p: lower(p)) AS lines FROM part))"""
+
+
+def _signals(spark, sf, limit=None):
     return table(spark, sf, "part").select(
-        "p_partkey", keywords.signal_terms_of(_form()).alias("s")
+        "p_partkey", keywords.signal_terms_of(_form(), limit).alias("s")
     ).select(
         "p_partkey", F.array_join("s.strong", "|").alias("strong"), F.array_join("s.support", "|").alias("support")
     )
 
 
+@query("signal_terms", _signal_sql(""))
+def signal_terms(spark, sf):
+    return _signals(spark, sf)
+
+
+@query("signal_terms_limited", _signal_sql("[1:3]"))
+def signal_terms_limited(spark, sf):
+    return _signals(spark, sf, 3)
+
+
 @query("job_title_filter", f"SELECT seq, title FROM ({POSTINGS_DOCS_SQL}) WHERE {title_ok('title')}")
 def job_title_filter(spark, sf):
     return postings_docs(spark, sf).where(filters.looks_like_job_title(F.col("title"))).select("seq", "title")

@@ -68,13 +68,31 @@ def joined(*columns):
     return [F.array_join(c, ";").alias(c) for c in columns]
 
 
-@query("company_evidence", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)}
-SELECT company, count, {N.joined('ev_vals', 'company', 'hint')} AS ats_hints, {N.joined('ev_vals', 'company', 'domain')} AS company_domains,
-  {N.joined('ev_vals', 'company', 'sender')} AS sender_domains, {N.joined('ev_vals', 'company', 'email')} AS sender_emails,
-  (SELECT string_agg(example, ';' ORDER BY rank) FROM ev_example x WHERE x.company = b.company) AS examples FROM ev_count b""")
+_SETS = f"""SELECT company, count, {N.joined('ev_vals', 'company', 'hint')} AS ats_hints, {N.joined('ev_vals', 'company', 'domain')} AS company_domains,
+  {N.joined('ev_vals', 'company', 'sender')} AS sender_domains, {N.joined('ev_vals', 'company', 'email')} AS sender_emails"""
+_SET_LISTS = [c for c in REGISTRY_LISTS if c != "examples"]
+
+
+def _facts(spark, sf):
+    return evidence.evidence_facts(evidence.match_rows(mail_rows(spark, sf)))
+
+
+@query("company_evidence", f"WITH {N.evidence_ctes(MAIL_ROWS_SQL)} {_SETS} FROM ev_count b")
 def company_evidence(spark, sf):
-    registry = evidence.collect_evidence(evidence.match_rows(mail_rows(spark, sf)))
-    return registry.select("company", "count", *joined(*REGISTRY_LISTS))
+    return evidence.company_records(_facts(spark, sf)).select("company", "count", *joined(*_SET_LISTS))
+
+
+@query("company_evidence_limited", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL, True)} {_SETS},
+  (SELECT string_agg(example, ';' ORDER BY rank) FROM ev_example x WHERE x.company = b.company) AS examples FROM ev_count b""")
+def company_evidence_limited(spark, sf):
+    facts = _facts(spark, sf)
+    rows = evidence.first_rows(evidence.company_rows(facts), keep=3, chars=400)
+    return evidence.with_examples(evidence.company_records(facts), rows).select("company", "count", *joined(*REGISTRY_LISTS))
+
+
+@query("company_rows", f"WITH {N.evidence_ctes(MAIL_ROWS_SQL)} SELECT company, seq, row FROM cand JOIN mail USING (seq)")
+def company_rows(spark, sf):
+    return evidence.company_rows(_facts(spark, sf)).select("company", F.col("at").alias("seq"), "row")
 
 
 @query("unmatched_rows", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)}

@@ -36,10 +36,22 @@ def result_metrics_lineitem(spark, sf):
     return metrics.result_metrics(rows, blank_as_null=False)
 
 
-@query("preview", f"SELECT seq, title, coalesce(location, '') AS location FROM (SELECT seq, title, nullif(location, '') AS location FROM ({POSTINGS_DOCS_SQL}) ORDER BY seq LIMIT 1000)")
-def preview(spark, sf):
+_PREVIEW = f"SELECT seq, title, coalesce(location, '') AS location FROM (SELECT seq, title, nullif(location, '') AS location FROM ({POSTINGS_DOCS_SQL}) ORDER BY seq"
+
+
+def _previewed(spark, sf, n=None):
     rows = postings_docs(spark, sf).select("seq", "title", F.nullif("location", F.lit("")).alias("location"))
-    return metrics.preview(rows, ["seq"])
+    return metrics.preview(rows, ["seq"], n)
+
+
+@query("preview", f"{_PREVIEW})")
+def preview(spark, sf):
+    return _previewed(spark, sf)
+
+
+@query("preview_limited", f"{_PREVIEW} LIMIT 1000)")
+def preview_limited(spark, sf):
+    return _previewed(spark, sf, 1000)
 
 
 _FUNNEL = ["license", "worthless", "copyright"]
@@ -116,14 +128,14 @@ SELECT company, CAST(count AS VARCHAR) AS count, {N.joined('ev_vals', 'company',
   {N.joined('ev_vals', 'company', 'sender')} AS sender_domains, {N.joined('ev_vals', 'company', 'email')} AS sender_emails FROM ev_count b""")
 def registry_csv(spark, sf):
     path = scratch_path(spark, "registry")
-    writers.write_registry(registry_raw(spark, sf), path)
+    writers.write_registry(registry_raw(spark, sf)[0], path)
     return spark.read.csv(f"{path}/csv", header=True, escape='"').fillna("")
 
 
 @query("registry_json", f"WITH {N.evidence_ctes(MAIL_ROWS_SQL)} SELECT company, count, {N.joined('ev_vals', 'company', 'hint')} AS ats_hints FROM ev_count b")
 def registry_json(spark, sf):
     path = scratch_path(spark, "registry")
-    writers.write_registry(registry_raw(spark, sf), path)
+    writers.write_registry(registry_raw(spark, sf)[0], path)
     return files.read_registry(spark, f"{path}/json").select("company", "count", F.array_join("ats_hints", ";").alias("ats_hints"))
 
 

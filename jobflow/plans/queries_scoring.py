@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from jobflow import rules
 from jobflow.fixtures import POSTINGS_DOCS_SQL, RUN_LOG_SQL, log_lines, postings_docs, run_log, table
 from jobflow.operators import runlog, scoring
+from jobflow.operators.indexing import with_row_index
 from jobflow.operators.keywords import parse_lines
 from jobflow.plans import sql as S
 from jobflow.plans.catalog import query
@@ -18,18 +19,29 @@ def _numbered(spark, sf):
     return scoring.number_jobs(postings_docs(spark, sf), ["seq"], max_jobs=None)
 
 
-@query("score_prompts", f"""SELECT batch_id, jobs, {S.q(rules.SCORE_PROMPT_HEAD + PROFILE[:1500] + chr(10) + chr(10) + 'Jobs:' + chr(10))} || blocks || chr(10) || 'Reply with exactly ' || jobs || {S.q(rules.SCORE_PROMPT_TAIL)} AS prompt
+def _prompts_sql(text):
+    return f"""SELECT batch_id, jobs, {S.q(rules.SCORE_PROMPT_HEAD + PROFILE + chr(10) + chr(10) + 'Jobs:' + chr(10))} || blocks || chr(10) || 'Reply with exactly ' || jobs || {S.q(rules.SCORE_PROMPT_TAIL)} AS prompt
 FROM (SELECT rank // 10 AS batch_id, count(*) AS jobs, string_agg(chr(10) || 'JOB ' || (rank % 10 + 1) || ': ' || title || ' at ' || institution || chr(10)
-  || substr(description, 1, 300) || chr(10), '' ORDER BY rank) AS blocks FROM {_NUMBERED} GROUP BY 1)""")
+  || {text} || chr(10), '' ORDER BY rank) AS blocks FROM {_NUMBERED} GROUP BY 1)"""
+
+
+@query("score_prompts", _prompts_sql("description"))
 def score_prompts(spark, sf):
     return scoring.score_prompts(_numbered(spark, sf), PROFILE)
 
 
+@query("score_prompts_limited", _prompts_sql("substr(description, 1, 300)"))
+def score_prompts_limited(spark, sf):
+    return scoring.score_prompts(_numbered(spark, sf), PROFILE, chars=300, profile_chars=1500)
+
+
 _PROVIDERS = ["openai", "gemini", "anthropic", "mistral", "cohere"]
 
 
 def replies(spark, sf):
-    """Landed replies, one per assistant turn, in the five provider shapes; some lines are cut."""
+    """Landed replies, one batch per assistant turn, in the five provider shapes; some lines are cut."""
+    turns = table(spark, sf, "conversations").where("role = 'assistant'")
+    turns = with_row_index(turns.select("conv_id", "turn", "text"), ["conv_id", "turn", "text"], "batch_id")
     c, t = F.col("conv_id"), F.col("turn")
     word = F.regexp_extract("text", r"^(\S+)", 1)
     score = F.when(c % 5 == 0, "high").otherwise((c % 10 + 1).cast("string"))
@@ -50,21 +62,21 @@ def replies(spark, sf):
     for name, shape in shapes.items():
         raw = F.when(provider == name, shape).otherwise(raw)
     raw = F.when(c % 11 == 0, '{"error": {"message": "quota used up"}}').when(c % 13 == 0, "<html>").otherwise(raw)
-    return table(spark, sf, "conversations").where("role = 'assistant' AND turn = 1").select(
-        c.alias("batch_id"), provider.alias("provider"), raw.alias("raw_json"), body.alias("body")
+    return turns.select(
+        "batch_id", provider.alias("provider"), raw.alias("raw_json"), body.alias("body")
     )
 
 
-_REPLY_SQL = """SELECT conv_id AS batch_id, turn, CASE WHEN conv_id % 5 = 0 THEN 5 ELSE conv_id % 10 + 1 END AS score1,
+_REPLY_SQL = """SELECT row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS batch_id, conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 5 ELSE conv_id % 10 + 1 END AS score1,
   regexp_extract(text, '^(\\S+)', 1) AS word, conv_id % 11 = 0 OR conv_id % 13 = 0 AS failed,
-  CASE WHEN conv_id % 11 = 0 THEN 'quota used up' END AS error FROM conversations WHERE role = 'assistant' AND turn = 1"""
+  CASE WHEN conv_id % 11 = 0 THEN 'quota used up' END AS error FROM conversations WHERE role = 'assistant'"""
 
 
 def _texts(spark, sf):
     return replies(spark, sf).withColumn("text", scoring.reply_text(F.col("provider"), F.col("raw_json")))
 
 
-@query("reply_text", f"""SELECT batch_id, CASE WHEN NOT failed THEN 'Here you go:' || chr(10) || 'JOB 1: SCORE=' || CASE WHEN batch_id % 5 = 0 THEN 'high' ELSE CAST(score1 AS VARCHAR) END
+@query("reply_text", f"""SELECT batch_id, CASE WHEN NOT failed THEN 'Here you go:' || chr(10) || 'JOB 1: SCORE=' || CASE WHEN conv_id % 5 = 0 THEN 'high' ELSE CAST(score1 AS VARCHAR) END
   || ' | REASON=' || word || ' fits ' || chr(10) || 'JOB 2: SCORE=3' || chr(10) || 'JOB 3: SCORE= ' || (turn % 7) || '|REASON=also REASON=x' END AS text, error FROM ({_REPLY_SQL})""")
 def reply_text(spark, sf):
     return _texts(spark, sf).select("batch_id", "text", scoring.reply_error(F.col("raw_json")).alias("error"))
@@ -93,13 +105,22 @@ def score_rank(spark, sf):
     return scoring.rank_scored(_scored(spark, sf)).select("seq", "rank", "ai_score", "ai_reason")
 
 
-@query("score_all_kept", f"""SELECT p.seq, s.ai_score FROM ({POSTINGS_DOCS_SQL}) p LEFT JOIN (SELECT seq, ai_score FROM ({_SCORED}) WHERE rank < 40) s USING (seq)""")
-def score_all_kept(spark, sf):
-    top = scoring.number_jobs(postings_docs(spark, sf), ["seq"])
+def _kept(spark, sf, max_jobs=None):
+    top = scoring.number_jobs(postings_docs(spark, sf), ["seq"], max_jobs)
     scored = scoring.apply_scores(top, _texts(spark, sf).select("batch_id", "text"))
     return scoring.keep_unscored(postings_docs(spark, sf), scored).select("seq", "ai_score")
 
 
+@query("score_all_kept", f"SELECT seq, ai_score FROM ({_SCORED})")
+def score_all_kept(spark, sf):
+    return _kept(spark, sf)
+
+
+@query("score_all_kept_limited", f"""SELECT p.seq, s.ai_score FROM ({POSTINGS_DOCS_SQL}) p LEFT JOIN (SELECT seq, ai_score FROM ({_SCORED}) WHERE rank < {rules.SCORED_JOBS}) s USING (seq)""")
+def score_all_kept_limited(spark, sf):
+    return _kept(spark, sf, rules.SCORED_JOBS)
+
+
 @query("suggest_merge", """SELECT conv_id, turn, array_to_string(list_filter(k, lambda v, i: list_position(k, v) = i), '|') AS keywords
 FROM (SELECT conv_id, turn, list_concat(['data', 'Thing'], list_filter(list_transform(string_split(trim(text), chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS k FROM conversations)""")
 def suggest_merge(spark, sf):
@@ -125,24 +146,40 @@ def review_prompts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scoring.review_prompt(words, profile).alias("prompt"))
 
 
-@query("review_parse", """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % 10 AS INT) END AS quality_score,
-  CASE WHEN conv_id % 2 = 0 THEN 'ok' ELSE substr(trim(trim(trim(text), '`json'), '`'), 1, 300) END AS summary,
-  CASE WHEN conv_id % 2 = 0 THEN role ELSE '' END AS weak, CASE WHEN conv_id % 2 = 0 THEN 'a+b' ELSE '' END AS redundant FROM conversations""")
-def review_parse(spark, sf):
+def _review_sql(summary):
+    return f"""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % 10 AS INT) END AS quality_score,
+  CASE WHEN conv_id % 2 = 0 THEN 'ok' ELSE {summary} END AS summary,
+  CASE WHEN conv_id % 2 = 0 THEN role ELSE '' END AS weak, CASE WHEN conv_id % 2 = 0 THEN 'a+b' ELSE '' END AS redundant FROM conversations"""
+
+
+def _reviews(spark, sf, chars=None):
     doc = F.to_json(F.struct(
         (F.col("conv_id") % 10).alias("quality_score"), F.lit("ok").alias("summary"), F.array("role").alias("weak"),
         F.array(F.array(F.lit("a"), F.lit("b"))).alias("redundant"),
     ))
     raw = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", scoring.parse_review(raw).alias("r")).select(
+    return table(spark, sf, "conversations").select("conv_id", "turn", scoring.parse_review(raw, chars).alias("r")).select(
         "conv_id", "turn", "r.quality_score", "r.summary", F.array_join("r.weak", "|").alias("weak"),
         F.array_join(F.transform("r.redundant", lambda p: F.array_join(p, "+")), "|").alias("redundant"),
     )
 
 
-def _fill(template, profile):
+_BARE_REPLY = "trim(trim(trim(text), '`json'), '`')"
+
+
+@query("review_parse", _review_sql(_BARE_REPLY))
+def review_parse(spark, sf):
+    return _reviews(spark, sf)
+
+
+@query("review_parse_limited", _review_sql(f"substr({_BARE_REPLY}, 1, 300)"))
+def review_parse_limited(spark, sf):
+    return _reviews(spark, sf, 300)
+
+
+def _fill(template, profile, description="description"):
     out = S.q(template)
-    for name, value in (("profile", S.q(profile)), ("title", "title"), ("institution", "institution"), ("description", "substr(description, 1, 800)")):
+    for name, value in (("profile", S.q(profile)), ("title", "title"), ("institution", "institution"), ("description", description)):
         out = f"replace({out}, '{{{name}}}', {value})"
     return out
 
@@ -154,11 +191,29 @@ def posting_prompts(spark, sf):
     )
 
 
-@query("digest", f"""SELECT string_agg(pos || '. [AI score: ' || ai_score || '/10] ' || title || ' @ ' || institution || CASE WHEN date_posted <> '' THEN '  |  ' || date_posted ELSE '' END
-  || CASE WHEN source <> '' THEN '  |  ' || source ELSE '' END || CASE WHEN url <> '' THEN chr(10) || '   ' || url ELSE '' END || chr(10) || '   → ' || ai_reason, chr(10) || chr(10) ORDER BY pos) AS digest
-FROM (SELECT *, row_number() OVER (ORDER BY ai_score DESC, rank) AS pos FROM ({_SCORED}) WHERE rank < 30)""")
+_CUT = "substr(description, 1, 800)"
+
+
+@query("posting_prompts_limited", f"SELECT seq, {_fill(rules.COVER_LETTER_PROMPT, PROFILE, _CUT)} AS letter, {_fill(rules.FIT_PROMPT, PROFILE, _CUT)} AS fit FROM ({POSTINGS_DOCS_SQL})")
+def posting_prompts_limited(spark, sf):
+    return postings_docs(spark, sf).select(
+        "seq", scoring.cover_letter_prompt(PROFILE, 800, 2000).alias("letter"), scoring.fit_prompt(PROFILE, 800, 1500).alias("fit")
+    )
+
+
+_MAIL_LINE = """pos || '. [AI score: ' || ai_score || '/10] ' || title || ' @ ' || institution || CASE WHEN date_posted <> '' THEN '  |  ' || date_posted ELSE '' END
+  || CASE WHEN source <> '' THEN '  |  ' || source ELSE '' END || CASE WHEN url <> '' THEN chr(10) || '   ' || url ELSE '' END || chr(10) || '   → ' || ai_reason"""
+_POSED = f"SELECT *, row_number() OVER (ORDER BY ai_score DESC, rank) AS pos FROM ({_SCORED})"
+
+
+@query("digest", f"SELECT pos AS at, {_MAIL_LINE} AS line FROM ({_POSED})")
 def digest(spark, sf):
-    return scoring.digest(_scored(spark, sf), ["rank"])
+    return scoring.digest_lines(_scored(spark, sf), ["rank"])
+
+
+@query("digest_limited", f"SELECT string_agg({_MAIL_LINE}, chr(10) || chr(10) ORDER BY pos) AS digest FROM ({_POSED} WHERE rank < 30)")
+def digest_limited(spark, sf):
+    return scoring.digest(_scored(spark, sf), ["rank"], 30)
 
 
 @query("posting_pick", f"""SELECT seq, '★ ' || ai_score || '/10 · ' || title || ' @ ' || institution AS label FROM ({_SCORED}) ORDER BY rank LIMIT 1 OFFSET 17""")

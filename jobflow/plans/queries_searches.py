@@ -4,15 +4,16 @@ from pyspark.sql import functions as F
 
 from jobflow.fixtures import AS_OF, AS_OF_ISO, KEYWORDS, MAIL_ROWS_SQL, POSTINGS_DOCS_SQL, SIGNALS, mail_rows, postings_docs
 from jobflow.functions import urls
-from jobflow.operators import dedup, discovery, metrics
+from jobflow.operators import dedup, discovery, metrics, registry
 from jobflow.plans import name_sql as N
 from jobflow.plans import searches
 from jobflow.plans.catalog import query
 from jobflow.plans.queries_dedup import MERGED_SQL, two_pass_sql
 from jobflow.plans.queries_filters import COMPOSITE_SQL, CUTOFF, broad_date, restricted_sql
-from jobflow.plans.queries_registry import registry_clean, registry_raw, site_pages
+from jobflow.plans.queries_registry import registry_resolved, site_pages
 from jobflow.plans.queries_scoring import _SCORED, _texts
 from jobflow.plans.queries_sources import search_results
+from jobflow.session import cut_lineage
 from jobflow.sources import landed
 
 FLAGSHIP_SQL = f"SELECT institution, count(*) AS jobs FROM ({two_pass_sql(COMPOSITE_SQL)}) GROUP BY institution"
@@ -48,7 +49,8 @@ def sequenced_sources(spark, sf):
 @query("company_search")
 def company_search(spark, sf):
     """Landed answers for every generated board, and a job page on every guessed domain."""
-    records = registry_clean(spark, sf)
+    raw, rows, resolved = registry_resolved(spark, sf)
+    records = cut_lineage(registry.merge_registry(raw, resolved))
     boards = records.select("company", F.explode(discovery.board_url_candidates()).alias("board_url"))
     job = F.struct(
         F.concat(F.lit("Research Analyst at "), "company").alias("title"), F.lit("we say thank you").alias("content"),
@@ -62,7 +64,7 @@ def company_search(spark, sf):
         F.lit("<h1>Data Scientist</h1><p>Posted on 2024-01-22</p>").alias("html"),
     )
     found = searches.company_search(
-        registry_raw(spark, sf), {"greenhouse": answers}, site_pages(spark, sf).unionByName(job_pages), AS_OF_ISO, AS_OF,
+        raw, rows, {"greenhouse": answers}, site_pages(spark, sf, records).unionByName(job_pages), AS_OF_ISO, AS_OF,
         KEYWORDS, (), SIGNALS,
     )
     return found.deduped.select("institution", "title", "url", "date_posted", "ats_platform")

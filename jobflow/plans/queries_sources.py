@@ -44,13 +44,25 @@ def board_search(spark, sf):
     return landed.board_search(search_results(spark, sf), AS_OF_ISO).select(*_SHOWN.split(", "))
 
 
-@query("board_search_top40", f"""SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY keyword, site ORDER BY seq) AS rn
-  FROM ({_RESULTS_SQL}) WHERE date_trunc('second', ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND job_type = 'fulltime' AND is_remote = 'True') WHERE rn <= 40""")
-def board_search_top40(spark, sf):
-    asked = landed.search_request(search_results(spark, sf), AS_OF, 10, is_remote=True, job_type="fulltime")
+_ASKED_SQL = f"""SELECT *, row_number() OVER (PARTITION BY keyword, site ORDER BY seq) AS rn
+  FROM ({_RESULTS_SQL}) WHERE date_trunc('second', ts) >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND job_type = 'fulltime' AND is_remote = 'True'"""
+
+
+def _asked(spark, sf, keep=None):
+    asked = landed.search_request(search_results(spark, sf), AS_OF, 10, is_remote=True, job_type="fulltime", keep=keep)
     return landed.board_search(asked, AS_OF_ISO).select(*_SHOWN.split(", "))
 
 
+@query("board_search_asked", f"SELECT {_SHOWN} FROM ({_ASKED_SQL})")
+def board_search_asked(spark, sf):
+    return _asked(spark, sf)
+
+
+@query("board_search_top40", f"SELECT {_SHOWN} FROM ({_ASKED_SQL}) WHERE rn <= 40")
+def board_search_top40(spark, sf):
+    return _asked(spark, sf, keep=40)
+
+
 # five postings per landed document, grouped by consecutive ids
 _GROUP = "doc_id // 5"
 

@@ -130,12 +130,14 @@ def text_slug(spark, sf):
     )
 
 
-@query("text_squash", f"SELECT doc_id, {S.squash('text')} AS squashed, substr({S.squash('text')}, 1, 300) AS summary FROM documents")
+@query("text_squash", f"SELECT doc_id, {S.squash('text')} AS squashed FROM documents")
 def text_squash(spark, sf):
-    s = text.squash(F.col("text"))
-    return table(spark, sf, "documents").select(
-        "doc_id", s.alias("squashed"), text.prefix(s, 300).alias("summary")
-    )
+    return table(spark, sf, "documents").select("doc_id", text.squash(F.col("text")).alias("squashed"))
+
+
+@query("text_squash_limited", f"SELECT doc_id, substr({S.squash('text')}, 1, 300) AS summary FROM documents")
+def text_squash_limited(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.prefix(text.squash(F.col("text")), 300).alias("summary"))
 
 
 @query("title_case_words", f"SELECT p_partkey, {S.title_words(_NAME := chr(40) + 'p_name || ' + S.q(' of the ') + ' || p_type || ' + S.q(' gm') + chr(41))} AS name FROM part")

@@ -1,5 +1,6 @@
 """The product's four runs as job chains. Stage order is meaning and is kept."""
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +13,13 @@ from jobflow.sinks import writers
 from jobflow.sources import routing
 
 
+class BroadRun(NamedTuple):
+    postings: DataFrame
+    result: "BroadResult"
+    sources: DataFrame
+    funnel: DataFrame
+
+
 class BroadResult(NamedTuple):
     raw: DataFrame
     merged: DataFrame
@@ -24,10 +32,12 @@ class CompanyResult(NamedTuple):
     raw: DataFrame
     filtered: DataFrame
     deduped: DataFrame
+    skips: DataFrame
 
 
 class MailboxResult(NamedTuple):
     registry: DataFrame
+    rows: DataFrame
     ranked: DataFrame
     totals: DataFrame
     unmatched: DataFrame
@@ -41,7 +51,8 @@ def sequence_sources(frames) -> DataFrame:
     placed = []
     for rank, frame in enumerate(frames):
         own = "seq" if "seq" in frame.columns else "at"
-        indexed = with_row_index(frame, [own, *BROAD_FIELDS], "_own")
+        # rows of one place are told apart by a hash, so that no long text becomes a sort key
+        indexed = with_row_index(frame, [own, F.xxhash64(*BROAD_FIELDS)], "_own")
         placed.append(indexed.select(F.lit(rank).alias("_rank"), "_own", *BROAD_FIELDS))
     union = metrics.union_sources(*placed)
     return with_row_index(union, ["_rank", "_own"], "seq").select("seq", *BROAD_FIELDS)
@@ -54,6 +65,15 @@ def broad_search(postings: DataFrame, as_of, days_old: int = 30, strict: bool =
     return BroadResult(postings, merged, recent, filters.filter_restricted(recent, phrases))
 
 
+def broad_run(frames, as_of, days_old: int = 30, strict: bool = True, phrases=None) -> BroadRun:
+    """Landed sources to the broad result, with postings per source and rows left after each stage."""
+    postings = cut_lineage(sequence_sources(frames))
+    result = broad_search(postings, as_of, days_old, strict, phrases)
+    stages = {"raw": postings, "merged": result.merged, "recent": result.recent, "clean": result.clean}
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()]
+    return BroadRun(postings, result, metrics.source_counts(postings), reduce(DataFrame.unionByName, counts))
+
+
 def save_broad(result: DataFrame, path: str, chunk_rows: int = writers.CHUNK_ROWS, skip_empty: bool = False) -> None:
     """CSV, text chunks and, when empty descriptions are left out, their urls."""
     kept = result
@@ -70,47 +90,55 @@ def company_results(postings: DataFrame, as_of, keywords, strong=(), support=(),
 
 
 def company_search(
-    raw_registry: DataFrame, documents: dict, pages: DataFrame, scraped_at: str, as_of, keywords, strong=(),
-    support=(), results: DataFrame | None = None, max_companies: int = 0, days_old: int = 30,
+    records: DataFrame, rows: DataFrame, documents: dict, pages: DataFrame, scraped_at: str, as_of, keywords, strong=(),
+    support=(), results: DataFrame | None = None, max_companies: int | None = None, days_old: int = 30,
     owner_name: str | None = None,
 ) -> CompanyResult:
-    """Registry to postings: resolve, rank, find boards, read landed answers, filter, deduplicate."""
-    clean = cut_lineage(filters.blocked_companies(registry.merge_registry(raw_registry, owner_name)))
-    chosen = registry.top_companies(clean, keywords, max_companies, strong, support)
+    """Registry to postings: resolve, rank, find boards, read landed answers, filter, deduplicate.
+
+    ``records`` and ``rows`` are those of ``mailbox_registry``, or a saved registry and its ``file_rows``.
+    """
+    resolved = cut_lineage(registry.resolve_names(registry.registry_votes(records, rows, owner_name), owner_name))
+    clean = cut_lineage(filters.blocked_companies(registry.merge_registry(records, resolved)))
+    ranked = registry.rank_companies(clean, registry.merged_rows(rows, resolved), keywords, strong, support)
+    chosen = registry.top_companies(ranked, max_companies)
     boards = discovery.discovery_urls(chosen, pages, results).withColumnRenamed("url", "board_url")
     found = routing.collect_postings(boards, documents, pages, scraped_at, keywords, strong, support)
-    order = [F.lower("institution"), *[c for c in ("institution", "career_page", "url", "title", "location", "date_posted", "description", "source", "ats_platform")]]
+    order = [F.lower("institution"), "institution", "career_page", "url", F.xxhash64(*COMPANY_FIELDS)]
     raw = with_row_index(found.select(*COMPANY_FIELDS), order, "seq")
     filtered = filters.filter_postings(raw, as_of, keywords, strong, support, days_old)
-    return CompanyResult(clean, raw, filtered, dedup.dedupe_two_pass(filtered))
+    errors = routing.document_errors(boards, documents)
+    skips = routing.skip_log(boards.select("company"), raw, errors)
+    return CompanyResult(clean, raw, filtered, dedup.dedupe_two_pass(filtered), skips)
 
 
-def save_company(result: CompanyResult, skips: DataFrame, path: str, chunk_rows: int = writers.CHUNK_ROWS) -> None:
+def save_company(result: CompanyResult, path: str, chunk_rows: int = writers.CHUNK_ROWS) -> None:
     ordered = dedup.in_result_order(result.deduped)
     writers.write_company_csv(ordered, f"{path}/csv")
     order = [F.lower("institution"), F.lower("title"), F.lower("location"), "order_seq"]
     writers.write_text_chunks(result.deduped, f"{path}/chunks", order, chunk_rows, company=True)
-    writers.write_lines(skips, f"{path}/skips")
+    writers.write_lines(result.skips, f"{path}/skips")
     writers.write_registry(result.registry, f"{path}/registry")
 
 
 def mailbox_registry(rows: DataFrame, owner_name: str | None = None) -> MailboxResult:
     """Mailbox rows to the raw registry, the ranked report and the unmatched rows."""
     matched = cut_lineage(evidence.match_rows(rows, owner_name))
-    found = cut_lineage(evidence.collect_evidence(matched))
+    facts = evidence.evidence_facts(matched)
+    found = cut_lineage(evidence.company_records(facts))
     return MailboxResult(
-        found, evidence.registry_by_count(found), evidence.report_totals(matched), evidence.unmatched_rows(matched)
+        found, evidence.company_rows(facts), evidence.registry_by_count(found), evidence.report_totals(matched), evidence.unmatched_rows(matched)
     )
 
 
 def save_mailbox(result: MailboxResult, path: str) -> None:
     writers.write_registry(result.registry, f"{path}/registry")
+    writers.write_registry_rows(result.rows, f"{path}/registry")
     writers.write_unmatched(result.unmatched.orderBy("seq"), f"{path}/unmatched")
-    first = result.unmatched.orderBy("seq").limit(100)
-    writers.write_report(result.totals, result.ranked, first, f"{path}/report")
+    writers.write_report(result.totals, result.ranked, result.unmatched, f"{path}/report")
 
 
-def score_postings(postings: DataFrame, replies: DataFrame, max_jobs: int | None = 40) -> DataFrame:
+def score_postings(postings: DataFrame, replies: DataFrame, max_jobs: int | None = None) -> DataFrame:
     """Postings with scores from landed replies, best first; those beyond the cap stay unscored."""
     numbered = scoring.number_jobs(postings, ["seq"], max_jobs)
     scored = scoring.apply_scores(numbered, replies)

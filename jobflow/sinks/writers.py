@@ -92,6 +92,11 @@ def write_registry(registry: DataFrame, path: str) -> None:
     write_lines(ordered.select("company"), f"{path}/names")
 
 
+def write_registry_rows(rows: DataFrame, path: str) -> None:
+    """The rows behind a registry, one JSON line per company and row, beside its records."""
+    rows.select("company", "at", "row").write.mode("overwrite").json(f"{path}/rows")
+
+
 def write_report(totals: DataFrame, ranked: DataFrame, unmatched: DataFrame, path: str) -> None:
     """Report: totals, companies by count, first unmatched rows. Companies stay one row each."""
     totals.write.mode("overwrite").json(f"{path}/totals")

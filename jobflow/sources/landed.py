@@ -12,9 +12,6 @@ from jobflow.schema import (
     SMARTRECRUITERS_LIST_JSON, WORKDAY_JSON,
 )
 
-RESULTS_PER_SEARCH = 40
-
-
 def first_filled(*columns: Column) -> Column:
     """First value that is neither NULL nor blank, else blank."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
@@ -30,15 +27,17 @@ def broad_posting(df: DataFrame, scraped_at: str, *keep: str, **fields: Column)
 
 def search_request(
     results: DataFrame, as_of, days_old: int = 30, is_remote: bool | None = None, job_type: str = "",
-    keep: int = RESULTS_PER_SEARCH,
+    keep: int | None = None,
 ) -> DataFrame:
-    """What a board search returns: young enough, matching, at most ``keep`` per keyword and site."""
+    """What a board search returns: young enough and matching; with ``keep`` that many per keyword and site."""
     posted = dates.parse_posted_date(F.col("date_posted"), as_of, plus_adds_one=False)
     rows = results.where(posted >= dates.cutoff(as_of, days_old))
     if is_remote is not None:
         rows = rows.where(F.lower("is_remote") == str(is_remote).lower())
     if job_type:
         rows = rows.where(F.lower("job_type") == job_type.lower())
+    if keep is None:
+        return rows
     w = Window.partitionBy("keyword", "site").orderBy("seq")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("rank")
 

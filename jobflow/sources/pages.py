@@ -3,14 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobflow.functions import dates, html, urls
-from jobflow.functions.text import computed, let, squash
+from jobflow.functions.text import computed, let, prefix, squash
 from jobflow.operators.dedup import first_per_key
 from jobflow.operators.filters import build_posting, keyword_match
 from jobflow.sources.landed import broad_posting
 
-BOARD_LINKS = 10
-
-
 def site_records(
     pages: DataFrame, site: dict, origin: str, source: str, scraped_at: str, institution: str = "",
     first_only: bool = True, skip_empty_links: bool = False,
@@ -140,8 +137,8 @@ def board_structured_postings(parsed: DataFrame, scraped_at: str) -> DataFrame:
     )
 
 
-def board_job_links(parsed: DataFrame, keywords, strong=(), support=(), keep: int = BOARD_LINKS) -> DataFrame:
-    """(company, career_page, url): the first job links, sorted, of boards without JSON-LD."""
+def board_job_links(parsed: DataFrame, keywords, strong=(), support=(), keep: int | None = None) -> DataFrame:
+    """(company, career_page, url): job links of boards without JSON-LD; with ``keep`` the first by url."""
     anchors = parsed.where(F.size("postings") == 0).select(
         "company", F.col("url").alias("career_page"), F.explode("page.anchors").alias("a")
     ).select("company", "career_page", "a.href", squash(F.col("a.text")).alias("text"))
@@ -155,21 +152,23 @@ def board_job_links(parsed: DataFrame, keywords, strong=(), support=(), keep: in
     link = let(urls.clean_url(urls.join_url(F.col("career_page"), F.col("href"))), wanted)
     named = anchors.where((F.col("href") != "") & (F.length("text") >= 4) & ~too_long)
     useful = computed(named, "url", link).where("url IS NOT NULL").select("company", "career_page", "url").distinct()
+    if keep is None:
+        return useful
     w = Window.partitionBy("company", "career_page").orderBy("url")
     return useful.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("rank")
 
 
 def board_postings(
-    boards: DataFrame, pages: DataFrame, scraped_at: str, keywords, strong=(), support=()
+    boards: DataFrame, pages: DataFrame, scraped_at: str, keywords, strong=(), support=(), keep_links: int | None = None
 ) -> DataFrame:
     """Postings of (company, url) boards from landed pages: JSON-LD, else linked job pages."""
     parsed = parse_pages(boards.join(pages, "url"))
-    linked = board_job_links(parsed, keywords, strong, support).join(pages, "url")
+    linked = board_job_links(parsed, keywords, strong, support, keep_links).join(pages, "url")
     return board_structured_postings(parsed, scraped_at).unionByName(
         job_page_postings(parse_pages(linked), scraped_at)
     )
 
 
-def profile_text(html_column: Column, chars: int = 6000) -> Column:
-    """Readable text of a profile page, cut to the length a profile may have."""
-    return F.substring(html.parse_page(html_column, "readable")["readable"], 1, chars)
+def profile_text(html_column: Column, chars: int | None = None) -> Column:
+    """Readable text of a profile page; with ``chars`` cut to that length."""
+    return prefix(html.parse_page(html_column, "readable")["readable"], chars)

@@ -78,6 +78,19 @@ def bad_documents(landed: DataFrame) -> DataFrame:
     return landed.where(broken).select("company", "board_url", F.lit("malformed document").alias("error"))
 
 
+def document_errors(boards: DataFrame, documents: dict) -> DataFrame:
+    """(company, board_url, error) of the broken documents landed for (company, board_url) boards."""
+    routed = route_boards(boards)
+    parts = [
+        bad_documents(routed.where(F.col("route") == route).select("company", "board_url").join(
+            documents[route].drop("company"), "board_url"))
+        for route in API_BOARDS if route in documents and "json" in documents[route].columns
+    ]
+    if not parts:
+        return boards.select("company", "board_url", F.lit("").alias("error")).limit(0)
+    return union_sources(*parts)
+
+
 def skip_log(companies: DataFrame, postings: DataFrame, errors: DataFrame) -> DataFrame:
     """Skip-log lines: errors, and companies with neither postings nor errors."""
     quiet = companies.select("company").distinct().join(

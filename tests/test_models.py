@@ -32,7 +32,10 @@ def test_registry_merge_model(spark):
     schema = ("company string, count long, ats_hints array<string>, company_domains array<string>,"
               " sender_domains array<string>, sender_emails array<string>, examples array<string>")
     raw = spark.createDataFrame(records, schema)
-    got = {r.company: r for r in registry.merge_registry(raw).collect()}
+    rows = registry.file_rows(raw)
+    resolved = registry.resolve_names(registry.registry_votes(raw, rows))
+    merged = evidence.with_examples(registry.merge_registry(raw, resolved), registry.merged_rows(rows, resolved))
+    got = {r.company: r for r in merged.collect()}
     assert set(got) == {"Acme", "Zoox"}
     acme = got["Acme"]
     assert (acme["count"], acme.aliases, acme.ats_hints) == (5, ["acme", "acme inc"], ["adp", "lever"])
