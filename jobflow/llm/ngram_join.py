@@ -3,13 +3,16 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Equal sets fold into
 one node (identified by a hash of the set), so exact copies are compared once.
 
-Tiles. Two sets with Jaccard >= t share one of the n - ceil(t n) + 1 smallest hashes of each, and
-their sizes differ by a factor of at most 1 / t. Each set posts these hashes, and some spare ones,
-to tiles, packed by hash bucket. A tile of up to ``tile`` sets gives the pairs whose sizes lie in
-one band of that factor. A larger tile belongs to a frequent shingle; it gives one pair per set,
-with its smallest member. Sets whose posted hashes are still enough without the frequent ones
-(ordering frequent hashes last) meet their partners in small tiles. The other, *crowded* sets (large
-families of near copies, texts made of common passages) are completed below.
+Tiles. Two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 hashes of each, in any
+order that is the same for all, and their sizes differ by a factor of at most 1 / t. The order here
+is by the count of a shingle's rarest word (by octaves; words under ``share`` of all words count as
+equally rare, so at most 1 / share counts are broadcast), then by hash, so common passages come
+last. Each set posts its first hashes, and some spare ones, to tiles, packed by hash bucket. A tile
+of up to ``tile`` sets gives the pairs whose sizes lie in one band of that factor. A larger tile
+belongs to a frequent shingle; it gives one pair per set, with its smallest member. Sets whose posted
+hashes are still enough without the frequent ones (ordering frequent hashes last) meet their
+partners in small tiles. The other, *crowded* sets (large families of near copies, texts made of
+common passages) are completed below.
 
 Bounds. Every set has a bitmap of its hashes, its length set by the band of its size (folded to
 the shorter of two). Equal bits bound the overlap from above: (|A| + |B| - differing bits) / 2.
@@ -33,19 +36,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobflow.llm.common import components, mix, passes, shuffle_partitions, text_buffers, word_hashes, written
+from jobflow.llm.lm import count_words
 from jobflow.llm.registry import query
 
 WORDS, SIMILAR = 5, 75  # shingle length, per cent
 #: sets in a tile whose pairs are all candidates; spare postings, as a part of the set
-TILE, SPARE = 32, 0.05
+TILE, SPARE = 32, 0.02
+#: share of all words at which a word's count is told apart
+SHARE = 2.0 ** -22
 _NULL = -(2**63)
 _MIXERS = np.random.default_rng(11).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data, offsets):
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(data, offsets, rarity=None):
+    """Sorted distinct shingle hashes of each text. With ``rarity`` (sorted words, their octaves)
+    pairs of those and the octave of each one's rarest word."""
     words, bounds = word_hashes(data, offsets)
     n = len(words)
+    octave = np.zeros(n, np.uint8)
+    if rarity is not None and len(rarity[0]):
+        at = np.minimum(np.searchsorted(rarity[0], words), len(rarity[0]) - 1)
+        octave = np.where(rarity[0][at] == words, rarity[1][at], 0).astype(np.uint8)
+    rarest = octave[:max(0, n - WORDS + 1)].copy()
+    for k in range(1, WORDS):
+        np.minimum(rarest, octave[k:k + len(rarest)], out=rarest)
     whole = np.zeros(0, np.uint64)
     if n >= WORDS:
         whole = np.zeros(n - WORDS + 1, np.uint64)
@@ -55,14 +69,29 @@ def shingle_sets(data, offsets):
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= WORDS:
-            out.append(np.unique(whole[a:b - WORDS + 1]))
+            own, first = np.unique(whole[a:b - WORDS + 1], return_index=True)
+            octaves = rarest[a:b - WORDS + 1][first]
         elif b > a:
-            out.append(mix((words[a:b] * _MIXERS[:b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            own = mix((words[a:b] * _MIXERS[:b - a]).sum(keepdims=True) + np.uint64(b - a))
+            octaves = octave[a:b].min(keepdims=True)
         else:
-            out.append(np.zeros(0, np.uint64))
+            own, octaves = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        out.append(own if rarity is None else (own, octaves))
     return out
 
 
+def word_octaves(docs: DataFrame, share: float = SHARE):
+    """(words, octaves of their counts) of the words that make up ``share`` of all or more; sorted,
+    1 / share of them at most."""
+    table = written(count_words(docs.select("text", F.lit(0).cast("long").alias("part"))), "words")
+    total = table.agg(F.sum("kept")).first()[0] or 0
+    found = table.where(F.col("kept") >= share * total).select("word", "kept").toPandas()
+    words = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    octaves = np.floor(np.log2(np.maximum(found["kept"].to_numpy(np.int64), 1))).astype(np.uint8)
+    return words[order], octaves[order]
+
+
 def set_id(shingles: np.ndarray) -> np.int64:
     """Hash of a whole set (order-free sum of independent hashes, with the size)."""
     total = mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(shingles))
@@ -70,7 +99,7 @@ def set_id(shingles: np.ndarray) -> np.int64:
 
 
 def prefix_size(n):
-    """Smallest hashes of which similar sets must share one: n - ceil(t n) + 1."""
+    """First hashes of which similar sets must share one: n - ceil(t n) + 1."""
     return n - -(-n * SIMILAR // 100) + 1
 
 
@@ -110,23 +139,26 @@ def _binary(*arrays):
     return tuple(a.tobytes() for a in arrays)
 
 
-def tiles(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
     """Rows (kind, a, b, na, nb): 0 a document (a its id, b its set, na the size), 1 a candidate pair
     of sets, 2 a posting of a frequent hash (a the hash, b the set), 3 a pair with the first set of
     a frequent hash's tile."""
     buckets = 8 * shuffle_partitions(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(word_octaves(docs, share))
 
     def post(batches):
+        rarity = held.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
             hashes, owners, sets, sizes = [], [], [], []
             for a, b in passes(offsets):
-                for shingles in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]):
+                for shingles, octaves in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], rarity):
                     sizes.append(len(shingles))
                     sets.append(set_id(shingles))
                     if len(shingles):
-                        few = shingles[:int(posted_size(np.int64(len(shingles))))]
+                        few = int(posted_size(np.int64(len(shingles))))
+                        few = shingles[np.argsort(octaves, kind="stable")[:few]]
                         hashes.append(few)
                         owners.append(np.full(len(few), len(sets) - 1))
             sizes, sets = np.array(sizes, np.int32), np.array(sets, np.int64)
@@ -222,7 +254,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["s", "n", "bits", "hashes"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text").join(wanted, "doc_id")
-    return rows.select("s", "text").mapInArrow(build, "s long, n int, bits binary, hashes binary").dropDuplicates(["s"])
+    rows = rows.dropDuplicates(["doc_id"])  # where the join has put them: repeated rows of one document
+    return rows.select("s", "text").mapInArrow(build, "s long, n int, bits binary, hashes binary")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
