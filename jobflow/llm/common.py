@@ -19,12 +19,21 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 2**64)
 _powers: dict = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffles of the write again, so their files go as soon as it has ended.
+    """
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

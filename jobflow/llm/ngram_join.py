@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import components, mix, passes, shuffle_partitions, text_buffers, word_hashes, written
+from jobflow.llm.common import components, forget, mix, passes, shuffle_partitions, text_buffers, word_hashes, written
 from jobflow.llm.lm import count_words
 from jobflow.llm.registry import query
 
@@ -306,8 +306,9 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, edges: DataFrame
         nearest = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         edges = written(linked(nearest, sets), "links")
     rest = written(_apart(left, components(edges)), "rest")
-    more = linked(rest, sets)
-    return written(edges.union(more), "links")
+    found = written(edges.union(linked(rest, sets)), "links")
+    forget(sets, left, rest, edges)
+    return found
 
 
 def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
