@@ -24,14 +24,16 @@ KEYWORDS = ["data scientist", "research analyst", "thank", "worthless", "Über",
 SIGNALS = ["engineer station", "reading", "notion", "thing", "station"]
 
 
-def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table. ``spread_by`` spreads a small one over all cores before costly text work;
-    an input that already has a partition per core is left as it is."""
+#: session setting: number of partitions into which text tables are dealt; unset, they stay as read
+INPUT_PARTITIONS = "jobflow.input.partitions"
+
+
+def table(spark: SparkSession, sf: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table. One that takes costly text work names its ``key``, by which a session may have
+    it dealt to a set number of partitions (a single small file is one task otherwise)."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
-    return df
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), key) if key and n else df
 
 
 def _pick(values, index):

@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from jobflow import rules
 from jobflow.functions.text import (
-    EMAIL, WS, let, lookup, normalize_key, squash, strip_chars,
+    quoted, EMAIL, WS, let, lookup, normalize_key, squash, strip_chars,
     title_words,
 )
 
@@ -18,7 +18,7 @@ def _null():
 
 
 def _alternation(words):
-    return "|".join(w.replace(".", r"\.").replace("|", r"\|") for w in words)
+    return "|".join(map(quoted, words))
 
 
 def canonical_name(name: Column, owner_name: str | None = None) -> Column:
@@ -79,7 +79,7 @@ def canonical_name(name: Column, owner_name: str | None = None) -> Column:
     value = strip_chars(squash(name), _EDGE_BRACKETS)
     if owner_name:
         value = strip_chars(
-            F.regexp_replace(value, rf"(?iU)\b(?:dear|hello|hi)\s+{owner_name}\b.*$", ""), _EDGE_BRACKETS
+            F.regexp_replace(value, rf"(?iU)\b(?:dear|hello|hi)\s+{quoted(owner_name)}\b.*$", ""), _EDGE_BRACKETS
         )
     return let(value, start)
 
@@ -138,9 +138,10 @@ def row_patterns(owner_name: str | None = None, name: str = rules.NAME_CAPTURE)
     for pattern in rules.ROW_PATTERNS:
         if "{owner}" in pattern and not owner_name:
             continue
-        owner_stop = rf",?\s+{owner_name}|" if owner_name else ""
+        owner = quoted(owner_name) if owner_name else ""
+        owner_stop = rf",?\s+{owner}|" if owner_name else ""
         out.append(
-            pattern.replace("{owner_stop}", owner_stop).replace("{owner}", owner_name or "")
+            pattern.replace("{owner_stop}", owner_stop).replace("{owner}", owner)
             .replace("{stop}", rules.DATE_STOP).replace("{name}", name)
         )
     return out
@@ -182,7 +183,7 @@ def is_generic_role_name(name: Column) -> Column:
 
 def is_valid_company_name(name: Column, owner_name: str | None = None) -> Column:
     low = F.lower(name)
-    noise = "|".join([*rules.NOISE_NAME_PATTERNS, *([rf"\b{owner_name.lower()}\b"] if owner_name else [])])
+    noise = "|".join([*rules.NOISE_NAME_PATTERNS, *([rf"\b{quoted(owner_name.lower())}\b"] if owner_name else [])])
     words = F.filter(F.split(name, WS + "+"), lambda w: w != "")
     article = low.rlike("^(our|the) ") & ~low.contains(" at ") & ~low.contains("laboratory")
     return (

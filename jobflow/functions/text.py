@@ -1,5 +1,6 @@
 """String functions as Column -> Column expressions (built-in functions only)."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -167,6 +168,11 @@ def prefix(text: Column, n: int | None = None) -> Column:
     return text if n is None else F.substring(text, 1, n)
 
 
+def quoted(value: str) -> str:
+    """Caller text as a pattern that matches itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", value)
+
+
 def first_items(items: Column, n: int | None = None) -> Column:
     """First n elements of an array where a caller asks for a cut, else all."""
     return items if n is None else F.slice(items, 1, n)

@@ -16,6 +16,7 @@ final, and a table that does not change is the sequential answer. All rounds are
 map-side combined aggregates; no group is ever collected, whatever its size.
 """
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +26,8 @@ from jobflow.functions.urls import clean_url, normalize_url
 from jobflow.schema import BROAD_FIELDS
 from jobflow.session import cut_lineage, discard
 
+log = logging.getLogger(__name__)
+
 #: fields a better row replaces in an entity
 REPLACED_FIELDS = ["description", "date_posted", "url", "source", "scraped_at"]
 _BIT = {name: 1 << i for i, name in enumerate(BROAD_FIELDS)}
@@ -68,8 +71,12 @@ def _first(condition: Column) -> Column:
     return F.min(F.when(condition, F.col("seq")))
 
 
-def _with_entity_times(state: DataFrame) -> DataFrame:
-    """Rows plus, per entity, when it started and when each kind of fact first came in."""
+def _with_entity_times(state: DataFrame, written: list) -> DataFrame:
+    """Rows plus, per entity, when it started and when each kind of fact first came in.
+
+    The aggregate is written first: an aggregate keeps its partitioning, so a join on top of it has
+    no exchange that adaptive execution could split where an entity holds very many rows.
+    """
     times = state.groupBy("entity").agg(
         F.min("seq").alias("first_seq"),
         _first(_has("description")).alias("t_description"),
@@ -77,6 +84,7 @@ def _with_entity_times(state: DataFrame) -> DataFrame:
         _first(F.col("url_len") > 0).alias("t_url"),
         *[_first(_has(n)).alias(f"t_{n}") for n in _PARTS],
     )
+    times = cut_lineage(times, written)
     own = F.when(_has("description"), 2).otherwise(0) + F.when(_has("date_posted"), 1).otherwise(0)
     before = F.when(F.col("t_description") < F.col("seq"), 2).otherwise(0) + F.when(
         F.col("t_date") < F.col("seq"), 1
@@ -212,12 +220,13 @@ def _shared_identity(rows: DataFrame, spans: DataFrame, chunk_rows: int) -> Data
 def _next_assignment(state: DataFrame, chunk_rows: int, written: list) -> DataFrame:
     """Every row chooses again, given what the current assignment says was known when."""
     # both frames feed several joins below: written once instead of computed once per use
-    rows = cut_lineage(_with_entity_times(state), written)
-    owners = _url_owners(rows)
+    rows = cut_lineage(_with_entity_times(state, written), written)
+    owners = cut_lineage(_url_owners(rows), written)
     spans = cut_lineage(_identity_spans(rows), written)
     single = spans.groupBy("identity").agg(
         F.min("start").alias("known_at"), F.min("entity").alias("lo"), F.max("entity").alias("hi")
     )
+    single = cut_lineage(single, written)
     several = single.where("lo <> hi").limit(1).count()
     by_url = F.when(F.col("owned_at") < F.col("seq"), F.col("url_entity"))
     by_identity = F.when(F.col("lo") == F.col("hi"), F.when(F.col("known_at") < F.col("seq"), F.col("lo")))
@@ -234,32 +243,33 @@ def _next_assignment(state: DataFrame, chunk_rows: int, written: list) -> DataFr
     )
 
 
-def assign_entities(facts: DataFrame, chunk_rows: int = 1_000_000, max_rounds: int | None = None) -> DataFrame:
-    """Facts plus ``entity``: the seq of the row that starts the row's entity."""
+def assign_entities(facts: DataFrame, chunk_rows: int = 1_000_000, max_rounds: int | None = None):
+    """Facts plus ``entity``, the seq of the row that starts the row's entity; and the paths behind the frame."""
     identity = F.concat_ws("|", *[F.col(f"{n}_key") for n in _PARTS])
     facts = facts.withColumn("identity", identity)
     # first guess: rows of one identity are one entity
     guess = facts.groupBy("identity").agg(F.min("seq").alias("entity"))
     done: list = []
-    state = cut_lineage(facts.join(guess, "identity"), done)
+    state = cut_lineage(facts.join(cut_lineage(guess, done), "identity"), done)
     rounds = 0
     while True:
         fresh: list = []
         following = cut_lineage(_next_assignment(state, chunk_rows, fresh), fresh)
-        changed = following.where(F.col("entity") != F.col("old_entity")).limit(1).count()
+        changed = following.where(F.col("entity") != F.col("old_entity")).count()
         state = following.drop("old_entity")
         discard(facts.sparkSession, done)  # the round before is no longer read
         done = fresh
         rounds += 1
+        log.info("entity merge, round %d: %d rows changed their entity", rounds, changed)
         if not changed:
-            return state
+            return state, done
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"entities still change after {rounds} rounds")
 
 
-def entity_donors(assigned: DataFrame) -> DataFrame:
+def entity_donors(assigned: DataFrame, written: list) -> DataFrame:
     """Per entity and field: the seq of the row whose value the entity ends up with."""
-    rows = _with_entity_times(assigned)
+    rows = _with_entity_times(assigned, written)
     records = _url_records(rows).where(~F.col("fill_only"))
     wins = rows.where("class_win").select("entity", "seq", "filled").unionByName(
         records.select("entity", "seq", "filled")
@@ -281,14 +291,16 @@ def entity_donors(assigned: DataFrame) -> DataFrame:
 
 def merge_entities(df: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     """One merged posting per entity; ``seq`` is the ordinal of the row that started it."""
-    assigned = assign_entities(entity_facts(df), chunk_rows)
-    donors = entity_donors(assigned)
+    assigned, paths = assign_entities(entity_facts(df), chunk_rows)
+    donors = entity_donors(assigned, paths)
     wanted = donors.select(
         "entity",
         F.explode(F.array(*[
             F.struct(F.lit(n).alias("field"), F.col(n).alias("seq")) for n in BROAD_FIELDS
         ])).alias("need"),
     ).groupBy("entity", "need.seq").agg(F.collect_set("need.field").alias("fields"))
+    wanted = cut_lineage(wanted)
+    discard(df.sparkSession, paths)
     return (
         df.join(wanted, "seq")
         .groupBy("entity")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobflow import rules
 from jobflow.functions.dates import cutoff, parse_posted_date
 from jobflow.functions.text import (
-    any_contains, is_blank, let, normalize_key, squash,
+    quoted, any_contains, is_blank, let, normalize_key, squash,
 )
 from jobflow.functions.urls import clean_url
 
@@ -53,7 +53,7 @@ def is_restricted(title: Column, description: Column, phrases=None, word_boundar
     text = F.lower(F.concat_ws(" ", title, description))
     if not word_boundary:
         return let(text, lambda t: any_contains(t, phrases))
-    return text.rlike(r"\b(?:" + "|".join(p.replace(".", r"\.") for p in phrases) + r")\b")
+    return text.rlike(r"\b(?:" + "|".join(map(quoted, phrases)) + r")\b")
 
 
 def filter_restricted(df: DataFrame, phrases=None, word_boundary: bool = False) -> DataFrame:

@@ -13,7 +13,12 @@ def source_counts(df: DataFrame, blank_as_null: bool = True, column: str = "sour
 
 
 def result_metrics(df: DataFrame, blank_as_null: bool = True) -> DataFrame:
-    """One row: jobs, distinct companies, distinct sources, postings with a date."""
+    """One row: jobs, distinct companies, distinct sources, postings with a date.
+
+    A column that the result does not have counts as empty.
+    """
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("institution", "source", "date_posted") if c not in df.columns})
+
     def value(c):
         return F.nullif(F.col(c), F.lit("")) if blank_as_null else F.col(c)
 

@@ -74,12 +74,14 @@ def page_of_results(spark, sf):
     return filters.result_page(rows, 3, [F.desc("o_totalprice"), "o_orderkey"], F.col("o_orderstatus") == "F").drop("o_orderstatus")
 
 
-@query("column_titles", "SELECT count(*) AS jobs, 'Date Posted' AS title_of_date, 'ai_score' AS first_column FROM documents")
+@query("column_titles", f"SELECT seq, 'Ai Score=1 | Title=' || title || ' | Date Posted=' || date_posted || ' | Source=' || source AS shown FROM ({POSTINGS_DOCS_SQL})")
 def column_titles(spark, sf):
-    scored = filters.order_result_columns(postings_docs(spark, sf).withColumn("ai_score", F.lit(1)))
-    return scored.agg(F.count("*").alias("jobs")).withColumn(
-        "title_of_date", F.lit(filters.column_titles(scored)["date_posted"])
-    ).withColumn("first_column", F.lit(scored.columns[0]))
+    """The displayed line of every posting: titles and values, scores first."""
+    rows = postings_docs(spark, sf).select("seq", "title", "date_posted", "source").withColumn("ai_score", F.lit(1))
+    shown = filters.order_result_columns(rows)
+    titles = filters.column_titles(shown)
+    parts = [F.concat(F.lit(f"{titles[c]}="), F.col(c).cast("string")) for c in shown.columns if c != "seq"]
+    return shown.select("seq", F.concat_ws(" | ", *parts).alias("shown"))
 
 
 @query("row_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_index FROM orders")
@@ -160,6 +162,18 @@ def mailbox_rows(spark, sf):
     element = F.expr("substring(to_json(array(row)), 2, length(to_json(array(row))) - 2)")
     # one array per line, with elements that are not strings in between
     writers.write_lines(mail_rows(spark, sf).select(F.concat(F.lit("[7, "), element, F.lit(', {"a": 1}],'))), path)
+    return files.read_mailbox(spark, path, arrays=True).select("row")
+
+
+@query("mailbox_array", f"SELECT row FROM ({MAIL_ROWS_SQL})")
+def mailbox_array(spark, sf):
+    """One pretty-printed array, with a nested list and an object of strings after each row."""
+    path = scratch_path(spark, "mailbox")
+    element = F.expr("substring(to_json(array(row)), 2, length(to_json(array(row))) - 2)")
+    rows = mail_rows(spark, sf).select(
+        F.concat(F.lit("  "), element, F.lit(',\n  ["b", "[c"],\n  {\n    "k": "x",\n    "l": ["y",\n "z"]\n  },\n  7,')).alias("line"), F.col("seq").alias("at"))
+    ends = spark.createDataFrame([("[", -1), ("  null\n]", 1 << 60)], "line string, at long")
+    writers.write_lines(rows.unionByName(ends).repartitionByRange("at").sortWithinPartitions("at").select("line"), path)
     return files.read_mailbox(spark, path).select("row")
 
 
@@ -167,15 +181,15 @@ def mailbox_rows(spark, sf):
 def keyword_file(spark, sf):
     path = scratch_path(spark, "keywords")
     names = table(spark, sf, "part").select("p_name", F.lit("k").alias("k")).distinct()
-    # one saved file: a user's keyword list
-    writers.write_lines(names.select(F.concat(F.col("p_name"), F.lit(" # kept"))).coalesce(1), path)
-    found = files.read_keywords(spark, path).select(F.explode("keywords").alias("keyword"))
-    return found.select(F.lower("keyword").alias("keyword")).distinct()
+    writers.write_lines(names.select(F.concat(F.col("p_name"), F.lit(" # kept"))), path)
+    return files.read_keywords(spark, path).select(F.lower("keyword").alias("keyword"))
 
 
-@query("profile_files", "SELECT text FROM documents")
+@query("profile_files", "SELECT page_id, url FROM pages")
 def profile_files(spark, sf):
+    """A small profile file per page: each upload is a file of its own."""
     path = scratch_path(spark, "profiles")
-    writers.write_lines(table(spark, sf, "documents").select(F.concat("text", F.lit("\u0001"))), path)
+    table(spark, sf, "pages").select("page_id", F.col("url").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
     read = files.read_profiles(spark, path)
-    return read.select(F.explode(F.split("text", "\u0001\n")).alias("text")).where("text <> ''")
+    number = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
+    return read.select(number.alias("page_id"), F.rtrim(F.replace(F.col("text"), F.lit("\n"), F.lit(""))).alias("url"))

@@ -1,12 +1,16 @@
 """Text, JSON and CSV inputs."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from jobflow.functions.text import strip
 from jobflow.operators.indexing import with_row_index
 from jobflow.operators.keywords import parse_keywords
-from jobflow.schema import REGISTRY_RECORD
+from jobflow.schema import BROAD_POSTING, REGISTRY_RECORD
+
+
+#: lines per chunk of a running sum over a file
+CHUNK_LINES = 100_000
 
 
 def read_lines(spark: SparkSession, path: str, trimmed: bool = True) -> DataFrame:
@@ -20,30 +24,47 @@ def read_lines(spark: SparkSession, path: str, trimmed: bool = True) -> DataFram
     return with_row_index(lines, ["file", "block", "at"], "seq").select("seq", "line")
 
 
-def json_strings(lines: DataFrame) -> DataFrame:
-    """(seq, pos, row): strings of JSON array text, one array or one element per line.
+def json_strings(lines: DataFrame, arrays: bool = False) -> DataFrame:
+    """(seq, pos, row): strings of JSON array text; elements that are not strings are dropped.
 
-    Elements that are not strings are dropped. A pretty-printed array parses line by line, so
-    a large file still splits.
+    With ``arrays`` every line is an array of its own. Otherwise the lines are those of one
+    pretty-printed array: a line is an element, and only elements of the outer array count, so
+    strings inside a nested list or object are dropped with it. Depth follows from the brackets
+    that open and close on the lines before, outside strings; its running sum is taken per chunk
+    of lines, then over the chunks.
     """
     text = F.regexp_replace("line", r",\s*$", "")
     value = F.try_parse_json(text)
-    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
-    strings = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
-    return lines.where(~text.isin("[", "]")).select("seq", F.posexplode(strings).alias("pos", "v")).select(
-        "seq", "pos", F.try_variant_get("v", "$", "string").alias("row")
-    )
-
-
-def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """Mailbox rows (seq, row) from JSON array files."""
-    rows = json_strings(read_lines(spark, path))
+    if arrays:
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        strings = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
+        return lines.select("seq", F.posexplode(strings).alias("pos", "v")).select(
+            "seq", "pos", F.try_variant_get("v", "$", "string").alias("row")
+        )
+    bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', "")
+    step = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
+    chunked = lines.select("seq", text.alias("text"), value.alias("v"), step.alias("step"), F.floor(F.col("seq") / CHUNK_LINES).alias("chunk"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opened = chunked.groupBy("chunk").agg(F.sum("step").alias("all")).select(
+        "chunk", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("opened"))
+    inside = Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.col("opened") + F.coalesce(F.sum("step").over(inside), F.lit(0))
+    return chunked.join(opened, "chunk").withColumn("depth", depth).where(
+        (F.col("depth") == 1) & F.col("v").isNotNull() & (F.schema_of_variant("v") == "STRING")
+    ).select("seq", F.lit(0).alias("pos"), F.try_variant_get("v", "$", "string").alias("row"))
+
+
+def read_mailbox(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """Mailbox rows (seq, row) from a pretty-printed JSON array file, or from lines that are arrays."""
+    rows = json_strings(read_lines(spark, path), arrays)
     return with_row_index(rows.withColumnRenamed("seq", "line"), ["line", "pos"], "seq").select("seq", "row")
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """One row with the keywords of a saved keyword file (a small, hand-written text)."""
-    return spark.read.text(path, wholetext=True).select(parse_keywords(F.col("value")).alias("keywords"))
+    """(keyword, at) of a saved keyword file: a row per keyword, first spelling, in file order of ``at``."""
+    pieces = read_lines(spark, path).select("seq", F.posexplode(parse_keywords(F.col("line"))).alias("pos", "keyword"))
+    first = pieces.groupBy(F.lower("keyword").alias("low")).agg(F.min(F.struct("seq", "pos", "keyword")).alias("first"))
+    return first.select("first.keyword", F.struct("first.seq", "first.pos").alias("at"))
 
 
 def read_registry(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
@@ -52,11 +73,14 @@ def read_registry(spark: SparkSession, path: str, array_file: bool = False) -> D
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result CSV with inferred types; a missing or empty one gives an empty frame."""
+    """Result CSV as text columns, by the names of its header; a missing or empty one has no rows and
+    all fields of a posting."""
+    none = spark.createDataFrame([], BROAD_POSTING).drop("seq")
     try:
-        return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, quote='"', escape='"')
+        found = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     except AnalysisException:
-        return spark.createDataFrame([], "title string")
+        return none
+    return found if found.columns else none
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:

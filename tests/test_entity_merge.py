@@ -68,8 +68,8 @@ def run_scoped(spark, tables, chunk_rows):
     facts = facts.withColumn("title_key", F.concat("scope", "title_key")).withColumn(
         "url_key", F.when(F.col("url_key") != "", F.concat("scope", "url_key")).otherwise("")
     ).drop("scope")
-    assigned = dedup.assign_entities(facts, chunk_rows)
-    donors = dedup.entity_donors(assigned)
+    assigned, paths = dedup.assign_entities(facts, chunk_rows)
+    donors = dedup.entity_donors(assigned, paths)
     by_seq = {r["seq"]: r for r in rows}
     got = {}
     for d in donors.collect():

@@ -142,3 +142,48 @@ def test_two_pass_does_not_depend_on_partitioning(spark):
     assert runs[0] == runs[1]
     kept = dedup.dedupe_two_pass(df).select(*[text.normalize_key(F.col(c)).alias(c) for c in ("title", "institution", "location")])
     assert kept.count() == kept.distinct().count()
+
+
+def test_page_parser_is_linear_in_links():
+    import time
+
+    def seconds(n):
+        page = "<body>" + "<p>text <a href='/jobs/1'>link</a>" * n
+        begin = time.perf_counter()
+        parsed = html._Page(page)
+        assert [len(html._READERS[f](parsed)) for f in ("anchors", "text")][0] == n
+        return time.perf_counter() - begin
+
+    seconds(500)
+    assert seconds(8000) < 3 * seconds(4000)
+
+
+def test_unclosed_elements_keep_their_text():
+    page = html._Page("<div><a href='x'>one <b>two</div>three<script>no</script></p><h1>four")
+    assert [a["text"] for a in html._anchors(page)] == ["one two"]
+    assert page.text() == "one two three four" and page.first_text("h1") == "four"
+
+
+def test_caller_text_is_matched_as_written(spark):
+    got = ask(spark, ["Dear C. (Kit) Ltd", "we use c++ here"], lambda v: filters.is_restricted(v, F.lit(""), ["c++ here"], word_boundary=True))
+    assert got == [False, True]
+    assert ask(spark, ["C. (Kit) Works", "Acme Robotics"], lambda v: names.is_valid_company_name(v, "C. (Kit)"))[1]
+
+
+def test_nested_lists_of_a_mailbox_array_are_dropped(spark, tmp_path):
+    (tmp_path / "box.json").write_text('[\n  "a, ]",\n  ["b", "c"],\n  {"k": "d"},\n  [\n    "e"\n  ],\n  {\n  "x":\n  "f"\n  },\n  5,\n  "g \\" ["\n]\n')
+    assert [r.row for r in files.read_mailbox(spark, str(tmp_path)).orderBy("seq").collect()] == ["a, ]", 'g " [']
+
+
+def test_metrics_of_missing_results(spark, tmp_path):
+    from jobflow.operators import metrics
+
+    row = metrics.result_metrics(files.read_results(spark, str(tmp_path / "none"))).first()
+    assert tuple(row) == (0, 0, 0, 0)
+    narrow = spark.createDataFrame([("t", "o")], "title string, institution string")
+    assert tuple(metrics.result_metrics(narrow).first()) == (1, 1, 0, 0)
+
+
+def test_keyword_repeats_keep_the_first_spelling(spark):
+    got = ask(spark, ["b, A\na,B, c,,b #x"], lambda v: F.array_join(keywords.parse_keywords(v), "|"))
+    assert got == ["b|A|c"]
