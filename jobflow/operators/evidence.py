@@ -110,6 +110,11 @@ def report_totals(matched: DataFrame) -> DataFrame:
     )
 
 
+def raw_candidate_lines(matched: DataFrame) -> DataFrame:
+    """(seq, row, companies): the rows of the report that name a company, with what they name."""
+    return matched.where(F.size("companies") > 0).select("seq", "row", F.array_sort("companies").alias("companies"))
+
+
 def report_unmatched(matched: DataFrame, keep: int | None = None) -> DataFrame:
     """Unmatched rows of the report in order; with ``keep`` the first ones."""
     ordered = unmatched_rows(matched).orderBy("seq")

@@ -101,6 +101,13 @@ def unmatched_rows(spark, sf):
     return evidence.unmatched_rows(evidence.match_rows(mail_rows(spark, sf)))
 
 
+@query("raw_candidate_lines", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)}
+SELECT seq, row, string_agg(company, '|' ORDER BY company) AS companies FROM cand JOIN mail USING (seq) GROUP BY seq, row""")
+def raw_candidate_lines(spark, sf):
+    lines = evidence.raw_candidate_lines(evidence.match_rows(mail_rows(spark, sf)))
+    return lines.select("seq", "row", F.array_join("companies", "|").alias("companies"))
+
+
 @query("registry_report", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)}
 SELECT (SELECT count(*) FROM mail) AS rows_processed, (SELECT count(*) FROM ev_count) AS unique_companies,
   (SELECT count(*) FROM mail WHERE seq NOT IN (SELECT seq FROM cand)) AS unmatched_count""")

@@ -10,7 +10,8 @@ from jobflow.plans import sql as S
 from jobflow.plans.catalog import query
 from jobflow.plans.queries_filters import CUTOFF, broad_date, restricted_sql, title_ok
 from jobflow.plans.queries_registry import registry_raw
-from jobflow.schema import BROAD_FIELDS
+from jobflow.plans import searches
+from jobflow.schema import BROAD_FIELDS, COMPANY_FIELDS
 from jobflow.session import scratch_path
 from jobflow.sinks import writers
 from jobflow.sources import files
@@ -114,7 +115,70 @@ _RULE = "chr(10) || chr(10) || repeat('-', 80) || chr(10) || chr(10)"
   || 'URL:         ' || url || chr(10) || 'Description:' || chr(10) || CASE WHEN description = '' THEN '(fetch from URL)' ELSE description END || {_RULE}, '' ORDER BY number) AS value
 FROM (SELECT *, i // 5 AS chunk, i % 5 + 1 AS number FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM ({POSTINGS_DOCS_SQL}))) GROUP BY chunk""")
 def text_chunks(spark, sf):
-    return writers.text_chunks(postings_docs(spark, sf), ["seq"])
+    return writers.text_chunks(postings_docs(spark, sf), ["seq"], rows=5)
+
+
+_COMPANY_SQL = f"""SELECT seq, title, institution, location, url, source, date_posted, description, 'https://careers.example.com/' || seq AS career_page,
+  CASE WHEN seq % 2 = 0 THEN 'lever' ELSE 'generic' END AS ats_platform, scraped_at FROM ({POSTINGS_DOCS_SQL})"""
+
+
+def company_postings(spark, sf):
+    seq = F.col("seq")
+    return postings_docs(spark, sf).withColumn("career_page", F.concat(F.lit("https://careers.example.com/"), seq)).withColumn(
+        "ats_platform", F.when(seq % 2 == 0, "lever").otherwise("generic"))
+
+
+@query("company_csv", f"SELECT {', '.join(COMPANY_FIELDS)} FROM ({_COMPANY_SQL})")
+def company_csv(spark, sf):
+    path = scratch_path(spark, "company-csv")
+    writers.write_company_csv(company_postings(spark, sf), path)
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').fillna("")
+
+
+@query("company_chunks", f"""SELECT 'jobs_' || lpad(CAST(chunk + 1 AS VARCHAR), CAST(greatest(4, length(CAST(chunk + 1 AS VARCHAR))) AS INT), '0') || '.txt' AS chunk_file, string_agg('Job ' || number || chr(10) || 'Title:       ' || title || chr(10)
+  || 'Institution: ' || institution || chr(10) || 'Location:    ' || location || chr(10) || 'Source:      ' || source || chr(10) || 'Posted:      ' || date_posted || chr(10)
+  || 'Career Page: ' || career_page || chr(10) || 'ATS:         ' || ats_platform || chr(10) || 'URL:         ' || url || chr(10) || 'Description:' || chr(10) || CASE WHEN description = '' THEN '(no description)' ELSE description END || {_RULE}, '' ORDER BY number) AS value
+FROM (SELECT *, i // 50 AS chunk, i % 50 + 1 AS number FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM ({_COMPANY_SQL}))) GROUP BY chunk""")
+def company_chunks(spark, sf):
+    """Chunk files as written and read back."""
+    path = scratch_path(spark, "company-chunks")
+    writers.write_text_chunks(company_postings(spark, sf), path, ["seq"], rows=50, company=True)
+    return spark.read.text(path, wholetext=True).select("chunk_file", "value")
+
+
+@query("download_csv", f"SELECT title, source FROM ({POSTINGS_DOCS_SQL}) WHERE source <> 'src1'")
+def download_csv(spark, sf):
+    """The filtered table as a user downloads it."""
+    path = scratch_path(spark, "download")
+    writers.write_csv(postings_docs(spark, sf).where("source <> 'src1'").select("title", "source"), path)
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').fillna("")
+
+
+@query("keyword_file_out", "SELECT DISTINCT p_name || ' ' || p_type AS keyword FROM part")
+def keyword_file_out(spark, sf):
+    path = scratch_path(spark, "keywords-out")
+    words = table(spark, sf, "part").select(F.array(F.concat_ws(" ", "p_name", "p_type")).alias("keywords"))
+    writers.write_keywords(words, path)
+    return spark.read.text(path).select(F.col("value").alias("keyword")).distinct()
+
+
+@query("report_file", f"""WITH {N.evidence_ctes(MAIL_ROWS_SQL)}
+SELECT 'totals' AS part, '' AS name, (SELECT count(*) FROM mail) AS a, (SELECT count(*) FROM ev_count) AS b, (SELECT count(*) FROM mail) - (SELECT count(DISTINCT seq) FROM cand) AS c
+UNION ALL SELECT 'company', company, count, 0, 0 FROM ev_count
+UNION ALL SELECT 'unmatched', '', seq, length(row), 0 FROM mail WHERE seq NOT IN (SELECT seq FROM cand)""")
+def report_file(spark, sf):
+    """The mailbox report as written: totals, companies, unmatched rows."""
+    path = scratch_path(spark, "mailbox-run")
+    searches.save_mailbox(searches.mailbox_registry(mail_rows(spark, sf)), path)
+    zero = F.lit(0).cast("long")
+    totals = spark.read.json(f"{path}/report/totals").select(
+        F.lit("totals").alias("part"), F.lit("").alias("name"), F.col("rows_processed").alias("a"), F.col("unique_companies").alias("b"),
+        F.col("unmatched_count").alias("c"))
+    companies = spark.read.json(f"{path}/report/companies").select(
+        F.lit("company").alias("part"), F.col("company").alias("name"), F.col("count").alias("a"), zero.alias("b"), zero.alias("c"))
+    unmatched = spark.read.json(f"{path}/report/unmatched").select(
+        F.lit("unmatched").alias("part"), F.lit("").alias("name"), F.col("seq").alias("a"), F.length("row").cast("long").alias("b"), zero.alias("c"))
+    return totals.unionByName(companies).unionByName(unmatched)
 
 
 @query("empty_split", f"SELECT seq, url, has FROM (SELECT seq, url, seq % 9 <> 0 AS has FROM ({POSTINGS_DOCS_SQL})) WHERE has OR url <> ''")

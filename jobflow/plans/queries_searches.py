@@ -13,7 +13,7 @@ from jobflow.plans.queries_filters import COMPOSITE_SQL, CUTOFF, broad_date, res
 from jobflow.plans.queries_registry import registry_resolved, site_pages
 from jobflow.plans.queries_scoring import _SCORED, _texts
 from jobflow.plans.queries_sources import search_results
-from jobflow.session import cut_lineage
+from jobflow.session import cut_lineage, scratch_path
 from jobflow.sources import landed
 
 FLAGSHIP_SQL = f"SELECT institution, count(*) AS jobs FROM ({two_pass_sql(COMPOSITE_SQL)}) GROUP BY institution"
@@ -46,6 +46,23 @@ def sequenced_sources(spark, sf):
     return searches.sequence_sources([boards, postings_docs(spark, sf)]).select("seq", "source")
 
 
+_RUN_SQL = f"""SELECT row_number() OVER (ORDER BY k, seq) - 1 AS seq, title, institution, location, url, description, source, date_posted, scraped_at FROM (
+  SELECT 0 AS k, seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({POSTINGS_DOCS_SQL}) WHERE seq % 3 = 0
+  UNION ALL SELECT 1, seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({POSTINGS_DOCS_SQL}) WHERE seq % 3 = 1)"""
+
+
+@query("broad_run", f"""SELECT 'source' AS part, source AS name, count(*) AS n FROM ({_RUN_SQL}) GROUP BY source
+UNION ALL SELECT 'stage', 'raw', count(*) FROM ({_RUN_SQL})""")
+def broad_run(spark, sf):
+    """Two landed sources to saved files: postings per source, and the first stage's count."""
+    docs = postings_docs(spark, sf)
+    run = searches.broad_run([docs.where("seq % 3 = 0"), docs.where("seq % 3 = 1")], AS_OF, phrases=["license", "worthless"])
+    searches.save_broad(run.result.clean, scratch_path(spark, "broad-run"), skip_empty=True)
+    counts = run.sources.select(F.lit("source").alias("part"), F.col("source").alias("name"), F.col("count").alias("n"))
+    first = run.funnel.where("stage = 'raw'").select(F.lit("stage").alias("part"), F.col("stage").alias("name"), F.col("rows").alias("n"))
+    return counts.unionByName(first)
+
+
 @query("company_search")
 def company_search(spark, sf):
     """Landed answers for every generated board, and a job page on every guessed domain."""

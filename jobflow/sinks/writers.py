@@ -6,7 +6,8 @@ from jobflow.operators.evidence import registry_by_name
 from jobflow.operators.indexing import with_row_index
 from jobflow.schema import BROAD_FIELDS, COMPANY_FIELDS
 
-CHUNK_ROWS = 5
+#: postings per chunk file of a run that does not say otherwise
+CHUNK_ROWS = 10_000
 _RULE = "\n\n" + "-" * 80 + "\n\n"
 
 #: fixed values: labels of a posting in a text chunk

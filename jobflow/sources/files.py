@@ -41,7 +41,7 @@ def json_strings(lines: DataFrame, arrays: bool = False) -> DataFrame:
         return lines.select("seq", F.posexplode(strings).alias("pos", "v")).select(
             "seq", "pos", F.try_variant_get("v", "$", "string").alias("row")
         )
-    bare = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"', "")
+    bare = F.regexp_replace(F.regexp_replace("line", r"\\.", ""), '"[^"]*"', "")  # without escapes, then strings
     step = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
     chunked = lines.select("seq", text.alias("text"), value.alias("v"), step.alias("step"), F.floor(F.col("seq") / CHUNK_LINES).alias("chunk"))
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
