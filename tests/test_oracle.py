@@ -9,6 +9,8 @@ from jobflow.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = catalog.load_all()
+#: checked row by row in test_searches.py instead: a chain of many stages that each have their SQL
+WITHOUT_SQL = {"company_search"}
 
 
 @pytest.fixture(scope="module")
@@ -22,4 +24,5 @@ def test_query(spark, con, name):
     if name in ORACLES:
         assert_same(df, con, ORACLES[name])
     else:
-        assert df.columns and df.count() >= 0
+        assert name in WITHOUT_SQL, f"{name} has neither SQL nor a test of its own"
+        assert df.count() > 0
