@@ -9,7 +9,8 @@ is by the count of a shingle's rarest word (by octaves; words under ``share`` of
 equally rare, so at most 1 / share counts are broadcast), then by hash, so common passages come
 last. Each set posts its first hashes, and some spare ones, to tiles, packed by hash bucket. A tile
 of up to ``tile`` sets gives the pairs whose sizes lie in one band of that factor. A larger tile
-belongs to a frequent shingle; it gives one pair per set, with its smallest member. Sets whose posted
+belongs to a frequent shingle; it gives three pairs per set, with its smallest member and with its
+neighbours by set id. Sets whose posted
 hashes are still enough without the frequent ones (ordering frequent hashes last) meet their
 partners in small tiles. The other, *crowded* sets (large families of near copies, texts made of
 common passages) are completed below.
@@ -18,12 +19,12 @@ Bounds. Every set has a bitmap of its hashes, its length set by the band of its
 the shorter of two). Equal bits bound the overlap from above: (|A| + |B| - differing bits) / 2.
 Only pairs whose bound reaches the threshold go on.
 
-Exact. Each set is first compared with its smallest remaining partner by intersecting sorted
-arrays; of the other pairs only those that are not yet connected are compared. Then the tiles of
-frequent shingles are visited again: where a crowded set meets sets of another component, those
-pairs pass through bitmap and intersection too, until no tile holds such a pair that has not been
-compared. So a family of g near copies costs about g comparisons per leader, not g * g, and no link
-that would join two components is missed.
+Exact. Each set is first compared with its smallest partner and with the one of the best bound, by
+intersecting sorted arrays; this is repeated once over the pairs that are not yet connected, and what
+is still apart then is compared in full. Then the tiles of frequent shingles are visited again, in
+blocks of bounded size: where a crowded set meets sets of another component, the pairs that pass the
+bitmap bound there are compared too. So a family of g near copies costs some comparisons per member,
+not g * g, and no link that would join two components is missed.
 
 Null, empty and wordless texts have an empty set and are components of their own. Texts under five
 words are one shingle. Rows that repeat an id are one document with one row in the result each. A
@@ -42,6 +43,8 @@ from jobflow.llm.registry import query
 WORDS, SIMILAR = 5, 75  # shingle length, per cent
 #: sets in a tile whose pairs are all candidates; spare postings, as a part of the set
 TILE, SPARE = 32, 0.02
+#: rows per block where a frequent shingle's tile is compared again
+BLOCK = 4096
 #: share of all words at which a word's count is told apart
 SHARE = 2.0 ** -22
 _NULL = -(2**63)
@@ -108,8 +111,8 @@ def posted_size(n):
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of a set: the next power of two over twice its size, 64 at least, as 64-bit words."""
-    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    """Bits of a set: the next power of two over four times its size, 64 at least, as 64-bit words."""
+    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
     at = (shingles & np.uint64(bits - 1)).astype(np.int64)
     out = np.zeros(bits, np.uint8)
     out[at] = 1
@@ -215,7 +218,12 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
                 order = big[np.lexsort((s[big], h[big]))]
                 begin = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
                 lead = np.repeat(order[begin], np.diff(np.append(begin, len(order))))
-                out += _pairs([(s[lead], s[order], n[lead], n[order])], 3)
+                near = [(s[lead], s[order], n[lead], n[order])]
+                for d in (1, 2):
+                    k = np.flatnonzero(h[order][d:] == h[order][:-d])
+                    i, j = order[:-d][k], order[d:][k]
+                    near.append((s[i], s[j], n[i], n[j]))
+                out += _pairs(near, 3)
         kind, a, b, na, nb = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"kind": kind, "a": a, "b": b, "na": na, "nb": nb})
 
@@ -259,19 +267,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose bitmaps let them reach the threshold."""
+    """Pairs (a, b) whose bitmaps let them reach the threshold, with the bound of their similarity."""
     bits = sets.select("s", "n", "bits")
     rows = pairs.select("a", "b").join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b")
 
     def run(batches):
         for batch in batches:
             a, b = batch.column("ba").to_pylist(), batch.column("bb").to_pylist()
-            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            keep = [similar(overlap_bound(np.frombuffer(p, np.uint64), i, np.frombuffer(q, np.uint64), j), i, j)
-                    for p, i, q, j in zip(a, na, b, nb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+            most = np.array([overlap_bound(np.frombuffer(p, np.uint64), i, np.frombuffer(q, np.uint64), j)
+                             for p, i, q, j in zip(a, na, b, nb, strict=True)], np.int64)
+            keep = similar(most, na, nb)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")] + [pa.array((most / (na + nb - most))[keep])],
+                ["a", "b", "most"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, most double")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,23 +305,85 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that do not lie in one component yet."""
     a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
     rows = pairs.join(a, "a", "left").join(b, "b", "left")
-    return rows.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return rows.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
+
 
+def _choices(pairs: DataFrame) -> DataFrame:
+    """For every set its pair with the smallest partner and the one with the best bound."""
+    sides = pairs.select(F.col("a").alias("s"), F.col("b").alias("o"), "most").union(pairs.select("b", "a", "most"))
+    best = sides.groupBy("s").agg(F.min("o").alias("low"), F.max(F.struct("most", "o")).alias("top"))
+    both = best.select("s", F.explode(F.array("low", "top.o")).alias("o"))
+    return both.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, edges: DataFrame | None) -> DataFrame:
+
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, edges: DataFrame | None, rounds: int = 2) -> DataFrame:
     """Written edges that join all components which ``pairs`` can join, after ``edges``."""
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps, "s")
     sets = written(sets_of(docs, wanted), "sets")
     left = written(bounded(pairs, sets), "bounded")
     if edges is None:
-        nearest = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        edges = written(linked(nearest, sets), "links")
-    rest = written(_apart(left, components(edges)), "rest")
-    found = written(edges.union(linked(rest, sets)), "links")
-    forget(sets, left, rest, edges)
+        edges = written(pairs.select("a", "b").limit(0), "links")
+    for _ in range(rounds):
+        chosen = written(_choices(left), "chosen")
+        joined = written(edges.union(linked(chosen, sets)), "links")
+        rest = written(_apart(left.join(chosen, ["a", "b"], "left_anti"), components(joined)), "rest")
+        forget(left, chosen, edges)
+        left, edges = rest, joined
+    found = written(edges.union(linked(left, sets)), "links")
+    forget(sets, left, edges)
     return found
 
 
+def _across(rows: DataFrame, mixed: DataFrame, docs: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b) pairs of different components in one tile, a crowded set among them, that pass the
+    bitmap bound. ``rows`` are postings (h, s, n, crowded, label), ``mixed`` tiles (h, main, all, minor).
+
+    The sets outside a tile's main component meet all of its sets in blocks of ``block`` rows.
+    """
+    used = rows.join(mixed, "h")
+    sets = written(sets_of(docs, used.select("s").distinct().join(reps, "s")), "sets")
+    used = written(used.join(sets.select("s", "bits"), "s"), "mixed_rows")
+    forget(sets)
+    blocks = used.withColumn("bi", F.ceil(F.col("minor") / block)).withColumn("bj", F.ceil(F.col("all") / block))
+    place = lambda n: F.pmod(F.xxhash64("s"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>"))
+    left = blocks.where("label != main").withColumn("i", place("bi")).withColumn("j", each("bj")).withColumn("side", F.lit(0))
+    right = blocks.withColumn("j", place("bj")).withColumn("i", each("bi")).withColumn("side", F.lit(1))
+    columns = ["h", "i", "j", "side", "s", "n", "crowded", "label", "bits"]
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        s, n, label = (table.column(c).to_numpy() for c in ("s", "n", "label"))
+        crowded = np.array(table.column("crowded").to_pylist(), bool)
+        bits = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
+        length = np.array([len(b) for b in bits])
+        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        by_length = {w: theirs[length[theirs] == w] for w in np.unique(length[theirs])}
+        stacked = {w: np.stack([bits[k] for k in at]) for w, at in by_length.items()}
+        found = []
+        for k in mine:
+            for w, at in by_length.items():
+                use = (label[at] != label[k]) & (crowded[at] | crowded[k]) & (
+                    100 * np.minimum(n[at], n[k]) >= SIMILAR * np.maximum(n[at], n[k]))
+                if not use.any():
+                    continue
+                own, other = bits[k], stacked[w][use]
+                if len(own) > w:
+                    own = np.bitwise_or.reduce(own.reshape(-1, w), axis=0)
+                elif len(own) < w:
+                    other = np.bitwise_or.reduce(other.reshape(len(other), -1, len(own)), axis=1)
+                at = at[use]
+                most = (n[at] + n[k] - np.bitwise_count(other ^ own).sum(1, dtype=np.int64)) // 2
+                at = at[similar(most, n[at], n[k])]
+                found.append((np.minimum(s[at], s[k]), np.maximum(s[at], s[k])))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+
+    met = left.select(columns).unionByName(right.select(columns)).groupBy("h", "i", "j").applyInArrow(meet, "a long, b long")
+    return met.distinct()
+
+
 def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     found = written(tiles(docs, tile), "tiles")
@@ -332,15 +405,12 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
             "h", "s", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.coalesce("label", "s").alias("label"))
         rows = written(rows, "frequent")
         parts = rows.groupBy("h", "label").agg(F.count("*").alias("c"), F.max("crowded").alias("crowded"))
-        mixed = parts.groupBy("h").agg(F.count("*").alias("labels"), F.max("crowded").alias("crowded"),
-                                       F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1 AND crowded")
-        mixed = written(mixed.select("h", "main"), "mixed")
-        right = written(rows.join(mixed, "h"), "mixed_rows")
-        left = written(right.where("label != main"), "minor_rows")
-        x, y = left.drop("main").toDF("h", "sa", "na", "ca", "la"), right.drop("main").toDF("h", "sb", "nb", "cb", "lb")
-        across = x.join(y, "h").where("(ca OR cb) AND la != lb AND 100 * least(na, nb) >= " + f"{SIMILAR} * greatest(na, nb)")
-        across = across.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
-        across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+        mixed = parts.groupBy("h").agg(
+            F.count("*").alias("labels"), F.max("crowded").alias("crowded"), F.sum("c").alias("all"),
+            F.max(F.struct("c", "label")).alias("main")).where("labels > 1 AND crowded")
+        mixed = written(mixed.select("h", "main.label", "all", (F.col("all") - F.col("main.c")).alias("minor")).toDF(
+            "h", "main", "all", "minor"), "mixed")
+        across = written(_across(rows, mixed, docs, reps).join(pairs, ["a", "b"], "left_anti"), "across")
         if across.limit(1).count():
             edges = _links(across, docs, reps, edges)
 
