@@ -62,8 +62,8 @@ def log_progress(log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     )
 
 
-def log_tail(log: DataFrame, keep: int = TAIL_LINES) -> DataFrame:
-    """Last lines of every run as one text."""
+def log_tail(log: DataFrame, keep: int) -> DataFrame:
+    """Last ``keep`` lines of every run as one text."""
     w = Window.partitionBy("run_id").orderBy(F.desc("line_no"))
     last = log.where(~is_blank(F.col("line"))).withColumn("back", F.row_number().over(w)).where(F.col("back") <= keep)
     return last.groupBy("run_id").agg(

@@ -250,7 +250,7 @@ def log_jobs_found(spark, sf):
 @query("log_tail", f"""SELECT run_id, string_agg(line, chr(10) ORDER BY line_no) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) AS back
   FROM ({RUN_LOG_SQL}) WHERE trim(line) <> '') WHERE back <= 80 GROUP BY run_id""")
 def log_tail(spark, sf):
-    return runlog.log_tail(run_log(spark, sf))
+    return runlog.log_tail(run_log(spark, sf), runlog.TAIL_LINES)
 
 
 _LAST = f"SELECT run_id, arg_max(progress, line_no) AS progress, arg_max(message, line_no) AS message, max(jobs_found) AS jobs_found, arg_max(n, line_no) AS n FROM ({_progress_sql()}) GROUP BY run_id"

@@ -1,6 +1,6 @@
 """Run-log progress as a Structured Streaming query."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobflow.functions.text import is_blank
 from jobflow.operators.runlog import line_progress, reported_total
@@ -23,20 +23,30 @@ def running_state(log: DataFrame) -> DataFrame:
 
 
 def write_running_state(log: DataFrame, path: str, checkpoint: str):
-    """Start a query that keeps the newest state of all runs under ``path``; available data only."""
+    """Start a query that adds, per batch, the runs whose state changed; available data only.
 
-    def save(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite").parquet(path)
+    A batch has a folder of its own, so one that is run again replaces itself and nothing else.
+    """
+
+    def save(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return (
-        running_state(log).writeStream.outputMode("complete").foreachBatch(save)
+        running_state(log).writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def newest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last written state of every run."""
+    rows = spark.read.parquet(path)
+    state = F.struct("n", "jobs_found", "progress", "message")
+    return rows.groupBy("run_id").agg(F.max_by(state, "epoch").alias("s")).select("run_id", "s.*")
+
+
 def run_to_end(log: DataFrame) -> DataFrame:
     """Drive the stream over everything available and return the stored state."""
     spark = log.sparkSession
     path = scratch_path(spark, "run-state")
     write_running_state(log, path, scratch_path(spark, "run-checkpoint")).awaitTermination()
-    return spark.read.parquet(path)
+    return newest_state(spark, path)
