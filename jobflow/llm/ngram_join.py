@@ -22,9 +22,10 @@ Only pairs whose bound reaches the threshold go on.
 Exact. Each set is first compared with its smallest partner and with the one of the best bound, by
 intersecting sorted arrays; this is repeated once over the pairs that are not yet connected, and what
 is still apart then is compared in full. Then the tiles of frequent shingles are visited again, in
-blocks of bounded size: where a crowded set meets sets of another component, the pairs that pass the
-bitmap bound there are compared too. So a family of g near copies costs some comparisons per member,
-not g * g, and no link that would join two components is missed.
+blocks of bounded size: where a crowded set meets sets of another component, the pairs that pass a
+longer bitmap's bound are intersected there, best bounds first, unless links found before have
+joined them; only links that join components leave the block. So a family of g near copies costs
+some comparisons per member, not g * g, and no link that would join two components is missed.
 
 Null, empty and wordless texts have an empty set and are components of their own. Texts under five
 words are one shingle. Rows that repeat an id are one document with one row in the result each. A
@@ -45,6 +46,8 @@ WORDS, SIMILAR = 5, 75  # shingle length, per cent
 TILE, SPARE = 32, 0.02
 #: rows per block where a frequent shingle's tile is compared again
 BLOCK = 4096
+#: bits per hash of the bitmaps used there
+SHARP = 16
 #: share of all words at which a word's count is told apart
 SHARE = 2.0 ** -22
 _NULL = -(2**63)
@@ -110,9 +113,9 @@ def posted_size(n):
     return np.minimum(n, prefix_size(n) + np.ceil(n * SPARE).astype(np.int64) + 1)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of a set: the next power of two over four times its size, 64 at least, as 64-bit words."""
-    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, times: int = 4) -> np.ndarray:
+    """Bits of a set: the next power of two over ``times`` its size, 64 at least, as 64-bit words."""
+    bits = max(64, 1 << int(times * len(shingles) - 1).bit_length())
     at = (shingles & np.uint64(bits - 1)).astype(np.int64)
     out = np.zeros(bits, np.uint8)
     out[at] = 1
@@ -316,13 +319,12 @@ def _choices(pairs: DataFrame) -> DataFrame:
     return both.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, edges: DataFrame | None, rounds: int = 2) -> DataFrame:
-    """Written edges that join all components which ``pairs`` can join, after ``edges``."""
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = 2) -> DataFrame:
+    """Written edges that join all components which ``pairs`` can join."""
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps, "s")
     sets = written(sets_of(docs, wanted), "sets")
     left = written(bounded(pairs, sets), "bounded")
-    if edges is None:
-        edges = written(pairs.select("a", "b").limit(0), "links")
+    edges = written(pairs.select("a", "b").limit(0), "links")
     for _ in range(rounds):
         chosen = written(_choices(left), "chosen")
         joined = written(edges.union(linked(chosen, sets)), "links")
@@ -335,53 +337,68 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, edges: DataFrame
 
 
 def _across(rows: DataFrame, mixed: DataFrame, docs: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) pairs of different components in one tile, a crowded set among them, that pass the
-    bitmap bound. ``rows`` are postings (h, s, n, crowded, label), ``mixed`` tiles (h, main, all, minor).
+    """(a, b) links that join components within one tile, a crowded set in each. ``rows`` are
+    postings (h, s, n, crowded, label), ``mixed`` tiles (h, main, all, minor).
 
     The sets outside a tile's main component meet all of its sets in blocks of ``block`` rows.
     """
-    used = rows.join(mixed, "h")
-    sets = written(sets_of(docs, used.select("s").distinct().join(reps, "s")), "sets")
-    used = written(used.join(sets.select("s", "bits"), "s"), "mixed_rows")
-    forget(sets)
+    used = written(rows.join(mixed, "h"), "mixed_rows")
+    sets = written(sets_of(docs, used.select("s").distinct().join(reps, "s")).select("s", "hashes"), "sets")
     blocks = used.withColumn("bi", F.ceil(F.col("minor") / block)).withColumn("bj", F.ceil(F.col("all") / block))
     place = lambda n: F.pmod(F.xxhash64("s"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>"))
     left = blocks.where("label != main").withColumn("i", place("bi")).withColumn("j", each("bj")).withColumn("side", F.lit(0))
     right = blocks.withColumn("j", place("bj")).withColumn("i", each("bi")).withColumn("side", F.lit(1))
-    columns = ["h", "i", "j", "side", "s", "n", "crowded", "label", "bits"]
+    columns = ["h", "i", "j", "side", "s", "n", "crowded", "label"]
 
     def meet(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        s, n, label = (table.column(c).to_numpy() for c in ("s", "n", "label"))
+        side, s, n, label = (table.column(c).to_numpy() for c in ("side", "s", "n", "label"))
         crowded = np.array(table.column("crowded").to_pylist(), bool)
-        bits = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
-        length = np.array([len(b) for b in bits])
-        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        bits = [bitmap(x, SHARP) for x in sets]
+        length = np.array([len(x) for x in bits])
+        theirs = np.flatnonzero(side == 1)
         by_length = {w: theirs[length[theirs] == w] for w in np.unique(length[theirs])}
         stacked = {w: np.stack([bits[k] for k in at]) for w, at in by_length.items()}
         found = []
-        for k in mine:
+        for k in np.flatnonzero(side == 0):
             for w, at in by_length.items():
                 use = (label[at] != label[k]) & (crowded[at] | crowded[k]) & (
                     100 * np.minimum(n[at], n[k]) >= SIMILAR * np.maximum(n[at], n[k]))
                 if not use.any():
                     continue
-                own, other = bits[k], stacked[w][use]
+                own, other, at = bits[k], stacked[w][use], at[use]
                 if len(own) > w:
                     own = np.bitwise_or.reduce(own.reshape(-1, w), axis=0)
                 elif len(own) < w:
                     other = np.bitwise_or.reduce(other.reshape(len(other), -1, len(own)), axis=1)
-                at = at[use]
                 most = (n[at] + n[k] - np.bitwise_count(other ^ own).sum(1, dtype=np.int64)) // 2
-                at = at[similar(most, n[at], n[k])]
-                found.append((np.minimum(s[at], s[k]), np.maximum(s[at], s[k])))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+                keep = similar(most, n[at], n[k])
+                found.append((np.full(int(keep.sum()), k), at[keep], (most / (n[at] + n[k] - most))[keep]))
+        a, b = _joining(found, sets, label)
+        return pa.table({"a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
-    met = left.select(columns).unionByName(right.select(columns)).groupBy("h", "i", "j").applyInArrow(meet, "a long, b long")
-    return met.distinct()
+    met = left.select(columns).unionByName(right.select(columns)).join(sets, "s")
+    return met.groupBy("h", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _joining(found, sets, label):
+    """Rows (a, b) of the pairs that link and join two components, best bounds first."""
+    out = []
+    if found:
+        a, b, most = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(-most, kind="stable")
+        a, b = a[order], b[order]
+        root = np.unique(label, return_inverse=True)[1]
+        while len(a):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            for x, y in zip(a[:256], b[:256], strict=True):
+                if root[x] != root[y] and similar(overlap(sets[x], sets[y]), len(sets[x]), len(sets[y])):
+                    out.append((x, y))
+                    root[root == root[y]] = root[x]
+            a, b = a[256:], b[256:]
+    return (np.array([p[k] for p in out], np.int64) for k in (0, 1))
 
 
 def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
@@ -390,7 +407,7 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     docs_sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s"), F.col("na").alias("n"))
     reps = written(docs_sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id")), "reps")
     pairs = written(found.where("kind IN (1, 3)").select("a", "b").distinct(), "pairs")
-    edges = _links(pairs, docs, reps, None)
+    edges = _links(pairs, docs, reps)
 
     # crowded sets: too few of their posted hashes are rare
     frequent = found.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("s"), F.col("na").cast("long").alias("n"))
@@ -410,9 +427,7 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
             F.max(F.struct("c", "label")).alias("main")).where("labels > 1 AND crowded")
         mixed = written(mixed.select("h", "main.label", "all", (F.col("all") - F.col("main.c")).alias("minor")).toDF(
             "h", "main", "all", "minor"), "mixed")
-        across = written(_across(rows, mixed, docs, reps).join(pairs, ["a", "b"], "left_anti"), "across")
-        if across.limit(1).count():
-            edges = _links(across, docs, reps, edges)
+        edges = written(edges.union(_across(rows, mixed, docs, reps)), "links")
 
     by_doc = reps.toDF("s", "d")
     named = edges.join(by_doc.toDF("a", "da"), "a").join(by_doc.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
