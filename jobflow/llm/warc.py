@@ -192,13 +192,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     write_archive(archive_records(pages), path)
     back = read_archive(spark, path).where("gap_bytes IS NULL").select(
-        F.col("record_id").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"),
+        F.col("record_id").try_cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"),
         "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
     back = written(back, "records")
     named = written(back.where("record_type = 'revisit'").select(
         F.col("refers_to").alias("page_id")).distinct(), "named")
-    full = written(back.where("record_type = 'response'").join(named, "page_id", "left_semi").select(
-        F.col("page_id").alias("refers_to"), F.col("bytes").alias("full")), "full")
+    full = back.where("record_type = 'response'").join(named, "page_id", "left_semi").groupBy(
+        F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("full"))  # an id may have several rows
+    full = written(full, "full")
     return back.join(full, "refers_to", "left").select(
         "page_id", F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("bytes")).alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to")

@@ -190,6 +190,16 @@ def test_archive_round_trip(spark, tmp_path):
         assert bytes(got[i].payload) == (b"" if i == 1 else (html or "").encode())
 
 
+def test_archive_query_of_odd_rows(spark, tmp_path):
+    big = "long payload é " * 200
+    rows = [(1, "a", big), (3, "b", big), (3, "b", big), (None, "c", big), (None, None, None), (4, "d", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.op10_warc(spark, str(tmp_path)).collect())
+    n = len(big.encode())
+    assert got == [("1", n, "revisit", 3), ("3", n, "response", None), ("3", n, "response", None), ("4", 1, "response", None),
+                   ("None", 0, "response", None), ("None", n, "response", None)]
+
+
 def test_empty_tables(spark, tmp_path):
     vectors = spark.createDataFrame([], VECTORS)
     assert near_vectors.near_vectors(vectors).count() == 0 and ann.search(vectors).count() == 0
