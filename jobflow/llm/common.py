@@ -81,6 +81,14 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES):
         first = min(last, n)
 
 
+def slices(batches, most: int = 4 * PASS_BYTES, column: str = "text"):
+    """Arrow batches cut so that each holds about ``most`` bytes of text: bounds a worker's memory."""
+    for batch in batches:
+        _, offsets = text_buffers(batch.column(column))
+        for first, last in passes(offsets, most):
+            yield batch.slice(first, last - first)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; no word crosses a text's end."""
     inside = np.zeros(len(data) + 2, bool)

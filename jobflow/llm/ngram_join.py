@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import components, forget, mix, passes, shuffle_partitions, text_buffers, word_hashes, written
+from jobflow.llm.common import components, forget, mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, written
 from jobflow.llm.lm import count_words
 from jobflow.llm.registry import query
 
@@ -154,7 +154,7 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
 
     def post(batches):
         rarity = held.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
             hashes, owners, sets, sizes = [], [], [], []

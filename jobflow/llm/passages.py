@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import mix, passes, shuffle_partitions, text_buffers, word_hashes, word_spans
+from jobflow.llm.common import mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, word_spans
 from jobflow.llm.registry import query
 
 MIN_WORDS = 15
@@ -81,7 +81,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     buckets = 8 * shuffle_partitions(docs.sparkSession)
 
     def post(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
             found = []

@@ -29,7 +29,7 @@ from jobflow.llm.registry import query
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = 0x2581
 #: bytes of text per numpy pass; words longer than this go through a heap instead of a matrix
-PASS, LONG = 1 << 22, 64
+PASS, LONG = 1 << 20, 64
 _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 2**64)
 
