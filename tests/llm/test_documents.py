@@ -135,6 +135,39 @@ def test_language_model_matches_direct_sums(spark):
         assert r.score == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("share", [2.0 ** -9, 2.0 ** -20])
+def test_language_model_counts_every_bigram(spark, share):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + k, t) for k, t in enumerate(ODD)]
+    fold = lambda i: zlib.crc32(str(i).encode())
+    trains = {i: fold(i) % 5 != 1 for i, _ in rows}
+    df = spark.createDataFrame([(i, t, trains[i], int(fold(i) % 50 < 5)) for i, t in rows],
+                               "doc_id long, text string, train boolean, part long").repartition(4)
+    model = lm.fit_all(df.where("train"), share)
+    got = {r.doc_id: r for r in lm.score_all(df, df.where("train"), share).collect()}
+    tokens = {i: [*models.words(t), None] for i, t in rows}
+    pairs = lambda t: list(zip(["<start>", *t[:-1]], t, strict=True))
+    count = lambda part, of: collections.Counter(x for i, t in tokens.items() if trains[i] and part(i) for x in of(t))
+    everything, kept = lambda i: True, lambda i: fold(i) % 50 >= 5
+    c, pair, context = (count(everything, of) for of in (list, pairs, lambda t: [u for u, _ in pairs(t)]))
+    n, v, mu = sum(c.values()), len(c), model["mu"]
+    p1 = lambda w, c=c, n=n: mu * c[w] / n + (1 - mu) / (v + 1)
+    # lam of a bucket: EM on held-out bigrams against counts of the rest
+    c_k, pair_k, context_k = (count(kept, of) for of in (list, pairs, lambda t: [u for u, _ in pairs(t)]))
+    held = collections.defaultdict(list)
+    for (u, w), k in count(lambda i: not kept(i), pairs).items():
+        if context_k[u]:
+            held[int(math.log2(context_k[u]))].append((k, pair_k[u, w] / context_k[u], p1(w, c_k, sum(c_k.values()))))
+    for b, events in held.items():
+        assert model["lam"][b] == pytest.approx(lm.mixture(*np.array(events, float).T), abs=0.01), b
+    lam = lambda u: model["lam"][int(math.log2(context[u]))] if context[u] else 0
+    for i, t in tokens.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
+        want = sum(math.log10(lam(u) * pair[u, w] / max(1, context[u]) + (1 - lam(u)) * p1(w)) for u, w in pairs(t))
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
 def test_mixture_learns_the_share():
     rng = np.random.default_rng(1)
     high, low = np.array([0.9, 0.1]), np.array([0.1, 0.9])
