@@ -3,10 +3,12 @@
 Markup is stripped in one linear pass: block elements end a line, inline ones do not, white space
 collapses, character references are decoded. Lines of menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments (by element, role or class name) weigh nothing.
-The lengths of the other lines are summed over sliding windows; where a window rises over the
-threshold the text surges, where windows fall to the floor it dives, and the lines between are
-kept in page order. A page with an ``article`` or ``main`` element is measured inside it, with a
-threshold of one character, so that short paragraphs of an article stay.
+Class names count as whole names (``with-sidebar`` is no ``sidebar``). Characters of the other lines
+outside links are summed over sliding windows; where a window rises over the threshold the text
+surges, where windows fall below it it dives, and the lines between are kept in page order. Lines of
+an ``article`` or ``main`` element weigh as much as a window needs, so that its short paragraphs
+stay; text blocks around it are chosen by their windows. Where these blocks hold more text than the
+element, it is no main text (a teaser): its lines weigh their length, like all others.
 
 A null or empty page, or one without main text, gives an empty text. Pages are independent rows:
 repeated rows give repeated results, and other columns are not read. Pages stay in their partitions
@@ -43,22 +45,33 @@ _BOILER = set("ad ads adv advert advertisement banner sponsor sponsored promo co
               " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary widget footer contentinfo"
               " comment comments disqus respond responses replies reply share sharing social related recommended newsletter"
               " subscribe signup login popup modal overlay dialog search pagination pager toolbar skip copyright".split())
+#: words that only place a boilerplate word in a compound name (site-nav, left-sidebar)
+_PLACES = set("site page global main top bottom left right primary secondary".split())
 _HEADER = {"header", "masthead", "topbar"}
 
 
-def page_lines(html: str) -> tuple[list[str], list[str]]:
-    """(lines inside article or main, lines of the whole page), without boilerplate."""
-    inside, everything, parts = [], [], []
-    stack, counts, dropped, article = [], {}, 0, 0
+def _names(marks: str, known: set) -> bool:
+    """Whether a name of ``marks`` is a word of ``known``, or made up of such and of places."""
+    for name in marks.lower().split():
+        words = set(re.findall("[a-z]+", name))
+        if words & known and words <= known | _PLACES:
+            return True
+    return False
+
+
+def page_lines(html: str) -> list[tuple[str, int, bool]]:
+    """(line, its characters outside links, whether inside article or main), without boilerplate."""
+    lines, parts = [], []
+    stack, counts, dropped, article, link, linked = [], {}, 0, 0, False, 0
 
     def flush():
+        nonlocal link, linked
         if parts:
             line = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if line:
-                everything.append(line)
-                if article:
-                    inside.append(line)
+                lines.append((line, max(0, len(line) - linked), article > 0))
+        link, linked = False, 0  # a link left open ends with its block
 
     at, size = 0, len(html)
     while at < size:
@@ -66,6 +79,7 @@ def page_lines(html: str) -> tuple[list[str], list[str]]:
         stop = tag.start() if tag else size
         if stop > at and not dropped:
             parts.append(html[at:stop])
+            linked += link and stop - at
         if not tag:
             break
         at = tag.end()
@@ -82,15 +96,17 @@ def page_lines(html: str) -> tuple[list[str], list[str]]:
             parts.append(" ")
             continue
         if name in _INLINE:
+            if name == "a":
+                link = not ends
             continue
         flush()
         if name not in _NESTS:
             continue
         if not ends:
             rest = tag["rest"] or tag["rest2"] or ""
-            marks = {w for m in _MARKS.findall(rest) for w in re.split(r"[^a-z]+", "".join(m).lower())}
-            drop = name in _DROPPED or bool(marks & _BOILER) or bool(_HIDDEN.search(rest)) or (
-                not article and (name == "header" or bool(marks & _HEADER)))
+            marks = " ".join("".join(m) for m in _MARKS.findall(rest))
+            drop = name in _DROPPED or _names(marks, _BOILER) or bool(_HIDDEN.search(rest)) or (
+                not article and (name == "header" or _names(marks, _HEADER)))
             stack.append((name, drop))
             counts[name] = counts.get(name, 0) + 1
             dropped += drop
@@ -104,15 +120,15 @@ def page_lines(html: str) -> tuple[list[str], list[str]]:
                 if top == name:
                     break
     flush()
-    return inside, everything
+    return lines
 
 
-def surge_and_dive(lines: list[str], threshold: int, window: int = WINDOW) -> list[str]:
-    """Lines of the blocks that begin where a window of lengths surges and end where it dives."""
-    n = len(lines)
+def surge_and_dive(weights: list[int], threshold: int, window: int = WINDOW) -> list[int]:
+    """Places in the blocks that begin where a window of weights surges and end where it dives."""
+    n = len(weights)
     sums, total = [0] * (n + 1), 0
-    for k, line in enumerate(lines):
-        total += len(line)
+    for k, weight in enumerate(weights):
+        total += weight
         sums[k + 1] = total
     kept, inside = [], False
     for k in range(n):
@@ -123,13 +139,24 @@ def surge_and_dive(lines: list[str], threshold: int, window: int = WINDOW) -> li
         else:
             inside = ahead >= threshold
         if inside:
-            kept.append(lines[k])
+            kept.append(k)
     return kept
 
 
 def main_text(html: str) -> str:
-    inside, everything = page_lines(html)
-    return "\n".join(surge_and_dive(inside, 1) if inside else surge_and_dive(everything, SURGE))
+    lines = page_lines(html)
+    kept, first = [], 0
+    while first < len(lines):  # no window reaches across an edge of the article
+        last, inside = first, lines[first][2]
+        while last < len(lines) and lines[last][2] == inside:
+            last += 1
+        weights = [SURGE if inside else line[1] for line in lines[first:last]]
+        kept += [first + k for k in surge_and_dive(weights, SURGE)]
+        first = last
+    around = sum(len(lines[k][0]) for k in kept if not lines[k][2])
+    if around > sum(len(line[0]) for line in lines if line[2]):
+        kept = surge_and_dive([line[1] for line in lines], SURGE)
+    return "\n".join(lines[k][0] for k in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -116,6 +116,18 @@ def test_page_text():
     assert html_text.main_text("<article><p>a<!-- x --></p><p>b<scr") == "a\nb"
 
 
+def test_page_text_around_an_article():
+    long = ("Words of the main text that go on for a while. " * 3).strip()
+    teaser = "<article><p>Also new</p></article>"
+    links = "<p>" + "<a href='/x'>A link of a list of links to other pages</a> " * 5 + "</p>"
+    page = f"<body>{teaser}<p>a</p><p>b</p><p>c</p><div class='layout with-sidebar'><p>{long}</p><p>Short.</p><p>{long}</p></div><p></p>{links}"
+    text = html_text.main_text(page)
+    assert f"{long}\nShort.\n{long}" in text and "Also new" not in text
+    assert html_text.main_text(f"<main><p>{long}</p><p>x</p></main>{links}") == f"{long}\nx"
+    assert html_text.main_text(f"<main><p>{long}</p></main><div class='site-footer'><p>{long}</p></div>") == long
+    assert html_text.main_text(f"<main><p>{long}</p><p>{long}</p></main><div><p>{long}</p></div>") == "\n".join([long] * 3)
+
+
 def test_page_text_is_linear():
     import time
 
