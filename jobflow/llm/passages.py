@@ -5,7 +5,13 @@ end. A unit's digest covers its words, lower-cased (A-Z), whatever blanks are be
 with one digest in the whole corpus the earliest, by (doc_id, position), stays; the others are
 marked. Marked neighbours form runs, and a run of ``min_words`` words or more is removed, so a
 repeated passage goes even where it lies inside a line, and short phrases that recur stay.
-Removed spans are kept as character offsets of the original text.
+Every window of ``WINDOW`` words that an earlier document holds goes too, wherever it begins or ends
+in a unit: so a passage that is glued to its surroundings goes whole. Removed spans are kept as
+character offsets of the original text.
+
+Windows are found in two steps. Of any ``WINDOW - GRAM + 1`` neighbouring grams of ``GRAM`` words
+the one of smallest hash is a fingerprint, so texts that share a window share a fingerprint inside
+it. Only windows around fingerprints of two documents or more are hashed and compared in full.
 
 The map side keeps one occurrence per digest and batch and marks the rest at once, so a very common
 line sends one posting per batch; postings travel packed by digest bucket. Marks go back by
@@ -20,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, word_spans
+from jobflow.llm.common import mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, word_spans, written
 from jobflow.llm.registry import query
 
 MIN_WORDS = 15
+#: words of a window, and of a gram
+WINDOW, GRAM = 50, 25
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?,;:")] = True
 _Q = 0xA0761D6478BD642F
@@ -138,36 +146,156 @@ def repeated_units(docs: DataFrame) -> DataFrame:
         "bucket").applyInArrow(settle, "doc_id long, at array<int>")
 
 
-def cut_runs(text: str, at, min_words: int) -> tuple[str, list, int]:
-    """(text without the marked runs, removed character spans, removed words)."""
+def _grams(hashes, size):
+    """Digests of ``size`` words from each word on."""
+    n = len(hashes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_Q, n))])
+    return mix((sums[size:] - sums[:-size]) * _powers(_QINV, n)[:n - size + 1])
+
+
+def fingerprints(data, offsets):
+    """Of many texts: (digest, text, word position) of the grams of smallest hash of each window."""
+    hashes, bounds = word_hashes(data, offsets)
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = _grams(hashes, GRAM)
+    at = np.arange(len(hashes) - WINDOW + 1)
+    doc = np.searchsorted(bounds, at, "right") - 1
+    inside = at + WINDOW <= bounds[doc + 1]
+    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1) + at
+    least = np.unique(least[inside])
+    doc = np.searchsorted(bounds, least, "right") - 1
+    return grams[least], doc, least - bounds[doc]
+
+
+def windows(data, offsets, near):
+    """(digest, text, word position) of the windows that hold a fingerprint of ``near``, lists of
+    word positions per text."""
+    hashes, bounds = word_hashes(data, offsets)
+    doc = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    if len(hashes) < WINDOW or not len(doc):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = bounds[doc] + np.concatenate(near).astype(np.int64)
+    at = start[:, None] - np.arange(WINDOW - GRAM + 1)
+    at = np.unique(at[(at >= bounds[doc][:, None]) & (at + WINDOW <= bounds[doc + 1][:, None])])
+    doc = np.searchsorted(bounds, at, "right") - 1
+    return _grams(hashes, WINDOW)[at], doc, at - bounds[doc]
+
+
+def _first_documents(digest, doc, at):
+    """Postings sorted by digest and document; whether each is of its digest's first document, and
+    whether the digest has several documents."""
+    order = np.lexsort((at, doc, digest))
+    digest, doc, at = digest[order], doc[order], at[order]
+    edge = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
+    size = np.diff(np.append(edge, len(digest)))
+    return digest, doc, at, doc == np.repeat(doc[edge], size), np.repeat(doc[edge] != doc[edge + size - 1], size)
+
+
+def _shared(docs: DataFrame, find, first_too: bool) -> DataFrame:
+    """(doc_id, at): positions of digests that several documents hold, in all of them or in all but
+    the first. The map side keeps the first document of a digest and batch."""
+    buckets = 8 * shuffle_partitions(docs.sparkSession)
+
+    def rows_of(doc, at):
+        ids, lists = _grouped(doc, at)
+        return [pa.array(ids, pa.int64()), lists]
+
+    def post(batches):
+        for batch in slices(batches):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            data, offsets = text_buffers(batch.column("text"))
+            found = []
+            for a, b in passes(offsets):
+                digest, doc, at = find(batch, a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                found.append((digest, ids[doc + a], at))
+            if not found or not sum(len(x[0]) for x in found):
+                continue
+            digest, doc, at, first, several = _first_documents(*[np.concatenate(x) for x in zip(*found, strict=True)])
+            mark = several & (first_too | ~first)
+            out = [(int(ids[0]) % buckets, doc[mark].tobytes(), None, at[mark].astype(np.int32).tobytes())]
+            digest, doc, at = digest[first], doc[first], at[first].astype(np.int32)
+            bucket = (digest >> np.uint64(24)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            digest, doc, at, bucket = digest[order], doc[order], at[order], bucket[order]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                out.append((int(bucket[a]), doc[a:b].tobytes(), digest[a:b].tobytes(), at[a:b].tobytes()))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
+                                             ["bucket", "doc", "digest", "at"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        marks, posts = [(np.zeros(0, np.int64), np.zeros(0, np.int32))], []
+        for row in table.to_pylist():
+            doc, at = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["at"], np.int32)
+            if row["digest"] is None:
+                marks.append((doc, at))
+            else:
+                posts.append((np.frombuffer(row["digest"], np.uint64), doc, at))
+        if posts:
+            _, doc, at, first, several = _first_documents(*[np.concatenate(x) for x in zip(*posts, strict=True)])
+            mark = several & (first_too | ~first)
+            marks.append((doc[mark], at[mark]))
+        return pa.table(rows_of(*[np.concatenate(x) for x in zip(*marks, strict=True)]), ["doc_id", "at"])
+
+    return docs.mapInArrow(post, "bucket int, doc binary, digest binary, at binary").groupBy(
+        "bucket").applyInArrow(settle, "doc_id long, at array<int>").groupBy("doc_id").agg(
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, at): first words of the windows of a document that an earlier document holds."""
+    ready = docs.where("text IS NOT NULL").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
+    near = written(_shared(ready, lambda batch, a, b, data, offsets: fingerprints(data, offsets), True), "fingerprints")
+
+    def find(batch, a, b, data, offsets):
+        return windows(data, offsets, [np.asarray(x) for x in batch.column("near").slice(a, b - a).to_pylist()])
+
+    return written(_shared(ready.join(near.withColumnRenamed("at", "near"), "doc_id"), find, False), "windows")
+
+
+def cut_runs(text: str, at, min_words: int, starts=()) -> tuple[str, list, int]:
+    """(text without the marked runs of units and the windows from ``starts`` on, removed character
+    spans, removed words)."""
     raw = text.encode()
     data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-    _, _, words, begin, end = units(data, offsets)
+    _, _, words, _, _ = units(data, offsets)
     marked = np.zeros(len(words) + 2, bool)
     at = np.unique(np.asarray(at, np.int64))
     marked[1 + at[at < len(words)]] = True
     first = np.flatnonzero(marked[1:] & ~marked[:-1])
     behind = np.flatnonzero(marked[:-1] & ~marked[1:])
-    sums = np.concatenate([[0], np.cumsum(words)])
-    first, behind = first[:len(behind)], behind
-    size = sums[behind] - sums[first]
-    use = size >= min_words
-    first, behind = first[use], behind[use]
+    sums = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+    first, behind = sums[first[:len(behind)]], sums[behind]
+    use = behind - first >= min_words
+    starts = np.asarray(starts, np.int64)
+    edge = np.zeros(sums[-1] + 2, np.int64)
+    np.add.at(edge, 1 + np.concatenate([first[use], starts]), 1)
+    np.add.at(edge, 1 + np.concatenate([behind[use], starts + WINDOW]), -1)
+    covered = np.cumsum(edge) > 0
+    first, behind = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
     if not len(first):
         return text, [], 0
+    begin = np.append(word_spans(data, offsets)[0], len(raw))
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    spans = [(int(a), int(b)) for a, b in zip(chars[begin[first]], chars[end[behind - 1]], strict=True)]
+    spans = [(int(a), int(b)) for a, b in zip(chars[begin[first]], chars[begin[behind]], strict=True)]
     kept, done = [], 0
     for a, b in spans:
         kept.append(text[done:a])
         done = b
-    return "".join([*kept, text[done:]]), spans, int(size[use].sum())
+    return "".join([*kept, text[done:]]), spans, int(covered.sum())
 
 
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, windows: bool = True) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the columns ``spans`` (characters of
-    the original text) and ``removed_words``."""
+    the original text) and ``removed_words``; without ``windows``, by the units alone."""
     marks = repeated_units(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("_at"))
+    if windows:
+        marks = marks.join(repeated_windows(docs).withColumnRenamed("at", "_starts"), "doc_id", "full")
+    else:
+        marks = marks.withColumn("_starts", F.lit(None).cast("array<int>"))
     docs = docs.drop("spans", "removed_words")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
     rows = docs.withColumn("_key", key).join(marks.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
@@ -179,8 +307,8 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                done = [(t, [], 0) if t is None or m is None else cut_runs(t, m, min_words)
-                        for t, m in zip(part.column("text").to_pylist(), part.column("_at").to_pylist(), strict=True)]
+                done = [(t, [], 0) if t is None or (m is None and w is None) else cut_runs(t, m or [], min_words, w or [])
+                        for t, m, w in zip(*[part.column(c).to_pylist() for c in ("text", "_at", "_starts")], strict=True)]
                 columns = [pa.array([d[0] for d in done], pa.string()) if c == "text" else part.column(c) for c in names]
                 spans = pa.array([[{"begin": a, "end": b} for a, b in d[1]] for d in done], kind)
                 yield pa.RecordBatch.from_arrays(columns + [spans, pa.array([d[2] for d in done], pa.int64())],

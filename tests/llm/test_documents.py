@@ -101,6 +101,23 @@ def test_passages_keep_rows_of_one_id_and_nulls(spark):
     assert got == [("1", long), ("1", long), ("2", ""), ("3", None), ("None", None)]
 
 
+def test_glued_passages_go_whole(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    passage = [word() for _ in range(64)]
+    rows = []
+    for i in range(60):
+        around = [[word() for _ in range(rnd.randint(5, 40))] for _ in range(2)]
+        rows.append((i, around, passage[:49] if i % 3 == 1 else passage if i % 3 else []))
+    df = frame(spark, [(i, " ".join([*a, *p, *b]), "s") for i, (a, b), p in rows]).repartition(5)
+    got = {r.doc_id: r for r in passages.dedup_passages(df).collect()}
+    # 49 words are under a window; the first whole passage stays
+    for i, (a, b), p in rows:
+        cut = len(p) == 64 and i != 2
+        assert got[i].text == " ".join([*a, *([] if cut else p), *b]), i
+        assert got[i].removed_words == (64 if cut else 0)
+
+
 def test_language_model_matches_direct_sums(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(10_000 + k, t) for k, t in enumerate(ODD)]
