@@ -1,7 +1,7 @@
 """All queries of this subpackage and their checking SQL."""
 
 from jobflow.llm import (  # noqa: F401 (each module registers its query)
-    ann, html_text, lm, mixing, near_vectors, ngram_join, passages, pieces, quality, warc,
+    alignment, ann, decontamination, html_text, infilling, lm, mixing, near_vectors, ngram_join, passages, pieces, quality, warc,
 )
 from jobflow.llm.registry import ORACLES, QUERIES
 
