@@ -1,5 +1,7 @@
 """Helpers that several corpus operators share: scratch tables, numpy word hashing, components."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -81,12 +83,22 @@ def passes(offsets: np.ndarray, most: int = PASS_BYTES):
         first = min(last, n)
 
 
+def give_back() -> None:
+    """Return the worker's freed memory to the system: Arrow's pool and the C library keep it otherwise,
+    and a worker lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, most: int = 4 * PASS_BYTES, column: str = "text"):
     """Arrow batches cut so that each holds about ``most`` bytes of text: bounds a worker's memory."""
     for batch in batches:
         _, offsets = text_buffers(batch.column(column))
         for first, last in passes(offsets, most):
             yield batch.slice(first, last - first)
+            give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,3 +150,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: bytes of text whose postings one bucket should hold
+BUCKET_BYTES = 1 << 23
+
+
+def buckets_for(docs: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """How many hash buckets the postings of ``docs`` need: by the bytes of their texts, not by the
+    cluster's size, so that a bucket's row holds many postings of a batch at any size."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // each))

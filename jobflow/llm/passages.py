@@ -26,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, word_spans, written
+from jobflow.llm.common import buckets_for, mix, passes, slices, text_buffers, word_hashes, word_spans, written
 from jobflow.llm.registry import query
 
 MIN_WORDS = 15
+#: postings that a map task gathers before it packs them by bucket
+GATHER = 1 << 19
 #: words of a window, and of a gram
 WINDOW, GRAM = 50, 25
 _STOPS = np.zeros(256, bool)
@@ -83,41 +85,60 @@ def _grouped(ids, position):
     return ids[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(position))
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
+def _gathered(batches, find):
+    """(digest, id, position) arrays of about ``GATHER`` postings each: ``find(batch, first, last, bytes,
+    offsets)`` gives those of a few texts, with the text's index for the id."""
+    found, held = [], 0
+    for batch in slices(batches):
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        data, offsets = text_buffers(batch.column("text"))
+        for a, b in passes(offsets):
+            digest, doc, at = find(batch, a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            if len(digest):
+                found.append((digest, ids[doc + a], at.astype(np.int64)))
+                held += len(digest)
+        if held >= GATHER:
+            yield [np.concatenate(x) for x in zip(*found, strict=True)]
+            found, held = [], 0
+    if found:
+        yield [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _by_bucket(buckets, digest, doc, at):
+    """(bucket, ids, digests, positions) in bytes for every bucket that occurs."""
+    bucket = (digest >> np.uint64(24)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    digest, doc, at, bucket = digest[order], doc[order], at[order].astype(np.int32), bucket[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+        yield int(bucket[a]), doc[a:b].tobytes(), digest[a:b].tobytes(), at[a:b].tobytes()
+
+
+def _rows(out, names):
+    columns = list(zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names)
+
+
+def repeated_units(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, at): positions of the units of a document that occurred before; an id may have
     several rows. A null id is the smallest number."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
+
+    def find(batch, a, b, data, offsets):
+        digest, doc, *_ = units(data, offsets)
+        return digest, doc, _position(doc) if len(doc) else doc
 
     def post(batches):
-        for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(batch.column("text"))
-            found = []
-            for a, b in passes(offsets):
-                digest, doc, *_ = units(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                if len(digest):
-                    found.append((digest, ids[doc + a], _position(doc)))
-            if not found:
-                continue
-            digest, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        for digest, doc, at in _gathered(batches, find):
             order = np.lexsort((at, doc, digest))
             digest, doc, at = digest[order], doc[order], at[order]
             first = np.append(True, digest[1:] != digest[:-1])
             same = np.append(False, (digest[1:] == digest[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
             again = ~first & ~same  # repeated rows of one document are no repetition
             marked, lists = _grouped(doc[again], at[again])
-            digest, doc, at = digest[first], doc[first], at[first].astype(np.int32)
-            bucket = (digest >> np.uint64(24)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            digest, doc, at, bucket = digest[order], doc[order], at[order], bucket[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            out = [(int(ids[0]) % buckets, marked.tobytes(), None, np.asarray(lists.flatten()).astype(np.int32).tobytes(),
+            out = [(int(doc[0]) % buckets, marked.tobytes(), None, np.asarray(lists.flatten()).astype(np.int32).tobytes(),
                     np.diff(np.asarray(lists.offsets)).astype(np.int32).tobytes())]
-            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                out.append((int(bucket[a]), doc[a:b].tobytes(), digest[a:b].tobytes(), at[a:b].tobytes(), None))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                                             ["bucket", "doc", "digest", "at", "counts"])
+            out += [(*row, None) for row in _by_bucket(buckets, digest[first], doc[first], at[first])]
+            yield _rows(out, ["bucket", "doc", "digest", "at", "counts"])
 
     def settle(table: pa.Table) -> pa.Table:
         marks, posts = [], []
@@ -192,38 +213,21 @@ def _first_documents(digest, doc, at):
     return digest, doc, at, doc == np.repeat(doc[edge], size), np.repeat(doc[edge] != doc[edge + size - 1], size)
 
 
-def _shared(docs: DataFrame, find, first_too: bool) -> DataFrame:
+def _shared(docs: DataFrame, find, first_too: bool, buckets: int) -> DataFrame:
     """(doc_id, at): positions of digests that several documents hold, in all of them or in all but
     the first. The map side keeps the first document of a digest and batch."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
 
     def rows_of(doc, at):
         ids, lists = _grouped(doc, at)
         return [pa.array(ids, pa.int64()), lists]
 
     def post(batches):
-        for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = text_buffers(batch.column("text"))
-            found = []
-            for a, b in passes(offsets):
-                digest, doc, at = find(batch, a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                found.append((digest, ids[doc + a], at))
-            if not found or not sum(len(x[0]) for x in found):
-                continue
-            digest, doc, at, first, several = _first_documents(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        for digest, doc, at in _gathered(batches, find):
+            digest, doc, at, first, several = _first_documents(digest, doc, at)
             mark = several & (first_too | ~first)
-            out = [(int(ids[0]) % buckets, doc[mark].tobytes(), None, at[mark].astype(np.int32).tobytes())]
-            digest, doc, at = digest[first], doc[first], at[first].astype(np.int32)
-            bucket = (digest >> np.uint64(24)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            digest, doc, at, bucket = digest[order], doc[order], at[order], bucket[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                out.append((int(bucket[a]), doc[a:b].tobytes(), digest[a:b].tobytes(), at[a:b].tobytes()))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                                             ["bucket", "doc", "digest", "at"])
+            out = [(int(doc[0]) % buckets, doc[mark].tobytes(), None, at[mark].astype(np.int32).tobytes())]
+            out += _by_bucket(buckets, digest[first], doc[first], at[first])
+            yield _rows(out, ["bucket", "doc", "digest", "at"])
 
     def settle(table: pa.Table) -> pa.Table:
         marks, posts = [(np.zeros(0, np.int64), np.zeros(0, np.int32))], []
@@ -244,16 +248,17 @@ def _shared(docs: DataFrame, find, first_too: bool) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, at): first words of the windows of a document that an earlier document holds."""
     ready = docs.where("text IS NOT NULL").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
-    near = written(_shared(ready, lambda batch, a, b, data, offsets: fingerprints(data, offsets), True), "fingerprints")
+    near = written(_shared(ready, lambda batch, a, b, data, offsets: fingerprints(data, offsets), True, buckets),
+                   "fingerprints")
 
     def find(batch, a, b, data, offsets):
         return windows(data, offsets, [np.asarray(x) for x in batch.column("near").slice(a, b - a).to_pylist()])
 
-    return written(_shared(ready.join(near.withColumnRenamed("at", "near"), "doc_id"), find, False), "windows")
+    return written(_shared(ready.join(near.withColumnRenamed("at", "near"), "doc_id"), find, False, buckets), "windows")
 
 
 def cut_runs(text: str, at, min_words: int, starts=()) -> tuple[str, list, int]:
@@ -288,14 +293,12 @@ def cut_runs(text: str, at, min_words: int, starts=()) -> tuple[str, list, int]:
     return "".join([*kept, text[done:]]), spans, int(covered.sum())
 
 
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, windows: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the columns ``spans`` (characters of
-    the original text) and ``removed_words``; without ``windows``, by the units alone."""
-    marks = repeated_units(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("_at"))
-    if windows:
-        marks = marks.join(repeated_windows(docs).withColumnRenamed("at", "_starts"), "doc_id", "full")
-    else:
-        marks = marks.withColumn("_starts", F.lit(None).cast("array<int>"))
+    the original text) and ``removed_words``."""
+    buckets = buckets_for(docs)
+    marks = repeated_units(docs, buckets).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("_at"))
+    marks = marks.join(repeated_windows(docs, buckets).withColumnRenamed("at", "_starts"), "doc_id", "full")
     docs = docs.drop("spans", "removed_words")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
     rows = docs.withColumn("_key", key).join(marks.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")

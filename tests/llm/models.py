@@ -41,29 +41,42 @@ def near_copies(docs):
     return {i: (len(sets[i]), root[i]) for i in sets}
 
 
-def cut_passages(docs, least=15):
-    """{id: (text, removed words, spans)} with the earliest unit kept."""
+def cut_passages(docs, least=15, window=50):
+    """{id: (text, removed words, spans)}: runs of repeated units of ``least`` words or more go, and every
+    window of words that an earlier document holds; the earliest stays."""
+    docs = sorted(docs, key=lambda d: d[0])
+    holder = {}
+    for i, t in docs:
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            holder.setdefault(tuple(w[k:k + window]), i)
     seen, out = {}, {}
-    for i, t in sorted(docs, key=lambda d: d[0]):
+    for i, t in docs:
         spots = [m.span() for m in WORD.finditer(t)]
         groups = []
         for k, (a, b) in enumerate(spots):
             if not k or t[spots[k - 1][1] - 1] in ".!?,;:" or "\n" in t[spots[k - 1][1]:a]:
                 groups.append([])
-            groups[-1].append((a, b))
+            groups[-1].append(k)
+        w, gone = words(t), set()
         marks = []
         for g in groups:
-            key = tuple(t[a:b].translate(LOWER) for a, b in g)
+            key = tuple(w[k] for k in g)
             marks.append(key in seen)
             seen.setdefault(key, i)
-        spans, removed = [], 0
         for mark, run in itertools.groupby(range(len(groups)), marks.__getitem__):
+            run = [k for g in run for k in groups[g]]
+            if mark and len(run) >= least:
+                gone.update(run)
+        for k in range(len(w) - window + 1):
+            if holder[tuple(w[k:k + window])] != i:
+                gone.update(range(k, k + window))
+        spans = []
+        for cut, run in itertools.groupby(range(len(w)), gone.__contains__):
             run = list(run)
-            n = sum(len(groups[k]) for k in run)
-            if mark and n >= least:
+            if cut:
                 behind = run[-1] + 1
-                spans.append((groups[run[0]][0][0], groups[behind][0][0] if behind < len(groups) else len(t)))
-                removed += n
+                spans.append((spots[run[0]][0], spots[behind][0] if behind < len(w) else len(t)))
         kept = "".join(t[a:b] for a, b in zip([0, *[s[1] for s in spans]], [*[s[0] for s in spans], len(t)], strict=True))
-        out[i] = (kept, removed, spans)
+        out[i] = (kept, len(gone), spans)
     return out
