@@ -18,27 +18,32 @@ other words and bigrams, each rare by definition, are shuffled packed to buckets
 counted and summed there, and sent back as sums per text. ``share`` moves work, not results. Counts
 of rare words reach the bigrams they are in by joins of written tables.
 
-``score`` with a share given scores the pruned model instead, which keeps bigrams of that share
-only and normalises f2 over the kept bigrams of u.
+Texts are read in units, the rows whose postings one map task has gathered; a posting names its unit and
+the row in it. A bucket answers with one packed row per unit, and a unit adds its answers up, so rows go
+with units times buckets (buckets by the bytes of the texts) and never with the occurrences.
 
 Null texts are empty (one end token). Words without training count have c = 0. Without any training
-text N and V are 0 and scores follow the same formulas. Repeated ids are not told apart: rows with
-one id must be one text (the sums of repeated rows are divided among them). Null ids form one such
-group. Empty tables give empty results; other columns are not read.
+text N and V are 0 and scores follow the same formulas. Every row has a result of its own, so repeated and
+null ids, with one text or several, are scored one by one. Empty tables give empty results; other columns
+are not read.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import forget, mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, written
+from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, word_hashes, written
 from jobflow.llm.registry import query
 
 SHARE = 2.0 ** -20
 ROUNDS = 50
 #: each tenth training text (by hash of the id) is the deleted part of the EM
 DELETED = 10
+#: postings that a map task gathers before it packs them by bucket
+GATHER = 1 << 20
 _START, _END = np.uint64(1), np.uint64(2)
+_NULL = -(2**63)
 
 
 def _tokens(data, offsets):
@@ -93,33 +98,6 @@ def _place(words, tokens):
     return np.where(words[at] == tokens, at, -1)
 
 
-def count_pairs(train: DataFrame, words) -> DataFrame:
-    """(pair, kept, deleted) of neighbours that are both in the broadcast ``words``; a pair is
-    context index * 2^32 + word index."""
-
-    def count(batches):
-        known = words.value
-        for batch in batches:
-            part = batch.column("part").to_numpy(zero_copy_only=False)
-            found = []
-            for first, last, data, offsets in _each_pass(batch):
-                tokens, before, doc = _tokens(data, offsets)
-                w = _place(known, tokens)
-                u = np.empty_like(w)
-                u[1:] = w[:-1]
-                u[before == _START] = _place(known, np.array([_START]))[0]
-                use = (u >= 0) & (w >= 0)
-                out = part[first:last][doc[use]]
-                found.append(_sum_by(u[use] << 32 | w[use], 1 - out, out))
-            if found:
-                pair, kept, deleted = _sum_by(*[np.concatenate(x) for x in zip(*found, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(kept), pa.array(deleted)],
-                                                 ["pair", "kept", "deleted"])
-
-    return train.select("text", "part").mapInArrow(count, "pair long, kept long, deleted long").groupBy("pair").agg(
-        F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"))
-
-
 def mixture(weight, high, low, rounds: int = ROUNDS, start: float = 0.5) -> float:
     """EM for one mixture weight: events of ``weight`` with estimates ``high`` and ``low``."""
     total, lam = weight.sum(), start
@@ -132,151 +110,6 @@ def mixture(weight, high, low, rounds: int = ROUNDS, start: float = 0.5) -> floa
     return lam
 
 
-def fit(train: DataFrame, share: float = SHARE) -> dict:
-    """The model: arrays of bounded size on the driver; ``words`` is the written unigram table."""
-    table = written(count_words(train), "unigrams")
-    both = F.col("kept") + F.col("deleted")
-    n, n_kept, v = table.agg(F.sum(both), F.sum("kept"), F.count("*")).first()
-    n, n_kept = n or 0, n_kept or 0
-    # mu: held-out counts by bins of the kept count, 16 to an octave
-    bin_of = F.when(F.col("kept") > 0, F.floor(F.log2("kept") * 16)).otherwise(-1)
-    bins = table.groupBy(bin_of.alias("bin")).agg(
-        F.sum("deleted").alias("held"), F.avg("kept").alias("kept")).toPandas().sort_values("bin")
-    mu = mixture(bins["held"].to_numpy(float), bins["kept"].to_numpy(float) / max(1, n_kept), np.full(len(bins), 1 / (v + 1)))
-    frequent = table.where(both >= share * n).select("word", both.alias("c")).toPandas()
-    words = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    counts = frequent["c"].to_numpy(np.int64)
-    words, counts = np.append(words, _START), np.append(counts, 0)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    sc = train.sparkSession.sparkContext
-    known = sc.broadcast(words)
-    pairs = count_pairs(train, known).where((both >= share * n) & (both > 1)).toPandas()
-    known.unpersist()
-    pair = pairs["pair"].to_numpy(np.int64)
-    order = np.argsort(pair)
-    pair = pair[order]
-    kept, deleted = (pairs[c].to_numpy(np.int64)[order] for c in ("kept", "deleted"))
-    u, w = pair >> 32, pair & 0xFFFFFFFF
-    p1 = mu * counts / max(1, n) + (1 - mu) / (v + 1)
-    sums = lambda x: np.bincount(u, x, minlength=len(words))
-    c_kept, c_all = sums(kept), sums(kept + deleted)
-    bucket = np.floor(np.log2(np.maximum(c_all, 1))).astype(int)
-    # held-out tokens after u that are no kept bigram have f2 = 0; their number follows from the
-    # context's own count in the deleted part
-    own = table.where(both >= share * n).select("word", "deleted").toPandas()
-    held = np.zeros(len(words))
-    held[np.searchsorted(words, own["word"].to_numpy(np.int64).view(np.uint64))] = own["deleted"]
-    ends = np.searchsorted(words, _END)
-    starts = np.searchsorted(words, _START)
-    if ends < len(words) and words[ends] == _END:
-        held[starts], held[ends] = held[ends], 0
-    rest = np.maximum(0, held - sums(deleted))
-    lam = np.zeros(len(words))
-    f2_kept = np.divide(kept, c_kept[u], out=np.zeros(len(u)), where=c_kept[u] > 0)
-    for b in np.unique(bucket[c_all > 0]):
-        contexts = (bucket == b) & (c_all > 0)
-        mine = contexts[u]
-        weight = np.append(deleted[mine], rest[contexts].sum())
-        high, low = np.append(f2_kept[mine], 0.0), np.append(p1[w[mine]], 1.0)
-        lam[contexts] = mixture(weight.astype(float), high, low)
-    f2 = (kept + deleted) / c_all[u] if len(u) else np.zeros(0)
-    gain = np.log10(1 + lam[u] * f2 / ((1 - lam[u]) * p1[w])) if len(u) else np.zeros(0)
-    return {"n": n, "v": v, "mu": mu, "words": words, "counts": counts, "p1": np.log10(p1), "pair": pair, "gain": gain,
-            "back": np.log10(1 - lam), "lam": lam}
-
-
-PARTIAL = "bucket int, kind int, doc binary, word binary, number binary, train binary, sums binary"
-
-
-def score(docs: DataFrame, train: DataFrame, share: float | None = None) -> DataFrame:
-    """(doc_id, rows, n_tokens, n_known, train_tokens, base_score, score) per id of ``docs``
-    (doc_id, text, train), by the model of all bigrams, or of those of a ``share`` of all tokens."""
-    if share is None:
-        return score_all(docs, train)
-    spark = docs.sparkSession
-    model = fit(train, share)
-    n, v, mu = model["n"], model["v"], model["mu"]
-    held = spark.sparkContext.broadcast({k: model[k] for k in ("words", "counts", "p1", "pair", "gain", "back")})
-    buckets = 8 * shuffle_partitions(spark)
-    scale = np.log10(n + 0.5 * (v + 1))
-
-    def read(batches):
-        m = held.value
-        start = _place(m["words"], np.array([_START]))[0]
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            train_flag = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-            sums, rare = [], []
-            for first, last, data, offsets in _each_pass(batch):
-                tokens, before, doc = _tokens(data, offsets)
-                size = last - first
-                w = _place(m["words"], tokens)
-                w[tokens == _START] = -1
-                u = np.empty_like(w)
-                u[1:] = w[:-1]
-                u[before == _START] = start
-                seen = w >= 0
-                add = lambda use, values: np.bincount(doc[use], values, minlength=size)
-                p = add(seen, m["p1"][w[seen]]) + add(u >= 0, m["back"][u[u >= 0]])
-                pair = (u << 32) | w
-                at = _place(m["pair"], pair)
-                at[(u < 0) | ~seen] = -1
-                p += add(at >= 0, m["gain"][at[at >= 0]])
-                base = add(seen, np.log10(m["counts"][w[seen]] + 0.5))
-                sums.append(np.stack([np.bincount(doc, minlength=size), add(seen, m["counts"][w[seen]] > 0), base, p]))
-                key = np.stack([tokens[~seen], (doc[~seen] + first).astype(np.uint64)])
-                if key.shape[1]:
-                    order = np.lexsort((key[1], key[0]))
-                    key = key[:, order]
-                    new = np.append(True, (key[:, 1:] != key[:, :-1]).any(0))
-                    begin = np.flatnonzero(new)
-                    rare.append(np.concatenate([key[:, begin], np.diff(np.append(begin, len(new)))[None].astype(np.uint64)]))
-            if not sums:
-                continue
-            sums = np.concatenate(sums, axis=1)
-            out = [(int(ids[0]) % buckets if len(ids) else 0, 0, ids.tobytes(), None, None, None, sums.tobytes())]
-            if rare:
-                word, doc, number = np.concatenate(rare, axis=1)
-                bucket = (word >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                word, doc, number, bucket = word[order], doc[order].astype(np.int64), number[order].astype(np.uint32), bucket[order]
-                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                    d = doc[a:b]
-                    out.append((int(bucket[a]), 1, ids[d].tobytes(), word[a:b].tobytes(), number[a:b].tobytes(),
-                                train_flag[d].astype(np.uint8).tobytes(), None))
-            names = [x.split()[0] for x in PARTIAL.split(", ")]
-            kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names)
-
-    def by_word(table: pa.Table) -> pa.Table:
-        got, rare = [], []
-        for row in table.to_pylist():
-            doc = np.frombuffer(row["doc"], np.int64)
-            if row["kind"] == 0:
-                got.append((doc, *np.frombuffer(row["sums"]).reshape(4, -1), np.ones(len(doc))))
-            else:
-                rare.append((doc, np.frombuffer(row["word"], np.uint64), np.frombuffer(row["number"], np.uint32).astype(np.int64),
-                             np.frombuffer(row["train"], np.uint8)))
-        if rare:
-            doc, word, number, train_flag = (np.concatenate(x) for x in zip(*rare, strict=True))
-            word, at = np.unique(word, return_inverse=True)
-            c = np.bincount(at, number * train_flag, minlength=len(word))
-            base, p = np.log10(c + 0.5)[at], np.log10(mu * c / max(1, n) + (1 - mu) / (v + 1))[at]
-            doc, place = np.unique(doc, return_inverse=True)
-            add = lambda x: np.bincount(place, number * x, minlength=len(doc))
-            got.append((doc, np.zeros(len(doc)), add((c > 0)[at]), add(base), add(p), np.zeros(len(doc))))
-        doc, tokens, known, base, p, rows = (np.concatenate(x) for x in zip(*got, strict=True))
-        return pa.table({"doc_id": doc.astype(np.int64), "tokens": tokens, "known": known, "base": base, "p": p, "rows": rows})
-
-    null_id = -(2**63)
-    ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("doc_id"), "text", "train")
-    parts = ready.mapInArrow(read, PARTIAL).groupBy("bucket").applyInArrow(
-        by_word, "doc_id long, tokens double, known double, base double, p double, rows double")
-    return _per_text(parts, n, scale, null_id)
-
-
 #: bins to an octave of the ratio f2 / p1 in the EM, and the bin of ratio 0
 _STEPS, _NONE = 32, -(1 << 20)
 
@@ -337,32 +170,37 @@ def count_all_pairs(train: DataFrame, held, least: float, buckets: int) -> DataF
     another word (hashes)."""
     names = [x.split()[0] for x in PAIRS.split(", ")]
 
+    def packed(found, other):
+        pair, kept, deleted = _sum_by(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        rows = [(k, c[0], None, *c[1:]) for k, *c in _packed(
+            mix(pair.view(np.uint64)) % np.uint64(buckets), pair, kept.astype(np.int32), deleted.astype(np.int32))]
+        u, w, out = (np.concatenate(x) for x in zip(*other, strict=True))
+        key, at, back = np.unique(_key(u, w), return_index=True, return_inverse=True)
+        kept, deleted = (np.bincount(back, c, minlength=len(key)).astype(np.int32) for c in (1 - out, out))
+        rows += _packed(key % np.uint64(buckets), u[at], w[at], kept, deleted)
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
+                                          ["bucket", "u", "w", "kept", "deleted"])
+
     def count(batches):
         known = held.value["words"]
+        found, other, size = [], [], 0
         for batch in slices(batches):
             part = batch.column("part").to_numpy(zero_copy_only=False)
-            found, other = [], []
             for first, last, data, offsets in _each_pass(batch):
                 tokens, before, doc = _tokens(data, offsets)
                 u, w = _neighbours(known, tokens, before)
                 use = (u >= 0) & (w >= 0)
                 out = part[first:last][doc]
-                found.append((u[use] << 32 | w[use], out[use]))
+                pair, kept, deleted = _sum_by(u[use] << 32 | w[use], 1 - out[use], out[use])
+                found.append((pair, kept, deleted))
                 other.append((before[~use], tokens[~use], out[~use]))
-            if not found:
-                continue
-            rows = []
-            pair, out = (np.concatenate(x) for x in zip(*found, strict=True))
-            pair, kept, deleted = _sum_by(pair, 1 - out, out)
-            for k, *columns in _packed(mix(pair.view(np.uint64)) % np.uint64(buckets), pair, kept.astype(np.int32), deleted.astype(np.int32)):
-                rows.append((k, columns[0], None, *columns[1:]))
-            u, w, out = (np.concatenate(x) for x in zip(*other, strict=True))
-            key, at, back = np.unique(_key(u, w), return_index=True, return_inverse=True)
-            kept, deleted = (np.bincount(back, c, minlength=len(key)).astype(np.int32) for c in (1 - out, out))
-            rows += _packed(key % np.uint64(buckets), u[at], w[at], kept, deleted)
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                                             ["bucket", "u", "w", "kept", "deleted"])
+                size += len(pair) + len(other[-1][0])
+            if size >= GATHER:
+                yield packed(found, other)
+                found, other, size = [], [], 0
+        if found:
+            yield packed(found, other)
 
     def merge(table: pa.Table) -> pa.Table:
         m = held.value
@@ -439,7 +277,7 @@ def fit_all(train: DataFrame, share: float = SHARE) -> dict:
              "context_kept": counted("kept", texts[0])}
     model |= {"low": low(model["counts"], n), "low_kept": low(model["kept"], n_kept)}
     held = spark.sparkContext.broadcast(model)
-    pairs = written(count_all_pairs(train, held, share * n, 8 * shuffle_partitions(spark)), "bigrams")
+    pairs = written(count_all_pairs(train, held, share * n, buckets_for(train)), "bigrams")
     rare = written(_counted(pairs.where("kind = 2"), held, table.where(both < share * n)), "rare_bigrams")
 
     def ratios(batches):
@@ -465,85 +303,100 @@ def fit_all(train: DataFrame, share: float = SHARE) -> dict:
 
 
 def score_all(docs: DataFrame, train: DataFrame, share: float = SHARE) -> DataFrame:
-    """``score`` by the model of all bigrams; ``train`` is the rows of ``docs`` with that flag."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text,
+    train), by the model of ``train``, the rows of ``docs`` with that flag."""
     spark = docs.sparkSession
     model = fit_all(train, share)
     n, v, mu, lam, pairs = (model.pop(k) for k in ("n", "v", "mu", "lam", "pairs"))
     held = spark.sparkContext.broadcast({k: model[k] for k in ("words", "counts", "context", "low", "pair", "gain", "back")})
-    buckets = 8 * shuffle_partitions(spark)
-    scale = np.log10(n + 0.5 * (v + 1))
+    buckets = buckets_for(docs)
+    scale = float(np.log10(n + 0.5 * (v + 1)))
     low = lambda c: mu * c / max(1, n) + (1 - mu) / (v + 1)
-    names = ["bucket", "kind", "doc", "key", "train", "sums"]
-    schema = "bucket int, kind int, doc binary, key binary, train binary, sums binary"
+    names = ["bucket", "kind", "unit", "row", "key", "sums"]
+    schema = "bucket int, kind int, unit long, row binary, key binary, sums binary"
 
     def rows_of(out):
         columns = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns[:2]] + [pa.array(c, pa.binary()) for c in columns[2:]], names)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def sent(unit, ids, sums, posts):
+        """Rows of a unit: kind 0 its ids and own sums, 1 to 3 its postings by bucket."""
+        out = [(unit % buckets, 0, unit, np.concatenate(ids).tobytes(), None, np.concatenate(sums, axis=1).tobytes())]
+        for kind, found in posts.items():
+            key, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            spread = mix(key) if kind == 2 else key
+            out += [(k, kind, unit, r, keys, None) for k, keys, r in _packed(spread % np.uint64(buckets), key, row)]
+        return rows_of(out)
 
     def read(batches):
+        """A posting's row carries the training flag in its lowest bit."""
         m = held.value
+        unit = TaskContext.get().partitionId() << 32
+        fresh = lambda: ([], [], {1: [], 2: [], 3: []}, 0, 0)
+        ids, sums, posts, count, size = fresh()
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            flags = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            sums, posts = [], {1: [], 2: [], 3: []}
+            ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            flags = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint32)
             for first, last, data, offsets in _each_pass(batch):
                 tokens, before, doc = _tokens(data, offsets)
-                size = last - first
+                texts = last - first
                 u, w = _neighbours(m["words"], tokens, before)
                 seen = w >= 0
-                add = lambda use, values: np.bincount(doc[use], values, minlength=size)
+                add = lambda use, values: np.bincount(doc[use], values, minlength=texts)
                 both = seen & (u >= 0)
                 pair = u << 32 | w
                 at = np.full(len(w), -1)
                 at[both] = _place(m["pair"], pair[both])
                 p = add(seen, np.log10(m["low"][w[seen]])) + add(u >= 0, m["back"][u[u >= 0]]) + add(at >= 0, m["gain"][at[at >= 0]])
-                sums.append(np.stack([np.bincount(doc, minlength=size), add(seen, m["counts"][w[seen]] > 0),
+                sums.append(np.stack([np.bincount(doc, minlength=texts), add(seen, m["counts"][w[seen]] > 0),
                                       add(seen, np.log10(m["counts"][w[seen]] + 0.5)), p]))
-                posts[1].append((tokens[~seen], doc[~seen] + first))
+                row = (doc + first + count).astype(np.uint32) << np.uint32(1) | flags[doc + first]
                 rest = both & (at < 0)
-                posts[2].append((pair[rest].view(np.uint64), doc[rest] + first))
-                posts[3].append((_key(before[~both], tokens[~both]), doc[~both] + first))
-            if not sums:
-                continue
-            out = [(int(ids[0]) % buckets, 0, ids.tobytes(), None, None, np.concatenate(sums, axis=1).tobytes())]
-            for kind, found in posts.items():
-                key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-                spread = mix(key) if kind == 2 else key
-                for k, key_part, d, t in _packed(spread % np.uint64(buckets), key, ids[doc], flags[doc]):
-                    out.append((k, kind, d, key_part, t, None))
-            yield rows_of(out)
+                for kind, key, of in ((1, tokens[~seen], ~seen), (2, pair[rest].view(np.uint64), rest),
+                                      (3, _key(before[~both], tokens[~both]), ~both)):
+                    posts[kind].append((key, row[of]))
+                    size += len(key)
+            count += batch.num_rows
+            if size >= GATHER:
+                yield sent(unit, ids, sums, posts)
+                unit += 1
+                ids, sums, posts, count, size = fresh()
+        if sums:
+            yield sent(unit, ids, sums, posts)
 
     def gains(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("u", "w", "kept", "deleted", "u_all", "w_all")}
             key = _key(c["u"].view(np.uint64), c["w"].view(np.uint64))
             gain = _gain(lam, c["u_all"], c["kept"] + c["deleted"], low(c["w_all"]))
-            yield rows_of([(k, 4, None, a, None, g) for k, a, g in _packed(key % np.uint64(buckets), key, gain)])
+            yield rows_of([(k, 4, None, None, a, g) for k, a, g in _packed(key % np.uint64(buckets), key, gain)])
 
     def settle(table: pa.Table) -> pa.Table:
         m = held.value
-        got, posts, known = [], {1: [], 2: [], 3: []}, []
+        out, posts, known = [], {1: [], 2: [], 3: []}, []
+        units = {unit: k for k, unit in enumerate(sorted({u for u in table.column("unit").to_pylist() if u is not None}))}
         for row in table.to_pylist():
             if row["kind"] == 0:
-                doc = np.frombuffer(row["doc"], np.int64)
-                got.append((doc, *np.frombuffer(row["sums"]).reshape(4, -1), np.ones(len(doc))))
+                out.append((row["unit"], row["row"], row["sums"]))
             elif row["kind"] == 4:
                 known.append((np.frombuffer(row["key"], np.uint64), np.frombuffer(row["sums"])))
             else:
-                posts[row["kind"]].append((np.frombuffer(row["key"], np.uint64), np.frombuffer(row["doc"], np.int64),
-                                           np.frombuffer(row["train"], np.uint8)))
+                at = np.frombuffer(row["row"], np.uint32).astype(np.int64)
+                posts[row["kind"]].append((np.frombuffer(row["key"], np.uint64), units[row["unit"]] << 32 | at >> 1, (at & 1).astype(np.uint8)))
+        got = [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)]
         for kind, found in posts.items():
             if not found:
                 continue
-            key, doc, flag = (np.concatenate(x) for x in zip(*found, strict=True))
+            key, place, flag = (np.concatenate(x) for x in zip(*found, strict=True))
             if kind == 3:
                 if not known:
                     continue
                 have, gain = (np.concatenate(x) for x in zip(*known, strict=True))
                 order = np.argsort(have)
                 at = _place(have[order], key)
-                doc, gain = doc[at >= 0], gain[order][at[at >= 0]]
-                hits, base, p = np.zeros(len(doc)), np.zeros(len(doc)), gain
+                place, p = place[at >= 0], gain[order][at[at >= 0]]
+                hits = base = np.zeros(len(place))
             else:
                 key, at = np.unique(key, return_inverse=True)
                 c = np.bincount(at, flag, minlength=len(key)).astype(np.int64)
@@ -552,33 +405,44 @@ def score_all(docs: DataFrame, train: DataFrame, share: float = SHARE) -> DataFr
                     p = (np.log10(low(c)) + _back(lam, c))[at]
                 else:
                     u, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    hits = base = np.zeros(len(doc))
+                    hits = base = np.zeros(len(place))
                     p = _gain(lam, m["context"][u], c, m["low"][w])[at]
-            doc, place = np.unique(doc, return_inverse=True)
-            add = lambda x: np.bincount(place, x, minlength=len(doc))
-            got.append((doc, np.zeros(len(doc)), add(hits), add(base), add(p), np.zeros(len(doc))))
-        if not got:
-            got.append([np.zeros(0)] * 6)
-        doc, tokens, hits, base, p, rows = (np.concatenate(x) for x in zip(*got, strict=True))
-        doc, at = np.unique(doc, return_inverse=True)
-        sums = {k: np.bincount(at, x, minlength=len(doc)) for k, x in zip(("tokens", "known", "base", "p", "rows"), (tokens, hits, base, p, rows), strict=True)}
-        return pa.table({"doc_id": doc.astype(np.int64)} | sums)
-
-    null_id = -(2**63)
-    ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("doc_id"), "text", "train")
+            got.append(_added(place, hits, base, p))
+        place, *sums = _added(*[np.concatenate(x) for x in zip(*got, strict=True)])
+        edges = np.searchsorted(place >> 32, np.arange(len(units) + 1))
+        for unit, k in units.items():
+            a, b = edges[k], edges[k + 1]
+            if b > a:
+                out.append((unit, (place[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), np.stack([x[a:b] for x in sums]).tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["unit", "row", "sums"])
+
+    def total(table: pa.Table) -> pa.Table:
+        """A unit's own sums hold four numbers a row, the buckets' answers three."""
+        answers = []
+        for row in table.to_pylist():
+            sums = np.frombuffer(row["sums"])
+            if len(row["row"]) * 4 == len(row["sums"]):
+                ids, own = np.frombuffer(row["row"], np.int64), sums.reshape(4, -1).copy()
+            else:
+                answers.append((np.frombuffer(row["row"], np.uint32), sums.reshape(3, -1)))
+        for rows, sums in answers:
+            own[1:, rows] += sums
+        tokens, hits, base, p = own
+        return pa.table({"doc_id": pa.array(ids, mask=ids == _NULL), "n_tokens": tokens.astype(np.int64), "n_known": np.rint(hits).astype(np.int64),
+                         "train_tokens": np.full(len(ids), n, np.int64), "base_score": base - tokens * scale, "score": p})
+
+    ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text", "train")
     parts = ready.mapInArrow(read, schema).union(pairs.mapInArrow(gains, schema)).groupBy("bucket").applyInArrow(
-        settle, "doc_id long, tokens double, known double, base double, p double, rows double")
-    return _per_text(parts, n, scale, null_id)
+        settle, "unit long, row binary, sums binary")
+    return parts.groupBy("unit").applyInArrow(
+        total, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _per_text(parts: DataFrame, n: int, scale: float, null_id: int) -> DataFrame:
-    per = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "p", "rows")])
-    mean = lambda c: F.col(c) / F.col("rows")
-    return per.select(
-        F.nullif("doc_id", F.lit(null_id)).alias("doc_id"), F.col("rows").cast("long").alias("rows"),
-        F.round(mean("tokens")).cast("long").alias("n_tokens"), F.round(mean("known")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (mean("base") - mean("tokens") * F.lit(float(scale))).alias("base_score"),
-        mean("p").alias("score"))
+def _added(place, *sums):
+    """Sums by place, ascending."""
+    place, at = np.unique(place, return_inverse=True)
+    return place, *[np.bincount(at, x, minlength=len(place)) for x in sums]
 
 
 @query("op8_lm_score")
@@ -587,7 +451,5 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "text", (fold % 5 != 1).alias("train"), (fold % (5 * DELETED) < 5).cast("long").alias("part"))
-    scored = score(docs, docs.where("train"))
-    return scored.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
-        "doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1).alias("held_out"), "n_tokens", "n_known",
-        "train_tokens", "base_score", "score")
+    scored = score_all(docs, docs.where("train"))
+    return scored.select("doc_id", (fold % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -118,38 +118,18 @@ def test_glued_passages_go_whole(spark):
         assert got[i].removed_words == (64 if cut else 0)
 
 
-def test_language_model_matches_direct_sums(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(10_000 + k, t) for k, t in enumerate(ODD)]
-    fold = lambda i: zlib.crc32(str(i).encode())
-    df = spark.createDataFrame([(i, t, fold(i) % 5 != 1, int(fold(i) % 50 < 5)) for i, t in rows],
-                               "doc_id long, text string, train boolean, part long").repartition(4)
-    # a coarse share: rare words take the path by postings, frequent ones the broadcast
-    share = 2.0 ** -9
-    got = {r.doc_id: r for r in lm.score(df, df.where("train"), share).collect()}
-    model = lm.fit(df.where("train"), share)
-    tokens = {i: [*models.words(t), None] for i, t in rows}
-    c = collections.Counter(w for i, t in tokens.items() if fold(i) % 5 != 1 for w in t)
-    n, v = sum(c.values()), len(c)
-    p1 = lambda w: model["mu"] * c[w] / n + (1 - model["mu"]) / (v + 1)
-    pairs = collections.Counter(p for i, t in tokens.items() if fold(i) % 5 != 1 for p in zip(["start", *t[:-1]], t, strict=True))
-    pairs = {p: k for p, k in pairs.items() if k >= share * n and k > 1}
-    after = collections.Counter()
-    for (u, _), k in pairs.items():
-        after[u] += k
-    lam = {}
-    word_hash = lambda w: lm._START if w == "start" else lm._END if w is None else common.word_hashes(*common.text_buffers(common.pa.array([w])))[0][0]
-    for u in after:
-        lam[u] = model["lam"][np.searchsorted(model["words"], word_hash(u))]
-    assert lam and min(lam.values()) >= 0
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        score = sum(math.log10(lam.get(u, 0) * pairs.get((u, w), 0) / max(1, after[u]) + (1 - lam.get(u, 0)) * p1(w))
-                    for u, w in zip(["start", *t[:-1]], t, strict=True))
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score == pytest.approx(score, rel=1e-9)
+def test_language_model_scores_rows_one_by_one(spark, monkeypatch):
+    """Null and repeated ids with unlike texts, clashing columns, and many small units."""
+    rows = [(3, "a b c d"), (3, "x"), (None, "a b"), (None, None), (5, "a b c d"), (5, "a b c d"), (6, ""), (7, "a b " * 400)]
+    df = spark.createDataFrame([(i, t, True, k % 2, "q", 0) for k, (i, t) in enumerate(rows)],
+                               "doc_id long, text string, train boolean, part long, unit string, score int").repartition(3)
+    whole = sorted(map(str, lm.score_all(df, df).collect()))
+    monkeypatch.setattr(lm, "GATHER", 1)
+    got = lm.score_all(df, df).collect()
+    assert sorted(map(str, got)) == whole and len(got) == len(rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len((t or "").split()) + 1) for i, t in rows)
+    text = {(r.doc_id, r.n_tokens): (r.score, r.base_score) for r in got}
+    assert text[3, 5] == text[5, 5] and text[3, 2] != text[3, 5] and text[None, 1] == text[6, 1]
 
 
 @pytest.mark.parametrize("share", [2.0 ** -9, 2.0 ** -20])
@@ -287,4 +267,4 @@ def test_empty_tables(spark):
                quality.quality_scores(none, labels), pieces.encode_table(none)):
         assert df.count() == 0
     folds = none.select("doc_id", "text", F.lit(True).alias("train"), F.lit(0).cast("long").alias("part"))
-    assert lm.score(folds, folds).count() == 0
+    assert lm.score_all(folds, folds).count() == 0
