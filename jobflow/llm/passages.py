@@ -114,14 +114,41 @@ def _by_bucket(buckets, digest, doc, at):
         yield int(bucket[a]), doc[a:b].tobytes(), digest[a:b].tobytes(), at[a:b].tobytes()
 
 
+def _by_document(buckets, doc, at) -> pa.Table:
+    """Marks as one packed row per group of documents (by hash of the id)."""
+    group = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    doc, at, group = doc[order], at[order].astype(np.int32), group[order]
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
+    behind = np.append(edges[1:], len(group))
+    spans = list(zip(edges, behind, strict=True)) if len(group) else []
+    return pa.table([pa.array(group[edges].astype(np.int32)), pa.array([doc[a:b].tobytes() for a, b in spans], pa.binary()),
+                     pa.array([at[a:b].tobytes() for a, b in spans], pa.binary())], ["group", "doc", "at"])
+
+
+def _per_document(marks: DataFrame) -> DataFrame:
+    """(doc_id, at): one row per marked document, positions ascending, from packed rows of marks."""
+
+    def unite(table: pa.Table) -> pa.Table:
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("doc").to_pylist()])
+        at = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("at").to_pylist()])
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))[:len(doc)]
+        ids, lists = _grouped(doc[new], at[new])
+        return pa.table([pa.array(ids, pa.int64()), lists], ["doc_id", "at"])
+
+    return marks.groupBy("group").applyInArrow(unite, "doc_id long, at array<int>")
+
+
 def _rows(out, names):
     columns = list(zip(*out, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names)
 
 
 def repeated_units(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, at): positions of the units of a document that occurred before; an id may have
-    several rows. A null id is the smallest number."""
+    """(doc_id, at): positions of the units of a document that occurred before. A null id is the
+    smallest number."""
 
     def find(batch, a, b, data, offsets):
         digest, doc, *_ = units(data, offsets)
@@ -157,14 +184,13 @@ def repeated_units(docs: DataFrame, buckets: int) -> DataFrame:
             owner = np.repeat(first, np.diff(np.append(first, len(digest))))
             again = (doc != doc[owner]) | (at != at[owner])
             marks.append((doc[again], at[again]))
-        doc, at = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        ids, lists = _grouped(doc, at)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "at": lists})
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return _by_document(buckets, *(np.concatenate(x) for x in zip(none, *marks, strict=True)))
 
     ready = docs.where("text IS NOT NULL").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
-    return ready.mapInArrow(post, "bucket int, doc binary, digest binary, at binary, counts binary").groupBy(
-        "bucket").applyInArrow(settle, "doc_id long, at array<int>")
+    return _per_document(ready.mapInArrow(post, "bucket int, doc binary, digest binary, at binary, counts binary").groupBy(
+        "bucket").applyInArrow(settle, "group int, doc binary, at binary"))
 
 
 def _grams(hashes, size):
@@ -217,10 +243,6 @@ def _shared(docs: DataFrame, find, first_too: bool, buckets: int) -> DataFrame:
     """(doc_id, at): positions of digests that several documents hold, in all of them or in all but
     the first. The map side keeps the first document of a digest and batch."""
 
-    def rows_of(doc, at):
-        ids, lists = _grouped(doc, at)
-        return [pa.array(ids, pa.int64()), lists]
-
     def post(batches):
         for digest, doc, at in _gathered(batches, find):
             digest, doc, at, first, several = _first_documents(digest, doc, at)
@@ -241,11 +263,10 @@ def _shared(docs: DataFrame, find, first_too: bool, buckets: int) -> DataFrame:
             _, doc, at, first, several = _first_documents(*[np.concatenate(x) for x in zip(*posts, strict=True)])
             mark = several & (first_too | ~first)
             marks.append((doc[mark], at[mark]))
-        return pa.table(rows_of(*[np.concatenate(x) for x in zip(*marks, strict=True)]), ["doc_id", "at"])
+        return _by_document(buckets, *(np.concatenate(x) for x in zip(*marks, strict=True)))
 
-    return docs.mapInArrow(post, "bucket int, doc binary, digest binary, at binary").groupBy(
-        "bucket").applyInArrow(settle, "doc_id long, at array<int>").groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    return _per_document(docs.mapInArrow(post, "bucket int, doc binary, digest binary, at binary").groupBy(
+        "bucket").applyInArrow(settle, "group int, doc binary, at binary"))
 
 
 def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -297,7 +318,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the columns ``spans`` (characters of
     the original text) and ``removed_words``."""
     buckets = buckets_for(docs)
-    marks = repeated_units(docs, buckets).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("_at"))
+    marks = repeated_units(docs, buckets).withColumnRenamed("at", "_at")
     marks = marks.join(repeated_windows(docs, buckets).withColumnRenamed("at", "_starts"), "doc_id", "full")
     docs = docs.drop("spans", "removed_words")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
