@@ -16,7 +16,7 @@ _CHROME = frozenset(["script", "style", "template", "nav", "footer", "header"])
 
 PAGE_FIELDS = {
     "text": "string", "main_text": "string", "readable": "string", "h1": "string", "title": "string",
-    "meta_date": "string", "anchors": "array<struct<href:string,text:string>>", "jsonld": "array<string>",
+    "meta_date": "string", "anchors": "array<struct<href:string,text:string>>", "jsonld": "array<string>", "error": "string",
 }
 RECORD_SCHEMA = (
     "array<struct<href:string,title:string,institution:string,location:string,posted:string>>"
@@ -45,20 +45,30 @@ class _Page(HTMLParser):
     """A page as opened elements and text runs, built in one linear pass.
 
     Elements are numbered as they open, so what lies inside one is a range of element numbers and a
-    range of runs; each run knows whether it is hidden or part of the page's frame.
+    range of runs; each run knows whether it is hidden or part of the page's frame. A source that
+    the parser rejects is a page without elements and text, and ``error`` says why: one bad page
+    never ends a job.
     """
 
     def __init__(self, source):
         super().__init__(convert_charrefs=True)
+        self._begin()
+        self.error = None
+        try:
+            self.feed(source or "")
+            self.close()
+        except Exception as e:  # whatever a landed page makes the parser raise is a fact of that page
+            self.error = f"{type(e).__name__}: {e}"
+            self._begin()
+        self.flush()
+        while self.path:
+            self._pop()
+
+    def _begin(self):
         self.elements, self.parents, self.ends = [], [], []  # (tag, attributes), parent, element behind the last inside
         self.runs, self.spans = [], []  # (data, hidden, chrome), and per element its range of runs
         self.path, self.open, self.pending = [], {}, []
         self.hidden = self.chrome = 0
-        self.feed(source or "")
-        self.close()
-        self.flush()
-        while self.path:
-            self._pop()
 
     def flush(self):
         if self.pending:
@@ -163,6 +173,7 @@ _READERS = {
     "text": _Page.text, "main_text": _main_text, "readable": lambda page: page.text(joiner="\n", frame=False),
     "h1": lambda page: page.first_text("h1"), "title": lambda page: page.first_text("title"),
     "meta_date": _meta_date, "anchors": _anchors, "jsonld": _jsonld,
+    "error": lambda page: page.error,
 }
 
 

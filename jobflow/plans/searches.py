@@ -107,7 +107,7 @@ def company_search(
     order = [F.lower("institution"), "institution", "career_page", "url", F.xxhash64(*COMPANY_FIELDS)]
     raw = with_row_index(found.select(*COMPANY_FIELDS), order, "seq")
     filtered = filters.filter_postings(raw, as_of, keywords, strong, support, days_old)
-    errors = routing.document_errors(boards, documents)
+    errors = routing.document_errors(boards, documents, pages)
     skips = routing.skip_log(boards.select("company"), raw, errors)
     return CompanyResult(clean, raw, filtered, dedup.dedupe_two_pass(filtered), skips)
 

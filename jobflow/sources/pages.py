@@ -97,11 +97,19 @@ def jsonld_postings(scripts: Column) -> Column:
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Landed pages with their parsed facts in ``page`` and JSON-LD postings in ``postings``."""
     parsed = pages.withColumn("page", html.parse_page(
-        F.col("html"), "main_text", "h1", "title", "meta_date", "anchors", "jsonld"
+        F.col("html"), "main_text", "h1", "title", "meta_date", "anchors", "jsonld", "error"
     ))
     return parsed.withColumn("postings", jsonld_postings(F.col("page.jsonld"))).drop("html")
 
 
+def page_errors(pages: DataFrame) -> DataFrame:
+    """(company, board_url, error, reason) of landed pages (company, url, html) that cannot be read; such
+    a page has no postings and no links, and the others are read as if it were not there."""
+    read = pages.select("company", "url", html.parse_page(F.col("html"), "error").alias("page"))
+    return read.where("page.error IS NOT NULL").select(
+        "company", F.col("url").alias("board_url"), F.lit("malformed page").alias("error"), F.col("page.error").alias("reason"))
+
+
 def job_page_postings(parsed: DataFrame, scraped_at: str) -> DataFrame:
     """One posting per job page: (company, url, career_page, page, postings) of ``parse_pages``."""
     first = F.get("postings", F.lit(0))

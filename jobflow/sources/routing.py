@@ -78,14 +78,18 @@ def bad_documents(landed: DataFrame) -> DataFrame:
     return landed.where(broken).select("company", "board_url", F.lit("malformed document").alias("error"))
 
 
-def document_errors(boards: DataFrame, documents: dict) -> DataFrame:
-    """(company, board_url, error) of the broken documents landed for (company, board_url) boards."""
+def document_errors(boards: DataFrame, documents: dict, pages: DataFrame | None = None) -> DataFrame:
+    """(company, board_url, error) of the broken documents, and with ``pages`` (url, html) the broken
+    pages, landed for (company, board_url) boards."""
     routed = route_boards(boards)
     parts = [
         bad_documents(routed.where(F.col("route") == route).select("company", "board_url").join(
             documents[route].drop("company"), "board_url"))
         for route in API_BOARDS if route in documents and "json" in documents[route].columns
     ]
+    if pages is not None:
+        own = routed.select("company", F.col("board_url").alias("url")).distinct().join(pages.select("url", "html"), "url")
+        parts.append(P.page_errors(own).select("company", "board_url", "error"))
     if not parts:
         return boards.select("company", "board_url", F.lit("").alias("error")).limit(0)
     return union_sources(*parts)
