@@ -3,7 +3,8 @@
 Markup is stripped in one linear pass: block elements end a line, inline ones do not, white space
 collapses, character references are decoded. Lines of menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments (by element, role or class name) weigh nothing.
-Class names count as whole names (``with-sidebar`` is no ``sidebar``). Characters of the other lines
+Class names count by word (``comment-list``, ``cookie-bar``), but not where another word says that the
+block only has such a part (``with-sidebar``); an ``article`` or ``main`` goes by whole names alone. Characters of the other lines
 outside links are summed over sliding windows; where a window rises over the threshold the text
 surges, where windows fall below it it dives, and the lines between are kept in page order. Lines of
 an ``article`` or ``main`` element weigh as much as a window needs, so that its short paragraphs
@@ -45,16 +46,19 @@ _BOILER = set("ad ads adv advert advertisement banner sponsor sponsored promo co
               " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary widget footer contentinfo"
               " comment comments disqus respond responses replies reply share sharing social related recommended newsletter"
               " subscribe signup login popup modal overlay dialog search pagination pager toolbar skip copyright".split())
-#: words that only place a boilerplate word in a compound name (site-nav, left-sidebar)
+#: words that only place a boilerplate word in the name of an article (site-nav, left-sidebar)
 _PLACES = set("site page global main top bottom left right primary secondary".split())
+#: words by which a name tells what a block has or is about, not what it is (with-sidebar, tag-social)
+_HAVING = set("with has no without layout wrap wrapper tag category open closed".split())
 _HEADER = {"header", "masthead", "topbar"}
 
 
-def _names(marks: str, known: set) -> bool:
-    """Whether a name of ``marks`` is a word of ``known``, or made up of such and of places."""
+def _names(marks: str, known: set, whole: bool = False) -> bool:
+    """Whether a name of ``marks`` has a word of ``known`` (comment-list, cookie-bar) and none that says
+    what the block merely has. ``whole``: only a name made up of such words and of places counts."""
     for name in marks.lower().split():
         words = set(re.findall("[a-z]+", name))
-        if words & known and words <= known | _PLACES:
+        if words & known and (words <= known | _PLACES if whole else not words & _HAVING):
             return True
     return False
 
@@ -105,7 +109,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
         if not ends:
             rest = tag["rest"] or tag["rest2"] or ""
             marks = " ".join("".join(m) for m in _MARKS.findall(rest))
-            drop = name in _DROPPED or _names(marks, _BOILER) or bool(_HIDDEN.search(rest)) or (
+            drop = name in _DROPPED or _names(marks, _BOILER, name in _ARTICLE) or bool(_HIDDEN.search(rest)) or (
                 not article and (name == "header" or _names(marks, _HEADER)))
             stack.append((name, drop))
             counts[name] = counts.get(name, 0) + 1

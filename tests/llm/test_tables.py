@@ -128,6 +128,26 @@ def test_page_text_around_an_article():
     assert html_text.main_text(f"<main><p>{long}</p><p>{long}</p></main><div><p>{long}</p></div>") == "\n".join([long] * 3)
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "ul", "aside"])
+@pytest.mark.parametrize("name", [
+    "comment-list", "comments-section", "user-comments", "comments", "related-posts", "share-buttons", "ad-slot", "cookie-bar",
+    "newsletter-box", "sidebar-inner", "site-nav", "left-sidebar", "post-comments", "widget_area", "promo-banner", "main-menu"])
+def test_blocks_of_compound_names_go(tag, name):
+    text = "Words of the main text that go on for a while, and then some more of them to the end of it. "
+    other = f"<{tag} class='x {name}'><p>{text * 2}</p><p>Somebody says something here.</p></{tag}>"
+    body = f"<h1>Title</h1><p>{text}</p><p>Short.</p>"
+    assert html_text.main_text(f"<body><article>{body}{other}<p>End.</p></article>{other}</body>") == f"Title\n{text.strip()}\nShort.\nEnd."
+    assert html_text.main_text(f"<body>{other}<div>{body}</div>{other}</body>") == f"Title\n{text.strip()}\nShort."
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "has-comments", "no-nav", "layout-sidebar", "content-sidebar-wrap", "tag-social",
+                                  "category-search", "story", "headline", "adventure", "commentary", "shareholder-news"])
+def test_blocks_that_only_have_such_parts_stay(name):
+    text = "Words of the main text that go on for a while, and then some more of them to the end of it."
+    assert html_text.main_text(f"<body><div class='{name}'><p>{text}</p><p>Short.</p></div></body>") == f"{text}\nShort."
+    assert html_text.main_text(f"<article class='post {name} comments-open'><p>{text}</p></article>") == text
+
+
 def test_page_text_is_linear():
     import time
 
