@@ -1,6 +1,7 @@
 """Fill-in-middle, decontamination and tokenizer alignment against one-row-at-a-time versions."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -125,6 +126,29 @@ def read_models():
         return alignment.load_models((a.read(), b.read()))
 
 
+@functools.cache
+def public_encoder():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(alignment.BYTE_MODEL)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def public_ids(text):
+    return public_encoder().encode(text, add_special_tokens=False).ids
+
+
+def test_byte_ids_equal_the_public_library():
+    encode = read_models()["a"]
+    rnd = random.Random(8)
+    texts = [" " + t for t in ODD if t] + [" " * 5000 + "x", "\n" * 4096]
+    texts += [f" a{chr(c)}b 1{chr(c)}{chr(c)} {chr(c)}'s{chr(c)} x" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    any_letter = lambda: chr(rnd.choice([rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000)]))
+    texts += ["".join(any_letter() if rnd.random() < 0.5 else rnd.choice(" '\n\tsa1") for _ in range(60)) for _ in range(300)]
+    assert encode(texts) == [public_ids(t) for t in texts]
+
+
 def spans(table, ids):
     data, ends = table
     raw = [bytes(data[ends[k]:ends[k + 1]]) for k in ids]
@@ -142,7 +166,7 @@ def brute_alignment(texts):
         if not text:
             docs.append(None)
             continue
-        a = m["a"].encode(" " + text, add_special_tokens=False).ids
+        a = public_ids(" " + text)
         b = m["b"].encode(text)
         (sa, ra), (sb, rb) = spans(m["a_bytes"], a), spans(m["b_bytes"], b)
         if ra != (" " + text).encode() or rb != ra:
