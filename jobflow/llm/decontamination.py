@@ -114,7 +114,7 @@ def find_hits(docs: DataFrame, windows: DataFrame, gram: int = GRAM) -> DataFram
     for more in found[1:]:
         hits = hits.unionByName(more)
     hits = written(hits, "prints").groupBy(*KEY).agg(F.collect_list(F.struct("length", "at")).alias("_hits"))
-    rows = _same(texts.select(*_key(texts), "text").distinct(), hits, "inner")
+    rows = _same(texts.select(*_key(texts), "text"), hits, "inner")  # repeated rows repeat their hits
     rows = _once(rows, "words", words_of(F.col("text"))).drop("text")
     width = "(x.length - CASE " + " ".join(f"WHEN x.length = {n} THEN {scheme(n, gram)[0]}" for n in lengths) + " END)"
     begins = f"""flatten(transform(_hits, x -> transform(array_distinct(flatten(transform(x.at, p ->
