@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import mix, passes, text_buffers
+from jobflow.llm.common import give_back, mix, passes, text_buffers
 from jobflow.llm.registry import query
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = 0x2581
 #: bytes of text per numpy pass; words longer than this go through a heap instead of a matrix
 PASS, LONG = 1 << 20, 64
+#: characters of one matrix of equal-length words
+CELLS = 1 << 18
 _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 2**64)
 
@@ -272,8 +274,9 @@ def encode(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 owners.append(np.full(len(cuts) - 1, r))
             continue
         cut_words = merge_words if model["kind"] == "bpe" else viterbi_words
-        for k in range(0, len(rows), 1 << 15):
-            some = rows[k:k + (1 << 15)]
+        step = max(1, CELLS // int(length))
+        for k in range(0, len(rows), step):
+            some = rows[k:k + step]
             cuts = cut_words(model, cp[begin[some][:, None] + np.arange(length)])
             real = cuts[:, :-1] < length
             r, c = np.nonzero(real)
@@ -326,6 +329,7 @@ def encode_table(docs: DataFrame, path: str = MODEL, drop_text: bool = True) ->
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in names] + [lists, pa.array(np.diff(offsets), pa.int64()), pa.array(same)],
                     names + ["ids", "n_tokens", "round_trip"])
+                give_back()
 
     fields = [docs.schema[c] for c in names] + [
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
