@@ -19,12 +19,13 @@ Bounds. Every set has a bitmap of its hashes, its length set by the band of its
 the shorter of two). Equal bits bound the overlap from above: (|A| + |B| - differing bits) / 2.
 Only pairs whose bound reaches the threshold go on.
 
-Exact. Each set is first compared with its smallest partner and with the one of the best bound, by
-intersecting sorted arrays; this is repeated once over the pairs that are not yet connected, and what
-is still apart then is compared in full. Then the tiles of frequent shingles are visited again, in
-blocks of bounded size: where a crowded set meets sets of another component, the pairs that pass a
-longer bitmap's bound are intersected there, best bounds first, unless links found before have
-joined them; only links that join components leave the block. So a family of g near copies costs
+Exact. Each set is first compared with its smallest partner by intersecting sorted arrays. Pairs that are
+not connected then are bounded, each set is compared with its smallest partner and with the one of the
+best bound, and what is still apart is compared in full. Then the tiles of frequent shingles are visited
+again, in blocks of bounded size: where a crowded set meets sets of another component, longer bitmaps tell
+which sets of the block have a partner that may link. Only these send their arrays to the block, where
+pairs that pass the bound are intersected, best bounds first, unless links found before have joined
+them; only links that join components leave the block. So a family of g near copies costs
 some comparisons per member, not g * g, and no link that would join two components is missed.
 
 Null, empty and wordless texts have an empty set and are components of their own. Texts under five
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import components, forget, mix, passes, shuffle_partitions, slices, text_buffers, word_hashes, written
+from jobflow.llm.common import buckets_for, components, forget, give_back, mix, passes, slices, text_buffers, word_hashes, written
 from jobflow.llm.lm import count_words
 from jobflow.llm.registry import query
 
@@ -48,6 +49,8 @@ TILE, SPARE = 32, 0.02
 BLOCK = 4096
 #: bits per hash of the bitmaps used there
 SHARP = 16
+#: postings that a map task gathers before it packs them by bucket
+GATHER = 1 << 19
 #: share of all words at which a word's count is told apart
 SHARE = 2.0 ** -22
 _NULL = -(2**63)
@@ -149,41 +152,49 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
     """Rows (kind, a, b, na, nb): 0 a document (a its id, b its set, na the size), 1 a candidate pair
     of sets, 2 a posting of a frequent hash (a the hash, b the set), 3 a pair with the first set of
     a frequent hash's tile."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     held = docs.sparkSession.sparkContext.broadcast(word_octaves(docs, share))
 
+    def packed(ids, sets, sizes, hashes, owners):
+        """Rows of gathered documents; copies among them post once."""
+        ids, sets, sizes = np.concatenate(ids), np.array(sets, np.int64), np.array(sizes, np.int32)
+        rows = [(int(ids[0]) % buckets, 0, *_binary(ids, sets, sizes))] if len(ids) else []
+        if hashes:
+            hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+            once = np.zeros(len(sets), bool)
+            once[np.unique(sets, return_index=True)[1]] = True
+            hashes, owners = hashes[once[owners]], owners[once[owners]]
+            bucket = mix(hashes) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            hashes, owners, bucket = hashes[order], owners[order], bucket[order]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                rows.append((int(bucket[a]), 1, *_binary(hashes[a:b].view(np.int64), sets[owners[a:b]], sizes[owners[a:b]])))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)],
+                                          ["bucket", "kind", "x", "y", "z"])
+
     def post(batches):
         rarity = held.value
+        held_back, size = ([], [], [], [], []), 0
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, sets, sizes, hashes, owners = held_back
+            ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
             data, offsets = text_buffers(batch.column("text"))
-            hashes, owners, sets, sizes = [], [], [], []
             for a, b in passes(offsets):
                 for shingles, octaves in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], rarity):
                     sizes.append(len(shingles))
                     sets.append(set_id(shingles))
                     if len(shingles):
                         few = int(posted_size(np.int64(len(shingles))))
-                        few = shingles[np.argsort(octaves, kind="stable")[:few]]
-                        hashes.append(few)
-                        owners.append(np.full(len(few), len(sets) - 1))
-            sizes, sets = np.array(sizes, np.int32), np.array(sets, np.int64)
-            rows = [(int(ids[0]) % buckets, 0, *_binary(ids, sets, sizes))] if len(ids) else []
-            if hashes:
-                hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-                once = np.unique(sets, return_index=True)[1]  # copies within the batch post once
-                use = np.isin(owners, once)
-                hashes, owners = hashes[use], owners[use]
-                bucket = mix(hashes) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                hashes, owners, bucket = hashes[order], owners[order], bucket[order]
-                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                    rows.append((int(bucket[a]), 1, *_binary(hashes[a:b].view(np.int64), sets[owners[a:b]], sizes[owners[a:b]])))
-            if rows:
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)],
-                                                 ["bucket", "kind", "x", "y", "z"])
+                        hashes.append(shingles[np.argsort(octaves, kind="stable")[:few]])
+                        owners.append(np.full(few, len(sets) - 1))
+                        size += few
+            if size >= GATHER:
+                yield packed(*held_back)
+                held_back, size = ([], [], [], [], []), 0
+        if held_back[0]:
+            yield packed(*held_back)
 
     def meet(table: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
@@ -319,12 +330,23 @@ def _choices(pairs: DataFrame) -> DataFrame:
     return both.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = 2) -> DataFrame:
-    """Written edges that join all components which ``pairs`` can join."""
+def _smallest(pairs: DataFrame) -> DataFrame:
+    """For every set its pair with the smallest partner."""
+    sides = pairs.select(F.col("a").alias("s"), F.col("b").alias("o")).union(pairs.select("b", "a"))
+    low = sides.groupBy("s").agg(F.min("o").alias("o"))
+    return low.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = 1) -> DataFrame:
+    """Written edges that join all components which ``pairs`` can join. Each set meets its smallest
+    partner first: most families are one component then, and only pairs still apart ship bitmaps."""
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps, "s")
     sets = written(sets_of(docs, wanted), "sets")
-    left = written(bounded(pairs, sets), "bounded")
-    edges = written(pairs.select("a", "b").limit(0), "links")
+    first = written(_smallest(pairs), "chosen")
+    edges = written(linked(first, sets), "links")
+    rest = written(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), components(edges)), "rest")
+    left = written(bounded(rest, sets), "bounded")
+    forget(first, rest)
     for _ in range(rounds):
         chosen = written(_choices(left), "chosen")
         joined = written(edges.union(linked(chosen, sets)), "links")
@@ -351,35 +373,64 @@ def _across(rows: DataFrame, mixed: DataFrame, docs: DataFrame, reps: DataFrame,
     right = blocks.withColumn("j", place("bj")).withColumn("i", each("bi")).withColumn("side", F.lit(1))
     columns = ["h", "i", "j", "side", "s", "n", "crowded", "label"]
 
-    def meet(table: pa.Table) -> pa.Table:
+    def sketch(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("s"), pa.array([bitmap(np.frombuffer(x.as_buffer(), np.uint64), SHARP).tobytes()
+                                              for x in batch.column("hashes")], pa.binary())], ["s", "bits"])
+
+    def rows_of(table):
         side, s, n, label = (table.column(c).to_numpy() for c in ("side", "s", "n", "label"))
-        crowded = np.array(table.column("crowded").to_pylist(), bool)
+        return side, s, n, np.array(table.column("crowded").to_pylist(), bool), label
+
+    def hopeful(table: pa.Table) -> pa.Table:
+        """The block's rows with a partner whose bitmap lets the pair reach the threshold."""
+        side, s, n, crowded, label = rows_of(table)
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        keep = np.zeros(len(s), bool)
+        for k, at, _ in _met(side, n, crowded, label, bits):
+            keep[k] = True
+            keep[at] = True
+        return table.select(columns).filter(pa.array(keep))
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, s, n, crowded, label = rows_of(table)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        bits = [bitmap(x, SHARP) for x in sets]
-        length = np.array([len(x) for x in bits])
-        theirs = np.flatnonzero(side == 1)
-        by_length = {w: theirs[length[theirs] == w] for w in np.unique(length[theirs])}
-        stacked = {w: np.stack([bits[k] for k in at]) for w, at in by_length.items()}
-        found = []
-        for k in np.flatnonzero(side == 0):
-            for w, at in by_length.items():
-                use = (label[at] != label[k]) & (crowded[at] | crowded[k]) & (
-                    100 * np.minimum(n[at], n[k]) >= SIMILAR * np.maximum(n[at], n[k]))
-                if not use.any():
-                    continue
-                own, other, at = bits[k], stacked[w][use], at[use]
-                if len(own) > w:
-                    own = np.bitwise_or.reduce(own.reshape(-1, w), axis=0)
-                elif len(own) < w:
-                    other = np.bitwise_or.reduce(other.reshape(len(other), -1, len(own)), axis=1)
-                most = (n[at] + n[k] - np.bitwise_count(other ^ own).sum(1, dtype=np.int64)) // 2
-                keep = similar(most, n[at], n[k])
-                found.append((np.full(int(keep.sum()), k), at[keep], (most / (n[at] + n[k] - most))[keep]))
+        found = [(np.full(len(at), k), at, most) for k, at, most in _met(side, n, crowded, label, [bitmap(x, SHARP) for x in sets])]
         a, b = _joining(found, sets, label)
+        give_back()
         return pa.table({"a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
-    met = left.select(columns).unionByName(right.select(columns)).join(sets, "s")
-    return met.groupBy("h", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    sketches = written(sets.mapInArrow(sketch, "s long, bits binary"), "sketches")
+    placed = left.select(columns).unionByName(right.select(columns))
+    some = placed.join(sketches, "s").groupBy("h", "i", "j").applyInArrow(
+        hopeful, "h long, i long, j long, side int, s long, n long, crowded boolean, label long")
+    some = written(some, "hopeful")
+    forget(sketches)
+    return some.join(sets, "s").groupBy("h", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _met(side, n, crowded, label, bits):
+    """(row of side 0, rows of side 1 that may link with it, bounds of similarity) of a block."""
+    length = np.array([len(x) for x in bits])
+    theirs = np.flatnonzero(side == 1)
+    by_length = {w: theirs[length[theirs] == w] for w in np.unique(length[theirs])}
+    stacked = {w: np.stack([bits[k] for k in at]) for w, at in by_length.items()}
+    for k in np.flatnonzero(side == 0):
+        for w, at in by_length.items():
+            use = (label[at] != label[k]) & (crowded[at] | crowded[k]) & (
+                100 * np.minimum(n[at], n[k]) >= SIMILAR * np.maximum(n[at], n[k]))
+            if not use.any():
+                continue
+            own, other, at = bits[k], stacked[w][use], at[use]
+            if len(own) > w:
+                own = np.bitwise_or.reduce(own.reshape(-1, w), axis=0)
+            elif len(own) < w:
+                other = np.bitwise_or.reduce(other.reshape(len(other), -1, len(own)), axis=1)
+            most = (n[at] + n[k] - np.bitwise_count(other ^ own).sum(1, dtype=np.int64)) // 2
+            keep = similar(most, n[at], n[k])
+            if keep.any():
+                yield k, at[keep], (most / (n[at] + n[k] - most))[keep]
 
 
 def _joining(found, sets, label):
