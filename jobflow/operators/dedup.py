@@ -14,6 +14,9 @@ guess all entities, derive from the guess which keys were known when, let every
 again, and stop when no row changes. Each round makes at least the next dependency level
 final, and a table that does not change is the sequential answer. All rounds are joins and
 map-side combined aggregates; no group is ever collected, whatever its size.
+
+``mode="component"`` is the coarser rule: rows that share a url key or an identity key, directly or
+through other rows, are one entity. Its fields are filled and replaced in ``seq`` order as above.
 """
 
 import logging
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobflow.functions.text import is_blank, normalize_key, normalize_text, strip
 from jobflow.functions.urls import clean_url, normalize_url
+from jobflow.operators.graph import connected_components
 from jobflow.schema import BROAD_FIELDS
 from jobflow.session import cut_lineage, discard
 
@@ -267,6 +271,26 @@ def assign_entities(facts: DataFrame, chunk_rows: int = 1_000_000, max_rounds: i
             raise RuntimeError(f"entities still change after {rounds} rounds")
 
 
+def assign_components(facts: DataFrame):
+    """Facts plus ``entity``, the smallest seq among all rows linked by keys; and the paths behind the frame.
+
+    Rows of one identity are one node from the start, so only links between identities are left: each
+    url ties its identities to the smallest of them. An empty url links nothing; the identity of
+    rows without title, institution and location links them like any other.
+    """
+    written: list = []
+    aside: list = []
+    facts = facts.withColumn("identity", F.concat_ws("|", *[F.col(f"{n}_key") for n in _PARTS]))
+    nodes = cut_lineage(facts.groupBy("identity").agg(F.min("seq").alias("node")), aside)
+    rows = cut_lineage(facts.join(nodes, "identity"), written)
+    carried = cut_lineage(rows.where(F.col("url_key") != "").select("url_key", "node").distinct(), aside)
+    hubs = cut_lineage(carried.groupBy("url_key").agg(F.min("node").alias("hub")), aside)
+    found = connected_components(carried.join(hubs, "url_key"), "node", "hub", written)
+    discard(facts.sparkSession, aside)
+    linked = rows.join(found, "node", "left")
+    return linked.withColumn("entity", F.coalesce("component", "node")).drop("node", "component"), written
+
+
 def entity_donors(assigned: DataFrame, written: list) -> DataFrame:
     """Per entity and field: the seq of the row whose value the entity ends up with."""
     rows = _with_entity_times(assigned, written)
@@ -289,9 +313,19 @@ def entity_donors(assigned: DataFrame, written: list) -> DataFrame:
     )
 
 
-def merge_entities(df: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """One merged posting per entity; ``seq`` is the ordinal of the row that started it."""
-    assigned, paths = assign_entities(entity_facts(df), chunk_rows)
+def merge_entities(df: DataFrame, chunk_rows: int = 1_000_000, mode: str = "replay") -> DataFrame:
+    """One merged posting per entity; ``seq`` is the ordinal of the row that started it.
+
+    ``mode`` is ``replay`` (rows taken one by one, as the module says) or ``component`` (all rows
+    linked by keys are one entity).
+    """
+    if mode == "replay":
+        assigned, paths = assign_entities(entity_facts(df), chunk_rows)
+    elif mode == "component":
+        assigned, paths = assign_components(entity_facts(df))
+        assigned = cut_lineage(assigned, paths)
+    else:
+        raise ValueError(f"mode is replay or component, not {mode!r}")
     donors = entity_donors(assigned, paths)
     wanted = donors.select(
         "entity",
@@ -302,7 +336,8 @@ def merge_entities(df: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     wanted = cut_lineage(wanted)
     discard(df.sparkSession, paths)
     return (
-        df.join(wanted, "seq")
+        df.select("seq", *BROAD_FIELDS)  # other columns may be named like ours
+        .join(wanted, "seq")
         .groupBy("entity")
         .agg(*[F.max(F.when(F.array_contains("fields", n), F.col(n))).alias(n) for n in BROAD_FIELDS])
         .withColumnRenamed("entity", "seq")

@@ -99,3 +99,34 @@ def dedup_entities(spark, sf):
     return dedup.merge_entities(postings_docs(spark, sf)).select(
         "seq", "title", "institution", "location", "url", "description", "source", "date_posted"
     )
+
+
+def _folded(fields, replaced):
+    """Columns of one fold step: the entity ``e`` meets the row ``r``."""
+    blank = "coalesce(trim({}), '') = ''"
+    out = []
+    for f in fields:
+        take = f"{blank.format('e.' + f)} OR better" if f in replaced else blank.format("e." + f)
+        out.append(f"CASE WHEN NOT {blank.format('r.' + f)} AND ({take}) THEN r.{f} ELSE e.{f} END AS {f}")
+    return ", ".join(out)
+
+
+_FIELDS = ["title", "institution", "location", "url", "description", "source", "date_posted"]
+_RANK = "row(coalesce(trim({0}.description), '') <> '', coalesce(trim({0}.date_posted), '') <> '', length(coalesce(trim({0}.url), '')))"
+# Components by following shared keys to every row reachable, then one row per step and component.
+COMPONENT_SQL = f"""
+WITH RECURSIVE f AS MATERIALIZED (SELECT seq, {", ".join(_FIELDS)}, {_ID_SQL} AS ik, {S.normalize_url('url')} AS uk FROM ({POSTINGS_DOCS_SQL})),
+k AS MATERIALIZED (SELECT seq, 'i' || ik AS key FROM f UNION ALL SELECT seq, 'u' || uk FROM f WHERE uk <> ''),
+reach AS (SELECT seq, seq AS seen FROM f UNION
+  SELECT r.seq, b.seq FROM reach r JOIN k a ON a.seq = r.seen JOIN k b ON b.key = a.key),
+comp AS MATERIALIZED (SELECT f.*, c, row_number() OVER (PARTITION BY c ORDER BY f.seq) AS n
+  FROM f JOIN (SELECT seq, min(seen) AS c FROM reach GROUP BY seq) USING (seq)),
+st AS (SELECT c, n, {", ".join(_FIELDS)} FROM comp WHERE n = 1 UNION ALL
+  SELECT c, n, {", ".join(_FIELDS)} FROM (SELECT e.c, r.n, {_RANK.format("r")} > {_RANK.format("e")} AS better,
+    {_folded(_FIELDS, dedup.REPLACED_FIELDS)} FROM st e JOIN comp r ON r.c = e.c AND r.n = e.n + 1))
+SELECT c AS seq, {", ".join(_FIELDS)} FROM st QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC) = 1"""
+
+
+@query("component_entities", COMPONENT_SQL)
+def component_entities(spark, sf):
+    return dedup.merge_entities(postings_docs(spark, sf), mode="component").select("seq", *_FIELDS)
