@@ -29,35 +29,43 @@ def reported_total(line: Column) -> Column:
     return F.regexp_extract(F.lower(line), r"total:\s*(\d+)", 1).try_cast("long")
 
 
-def log_progress(log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+def log_progress(log: DataFrame, chunk_rows: int = 1_000_000, before: DataFrame | None = None) -> DataFrame:
     """Non-blank lines with n, progress, message and jobs_found (running maximum of totals).
 
     Numbers run per (run, chunk of line numbers) and are completed by chunk summaries, so a run
-    that holds most of the lines spreads over many tasks.
+    that holds most of the lines spreads over many tasks. ``before`` (run_id, n, jobs_found), one row
+    per run, is where earlier lines left off; runs that it lacks start at nothing.
     """
     lines = (
         log.where(~is_blank(F.col("line")))
         .withColumn("chunk", F.floor(F.col("line_no") / chunk_rows))
         .withColumn("total", reported_total(F.col("line")))
     )
-    before = Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks_before = Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lines.groupBy("run_id", "chunk").agg(
         F.count("*").alias("rows"), F.max("total").alias("top")
     ).select(
-        "run_id", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("n_before"),
-        F.max("top").over(before).alias("top_before"),
+        "run_id", "chunk", F.coalesce(F.sum("rows").over(chunks_before), F.lit(0)).alias("n_before"),
+        F.max("top").over(chunks_before).alias("top_before"),
     )
     w = Window.partitionBy("run_id", "chunk").orderBy("line_no")
     inside = lines.withColumn("at", F.row_number().over(w)).withColumn(
         "top", F.max("total").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
+    numbered = inside.join(earlier, ["run_id", "chunk"])
+    if before is None:
+        before_n = before_top = F.lit(0)
+    else:
+        numbered = numbered.join(
+            before.select("run_id", F.col("n").alias("seen_n"), F.col("jobs_found").alias("seen_top")), "run_id", "left"
+        )
+        before_n, before_top = F.coalesce("seen_n", F.lit(0)), F.coalesce("seen_top", F.lit(0))
     return (
-        inside.join(earlier, ["run_id", "chunk"])
-        .withColumn("n", F.col("n_before") + F.col("at"))
+        numbered.withColumn("n", before_n + F.col("n_before") + F.col("at"))
         .withColumn("state", line_progress(F.col("line"), F.col("n")))
         .select(
             "run_id", "line_no", "line", "n", "state.progress", "state.message",
-            F.greatest(F.coalesce("top", F.lit(0)), F.coalesce("top_before", F.lit(0))).alias("jobs_found"),
+            F.greatest(F.coalesce("top", F.lit(0)), F.coalesce("top_before", F.lit(0)), before_top).alias("jobs_found"),
         )
     )
 

@@ -8,8 +8,8 @@ from jobflow.operators import runlog, scoring
 from jobflow.operators.indexing import with_row_index
 from jobflow.operators.keywords import parse_lines
 from jobflow.plans import sql as S
-from jobflow.plans.catalog import query
-from jobflow.streaming import runlog as stream
+from jobflow.plans.catalog import ORACLES, query
+from jobflow.streaming import runlines, runlog as stream
 
 PROFILE = "Structural engineer; ten years of simulation work.\nPython, finite elements."
 _NUMBERED = f"(SELECT *, row_number() OVER (ORDER BY seq) - 1 AS rank FROM ({POSTINGS_DOCS_SQL}))"
@@ -270,6 +270,19 @@ def log_eta(spark, sf):
 
 @query("log_stream", f"SELECT run_id, n, jobs_found, progress, message FROM ({_LAST})")
 def log_stream(spark, sf):
-    batch = table(spark, sf, "events")
-    events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return stream.run_to_end(log_lines(events))
+    return stream.run_to_end(_log_stream(spark, sf))
+
+
+def _log_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return log_lines(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+@query("log_stream_lines", f"SELECT run_id, line_no, line, n, progress, message, jobs_found FROM ({_progress_sql()})")
+def log_stream_lines(spark, sf):
+    return runlines.written_lines(spark, runlines.follow_to_end(_log_stream(spark, sf), chunk_rows=3000))
+
+
+@query("log_stream_tail", f"""SELECT run_id, n, jobs_found, progress, message, tail FROM ({_LAST}) JOIN ({ORACLES["log_tail"]}) USING (run_id)""")
+def log_stream_tail(spark, sf):
+    return runlines.newest_lines_state(spark, runlines.follow_to_end(_log_stream(spark, sf), chunk_rows=3000))
