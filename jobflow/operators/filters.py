@@ -33,12 +33,15 @@ def build_posting(df: DataFrame, scraped_at: str, **fields) -> DataFrame:
     )
 
 
+def is_recent_broad(date_posted: Column, as_of, days_old: int = 30, strict: bool = True) -> Column:
+    """At most ``days_old`` days old (broad rules); an unknown date counts only when not strict."""
+    posted = parse_posted_date(date_posted, as_of, plus_adds_one=False)
+    return let(posted, lambda d: F.coalesce(d >= cutoff(as_of, days_old), F.lit(not strict)))
+
+
 def filter_recent(df: DataFrame, as_of, days_old: int = 30, strict: bool = True) -> DataFrame:
     """Postings at most ``days_old`` days old; unknown dates stay only when not strict."""
-    posted = parse_posted_date(F.col("date_posted"), as_of, plus_adds_one=False)
-    return df.where(
-        let(posted, lambda d: F.coalesce(d >= cutoff(as_of, days_old), F.lit(not strict)))
-    )
+    return df.where(is_recent_broad(F.col("date_posted"), as_of, days_old, strict))
 
 
 def is_recent(date_posted: Column, as_of, days_old: int = 30) -> Column:

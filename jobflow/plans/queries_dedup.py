@@ -72,10 +72,11 @@ def distinct_boards(spark, sf):
 # One row at a time, as the rule is stated: the state after row i holds the url index, the identity
 # index and the entities so far. Blank-only fields of the sample postings stay out of the state.
 _STATE = "seq BIGINT, title VARCHAR, institution VARCHAR, location VARCHAR, tk VARCHAR, ik VARCHAR, lk VARCHAR, date VARCHAR, url VARCHAR, uk VARCHAR, dseq BIGINT, source VARCHAR"
-MERGED_SQL = f"""
+def merged_sql(source):
+    return f"""
 WITH RECURSIVE f AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY seq) AS i, seq, title, institution, location, {S.norm_text('title')} AS tk, {S.norm_text('institution')} AS ik,
-    {S.norm_text('location')} AS lk, date_posted AS date, url, {S.normalize_url('url')} AS uk, source FROM ({POSTINGS_DOCS_SQL})),
+    {S.norm_text('location')} AS lk, date_posted AS date, url, {S.normalize_url('url')} AS uk, source FROM ({source})),
 st AS (
   SELECT CAST(0 AS BIGINT) AS i, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS urls, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS ids, CAST([] AS STRUCT({_STATE})[]) AS ents
   UNION ALL
@@ -90,8 +91,11 @@ st AS (
       FROM (SELECT *, CASE WHEN k <= len(ents) THEN ents[k] END AS e FROM (
         SELECT f.*, st.urls, st.ids, st.ents, coalesce(st.urls[f.uk], st.ids[f.tk || '|' || f.ik || '|' || f.lk], len(st.ents) + 1) AS k
         FROM st JOIN f ON f.i = st.i + 1)))))
-SELECT e.seq, e.title, e.institution, e.location, e.url, d.text AS description, e.source, e.date AS date_posted
-FROM (SELECT unnest(ents) AS e FROM st WHERE i = (SELECT count(*) FROM f)) JOIN documents d ON d.doc_id = e.dseq"""
+SELECT e.seq, e.title, e.institution, e.location, e.url, d.description, e.source, e.date AS date_posted
+FROM (SELECT unnest(ents) AS e FROM st WHERE i = (SELECT count(*) FROM f)) JOIN ({source}) d ON d.seq = e.dseq"""
+
+
+MERGED_SQL = merged_sql(POSTINGS_DOCS_SQL)
 
 
 @query("dedup_entities", MERGED_SQL)

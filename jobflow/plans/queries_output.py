@@ -146,11 +146,11 @@ def company_chunks(spark, sf):
     return spark.read.text(path, wholetext=True).select("chunk_file", "value")
 
 
-@query("download_csv", f"SELECT title, source FROM ({POSTINGS_DOCS_SQL}) WHERE source <> 'src1'")
+@query("download_csv", f"SELECT coalesce(title, '') AS title, coalesce(source, '') AS source FROM ({POSTINGS_DOCS_SQL})")
 def download_csv(spark, sf):
-    """The filtered table as a user downloads it."""
+    """The whole table as a user downloads it."""
     path = scratch_path(spark, "download")
-    writers.write_csv(postings_docs(spark, sf).where("source <> 'src1'").select("title", "source"), path)
+    writers.write_csv(postings_docs(spark, sf).select("title", "source"), path)
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').fillna("")
 
 
@@ -249,11 +249,12 @@ def keyword_file(spark, sf):
     return files.read_keywords(spark, path).select(F.lower("keyword").alias("keyword"))
 
 
-@query("profile_files", "SELECT page_id, url FROM pages")
+@query("profile_files", "SELECT page_id, coalesce(html, '') AS text FROM pages")
 def profile_files(spark, sf):
-    """A small profile file per page: each upload is a file of its own."""
+    """A profile file per page, its whole source as text: each upload is a file of its own."""
     path = scratch_path(spark, "profiles")
-    table(spark, sf, "pages").select("page_id", F.col("url").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
     read = files.read_profiles(spark, path)
     number = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
-    return read.select(number.alias("page_id"), F.rtrim(F.replace(F.col("text"), F.lit("\n"), F.lit(""))).alias("url"))
+    # the writer ends a file with one line end of its own
+    return read.select(number.alias("page_id"), F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))

@@ -1,6 +1,8 @@
 """Whole runs: broad search, company search, mailbox registry, scoring."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from jobflow.fixtures import AS_OF, AS_OF_ISO, KEYWORDS, MAIL_ROWS_SQL, POSTINGS_DOCS_SQL, SIGNALS, mail_rows, postings_docs
 from jobflow.functions import urls
@@ -8,13 +10,13 @@ from jobflow.operators import dedup, discovery, metrics, registry
 from jobflow.plans import name_sql as N
 from jobflow.plans import searches
 from jobflow.plans.catalog import query
-from jobflow.plans.queries_dedup import MERGED_SQL, two_pass_sql
+from jobflow.plans.queries_dedup import MERGED_SQL, merged_sql, two_pass_sql
 from jobflow.plans.queries_filters import COMPOSITE_SQL, CUTOFF, broad_date, restricted_sql
 from jobflow.plans.queries_registry import registry_resolved, site_pages
 from jobflow.plans.queries_scoring import _SCORED, _texts
 from jobflow.plans.queries_sources import search_results
 from jobflow.session import cut_lineage, scratch_path
-from jobflow.sources import landed
+from jobflow.sources import files, landed
 
 FLAGSHIP_SQL = f"SELECT institution, count(*) AS jobs FROM ({two_pass_sql(COMPOSITE_SQL)}) GROUP BY institution"
 
@@ -46,21 +48,34 @@ def sequenced_sources(spark, sf):
     return searches.sequence_sources([boards, postings_docs(spark, sf)]).select("seq", "source")
 
 
-_RUN_SQL = f"""SELECT row_number() OVER (ORDER BY k, seq) - 1 AS seq, title, institution, location, url, description, source, date_posted, scraped_at FROM (
-  SELECT 0 AS k, seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({POSTINGS_DOCS_SQL}) WHERE seq % 3 = 0
-  UNION ALL SELECT 1, seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({POSTINGS_DOCS_SQL}) WHERE seq % 3 = 1)"""
+_PARTS = " UNION ALL ".join(
+    f"SELECT {k} AS k, seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({POSTINGS_DOCS_SQL}) WHERE seq % 3 = {k}"
+    for k in range(3)
+)
+_RUN_SQL = f"SELECT row_number() OVER (ORDER BY k, seq) - 1 AS seq, title, institution, location, url, description, source, date_posted, scraped_at FROM ({_PARTS})"
+_RUN_PHRASES = ["license", "worthless"]
 
 
-@query("broad_run", f"""SELECT 'source' AS part, source AS name, count(*) AS n FROM ({_RUN_SQL}) GROUP BY source
-UNION ALL SELECT 'stage', 'raw', count(*) FROM ({_RUN_SQL})""")
+@query("broad_run", f"""WITH raw AS MATERIALIZED ({_RUN_SQL}), merged AS MATERIALIZED ({merged_sql('raw')}),
+recent AS (SELECT * FROM merged WHERE {broad_date()} >= {CUTOFF}), clean AS (SELECT * FROM recent WHERE NOT {restricted_sql(_RUN_PHRASES)})
+SELECT 'source' AS part, source AS name, count(*) AS n FROM raw GROUP BY source
+UNION ALL SELECT 'stage', 'raw', count(*) FROM raw UNION ALL SELECT 'stage', 'merged', count(*) FROM merged
+UNION ALL SELECT 'stage', 'recent', count(*) FROM recent UNION ALL SELECT 'stage', 'clean', count(*) FROM clean
+UNION ALL SELECT 'saved', 'csv', count(*) FROM clean WHERE trim(coalesce(description, '')) <> ''
+UNION ALL SELECT 'saved', 'empty_urls', count(*) FROM clean WHERE trim(coalesce(description, '')) = ''""")
 def broad_run(spark, sf):
-    """Two landed sources to saved files: postings per source, and the first stage's count."""
+    """All postings, landed as three sources, to saved files: postings per source, rows after each stage, rows read back."""
     docs = postings_docs(spark, sf)
-    run = searches.broad_run([docs.where("seq % 3 = 0"), docs.where("seq % 3 = 1")], AS_OF, phrases=["license", "worthless"])
-    searches.save_broad(run.result.clean, scratch_path(spark, "broad-run"), skip_empty=True)
-    counts = run.sources.select(F.lit("source").alias("part"), F.col("source").alias("name"), F.col("count").alias("n"))
-    first = run.funnel.where("stage = 'raw'").select(F.lit("stage").alias("part"), F.col("stage").alias("name"), F.col("rows").alias("n"))
-    return counts.unionByName(first)
+    run = searches.broad_run([docs.where(f"seq % 3 = {k}") for k in range(3)], AS_OF, phrases=_RUN_PHRASES)
+    path = scratch_path(spark, "broad-run")
+    searches.save_broad(run.result.clean, path, skip_empty=True)
+    saved = {"csv": files.read_results(spark, f"{path}/csv"), "empty_urls": spark.read.text(f"{path}/empty_urls")}
+    parts = [
+        run.sources.select(F.lit("source").alias("part"), F.col("source").alias("name"), F.col("count").alias("n")),
+        run.funnel.select(F.lit("stage").alias("part"), F.col("stage").alias("name"), F.col("rows").alias("n")),
+        *[df.agg(F.count("*").alias("n")).select(F.lit("saved").alias("part"), F.lit(name).alias("name"), "n") for name, df in saved.items()],
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("company_search")

@@ -1,6 +1,5 @@
 """The product's four runs as job chains. Stage order is meaning and is kept."""
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -69,9 +68,13 @@ def broad_run(frames, as_of, days_old: int = 30, strict: bool = True, phrases=No
     """Landed sources to the broad result, with postings per source and rows left after each stage."""
     postings = cut_lineage(sequence_sources(frames))
     result = broad_search(postings, as_of, days_old, strict, phrases)
-    stages = {"raw": postings, "merged": result.merged, "recent": result.recent, "clean": result.clean}
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()]
-    return BroadRun(postings, result, metrics.source_counts(postings), reduce(DataFrame.unionByName, counts))
+    raw = postings.agg(F.count("*").alias("rows")).select(F.lit("raw").alias("stage"), "rows")
+    # what is left of the merged table is counted in one scan of it, not in one per stage
+    later = metrics.stage_funnel(result.merged, {
+        "recent": filters.is_recent_broad(F.col("date_posted"), as_of, days_old, strict),
+        "clean": ~filters.is_restricted(F.col("title"), F.col("description"), phrases),
+    }).withColumnRenamed("raw", "merged").unpivot([], ["merged", "recent", "clean"], "stage", "rows")
+    return BroadRun(postings, result, metrics.source_counts(postings), raw.unionByName(later))
 
 
 def save_broad(result: DataFrame, path: str, chunk_rows: int = writers.CHUNK_ROWS, skip_empty: bool = False) -> None:

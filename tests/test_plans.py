@@ -58,3 +58,18 @@ def test_row_index_is_dense(spark, rows):
     df = spark.range(rows).select((F.col("id") * 7 % 101).alias("k"))
     got = with_row_index(df, ["k"], partitions=5).orderBy("k").collect()
     assert [r.row_index for r in got] == list(range(rows))
+
+
+def test_stages_of_a_run_are_counted_in_one_scan_each_of_two_tables(spark, monkeypatch):
+    from jobflow.plans import searches
+
+    monkeypatch.setattr(dedup, "merge_entities", lambda postings: postings)
+    run = searches.broad_run([postings_docs(spark, SF)], "2024-01-31 00:00:00", phrases=["license"])
+    assert plan(run.funnel).count("Scan parquet") == 2
+    rows = {r["stage"]: r["rows"] for r in run.funnel.collect()}
+    result = run.result
+    assert rows == {
+        "raw": run.postings.count(), "merged": result.merged.count(),
+        "recent": result.recent.count(), "clean": result.clean.count(),
+    }
+    assert rows["clean"] <= rows["recent"] <= rows["merged"]
