@@ -1,32 +1,44 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is rotated by a random orthogonal matrix; its code is one sign bit per coordinate and
-two correction scalars (its length, and how well the signs stand for it). From the packed bits an
-unbiased estimate of a query's inner product follows, with an error bound that holds with a chosen
-probability. Per block of vectors the ``k`` largest lower bounds give a floor that every answer
-must reach; only vectors whose upper bound reaches it are reranked with the original vectors in
-double precision. So bounds choose what is reranked, and the scores returned are exact.
+Every vector is turned by a random rotation into ``bits`` coordinates; its code is one sign bit per
+coordinate and two correction scalars (its length, and how well the signs stand for it). Queries are
+turned alike and cut into bit planes, so that a query's inner product with a code is a count of common
+bits on packed words. The correction makes of it an unbiased estimate, with an interval that holds with
+a chosen probability. Codes are written once; whole vectors are read only where the intervals ask.
 
-The query set (rows whose id divides by ``stride``) meets all rows in blocks: a task holds one block
-of queries and one block of vectors, and gives each query's best ``k`` of the block; those are
-merged by ``k``-limited windows. Bytes per task are fixed by the block sizes.
+1. *Leads.* Blocks of queries meet blocks of codes; each query's ``k`` largest lower bounds over all
+   blocks name ``k`` rows. Their exact products (double precision) are reached by ``k`` rows, so the
+   smallest of them is a floor that every answer must reach.
+2. *Choice.* The blocks meet again; a row whose upper bound reaches a query's floor is asked for. A row
+   goes once to a block of queries, with the list of queries that ask, however many they are.
+3. *Rerank.* Asked pairs are scored with the original vectors in double precision; each query keeps its
+   best ``k`` of a block, then of all. So bounds choose what is reranked, and scores are exact.
+
+The query set (rows whose id divides by ``stride``) meets all rows in blocks. Bytes per task are fixed
+by the block sizes; a group of rows that are near one another is dealt over all blocks.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; nor do null ids.
 Rows that repeat an id are candidates each (for other ids; a query skips all rows of its own id).
 Ties go to the smaller id. Empty tables give empty results; other columns are not read. Vectors
-whose length differs from the first usable one's are compared only with their own length.
+of different lengths are not compared.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from jobflow.llm.common import written
+from jobflow.llm.common import forget, written
 from jobflow.llm.registry import query
 
 K, STRIDE = 20, 20
 #: rows per block of vectors and of queries; error bounds in standard deviations
 BLOCK_ROWS, QUERY_ROWS, SIGMAS = 1 << 14, 1 << 10, 4.0
+#: least sign bits of a code (longer vectors take a bit per component); bit planes of a query
+BITS, PLANES = 1024, 6
+#: (query, row) estimates of one numpy pass
+PASS_PAIRS = 1 << 18
 SEED = 9
 
 
@@ -37,93 +49,202 @@ def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
     return table.where(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
 
 
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+@lru_cache(8)
+def rotation(dim: int, seed: int = SEED, bits: int = BITS) -> np.ndarray:
+    """``dim`` orthonormal rows in a multiple of 64 coordinates, at least ``bits`` and ``dim``."""
+    wide = -(-max(dim, bits) // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((wide, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def encode(x: np.ndarray, turn: np.ndarray):
-    """Packed sign bits, lengths, and <signs / sqrt(dim), unit rotated vector> of every row."""
+    """Packed sign bits, lengths, and <signs / sqrt(bits), unit turned vector> of every row."""
     length = np.sqrt((x * x).sum(1))
     unit = (x / length[:, None]) @ turn
-    signs = unit > 0
-    fit = np.abs(unit).sum(1) / np.sqrt(x.shape[1])
-    return np.packbits(signs, axis=1), length, fit
+    fit = np.abs(unit).sum(1) / np.sqrt(turn.shape[1])
+    return np.packbits(unit > 0, axis=1), length, fit
+
+
+def _planes(unit: np.ndarray):
+    """(least, step, packed planes, sums of levels, length of the remainder) of every row: a row is about
+    least + step * level, and plane p holds bit p of the levels."""
+    least = unit.min(1, keepdims=True)
+    step = np.maximum(unit.max(1, keepdims=True) - least, 1e-30) / ((1 << PLANES) - 1)
+    level = np.rint((unit - least) / step).astype(np.uint8)
+    rest = np.sqrt(((unit - least - step * level) ** 2).sum(1))
+    packed = np.stack([np.packbits((level >> p) & 1, axis=1).view(np.uint64) for p in range(PLANES)], axis=1)
+    return least, step, packed, level.sum(1, dtype=np.int64)[:, None], rest
 
 
 def bounds(queries: np.ndarray, codes, turn: np.ndarray, sigmas: float = SIGMAS):
-    """(estimates, errors) of inner products of queries with coded rows.
+    """(middles, half widths) of the intervals of inner products of queries with coded rows.
 
-    The unit vector lies at angle arccos(fit) from its code; what the code misses is orthogonal to
-    it and, after a random rotation, spreads like one coordinate of a random direction.
+    A unit vector lies at angle arccos(fit) from its code; what the code misses is orthogonal to it and,
+    after a random rotation, spreads like one coordinate of a random direction: an estimate of the cosine
+    c has the variance a (1 - c^2) + b, b for the remainder of the query's planes. The interval holds
+    every c for which the estimate is within ``sigmas`` deviations (a quadratic inequality in c).
     """
     bits, length, fit = codes
-    dim = queries.shape[1]
+    wide = turn.shape[1]
     qlen = np.sqrt((queries * queries).sum(1))
-    unit = ((queries / qlen[:, None]) @ turn).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
-    signs *= 2
-    signs -= 1
-    near = unit @ signs.T / np.float32(np.sqrt(dim))
-    scale = (length / fit).astype(np.float32)
-    miss = np.sqrt(np.maximum(0, 1 - near * near)) * np.sqrt(np.maximum(0, 1 - fit * fit)).astype(np.float32)
-    error = miss * np.float32(sigmas / np.sqrt(max(1, dim - 1))) * scale
-    return near * scale * qlen[:, None].astype(np.float32), (error + 1e-6 * scale) * qlen[:, None].astype(np.float32)
-
-
-def best_of_block(qids, queries, ids, vectors, turn, k=K, sigmas=SIGMAS):
-    """Arrays (query id, id, score): each query's k best rows of one block, reranked exactly."""
+    least, step, planes, levels, rest = _planes((queries / qlen[:, None]) @ turn)
+    words = np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).T)
+    ones = np.bitwise_count(words).sum(0, dtype=np.int64)
+    shape = (len(queries), len(fit))
+    weighted, common, both = np.zeros(shape, np.int32), np.empty(shape, np.uint16), np.empty(shape, np.uint64)
+    for p in range(PLANES):
+        common[:] = 0
+        for w, word in enumerate(words):
+            np.bitwise_and(word[None, :], planes[:, p, w][:, None], out=both)
+            common += np.bitwise_count(both)
+        weighted += common.astype(np.int32) << p
+    # signs are 2 bit - 1, so a product with them is twice the sum over set bits less the sum over all
+    product = least * (2 * ones - wide) + step * (2 * weighted - levels)
+    near = product / (fit * np.sqrt(wide))
+    a = sigmas ** 2 * (1 - fit * fit) / (fit * fit * (wide - 1))
+    b = sigmas ** 2 * (rest * rest)[:, None] / (fit * fit * wide)
+    half = np.sqrt(np.maximum(0, (a + b) * (1 + a) - a * near * near)) / (1 + a)
+    scale = qlen[:, None] * length
+    return near / (1 + a) * scale, (half + 1e-9) * scale
+
+
+def _codes(part: pd.DataFrame, width: int):
+    bits = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), width // 8)
+    return bits, part["length"].to_numpy(), part["fit"].to_numpy()
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def leads(ask: pd.DataFrame, has: pd.DataFrame, k: int, sigmas: float, seed: int, bits: int) -> pd.DataFrame:
+    """(query_row, row, low): each query's k largest lower bounds of one block."""
+    out = []
+    for which, middle, half, own in _met(ask, has, sigmas, seed, bits):
+        low = np.where(own, -np.inf, middle - half)
+        top = np.argpartition(-low, min(k, len(has)) - 1, axis=1)[:, :k]
+        value = np.take_along_axis(low, top, axis=1)
+        real = np.isfinite(value)
+        query_row = np.broadcast_to(ask["row"].to_numpy()[which][:, None], top.shape)
+        out.append(pd.DataFrame({"query_row": query_row[real], "row": has["row"].to_numpy()[top[real]], "low": value[real]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_row": [], "row": [], "low": []})
+
+
+def chosen(ask: pd.DataFrame, has: pd.DataFrame, sigmas: float, seed: int, bits: int) -> pd.DataFrame:
+    """(row, asked): the rows of one block that may reach a query's floor, with those queries' rows."""
+    rows, asks = [], []
+    for which, middle, half, own in _met(ask, has, sigmas, seed, bits):
+        reach = (middle + half >= ask["floor"].to_numpy()[which][:, None]) & ~own
+        q, r = np.nonzero(reach)
+        rows.append(r)
+        asks.append(ask["row"].to_numpy()[which][q])
+    if not rows or not sum(map(len, rows)):
+        return pd.DataFrame({"row": [], "asked": pd.Series([], dtype=object)})
+    r, q = np.concatenate(rows), np.concatenate(asks)
+    order = np.argsort(r, kind="stable")
+    r, q = r[order], q[order]
+    cuts = np.flatnonzero(np.diff(r)) + 1
+    return pd.DataFrame({"row": has["row"].to_numpy()[r[np.concatenate([[0], cuts])]], "asked": pd.Series(np.split(q, cuts), dtype=object)})
+
+
+def _met(ask, has, sigmas, seed, bits):
+    """(slice of queries, middles, half widths, same id) of one block, in passes of bounded size."""
+    if not len(ask) or not len(has):
+        return
+    q = _matrix(ask["v"])
+    turn = rotation(q.shape[1], seed, bits)
+    codes, ids, own = _codes(has, turn.shape[1]), has["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
+    step = max(1, PASS_PAIRS // len(has))
+    for s in range(0, len(q), step):
+        which = slice(s, s + step)
+        yield which, *bounds(q[which], codes, turn, sigmas), own[which][:, None] == ids[None, :]
+
+
+def rerank(ask: pd.DataFrame, has: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, query_row, vec_id, score): each query's k best of the rows asked for in one block."""
     out = []
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    codes = encode(vectors, turn)
-    step = max(1, (1 << 22) // max(1, len(ids)))
-    for s in range(0, len(qids), step):
-        qid, q = qids[s:s + step], queries[s:s + step]
-        estimate, error = bounds(q, codes, turn, sigmas)
-        low = estimate - error
-        own = qid[:, None] == ids[None, :]
-        low[own] = -np.inf
-        kth = max(0, len(ids) - k - 1)  # a query's own row may be among them, so one more
-        floor = np.partition(low, kth, axis=1)[:, kth] if len(ids) > k else np.full(len(qid), -np.inf)
-        maybe = (estimate + error >= floor[:, None]) & ~own
-        for r in range(len(qid)):
-            at = np.flatnonzero(maybe[r])
-            exact = (vectors[at] * q[r]).sum(1)
+    if len(ask) and len(has):
+        lens = has["asked"].map(len).to_numpy()
+        pair_row, pair_query = np.repeat(np.arange(len(has)), lens), np.concatenate(has["asked"].to_list())
+        order = np.argsort(pair_query, kind="stable")
+        pair_row, pair_query = pair_row[order], pair_query[order]
+        x, ids, q = _matrix(has["v"]), has["vec_id"].to_numpy(), _matrix(ask["v"])
+        rows = ask["row"].to_numpy()
+        first, last = np.searchsorted(pair_query, rows, "left"), np.searchsorted(pair_query, rows, "right")
+        for i in range(len(ask)):
+            at = pair_row[first[i]:last[i]]
+            exact = (x[at] * q[i]).sum(1)
             top = np.lexsort((ids[at], -exact))[:k]
-            out.append((np.full(len(top), qid[r]), ids[at][top], exact[top]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out.append(pd.DataFrame({"query_id": ask["vec_id"].iloc[i], "query_row": rows[i], "vec_id": ids[at][top], "score": exact[top]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
 
 
-def search(table: DataFrame, stride: int = STRIDE, k: int = K, block_rows: int = BLOCK_ROWS,
-           query_rows: int = QUERY_ROWS, sigmas: float = SIGMAS, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the queries ``vec_id % stride = 0`` against all rows."""
+def coded(table: DataFrame, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """Written table (row, vec_id, dim, v, code, length, fit) of all vectors that take part."""
     rows = usable(table).where("vec_id IS NOT NULL").select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"),
-        F.size("embedding").alias("dim"))
-    rows = written(rows, "vectors")
-    n = rows.count()
+        F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
+        F.size("embedding").alias("dim"), F.col("embedding").alias("v"))
+
+    def add_codes(parts):
+        for part in parts:
+            for dim, same in part.groupby("dim"):
+                code, length, fit = encode(_matrix(same["v"]), rotation(int(dim), seed, bits))
+                yield same.assign(code=[c.tobytes() for c in code], length=length, fit=fit)
+
+    kind = rows.schema["v"].dataType.simpleString()
+    return written(rows.mapInPandas(
+        add_codes, f"row long, vec_id long, dim int, v {kind}, code binary, length double, fit double"), "codes")
+
+
+def _cogroup(asks: DataFrame, has: DataFrame, fn, schema: str) -> DataFrame:
+    keys = ["dim", "qblock", "block"]
+    schema = "dim int, qblock long, block long, " + schema
+
+    def with_keys(key, ask, row):
+        return fn(ask, row).assign(dim=key[0], qblock=key[1], block=key[2])
+
+    return asks.groupBy(*keys).cogroup(has.groupBy(*keys)).applyInPandas(with_keys, schema)
+
+
+def candidates(codes: DataFrame, stride: int = STRIDE, k: int = K, block_rows: int = BLOCK_ROWS,
+               query_rows: int = QUERY_ROWS, sigmas: float = SIGMAS, seed: int = SEED, bits: int = BITS):
+    """(questions, asked): every query in every block, and the written rows that the bounds choose."""
+    n = codes.count()
     blocks, qblocks = -(-max(n, 1) // block_rows), -(-max(n, 1) // (stride * query_rows))
-    vectors = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks))).withColumn(
-        "qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<long>"))).withColumn("is_query", F.lit(False))
-    queries = rows.where(F.col("vec_id") % stride == 0).withColumn(
-        "qblock", F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(qblocks))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).withColumn("is_query", F.lit(True))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        asks, has = part[part["is_query"]], part[~part["is_query"]]
-        if not len(asks) or not len(has):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, x = (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (asks, has))
-        found = best_of_block(asks["vec_id"].to_numpy(), q, has["vec_id"].to_numpy(), x, rotation(q.shape[1], seed), k, sigmas)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    columns = ["dim", "qblock", "block", "is_query", "vec_id", "v"]
-    met = vectors.select(columns).unionByName(queries.select(columns)).groupBy("dim", "qblock", "block").applyInPandas(
-        meet, "query_id long, vec_id long, score double")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
+
+    # columns of their own: both sides of a cogroup come from one table
+    queries = codes.where(F.col("vec_id") % stride == 0).select([F.col(c).alias(c) for c in ("dim", "row", "vec_id", "v")]).withColumn(
+        "qblock", F.pmod(F.xxhash64("row", F.lit(seed + 1)), F.lit(qblocks)))
+    asks = queries.withColumn("block", every(blocks))
+    has = codes.select("dim", "row", "vec_id", "code", "length", "fit").withColumn(
+        "block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks))).withColumn("qblock", every(qblocks))
+    led = _cogroup(asks, has, lambda a, h: leads(a, h, k, sigmas, seed, bits), "query_row long, row long, low double")
+    first = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("low"), "row"))
+    led = led.withColumn("nth", first).where(F.col("nth") <= k).select("query_row", "row")
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    led = led.join(codes.select("row", "v"), "row").join(
+        queries.select(F.col("row").alias("query_row"), F.col("v").alias("q")), "query_row")
+    # a sum in another order differs in its last digits
+    size = F.sqrt(F.aggregate(F.transform("q", lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
+    floors = led.groupBy("query_row").agg(
+        F.min(product - F.abs(product) * 1e-9 - size * 1e-12).alias("least"), F.count("*").alias("led"))
+    floors = written(floors.select(F.col("query_row").alias("row"), F.when(F.col("led") >= k, F.col("least")).alias("floor")), "floors")
+    asking = asks.join(floors, "row", "left").fillna({"floor": float("-inf")})
+    asked = written(_cogroup(asking, has, lambda a, h: chosen(a, h, sigmas, seed, bits), "row long, asked array<long>"), "asked")
+    forget(floors)
+    return asks, asked
+
+
+def search(table: DataFrame, stride: int = STRIDE, k: int = K, block_rows: int = BLOCK_ROWS,
+           query_rows: int = QUERY_ROWS, sigmas: float = SIGMAS, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the queries ``vec_id % stride = 0`` against all rows."""
+    codes = coded(table, seed, bits)
+    asks, asked = candidates(codes, stride, k, block_rows, query_rows, sigmas, seed, bits)
+    met = _cogroup(asks, asked.join(codes.select("row", "vec_id", "v"), "row"), lambda a, h: rerank(a, h, k),
+                   "query_id long, query_row long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -97,6 +97,30 @@ def test_error_bounds_hold():
     assert (np.abs(estimate - q @ x.T) <= error).mean() > 0.999
 
 
+def test_codes_choose_what_is_reranked(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x[3000:] = x[:1] + rng.standard_normal((1000, 64)) * 0.1  # a quarter of the rows near one another
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS).repartition(4)
+    codes = ann.coded(df)
+    assert len(codes.first().code) == ann.BITS // 8
+    _, asked = ann.candidates(codes, block_rows=1000, query_rows=50)
+    got = asked.select("dim", F.explode("asked").alias("query"), "row").collect()
+    assert len(got) == len({(r.query, r.row) for r in got})
+    far = {r.row for r in codes.where("vec_id < 3000").select("row").collect()}
+    assert sum(r.query in far for r in got) < 0.1 * 150 * 4000
+    # the queries of the group ask for all of it (0.06 of all pairs), its cosines lie within the bounds
+    assert len(got) < 0.15 * 200 * 4000
+    exact = x.astype(float) @ x[::20].T.astype(float)
+    np.fill_diagonal(exact[::20], -np.inf)
+    best = np.sort(np.argsort(-exact, axis=0)[:20], axis=0)
+    found = ann.search(df, block_rows=1000, query_rows=50).toPandas()
+    assert (found.groupby("query_id").size() == 20).all()
+    hits = sum(len(set(best[:, q // 20]) & set(f["vec_id"])) for q, f in found.groupby("query_id"))
+    assert hits >= 0.999 * best.size
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>no</article>";</script></head>
 <body><header class="top"><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="sidebar"><p>Side text that is long enough to look like an article, if only it were not where it is.</p></div>
