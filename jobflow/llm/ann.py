@@ -1,10 +1,12 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is turned by a random rotation into ``bits`` coordinates; its code is one sign bit per
-coordinate and two correction scalars (its length, and how well the signs stand for it). Queries are
+Every vector is turned by random rotations into ``bits`` coordinates; its code is one sign bit per
+coordinate and correction scalars (its length, and how well the signs stand for it). Queries are
 turned alike and cut into bit planes, so that a query's inner product with a code is a count of common
 bits on packed words. The correction makes of it an unbiased estimate, with an interval that holds with
-a chosen probability. Codes are written once; whole vectors are read only where the intervals ask.
+a chosen probability. A code's first level is a short code of its own: all pairs are bounded by it, and
+the pairs it leaves by the whole code. Codes are written once; whole vectors are read only where the
+intervals ask.
 
 1. *Leads.* Blocks of queries meet blocks of codes; each query's ``k`` largest lower bounds over all
    blocks name ``k`` rows. Their exact products (double precision) are reached by ``k`` rows, so the
@@ -35,8 +37,9 @@ from jobflow.llm.registry import query
 K, STRIDE = 20, 20
 #: rows per block of vectors and of queries; error bounds in standard deviations
 BLOCK_ROWS, QUERY_ROWS, SIGMAS = 1 << 14, 1 << 10, 4.0
-#: least sign bits of a code (longer vectors take a bit per component); bit planes of a query
-BITS, PLANES = 1024, 6
+#: sign bits of a code and of its first level, at least (a level has a bit per component); bit planes of a
+#: query for whole codes and for first levels
+BITS, LEVEL, PLANES, FIRST_PLANES = 1024, 256, 6, 4
 #: (query, row) estimates of one numpy pass
 PASS_PAIRS = 1 << 18
 SEED = 9
@@ -51,10 +54,24 @@ def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
 
 @lru_cache(8)
 def rotation(dim: int, seed: int = SEED, bits: int = BITS) -> np.ndarray:
-    """``dim`` orthonormal rows in a multiple of 64 coordinates, at least ``bits`` and ``dim``."""
-    wide = -(-max(dim, bits) // 64) * 64
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((wide, dim)))
-    return (q * np.sign(np.diag(r))).T
+    """``dim`` orthonormal rows over ``bits`` coordinates or more: levels of :func:`level_bits` side by
+    side, each a random rotation of its own, so that the first level alone is a code as well."""
+    wide = level_bits(dim)
+    rng, levels = np.random.default_rng(seed), []
+    for _ in range(-(-bits // wide)):
+        q, r = np.linalg.qr(rng.standard_normal((wide, dim)))
+        levels.append((q * np.sign(np.diag(r))).T)
+    return np.concatenate(levels, axis=1) / np.sqrt(len(levels))
+
+
+def level_bits(dim: int) -> int:
+    """Bits of one level: whole 64-bit words, a bit per component at least."""
+    return -(-max(dim, LEVEL) // 64) * 64
+
+
+def first_level(turn: np.ndarray) -> np.ndarray:
+    wide = level_bits(len(turn))
+    return turn[:, :wide] * np.sqrt(turn.shape[1] / wide)
 
 
 def encode(x: np.ndarray, turn: np.ndarray):
@@ -65,15 +82,55 @@ def encode(x: np.ndarray, turn: np.ndarray):
     return np.packbits(unit > 0, axis=1), length, fit
 
 
-def _planes(unit: np.ndarray):
-    """(least, step, packed planes, sums of levels, length of the remainder) of every row: a row is about
-    least + step * level, and plane p holds bit p of the levels."""
-    least = unit.min(1, keepdims=True)
-    step = np.maximum(unit.max(1, keepdims=True) - least, 1e-30) / ((1 << PLANES) - 1)
-    level = np.rint((unit - least) / step).astype(np.uint8)
-    rest = np.sqrt(((unit - least - step * level) ** 2).sum(1))
-    packed = np.stack([np.packbits((level >> p) & 1, axis=1).view(np.uint64) for p in range(PLANES)], axis=1)
-    return least, step, packed, level.sum(1, dtype=np.int64)[:, None], rest
+class Asked:
+    """Queries, turned and cut into bit planes: a turned query is about least + step * level, and plane p
+    holds bit p of the levels; ``rest`` is the length of what the levels miss."""
+
+    def __init__(self, queries: np.ndarray, turn: np.ndarray, planes: int = PLANES):
+        self.wide, self.length = turn.shape[1], np.sqrt((queries * queries).sum(1))
+        unit = (queries / self.length[:, None]) @ turn
+        self.least = unit.min(1)
+        self.step = np.maximum(unit.max(1) - self.least, 1e-30) / ((1 << planes) - 1)
+        level = np.rint((unit - self.least[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.rest = np.sqrt(((unit - self.least[:, None] - self.step[:, None] * level) ** 2).sum(1))
+        self.levels = level.sum(1, dtype=np.int64)
+        self.planes = [np.packbits((level >> p) & 1, axis=1).view(np.uint64) for p in range(planes)]
+
+    def all_bounds(self, bits, length, fit, sigmas):
+        """(middles, half widths) of all queries with all coded rows."""
+        words = np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).T)
+        shape = (len(self.length), len(fit))
+        weighted, common, both = np.zeros(shape, np.int32), np.empty(shape, np.uint16), np.empty(shape, np.uint64)
+        for p, plane in enumerate(self.planes):
+            common[:] = 0
+            for w, word in enumerate(words):
+                np.bitwise_and(word[None, :], plane[:, w][:, None], out=both)
+                common += np.bitwise_count(both)
+            weighted += common.astype(np.int32) << p
+        ones = np.bitwise_count(words).sum(0, dtype=np.int64)
+        return self._interval(weighted, ones[None, :], length[None, :], fit[None, :], np.arange(shape[0])[:, None], sigmas)
+
+    def pair_bounds(self, q, r, bits, length, fit, sigmas):
+        """(middles, half widths) of the pairs of query ``q[i]`` with row ``r[i]``."""
+        words = np.ascontiguousarray(bits).view(np.uint64)
+        middle, half = np.empty(len(q)), np.empty(len(q))
+        for s in range(0, len(q), PASS_PAIRS):
+            i, j = q[s:s + PASS_PAIRS], r[s:s + PASS_PAIRS]
+            has = words[j]
+            weighted = sum(np.bitwise_count(has & plane[i]).sum(1, dtype=np.int64) << p for p, plane in enumerate(self.planes))
+            ones = np.bitwise_count(has).sum(1, dtype=np.int64)
+            middle[s:s + PASS_PAIRS], half[s:s + PASS_PAIRS] = self._interval(weighted, ones, length[j], fit[j], i, sigmas)
+        return middle, half
+
+    def _interval(self, weighted, ones, length, fit, q, sigmas):
+        # signs are 2 bit - 1, so a product with them is twice the sum over set bits less the sum over all
+        product = self.least[q] * (2 * ones - self.wide) + self.step[q] * (2 * weighted - self.levels[q])
+        near = product / (fit * np.sqrt(self.wide))
+        a = sigmas ** 2 * (1 - fit * fit) / (fit * fit * (self.wide - 1))
+        b = sigmas ** 2 * self.rest[q] ** 2 / (fit * fit * self.wide)
+        half = np.sqrt(np.maximum(0, (a + b) * (1 + a) - a * near * near)) / (1 + a)
+        scale = self.length[q] * length
+        return near / (1 + a) * scale, (half + 1e-9) * scale
 
 
 def bounds(queries: np.ndarray, codes, turn: np.ndarray, sigmas: float = SIGMAS):
@@ -84,80 +141,65 @@ def bounds(queries: np.ndarray, codes, turn: np.ndarray, sigmas: float = SIGMAS)
     c has the variance a (1 - c^2) + b, b for the remainder of the query's planes. The interval holds
     every c for which the estimate is within ``sigmas`` deviations (a quadratic inequality in c).
     """
-    bits, length, fit = codes
-    wide = turn.shape[1]
-    qlen = np.sqrt((queries * queries).sum(1))
-    least, step, planes, levels, rest = _planes((queries / qlen[:, None]) @ turn)
-    words = np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).T)
-    ones = np.bitwise_count(words).sum(0, dtype=np.int64)
-    shape = (len(queries), len(fit))
-    weighted, common, both = np.zeros(shape, np.int32), np.empty(shape, np.uint16), np.empty(shape, np.uint64)
-    for p in range(PLANES):
-        common[:] = 0
-        for w, word in enumerate(words):
-            np.bitwise_and(word[None, :], planes[:, p, w][:, None], out=both)
-            common += np.bitwise_count(both)
-        weighted += common.astype(np.int32) << p
-    # signs are 2 bit - 1, so a product with them is twice the sum over set bits less the sum over all
-    product = least * (2 * ones - wide) + step * (2 * weighted - levels)
-    near = product / (fit * np.sqrt(wide))
-    a = sigmas ** 2 * (1 - fit * fit) / (fit * fit * (wide - 1))
-    b = sigmas ** 2 * (rest * rest)[:, None] / (fit * fit * wide)
-    half = np.sqrt(np.maximum(0, (a + b) * (1 + a) - a * near * near)) / (1 + a)
-    scale = qlen[:, None] * length
-    return near / (1 + a) * scale, (half + 1e-9) * scale
-
-
-def _codes(part: pd.DataFrame, width: int):
-    bits = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), width // 8)
-    return bits, part["length"].to_numpy(), part["fit"].to_numpy()
+    return Asked(queries, turn).all_bounds(*codes, sigmas)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _met(ask, has, pick, sigmas, seed, bits):
+    """(query, row, middle, half) as arrays over the pairs of one block that ``pick`` leaves after the
+    first level, bounded by the whole codes; in passes of bounded size."""
+    if not len(ask) or not len(has):
+        return
+    queries = _matrix(ask["v"])
+    turn = rotation(queries.shape[1], seed, bits)
+    first, length = first_level(turn), has["length"].to_numpy()
+    code = np.frombuffer(b"".join(has["code"]), np.uint8).reshape(len(has), turn.shape[1] // 8)
+    whole, brief = (code, length, has["fit"].to_numpy()), (
+        np.ascontiguousarray(code[:, :first.shape[1] // 8]), length, has["first_fit"].to_numpy())
+    ids, own = has["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
+    step = max(1, PASS_PAIRS // len(has))
+    for s in range(0, len(queries), step):
+        middle, half = Asked(queries[s:s + step], first, FIRST_PLANES).all_bounds(*brief, sigmas)
+        q, r = np.nonzero(pick(slice(s, s + step), middle, half) & (own[s:s + step, None] != ids[None, :]))
+        yield q + s, r, *Asked(queries[s:s + step], turn).pair_bounds(q, r, *whole, sigmas)
+
+
 def leads(ask: pd.DataFrame, has: pd.DataFrame, k: int, sigmas: float, seed: int, bits: int) -> pd.DataFrame:
-    """(query_row, row, low): each query's k largest lower bounds of one block."""
+    """(query_row, row, low): each query's k largest lower bounds among the first level's 4 k best of one block."""
+
+    def best(_, middle, half):
+        most = min(4 * k + 1, len(has))
+        return middle >= -np.partition(-middle, most - 1, axis=1)[:, most - 1:most]
+
     out = []
-    for which, middle, half, own in _met(ask, has, sigmas, seed, bits):
-        low = np.where(own, -np.inf, middle - half)
-        top = np.argpartition(-low, min(k, len(has)) - 1, axis=1)[:, :k]
-        value = np.take_along_axis(low, top, axis=1)
-        real = np.isfinite(value)
-        query_row = np.broadcast_to(ask["row"].to_numpy()[which][:, None], top.shape)
-        out.append(pd.DataFrame({"query_row": query_row[real], "row": has["row"].to_numpy()[top[real]], "low": value[real]}))
+    for q, r, middle, half in _met(ask, has, best, sigmas, seed, bits):
+        low = middle - half
+        order = np.lexsort((-low, q))
+        q, r, low = q[order], r[order], low[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        out.append(pd.DataFrame({"query_row": ask["row"].to_numpy()[q[top]], "row": has["row"].to_numpy()[r[top]], "low": low[top]}))
     return pd.concat(out) if out else pd.DataFrame({"query_row": [], "row": [], "low": []})
 
 
 def chosen(ask: pd.DataFrame, has: pd.DataFrame, sigmas: float, seed: int, bits: int) -> pd.DataFrame:
     """(row, asked): the rows of one block that may reach a query's floor, with those queries' rows."""
+    floor = ask["floor"].to_numpy()
     rows, asks = [], []
-    for which, middle, half, own in _met(ask, has, sigmas, seed, bits):
-        reach = (middle + half >= ask["floor"].to_numpy()[which][:, None]) & ~own
-        q, r = np.nonzero(reach)
-        rows.append(r)
-        asks.append(ask["row"].to_numpy()[which][q])
-    if not rows or not sum(map(len, rows)):
+    for q, r, middle, half in _met(ask, has, lambda part, m, h: m + h >= floor[part, None], sigmas, seed, bits):
+        reach = middle + half >= floor[q]
+        rows.append(r[reach])
+        asks.append(ask["row"].to_numpy()[q[reach]])
+    if not sum(map(len, rows)):
         return pd.DataFrame({"row": [], "asked": pd.Series([], dtype=object)})
     r, q = np.concatenate(rows), np.concatenate(asks)
     order = np.argsort(r, kind="stable")
     r, q = r[order], q[order]
     cuts = np.flatnonzero(np.diff(r)) + 1
-    return pd.DataFrame({"row": has["row"].to_numpy()[r[np.concatenate([[0], cuts])]], "asked": pd.Series(np.split(q, cuts), dtype=object)})
-
-
-def _met(ask, has, sigmas, seed, bits):
-    """(slice of queries, middles, half widths, same id) of one block, in passes of bounded size."""
-    if not len(ask) or not len(has):
-        return
-    q = _matrix(ask["v"])
-    turn = rotation(q.shape[1], seed, bits)
-    codes, ids, own = _codes(has, turn.shape[1]), has["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
-    step = max(1, PASS_PAIRS // len(has))
-    for s in range(0, len(q), step):
-        which = slice(s, s + step)
-        yield which, *bounds(q[which], codes, turn, sigmas), own[which][:, None] == ids[None, :]
+    return pd.DataFrame({"row": has["row"].to_numpy()[r[np.concatenate([[0], cuts])]],
+                         "asked": pd.Series(np.split(q, cuts), dtype=object)})
 
 
 def rerank(ask: pd.DataFrame, has: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -180,7 +222,7 @@ def rerank(ask: pd.DataFrame, has: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def coded(table: DataFrame, seed: int = SEED, bits: int = BITS) -> DataFrame:
-    """Written table (row, vec_id, dim, v, code, length, fit) of all vectors that take part."""
+    """Written table (row, vec_id, dim, v, code, length, fit, first_fit) of all vectors that take part."""
     rows = usable(table).where("vec_id IS NOT NULL").select(
         F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
         F.size("embedding").alias("dim"), F.col("embedding").alias("v"))
@@ -188,12 +230,14 @@ def coded(table: DataFrame, seed: int = SEED, bits: int = BITS) -> DataFrame:
     def add_codes(parts):
         for part in parts:
             for dim, same in part.groupby("dim"):
-                code, length, fit = encode(_matrix(same["v"]), rotation(int(dim), seed, bits))
-                yield same.assign(code=[c.tobytes() for c in code], length=length, fit=fit)
+                x, turn = _matrix(same["v"]), rotation(int(dim), seed, bits)
+                code, length, fit = encode(x, turn)
+                first_fit = encode(x, first_level(turn))[2]
+                yield same.assign(code=[c.tobytes() for c in code], length=length, fit=fit, first_fit=first_fit)
 
     kind = rows.schema["v"].dataType.simpleString()
     return written(rows.mapInPandas(
-        add_codes, f"row long, vec_id long, dim int, v {kind}, code binary, length double, fit double"), "codes")
+        add_codes, f"row long, vec_id long, dim int, v {kind}, code binary, length double, fit double, first_fit double"), "codes")
 
 
 def _cogroup(asks: DataFrame, has: DataFrame, fn, schema: str) -> DataFrame:
@@ -219,7 +263,7 @@ def candidates(codes: DataFrame, stride: int = STRIDE, k: int = K, block_rows: i
     queries = codes.where(F.col("vec_id") % stride == 0).select([F.col(c).alias(c) for c in ("dim", "row", "vec_id", "v")]).withColumn(
         "qblock", F.pmod(F.xxhash64("row", F.lit(seed + 1)), F.lit(qblocks)))
     asks = queries.withColumn("block", every(blocks))
-    has = codes.select("dim", "row", "vec_id", "code", "length", "fit").withColumn(
+    has = codes.select("dim", "row", "vec_id", "code", "length", "fit", "first_fit").withColumn(
         "block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks))).withColumn("qblock", every(qblocks))
     led = _cogroup(asks, has, lambda a, h: leads(a, h, k, sigmas, seed, bits), "query_row long, row long, low double")
     first = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("low"), "row"))
