@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobflow import rules
-from jobflow.functions.text import first_items, let, strip
+from jobflow.functions.text import first_items, let, normalize_key, strip
 
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]|,"
 
@@ -99,3 +99,41 @@ def signal_terms_of(text: Column, limit: int | None = None) -> Column:
         )
 
     return let(lines, build)
+
+
+def _grams(key: Column) -> Column:
+    """Distinct runs of one, two and three characters of a normalised text, in one pass over it."""
+
+    def runs(chars):
+        def of(n):
+            return F.transform(chars, lambda _, i: F.concat(*(F.get(chars, i + j) for j in range(n))))
+
+        return F.array_compact(F.array_distinct(F.concat(of(1), of(2), of(3))))
+
+    # "" would split into one empty text
+    return let(F.filter(F.split(key, ""), lambda c: c != ""), runs)
+
+
+def keyword_join(texts: DataFrame, keywords: DataFrame, row: str = "row", text: str = "text",
+                 keyword: str = "keyword") -> DataFrame:
+    """(row, keyword): every keyword of a table with every text that holds it, by normalised substring.
+
+    An index of character runs keeps this an equi-join: every keyword is posted under the one of its
+    three-character runs (the whole keyword, if shorter) that the fewest texts hold, texts look up their
+    own runs, and the substring test decides. No part grows with texts x keywords, only with candidates.
+
+    Keywords that are null or normalise to nothing match nothing; equal keywords are one; texts with a
+    null row id take no part; null texts hold nothing; texts that repeat an id answer as one row. Other
+    columns are not read, so their names may clash.
+    """
+    has = texts.where(F.col(row).isNotNull()).select(F.col(row).alias("row"), normalize_key(F.col(text)).alias("body"))
+    runs = has.select("row", F.explode(_grams(F.col("body"))).alias("gram"))
+    keys = keywords.select(F.col(keyword).alias("keyword"), normalize_key(F.col(keyword)).alias("key")).where(
+        F.col("keyword").isNotNull() & (F.col("key") != "")).distinct()
+    own = F.explode(F.filter(_grams(F.col("key")), lambda g: F.length(g) == F.least(F.length("key"), F.lit(3))))
+    parts = keys.select("keyword", "key", own.alias("gram"))
+    held = runs.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"]
+    posted = parts.join(held, "gram", "left").groupBy("keyword", "key").agg(rarest.alias("gram"))
+    found = runs.join(posted, "gram").select("row", "keyword", "key").join(has, "row")
+    return found.where(F.col("body").contains(F.col("key"))).select("row", "keyword").distinct()

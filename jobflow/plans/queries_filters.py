@@ -320,3 +320,24 @@ def keyword_preview(spark, sf):
     return keywords.keyword_preview(_cross(spark, sf), shown=4).select(
         "p_partkey", "total", F.array_join("chips", "|").alias("chips"), "more"
     )
+
+
+# words 2 to 4 of every passage, single words of part types, and runs of one and two letters
+_KEYWORD_TABLE_SQL = """SELECT array_to_string(str_split(text, ' ')[2:4], ' ') AS keyword FROM benchmark
+  UNION SELECT split_part(p_type, ' ', 2) FROM part UNION SELECT upper(substr(text, 3, 2)) FROM benchmark
+  UNION SELECT 'q' UNION SELECT '.' UNION SELECT NULL"""
+
+
+@query("keyword_join", f"""
+WITH k AS (SELECT keyword, {S.norm_key('keyword')} AS key FROM ({_KEYWORD_TABLE_SQL}) WHERE keyword IS NOT NULL),
+t AS (SELECT doc_id, {S.norm_key('text')} AS body FROM documents)
+SELECT DISTINCT doc_id, keyword FROM t JOIN k ON key <> '' AND contains(body, key)""")
+def keyword_join(spark, sf):
+    passages = table(spark, sf, "benchmark")
+    words = F.split("text", " ", -1)
+    table_of = passages.select(F.concat_ws(" ", F.slice(words, 2, 3)).alias("keyword")).union(
+        table(spark, sf, "part").select(F.split_part("p_type", F.lit(" "), F.lit(2)))).union(
+        passages.select(F.upper(F.substring("text", 3, 2)))).union(
+        spark.createDataFrame([("q",), (".",), (None,)], "keyword string"))
+    found = keywords.keyword_join(table(spark, sf, "documents", "doc_id"), table_of, "doc_id")
+    return found.withColumnRenamed("row", "doc_id")
