@@ -114,26 +114,50 @@ def _grams(key: Column) -> Column:
     return let(F.filter(F.split(key, ""), lambda c: c != ""), runs)
 
 
+def held_by(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keys`` (key, more columns; distinct, key not empty) with the ``row`` of every text
+    (row, body) that holds the key as a substring.
+
+    An index of character runs keeps this an equi-join: every key is posted under the one of its
+    three-character runs (the whole key, if shorter) that the fewest texts hold, texts look up their
+    own runs, and the substring test decides. No part grows with texts x keys, only with candidates.
+    """
+    runs = texts.select("row", F.explode(_grams(F.col("body"))).alias("gram"))
+    own = F.explode(F.filter(_grams(F.col("key")), lambda g: F.length(g) == F.least(F.length("key"), F.lit(3))))
+    parts = keys.withColumn("gram", own)
+    held = runs.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"]
+    posted = parts.join(held, "gram", "left").groupBy(keys.columns).agg(rarest.alias("gram"))
+    found = runs.join(posted, "gram").select("row", *keys.columns).join(texts, "row")
+    return found.where(F.col("body").contains(F.col("key"))).select("row", *keys.columns)
+
+
 def keyword_join(texts: DataFrame, keywords: DataFrame, row: str = "row", text: str = "text",
                  keyword: str = "keyword") -> DataFrame:
     """(row, keyword): every keyword of a table with every text that holds it, by normalised substring.
 
-    An index of character runs keeps this an equi-join: every keyword is posted under the one of its
-    three-character runs (the whole keyword, if shorter) that the fewest texts hold, texts look up their
-    own runs, and the substring test decides. No part grows with texts x keywords, only with candidates.
-
     Keywords that are null or normalise to nothing match nothing; equal keywords are one; texts with a
     null row id take no part; null texts hold nothing; texts that repeat an id answer as one row. Other
     columns are not read, so their names may clash.
     """
     has = texts.where(F.col(row).isNotNull()).select(F.col(row).alias("row"), normalize_key(F.col(text)).alias("body"))
-    runs = has.select("row", F.explode(_grams(F.col("body"))).alias("gram"))
     keys = keywords.select(F.col(keyword).alias("keyword"), normalize_key(F.col(keyword)).alias("key")).where(
         F.col("keyword").isNotNull() & (F.col("key") != "")).distinct()
-    own = F.explode(F.filter(_grams(F.col("key")), lambda g: F.length(g) == F.least(F.length("key"), F.lit(3))))
-    parts = keys.select("keyword", "key", own.alias("gram"))
-    held = runs.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"]
-    posted = parts.join(held, "gram", "left").groupBy("keyword", "key").agg(rarest.alias("gram"))
-    found = runs.join(posted, "gram").select("row", "keyword", "key").join(has, "row")
-    return found.where(F.col("body").contains(F.col("key"))).select("row", "keyword").distinct()
+    return held_by(has, keys).select("row", "keyword").distinct()
+
+
+def first_rule(texts: DataFrame, rules_table: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
+    """(row, value): for every row id the value of the first rule (priority, fragment, value) whose
+    fragment is a substring of the text; null where none is.
+
+    The form of a rule ladder for rule tables of any size: rules meet texts through the index of
+    :func:`held_by`, and the first match is one aggregate, combined before its shuffle. The lowest
+    priority wins, ties go to the smaller fragment, then value. Texts and fragments are compared as
+    they are. Rules with a null or empty part match nothing; null texts match no rule; null row ids take
+    no part; texts that repeat an id answer as one row. Other columns are not read.
+    """
+    has = texts.where(F.col(row).isNotNull()).select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("body"))
+    keys = rules_table.select("priority", F.col("fragment").alias("key"), "value").dropna().where(F.col("key") != "").distinct()
+    # both sides of the last join come from one table
+    best = held_by(has, keys).groupBy(F.col("row").alias("matched")).agg(F.min(F.struct("priority", "key", "value"))["value"].alias("value"))
+    return has.select("row").distinct().join(best, F.col("row") == F.col("matched"), "left").select("row", "value")

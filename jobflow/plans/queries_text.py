@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from jobflow import rules
 from jobflow.fixtures import AS_OF, POSTINGS_DOCS_SQL, postings_docs, table
 from jobflow.functions import dates, text, urls
+from jobflow.operators import keywords
 from jobflow.plans import sql as S
 from jobflow.plans.catalog import query
 
@@ -53,6 +54,15 @@ def url_clean(spark, sf):
     return _all_urls(spark, sf).select("page_id", urls.clean_url(F.col("url")).alias("url"))
 
 
+@query("board_type_rules", f"SELECT page_id, {S.board_type('url')} AS board_type FROM ({_ALL_URLS_SQL})")
+def board_type_rules(spark, sf):
+    ladder = [(i, part, name) for i, (name, parts) in enumerate(rules.BOARD_HOSTS.items()) for part in parts]
+    ladder = spark.createDataFrame(ladder, "priority int, fragment string, value string")
+    hosts = _all_urls(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"))
+    found = keywords.first_rule(hosts, ladder, "page_id", "host")
+    return found.select(F.col("row").alias("page_id"), F.col("value").alias("board_type"))
+
+
 @query("url_classify", f"""
 SELECT page_id, {S.board_type('url')} AS board_type, {S.is_asset('url')} AS is_asset,
   {S.is_useful('url')} AS is_useful, {S.is_job_detail('url')} AS is_detail,

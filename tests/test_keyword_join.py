@@ -39,3 +39,22 @@ def test_hundred_thousand_keywords_without_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     rows = {r.row for r in found.collect()}
     assert rows >= {i for i in range(0, 2000, 3)}
+
+
+def test_first_rule_same_as_ladder(spark):
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("ab.C") for _ in range(rng.randrange(0, 12)))) for i in range(200)]
+    texts += [(300, None), (None, "ab"), (301, ""), (302, "ba"), (302, "..")]
+    ladder = [(rng.randrange(6), "".join(rng.choice("ab.C") for _ in range(rng.randrange(1, 5))), f"v{i}") for i in range(25)]
+    ladder += [(0, "", "empty"), (None, "a", "none"), (0, None, "none"), (0, "b", None), (1, "zz", "unseen")]
+    t = spark.createDataFrame(texts, "row long, text string").withColumn("value", F.lit("clash")).withColumn("key", F.lit(1))
+    r = spark.createDataFrame(ladder, "priority int, fragment string, value string").withColumn("row", F.lit(5))
+    got = {x.row: x.value for x in keywords.first_rule(t, r).collect()}
+    live = sorted(x for x in ladder if None not in x and x[1])
+    want = {}
+    for i in {i for i, _ in texts if i is not None}:
+        hits = [x for x in live for j, s in texts if j == i and x[1] in (s or "")]
+        want[i] = min(hits)[2] if hits else None
+    assert got == want
+    none = keywords.first_rule(t, r.limit(0)).collect()
+    assert len(none) == len(want) and all(x.value is None for x in none)
