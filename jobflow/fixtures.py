@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf: str, name: str, key: str | None = None) -> Da
     return df.repartition(int(n), key) if key and n else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A narrow table dealt evenly to all cores, for text work that costs far more than its bytes: a
+    file of a few megabytes is one task otherwise. A scan in more parts keeps their number."""
+    return df.repartition(max(df.rdd.getNumPartitions(), 3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _pick(values, index):
     return F.element_at(literal_array(values), (index % len(values) + 1).cast("int"))
 

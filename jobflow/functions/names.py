@@ -237,7 +237,7 @@ def candidate_name(value: Column, owner_name: str | None = None) -> Column:
             found = F.transform(
                 w,
                 lambda t, i: F.when(
-                    t.rlike(r"(?iU)(^|\W)at$"),
+                    F.lower(t).endswith("at") & t.rlike(r"(?iU)(^|\W)at$"),
                     F.array_join(F.slice(w, i + 2, F.size(w)), " "),
                 ),
             )
@@ -258,9 +258,12 @@ def candidate_name(value: Column, owner_name: str | None = None) -> Column:
             F.array().cast("array<string>")
         )
 
+    def listed(texts):
+        return F.concat(F.flatten(F.transform(texts, before_role)), F.reverse(texts))
+
     def resolve(text):
-        texts = F.concat(F.array(text), after_at(text))
-        ordered = F.concat(F.flatten(F.transform(texts, before_role)), F.reverse(texts))
-        return F.get(F.array_compact(F.transform(ordered, lambda t: _own_name(t, owner_name))), F.lit(0))
+        ordered = let(F.concat(F.array(text), after_at(text)), listed)
+        # the ladder is costly: a text is asked only when none before it gave a name
+        return F.aggregate(ordered, _null(), lambda name, t: F.coalesce(name, _own_name(t, owner_name)))
 
     return let(strip_chars(squash(value), _EDGE), resolve)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from jobflow.fixtures import MAIL_ROWS_SQL, mail_rows, table
+from jobflow.fixtures import MAIL_ROWS_SQL, dealt, mail_rows, table
 from jobflow.functions import names
 from jobflow.functions.text import computed
 from jobflow.operators import evidence
@@ -24,7 +24,7 @@ def raw_names(spark, sf):
         .when(k == 5, F.concat(name, F.lit(" ("), "p_brand", F.lit(")"))).when(k == 6, F.concat(F.lit("Your "), name))
         .when(k == 7, F.lower("p_brand")).otherwise(F.concat(name, F.lit(" | "), "p_type"))
     )
-    return table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
+    return dealt(table(spark, sf, "part").select("p_partkey", raw.alias("raw")))
 
 
 @query("canonical_names", f"SELECT p_partkey, raw, name FROM ({N.canonical(_RAW_SQL)})")
@@ -59,7 +59,7 @@ def candidate_names(spark, sf):
         .when(k == 6, F.concat(n, F.lit(" at site - lab at "), "p_type", F.lit(" - analyst")))
         .otherwise(F.concat(n, F.lit(" Talent Acquisition job")))
     )
-    return table(spark, sf, "part").select("p_partkey", raw.alias("raw")).withColumn(
+    return dealt(table(spark, sf, "part").select("p_partkey", raw.alias("raw"))).withColumn(
         "name", names.candidate_name(F.col("raw"))
     )
 
