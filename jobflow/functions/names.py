@@ -1,5 +1,6 @@
 """Company names out of free text: ordered rule ladders as Column expressions."""
 
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -11,6 +12,8 @@ from jobflow.functions.text import (
 
 _EDGE = " -:|,.;"
 _EDGE_BRACKETS = " -:|,.;()[]{}"
+#: the letters besides A-Z that a case-insensitive Unicode pattern takes for a-z, and what for
+_FOLDED = ("ſıİ\u212a", "siik")
 
 
 def _null():
@@ -50,16 +53,18 @@ def canonical_name(name: Column, owner_name: str | None = None) -> Column:
         )
 
     def cleaned(value):
-        low = F.lower(value)
-        alias = lookup(rules.COMPANY_ALIASES, low)
-        return (
-            F.when(value == "", _null())
-            .when(alias.isNotNull(), alias)
-            .when(low.isin(rules.GENERIC_COMPANIES) | low.isin(rules.STUB_NAMES) | noisy(low), _null())
-            .when(low.endswith(" university") | low.contains("national laboratory"), title_words(value))
-            .when(~value.contains(" "), one_word(value))
-            .otherwise(many_words(value))
-        )
+        def decide(low):
+            alias = lookup(rules.COMPANY_ALIASES, low)
+            return (
+                F.when(value == "", _null())
+                .when(alias.isNotNull(), alias)
+                .when(low.isin(rules.GENERIC_COMPANIES) | low.isin(rules.STUB_NAMES) | noisy(low), _null())
+                .when(low.endswith(" university") | low.contains("national laboratory"), title_words(value))
+                .when(~value.contains(" "), one_word(value))
+                .otherwise(many_words(value))
+            )
+
+        return let(F.lower(value), decide)
 
     def strip_tails(value):
         value = F.regexp_replace(value, r"\s+\|\s+.*$", "")
@@ -155,19 +160,38 @@ def _linear(pattern: str) -> str:
     return rf"(?:\G|(?<!{rules.NAME_CHARS}))[&.,'’()/ -]*+" + pattern
 
 
+def _opening(pattern: str) -> str:
+    """Lower-case text that every match of a pattern begins with; blank when it begins with the name."""
+    plain = re.match(r"[A-Za-z ]*", pattern).group()
+    return (plain[:-1] if pattern[len(plain):][:1] in ("?", "*", "{") else plain).lower()
+
+
+def _folded(text: Column) -> Column:
+    """Lower case in which the opening of a case-insensitive Unicode pattern is found as it stands."""
+    rare = text.rlike(f"[{_FOLDED[0]}]")
+    return F.lower(F.when(rare, F.translate(text, *_FOLDED)).otherwise(text))
+
+
 def row_candidates(row: Column, owner_name: str | None = None) -> Column:
     """Every company a mailbox row names, in rule order, repeats kept."""
 
-    def collect(text):
+    def captured(text, folded):
         none = F.array().cast("array<string>")
-        low = F.lower(text)
         captures = []
         for p in row_patterns(owner_name):
             found = F.regexp_extract_all(text, F.lit("(?iU)" + _linear(p)), F.lit(1))
+            # a pattern costs a look at every character: asked only where its opening words are
             if p.startswith(rules.NAME_CAPTURE):
-                found = F.when(low.contains("@ icims"), found).otherwise(none)
+                closing = "@ icims"
+                found = F.when(folded.contains(closing) & F.lower(text).contains(closing), found).otherwise(none)
+            else:
+                found = F.when(folded.contains(_opening(p)), found).otherwise(none)
             captures.append(found)
-        names = F.transform(F.concat(*captures), lambda c: canonical_name(c, owner_name))
+        return F.concat(*captures)
+
+    def collect(text):
+        captures = let(_folded(text), lambda folded: captured(text, folded))
+        names = F.transform(captures, lambda c: canonical_name(c, owner_name))
         return F.array_compact(F.concat(F.array(sender_company(text, owner_name)), names))
 
     return let(squash(row), collect)

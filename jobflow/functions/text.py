@@ -117,12 +117,14 @@ def company_domains(row: Column) -> Column:
 
 def ats_hints(row: Column) -> Column:
     """Sorted tracking-system names hinted at anywhere in the text."""
-    text = F.lower(row)
     fragments = {}
     for fragment, name in [*rules.ATS_DOMAIN_HINTS.items(), *rules.ATS_KEYWORD_HINTS.items()]:
         fragments.setdefault(name, []).append(fragment)
-    hits = [F.when(any_contains(text, parts), F.lit(n)) for n, parts in sorted(fragments.items())]
-    return F.array_compact(F.array(*hits))
+
+    def hits(text):
+        return F.array(*[F.when(any_contains(text, parts), F.lit(n)) for n, parts in sorted(fragments.items())])
+
+    return F.array_compact(let(F.lower(row), hits))
 
 
 def title_word(word: Column) -> Column:

@@ -1,6 +1,9 @@
 """What must not grow with the tables: single tasks, patterns asked of every text, pages held at once."""
 
+from pyspark.sql import functions as F
+
 from jobflow.fixtures import dealt
+from jobflow.functions import names
 from jobflow.plans import catalog
 
 
@@ -14,3 +17,12 @@ def test_a_small_file_of_names_is_dealt_to_all_cores(spark, tmp_path):
     found = catalog.load_all()[0]["candidate_names"](spark, path)
     assert found.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
     assert found.count() == 66
+
+
+def test_row_patterns_are_asked_behind_their_openings_only(spark):
+    rows = ["THANK YOU FOR APPLYING TO Acme!", "tHanKſ for applying to Zoox!", "your applıcatİon at Ansys now", "nothing to see", "Moog @ icims"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, row string")
+    asked = df.select("i", names.row_candidates(F.col("row")).alias("found"))
+    assert asked._jdf.queryExecution().analyzed().toString().lower().count("contains(") >= len(names.row_patterns())
+    got = [set(r.found) for r in asked.orderBy("i").collect()]
+    assert [name in g for name, g in zip(["Acme", "Zoox", "Ansys", "", "Moog"], got)] == [True, True, True, False, True]
