@@ -1,9 +1,10 @@
 """What must not grow with the tables: single tasks, patterns asked of every text, pages held at once."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from jobflow.fixtures import dealt
-from jobflow.functions import names
+from jobflow.functions import html, names
 from jobflow.plans import catalog
 
 
@@ -26,3 +27,9 @@ def test_row_patterns_are_asked_behind_their_openings_only(spark):
     assert asked._jdf.queryExecution().analyzed().toString().lower().count("contains(") >= len(names.row_patterns())
     got = [set(r.found) for r in asked.orderBy("i").collect()]
     assert [name in g for name, g in zip(["Acme", "Zoox", "Ansys", "", "Moog"], got)] == [True, True, True, False, True]
+
+
+def test_pages_are_parsed_in_small_pieces():
+    pieces = list(html.slices([pd.Series(range(300)), pd.Series([], dtype=object), pd.Series(range(5))], 128))
+    assert [len(p) for p in pieces] == [128, 128, 44, 5]
+    assert [x for p in pieces for x in p] == [*range(300), *range(5)]
