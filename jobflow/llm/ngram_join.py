@@ -17,11 +17,12 @@ common passages) are completed below.
 
 Bounds. Every set has a bitmap of its hashes, its length set by the band of its size (folded to
 the shorter of two). Equal bits bound the overlap from above: (|A| + |B| - differing bits) / 2.
-Only pairs whose bound reaches the threshold go on.
+Only pairs whose bound reaches the threshold go on. The bitmaps are made where the texts are first read.
 
-Exact. Each set is first compared with its smallest partner by intersecting sorted arrays. Pairs that are
-not connected then are bounded, each set is compared with its smallest partner and with the one of the
-best bound, and what is still apart is compared in full. Then the tiles of frequent shingles are visited
+Exact. Each set is first bounded with its smallest partner, and compared by intersecting sorted arrays where
+the bound lets them link. Pairs that are not connected then are bounded, each set is compared with its
+smallest partner and with the one of the best bound, and what is still apart is compared in full. Arrays are made
+of sets that such a pair or a crowded tile holds only. Then the tiles of frequent shingles are visited
 again, in blocks of bounded size: where a crowded set meets sets of another component, longer bitmaps tell
 which sets of the block have a partner that may link. Only these send their arrays to the block, where
 pairs that pass the bound are intersected, best bounds first, unless links found before have joined
@@ -94,11 +95,14 @@ def word_octaves(docs: DataFrame, share: float = SHARE):
     1 / share of them at most."""
     table = written(count_words(docs.select("text", F.lit(0).cast("long").alias("part"))), "words")
     total = table.agg(F.sum("kept")).first()[0] or 0
-    found = table.where(F.col("kept") >= share * total).select("word", "kept").toPandas()
-    words = found["word"].to_numpy(np.int64).view(np.uint64)
+    found = table.where(F.col("kept") >= share * total).select("word", "kept").toArrow()
+    words = found.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    octaves = np.floor(np.log2(np.maximum(found["kept"].to_numpy(np.int64), 1))).astype(np.uint8)
-    return words[order], octaves[order]
+    octaves = np.floor(np.log2(np.maximum(found.column("kept").to_numpy(), 1))).astype(np.uint8)
+    words, octaves = words[order], octaves[order]
+    del found, order
+    give_back()
+    return words, octaves
 
 
 def set_id(shingles: np.ndarray) -> np.int64:
@@ -149,42 +153,44 @@ def _binary(*arrays):
 
 
 def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
-    """Rows (kind, a, b, na, nb): 0 a document (a its id, b its set, na the size), 1 a candidate pair
-    of sets, 2 a posting of a frequent hash (a the hash, b the set), 3 a pair with the first set of
-    a frequent hash's tile."""
+    """Rows (kind, a, b, na, nb, bits): 0 a document (a its id, b its set, na the size, bits the set's
+    bitmap in one row of each set at least), 1 a candidate pair of sets, 2 a posting of a frequent hash
+    (a the hash, b the set), 3 a pair with the first set of a frequent hash's tile."""
     buckets = buckets_for(docs)
     held = docs.sparkSession.sparkContext.broadcast(word_octaves(docs, share))
 
-    def packed(ids, sets, sizes, hashes, owners):
-        """Rows of gathered documents; copies among them post once."""
+    def packed(ids, sets, sizes, maps, hashes, owners):
+        """Rows of gathered documents; copies among them post once and have one bitmap."""
         ids, sets, sizes = np.concatenate(ids), np.array(sets, np.int64), np.array(sizes, np.int32)
-        rows = [(int(ids[0]) % buckets, 0, *_binary(ids, sets, sizes))] if len(ids) else []
+        once = np.zeros(len(sets), bool)
+        once[np.unique(sets, return_index=True)[1]] = True
+        maps = [x if first else None for x, first in zip(maps, once, strict=True)]
+        rows = [(int(ids[0]) % buckets, 0, *_binary(ids, sets, sizes), maps)] if len(ids) else []
         if hashes:
             hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-            once = np.zeros(len(sets), bool)
-            once[np.unique(sets, return_index=True)[1]] = True
             hashes, owners = hashes[once[owners]], owners[once[owners]]
             bucket = mix(hashes) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             hashes, owners, bucket = hashes[order], owners[order], bucket[order]
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                rows.append((int(bucket[a]), 1, *_binary(hashes[a:b].view(np.int64), sets[owners[a:b]], sizes[owners[a:b]])))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)],
-                                          ["bucket", "kind", "x", "y", "z"])
+                rows.append((int(bucket[a]), 1, *_binary(hashes[a:b].view(np.int64), sets[owners[a:b]], sizes[owners[a:b]]), None))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)],
+                                          ["bucket", "kind", "x", "y", "z", "maps"])
 
     def post(batches):
         rarity = held.value
-        held_back, size = ([], [], [], [], []), 0
+        held_back, size = ([], [], [], [], [], []), 0
         for batch in slices(batches):
-            ids, sets, sizes, hashes, owners = held_back
+            ids, sets, sizes, maps, hashes, owners = held_back
             ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
             data, offsets = text_buffers(batch.column("text"))
             for a, b in passes(offsets):
                 for shingles, octaves in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], rarity):
                     sizes.append(len(shingles))
                     sets.append(set_id(shingles))
+                    maps.append(bitmap(shingles).tobytes() if len(shingles) else None)
                     if len(shingles):
                         few = int(posted_size(np.int64(len(shingles))))
                         hashes.append(shingles[np.argsort(octaves, kind="stable")[:few]])
@@ -192,17 +198,19 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
                         size += few
             if size >= GATHER:
                 yield packed(*held_back)
-                held_back, size = ([], [], [], [], []), 0
+                held_back, size = ([], [], [], [], [], []), 0
         if held_back[0]:
             yield packed(*held_back)
 
     def meet(table: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
         out, posts = [(none.astype(np.int32), none, none, none.astype(np.int32), none.astype(np.int32))], []
+        bits = []
         for row in table.to_pylist():
             x, y, z = np.frombuffer(row["x"], np.int64), np.frombuffer(row["y"], np.int64), np.frombuffer(row["z"], np.int32)
             if row["kind"] == 0:
                 out.append((np.zeros(len(x), np.int32), x, y, z, z))
+                bits += row["maps"]
             else:
                 posts.append((x, y, z))
         if posts:
@@ -239,11 +247,12 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
                     near.append((s[i], s[j], n[i], n[j]))
                 out += _pairs(near, 3)
         kind, a, b, na, nb = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"kind": kind, "a": a, "b": b, "na": na, "nb": nb})
+        bits += [None] * (len(kind) - len(bits))  # the documents come first
+        return pa.table({"kind": kind, "a": a, "b": b, "na": na, "nb": nb, "bits": pa.array(bits, pa.binary())})
 
     ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
-    return ready.mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary").groupBy("bucket").applyInArrow(
-        meet, "kind int, a long, b long, na int, nb int")
+    return ready.mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary, maps array<binary>").groupBy(
+        "bucket").applyInArrow(meet, "kind int, a long, b long, na int, nb int, bits binary")
 
 
 def _pairs(found, kind):
@@ -263,7 +272,7 @@ def _pairs(found, kind):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, bits, hashes) of the documents of ``wanted`` (doc_id, s), from their whole texts."""
+    """(s, hashes) of the documents of ``wanted`` (doc_id, s), from their whole texts."""
 
     def build(batches):
         for batch in batches:
@@ -271,18 +280,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b in passes(offsets):
                 found = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("s").slice(a, b - a), pa.array([len(x) for x in found], pa.int32()),
-                     pa.array([bitmap(x).tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())],
-                    ["s", "n", "bits", "hashes"])
+                    [batch.column("s").slice(a, b - a), pa.array([x.tobytes() for x in found], pa.binary())], ["s", "hashes"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text").join(wanted, "doc_id")
     rows = rows.dropDuplicates(["doc_id"])  # where the join has put them: repeated rows of one document
-    return rows.select("s", "text").mapInArrow(build, "s long, n int, bits binary, hashes binary")
+    return rows.select("s", "text").mapInArrow(build, "s long, hashes binary")
 
 
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose bitmaps let them reach the threshold, with the bound of their similarity."""
-    bits = sets.select("s", "n", "bits")
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose bitmaps (s, n, bits) let them reach the threshold, with the bound of their similarity."""
     rows = pairs.select("a", "b").join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b")
 
     def run(batches):
@@ -299,9 +305,8 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, most double")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by exact intersection."""
-    arrays = sets.select("s", "hashes")
+def linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link, by exact intersection of the arrays (s, hashes)."""
     rows = pairs.select("a", "b").join(arrays.toDF("a", "ha"), "a").join(arrays.toDF("b", "hb"), "b")
 
     def run(batches):
@@ -337,35 +342,45 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return low.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = 1) -> DataFrame:
-    """Written edges that join all components which ``pairs`` can join. Each set meets its smallest
-    partner first: most families are one component then, and only pairs still apart ship bitmaps."""
-    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps, "s")
-    sets = written(sets_of(docs, wanted), "sets")
-    first = written(_smallest(pairs), "chosen")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(s) of all sets in ``pairs``."""
+    return pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+
+
+def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, reps: DataFrame, also: DataFrame, rounds: int = 1):
+    """Written edges that join all components which ``pairs`` can join, and the written arrays (s, hashes), in two
+    tables, of the sets compared and of those of ``also`` (s). Each set meets its smallest partner first: most
+    families are one component then, and only pairs still apart ship bitmaps."""
+    maps = bits.join(_ends(pairs), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    maps = written(maps, "bitmaps")
+    chosen = written(_smallest(pairs), "chosen")
+    first = written(bounded(chosen, maps), "first")
+    sets = written(sets_of(docs, _ends(first).join(reps, "s")), "sets")
     edges = written(linked(first, sets), "links")
-    rest = written(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), components(edges)), "rest")
-    left = written(bounded(rest, sets), "bounded")
-    forget(first, rest)
+    rest = written(_apart(pairs.join(chosen, ["a", "b"], "left_anti"), components(edges)), "rest")
+    left = written(bounded(rest, maps), "bounded")
+    forget(chosen, first, rest, maps)
+    more = _ends(left).union(also).distinct().join(sets.select("s"), "s", "left_anti")
+    more = written(sets_of(docs, more.join(reps, "s")), "sets")
+    arrays = sets.union(more)
     for _ in range(rounds):
         chosen = written(_choices(left), "chosen")
-        joined = written(edges.union(linked(chosen, sets)), "links")
+        joined = written(edges.union(linked(chosen, arrays)), "links")
         rest = written(_apart(left.join(chosen, ["a", "b"], "left_anti"), components(joined)), "rest")
         forget(left, chosen, edges)
         left, edges = rest, joined
-    found = written(edges.union(linked(left, sets)), "links")
-    forget(sets, left, edges)
-    return found
+    found = written(edges.union(linked(left, arrays)), "links")
+    forget(left, edges)
+    return found, (sets, more)
 
 
-def _across(rows: DataFrame, mixed: DataFrame, docs: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+def _across(rows: DataFrame, mixed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) links that join components within one tile, a crowded set in each. ``rows`` are
-    postings (h, s, n, crowded, label), ``mixed`` tiles (h, main, all, minor).
+    postings (h, s, n, crowded, label), ``mixed`` tiles (h, main, all, minor), ``sets`` the arrays.
 
     The sets outside a tile's main component meet all of its sets in blocks of ``block`` rows.
     """
     used = written(rows.join(mixed, "h"), "mixed_rows")
-    sets = written(sets_of(docs, used.select("s").distinct().join(reps, "s")).select("s", "hashes"), "sets")
     blocks = used.withColumn("bi", F.ceil(F.col("minor") / block)).withColumn("bj", F.ceil(F.col("all") / block))
     place = lambda n: F.pmod(F.xxhash64("s"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>"))
@@ -401,7 +416,8 @@ def _across(rows: DataFrame, mixed: DataFrame, docs: DataFrame, reps: DataFrame,
         give_back()
         return pa.table({"a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
-    sketches = written(sets.mapInArrow(sketch, "s long, bits binary"), "sketches")
+    sketches = sets.join(used.select("s").distinct(), "s", "left_semi").select("s", "hashes")
+    sketches = written(sketches.mapInArrow(sketch, "s long, bits binary"), "sketches")
     placed = left.select(columns).unionByName(right.select(columns))
     some = placed.join(sketches, "s").groupBy("h", "i", "j").applyInArrow(
         hopeful, "h long, i long, j long, side int, s long, n long, crowded boolean, label long")
@@ -458,7 +474,7 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     docs_sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s"), F.col("na").alias("n"))
     reps = written(docs_sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id")), "reps")
     pairs = written(found.where("kind IN (1, 3)").select("a", "b").distinct(), "pairs")
-    edges = _links(pairs, docs, reps)
+    bits = found.where("kind = 0 AND bits IS NOT NULL").select(F.col("b").alias("s"), F.col("na").alias("n"), "bits")
 
     # crowded sets: too few of their posted hashes are rare
     frequent = found.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("s"), F.col("na").cast("long").alias("n"))
@@ -467,7 +483,13 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     posted = F.least(n, prefix + F.ceil(n * SPARE) + 1)
     crowded = frequent.groupBy("s", "n").agg(F.count("*").alias("f")).where(posted - F.col("f") < prefix)
     crowded = written(crowded.select("s", F.lit(True).alias("crowded")), "crowded")
-    if crowded.limit(1).count():
+    some = crowded.limit(1).count() > 0
+    also = reps.select("s").limit(0)
+    if some:  # all sets that share a frequent hash with a crowded one
+        tight = frequent.join(crowded, "s", "left_semi").select("h").distinct()
+        also = frequent.join(tight, "h", "left_semi").select("s").distinct()
+    edges, arrays = _links(pairs, bits, docs, reps, also)
+    if some:
         labels = components(edges).toDF("s", "label")
         rows = frequent.join(crowded, "s", "left").join(labels, "s", "left").select(
             "h", "s", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.coalesce("label", "s").alias("label"))
@@ -478,7 +500,8 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
             F.max(F.struct("c", "label")).alias("main")).where("labels > 1 AND crowded")
         mixed = written(mixed.select("h", "main.label", "all", (F.col("all") - F.col("main.c")).alias("minor")).toDF(
             "h", "main", "all", "minor"), "mixed")
-        edges = written(edges.union(_across(rows, mixed, docs, reps)), "links")
+        edges = written(edges.union(_across(rows, mixed, arrays[0].union(arrays[1]))), "links")
+    forget(*arrays)
 
     by_doc = reps.toDF("s", "d")
     named = edges.join(by_doc.toDF("a", "da"), "a").join(by_doc.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))

@@ -50,6 +50,31 @@ def test_near_copies_match_brute_force(spark, tile):
     assert len(got) == len(rows)
 
 
+def test_arrays_are_made_only_of_sets_that_may_link(spark, monkeypatch):
+    """Documents that share a short passage are candidates; their bitmaps keep them from being compared."""
+    rnd, rows = random.Random(3), []
+    for k in range(20):
+        passage = [f"p{k}x{i}" for i in range(12)]
+        for side in "ab":
+            own = [f"{side}{k}x{i}" for i in range(40)]
+            rows += [" ".join(passage + own), " ".join(rnd.sample(own, 40))]  # each word comes twice
+    near = [f"n{i}" for i in range(50)]
+    rows += [" ".join(near), " ".join(near[:-1] + ["other"])]
+    rows = list(enumerate(rows))
+    counts, write = {}, ngram_join.written
+
+    def counted(df, name):
+        table = write(df, name)
+        counts[name] = counts.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = ngram_join.join_documents(frame(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == models.near_copies(rows)
+    assert counts["pairs"] > 10
+    assert counts["sets"] == 2
+
+
 def test_bitmap_bound_is_an_upper_bound():
     rng = np.random.default_rng(0)
     for _ in range(300):
