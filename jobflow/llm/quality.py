@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import mix, passes, text_buffers, word_hashes, word_spans
+from jobflow.llm.common import give_back, mix, passes, text_buffers, word_hashes, word_spans
 from jobflow.llm.registry import query
 
 FIT_ROWS = 6000
@@ -154,7 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS) ->
     vectors = word_vectors(rows.column("text"))
     data, offsets = text_buffers(rows.column("text"))
     x = np.concatenate([_pooled(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], vectors) for a, b in passes(offsets)])
-    return {"vectors": vectors, "net": train_network(x, y)}
+    del rows, data, offsets
+    give_back()  # the driver lives on
+    net = train_network(x, y)
+    del x
+    give_back()
+    return {"vectors": vectors, "net": net}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

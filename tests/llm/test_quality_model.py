@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from jobflow.llm import common, quality as Q
 
@@ -92,3 +93,21 @@ def test_scores_match_plain_network(spark):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert math.isclose(got[i], probability(net, features(t or "", vectors)), abs_tol=1e-4)
+
+
+def test_fit_returns_the_drivers_memory(spark):
+    """What the fit needs besides the model does not stay in the driver, which lives on."""
+    def held():
+        with open("/proc/self/status") as status:
+            return int(re.search(r"RssAnon:\s+(\d+)", status.read())[1]) / 1024
+
+    ids = spark.range(8000).withColumnRenamed("id", "doc_id")
+    words = F.expr("transform(sequence(1, 300), i -> concat('w', pmod(xxhash64(doc_id, i), 5000)))")
+    docs = ids.select("doc_id", F.array_join(words, " ").alias("text"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    Q.fit(docs.limit(100), labels, F.lit(True))
+    common.give_back()
+    before = held()
+    model = Q.fit(docs, labels, F.lit(True))
+    assert "net" in model
+    assert held() - before < 50
