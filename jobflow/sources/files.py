@@ -11,6 +11,7 @@ from jobflow.schema import BROAD_POSTING, REGISTRY_RECORD
 
 #: lines per chunk of a running sum over a file
 CHUNK_LINES = 100_000
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def read_lines(spark: SparkSession, path: str, trimmed: bool = True) -> DataFrame:
@@ -84,6 +85,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of uploaded plain-text or markdown profiles."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(path)
+    """(path, text) of uploaded plain-text or markdown profiles. Folders are listed by some tasks per
+    core: Spark's own number is a task per folder, up to 10,000."""
+    before = spark.conf.get(_LISTING, None)
+    spark.conf.set(_LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(path)
+    finally:
+        spark.conf.unset(_LISTING) if before is None else spark.conf.set(_LISTING, before)
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
