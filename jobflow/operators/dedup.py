@@ -13,7 +13,9 @@ A row's choice depends only on earlier rows. So the assignment is computed as a
 guess all entities, derive from the guess which keys were known when, let every row choose
 again, and stop when no row changes. Each round makes at least the next dependency level
 final, and a table that does not change is the sequential answer. All rounds are joins and
-map-side combined aggregates; no group is ever collected, whatever its size.
+map-side combined aggregates; no group is ever collected, whatever its size. Rounds see numbers
+only: every url key and identity key has one, and the texts of an identity are looked up where an
+entity takes it on.
 
 ``mode="component"`` is the coarser rule: rows that share a url key or an identity key, directly or
 through other rows, are one entity. Its fields are filled and replaced in ``seq`` order as above.
@@ -102,10 +104,10 @@ def _with_entity_times(state: DataFrame, written: list) -> DataFrame:
     )
 
 
-def _url_records(rows: DataFrame) -> DataFrame:
+def _url_records(rows: DataFrame, url: str = "url_id") -> DataFrame:
     """Rows that won by a longer url at equal class, or gave a url to an entity without one.
 
-    (entity, seq, url_key, filled, fill_only). While (has description, has date) of the entity
+    (entity, seq, ``url``, filled, fill_only). While (has description, has date) of the entity
     stays the same, url lengths only grow, so the winners are the strict running maxima. They
     follow from the first row of each length, which is a small aggregate even for a huge entity.
     """
@@ -129,43 +131,46 @@ def _url_records(rows: DataFrame) -> DataFrame:
         current = F.when(jump > 0, jump).otherwise(F.greatest(current, F.coalesce(F.col(f"best_{c}"), F.lit(0))))
     levels = levels.select("entity", *entry)
 
-    firsts = (
-        rows.where(candidate)
-        .groupBy("entity", "phase", "url_len")
-        .agg(F.min(F.struct("seq", "url_key", "filled", fills.alias("fill_only"))).alias("row"))
-    )
+    # numbers first, which a hash aggregate takes without sorting the rows; the rows of the records after
+    key = ["entity", "phase", "url_len"]
+    rows = rows.where(candidate)
+    firsts = rows.groupBy(*key).agg(F.min("seq").alias("seq"))
     longer_first = Window.partitionBy("entity", "phase").orderBy(F.desc("url_len")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     entry_len = F.element_at(F.array(*[F.col(f"entry_{c}") for c in range(4)]), F.col("phase") + 1)
-    return (
+    records = (
         firsts.join(levels, "entity")
         .where(F.col("url_len") > entry_len)
-        .withColumn("longer_at", F.min("row.seq").over(longer_first))
-        .where(F.col("longer_at").isNull() | (F.col("row.seq") < F.col("longer_at")))
-        .select("entity", "row.*")
+        .withColumn("longer_at", F.min("seq").over(longer_first))
+        .where(F.col("longer_at").isNull() | (F.col("seq") < F.col("longer_at")))
+        .select(*key, "seq")
     )
+    found = rows.select(*key, "seq", url, "filled", fills.alias("fill_only")).join(records, [*key, "seq"])
+    # one row each, also where rows share a seq
+    return found.groupBy(*key).agg(F.min(F.struct("seq", url, "filled", "fill_only")).alias("row")).select("entity", "row.*")
 
 
 def _url_owners(rows: DataFrame) -> DataFrame:
     """Per url key: the entity that first carried it and when. A url never changes hands."""
     direct = rows.where(F.col("starts") | (F.col("class_win") & (F.col("url_len") > 0)))
-    carried = direct.select("entity", "seq", "url_key").unionByName(
-        _url_records(rows).select("entity", "seq", "url_key")
+    carried = direct.select("entity", "seq", "url_id").unionByName(
+        _url_records(rows).select("entity", "seq", "url_id")
     )
     return (
-        carried.where(F.col("url_key") != "")
-        .groupBy("url_key")
+        carried.where(F.col("url_id").isNotNull())
+        .groupBy("url_id")
         .agg(F.min(F.struct("seq", "entity")).alias("own"))
-        .select("url_key", F.col("own.seq").alias("owned_at"), F.col("own.entity").alias("url_entity"))
+        .select("url_id", F.col("own.seq").alias("owned_at"), F.col("own.entity").alias("url_entity"))
     )
 
 
-def _identity_spans(rows: DataFrame) -> DataFrame:
-    """(identity, entity, start, end): the at most four identities an entity goes through."""
+def _identity_spans(rows: DataFrame, identities: DataFrame) -> DataFrame:
+    """(identity_id, entity, start, end): the at most four identities an entity goes through, of
+    those that a row has."""
     donors = rows.where(
         F.col("starts") | reduce(lambda a, b: a | b, [F.col("seq") == F.col(f"t_{n}") for n in _PARTS])
-    )
+    ).join(identities.select("identity_id", *[f"{n}_key" for n in _PARTS]), "identity_id")
     parts = donors.groupBy("entity").agg(
         F.first("first_seq").alias("first_seq"),
         *[F.first(f"t_{n}").alias(f"t_{n}") for n in _PARTS],
@@ -180,92 +185,102 @@ def _identity_spans(rows: DataFrame) -> DataFrame:
         F.when(F.col(f"t_{n}") <= F.col("start"), F.col(f"given_{n}")).otherwise(F.col(f"start_{n}"))
         for n in _PARTS
     ])
-    return spans.select(
+    spans = spans.select(
         key.alias("identity"), "entity", "start", F.try_element_at("starts", F.col("i") + 2).alias("end")
     )
+    return spans.join(identities.select("identity", "identity_id"), "identity").drop("identity")
 
 
-def _shared_identity(rows: DataFrame, spans: DataFrame, chunk_rows: int) -> DataFrame:
-    """(seq, shared_entity) for rows whose identity key several entities carried.
+def _shared_identity(rows: DataFrame, spans: DataFrame, asks: DataFrame, chunk_rows: int) -> DataFrame:
+    """(seq, shared_entity) for the rows ``asks``, whose identity key several entities carried.
 
     Such a key points to the entity that merged a row most recently. The look-up is an
     as-of search done in two levels: inside fixed seq chunks, then across chunk summaries,
     so one busy key spreads over many tasks.
     """
-    shared = spans.groupBy("identity").agg(
-        F.min("entity").alias("lo"), F.max("entity").alias("hi")
-    ).where("lo <> hi").select("identity")
-    shared_spans = spans.join(shared, "identity").withColumnRenamed("entity", "span_entity")
+    shared_spans = spans.join(asks.select("identity_id").distinct(), "identity_id").withColumnRenamed(
+        "entity", "span_entity")
     touches = rows.select("entity", "seq").join(
         shared_spans, (F.col("entity") == F.col("span_entity"))
         & (F.col("seq") >= F.col("start")) & (F.col("end").isNull() | (F.col("seq") < F.col("end"))),
-    ).select("identity", "seq", F.col("entity").alias("touched"))
-    asks = rows.select("identity", "seq").join(shared, "identity")
+    ).select("identity_id", "seq", F.col("entity").alias("touched"))
     both = touches.withColumn("ask", F.lit(False)).unionByName(
-        asks.withColumn("touched", F.lit(None).cast("long")).withColumn("ask", F.lit(True))
+        asks.select("identity_id", "seq", F.lit(None).cast("long").alias("touched"), F.lit(True).alias("ask"))
     ).withColumn("chunk", F.floor(F.col("seq") / chunk_rows))
     # at the same seq the question comes before the row's own merge
-    inside = Window.partitionBy("identity", "chunk").orderBy("seq", F.desc("ask")).rowsBetween(
+    inside = Window.partitionBy("identity_id", "chunk").orderBy("seq", F.desc("ask")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     found = both.withColumn("near", F.last("touched", ignorenulls=True).over(inside)).where("ask")
-    across = Window.partitionBy("identity").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("identity_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        both.groupBy("identity", "chunk")
+        both.groupBy("identity_id", "chunk")
         .agg(F.max_by("touched", F.when(F.col("touched").isNotNull(), F.col("seq"))).alias("closing"))
         .withColumn("far", F.last("closing", ignorenulls=True).over(across))
-        .select("identity", "chunk", "far")
+        .select("identity_id", "chunk", "far")
     )
-    return found.join(earlier, ["identity", "chunk"]).select(
+    return found.join(earlier, ["identity_id", "chunk"]).select(
         "seq", F.coalesce("near", "far").alias("shared_entity")
     )
 
 
-def _next_assignment(state: DataFrame, chunk_rows: int, written: list) -> DataFrame:
+def _next_assignment(state: DataFrame, identities: DataFrame, chunk_rows: int, written: list) -> DataFrame:
     """Every row chooses again, given what the current assignment says was known when."""
     # both frames feed several joins below: written once instead of computed once per use
-    rows = cut_lineage(_with_entity_times(state, written), written)
+    rows = cut_lineage(_with_entity_times(state, written).drop("t_description", "t_date"), written)
     owners = cut_lineage(_url_owners(rows), written)
-    spans = cut_lineage(_identity_spans(rows), written)
-    single = spans.groupBy("identity").agg(
+    spans = cut_lineage(_identity_spans(rows, identities), written)
+    single = spans.groupBy("identity_id").agg(
         F.min("start").alias("known_at"), F.min("entity").alias("lo"), F.max("entity").alias("hi")
     )
     single = cut_lineage(single, written)
-    several = single.where("lo <> hi").limit(1).count()
     by_url = F.when(F.col("owned_at") < F.col("seq"), F.col("url_entity"))
     by_identity = F.when(F.col("lo") == F.col("hi"), F.when(F.col("known_at") < F.col("seq"), F.col("lo")))
-    joined = state.join(owners, "url_key", "left").join(single, "identity", "left")
-    if several:
-        joined = joined.join(_shared_identity(rows, spans, chunk_rows), "seq", "left")
-    else:
-        joined = joined.withColumn("shared_entity", F.lit(None).cast("long"))
-    kept = ["seq", "url_key", *[f"{n}_key" for n in _PARTS], "filled", "url_len", "identity"]
-    return joined.select(
-        *kept,
-        F.col("entity").alias("old_entity"),
-        F.coalesce(by_url, by_identity, F.col("shared_entity"), F.col("seq")).alias("entity"),
+    choice = F.coalesce(by_url, by_identity)
+    following = state.join(owners, "url_id", "left").join(single, "identity_id", "left").select(
+        *state.columns[:-1], F.col("entity").alias("old_entity"), F.coalesce(choice, F.col("seq")).alias("entity"),
+        (choice.isNull() & F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))).alias("asks"),
     )
+    following = cut_lineage(following, written)
+    asks = following.where("asks")
+    if asks.limit(1).count():
+        found = asks.join(_shared_identity(rows, spans, asks, chunk_rows), "seq", "left")
+        found = found.withColumn("entity", F.coalesce("shared_entity", "seq")).select(following.columns)
+        following = following.where(~F.col("asks")).unionByName(cut_lineage(found, written))
+    return following.drop("asks")
+
+
+def _numbered(facts: DataFrame, written: list):
+    """Facts with a number per url key (null where blank) and per identity key, first guess included, and
+    (identities) the texts behind the numbers of identities. Written tables: numbers stay as they are."""
+    keys = [f"{n}_key" for n in _PARTS]
+    facts = cut_lineage(facts.withColumn("identity", F.concat_ws("|", *keys)), written)
+    urls = facts.where(F.col("url_key") != "").select("url_key").distinct()
+    urls = cut_lineage(urls.withColumn("url_id", F.monotonically_increasing_id()), written)
+    # first guess: rows of one identity are one entity
+    identities = facts.groupBy("identity", *keys).agg(F.min("seq").alias("entity"))
+    identities = cut_lineage(identities.withColumn("identity_id", F.monotonically_increasing_id()), written)
+    state = facts.join(identities.select("identity", "identity_id", "entity"), "identity").join(urls, "url_key", "left")
+    return state.select("seq", "url_id", "identity_id", "filled", "url_len", "entity"), identities
 
 
 def assign_entities(facts: DataFrame, chunk_rows: int = 1_000_000, max_rounds: int | None = None):
-    """Facts plus ``entity``, the seq of the row that starts the row's entity; and the paths behind the frame."""
-    identity = F.concat_ws("|", *[F.col(f"{n}_key") for n in _PARTS])
-    facts = facts.withColumn("identity", identity)
-    # first guess: rows of one identity are one entity
-    guess = facts.groupBy("identity").agg(F.min("seq").alias("entity"))
-    done: list = []
-    state = cut_lineage(facts.join(cut_lineage(guess, done), "identity"), done)
+    """Numbered facts plus ``entity``, the seq of the row that starts the row's entity; and the paths behind the frame."""
+    spark, aside, done = facts.sparkSession, [], []
+    state, identities = _numbered(facts, aside)
+    state = cut_lineage(state, done)
     rounds = 0
     while True:
         fresh: list = []
-        following = cut_lineage(_next_assignment(state, chunk_rows, fresh), fresh)
+        following = _next_assignment(state, identities, chunk_rows, fresh)
         changed = following.where(F.col("entity") != F.col("old_entity")).count()
         state = following.drop("old_entity")
-        discard(facts.sparkSession, done)  # the round before is no longer read
+        discard(spark, done)  # the round before is no longer read
         done = fresh
         rounds += 1
         log.info("entity merge, round %d: %d rows changed their entity", rounds, changed)
         if not changed:
+            discard(spark, aside)
             return state, done
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"entities still change after {rounds} rounds")
@@ -294,7 +309,8 @@ def assign_components(facts: DataFrame):
 def entity_donors(assigned: DataFrame, written: list) -> DataFrame:
     """Per entity and field: the seq of the row whose value the entity ends up with."""
     rows = _with_entity_times(assigned, written)
-    records = _url_records(rows).where(~F.col("fill_only"))
+    url = "url_id" if "url_id" in assigned.columns else "url_key"
+    records = _url_records(rows, url).where(~F.col("fill_only"))
     wins = rows.where("class_win").select("entity", "seq", "filled").unionByName(
         records.select("entity", "seq", "filled")
     )

@@ -1,6 +1,8 @@
 """Dense row numbers over an order without sending all rows through one task."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, functions as F
 
 from jobflow.session import cut_lineage
 
@@ -11,19 +13,16 @@ def with_row_index(df: DataFrame, order, index: str = "row_index", partitions: i
     """``df`` plus its 0-based position in ``order`` (which must be total).
 
     Rows are range-partitioned and sorted once and written; then only one count per partition
-    is accumulated, so the single-task step sees as many rows as there are partitions.
+    is accumulated, and each row adds those before its own: the frame is a scan of the written table.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(
         df.repartitionByRange(n, *order).sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        placed.join(F.broadcast(offsets), "_part")  # one row per partition: bounded by ``n``
-        .withColumn(index, F.col("_offset") + row)
-        .drop("_at", "_part", "_offset")
     )
+    part = F.shiftright("_at", _ROW_BITS)
+    counts = dict(placed.groupBy(part.alias("part")).count().collect())  # a number per partition: bounded by ``n``
+    offsets = accumulate((counts.get(k, 0) for k in range(max(counts, default=0))), initial=0)
+    offset = F.element_at(F.expr(f"array({', '.join(f'{x}L' for x in offsets)})"), part.cast("int") + 1)
+    row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.withColumn(index, offset + row).drop("_at")

@@ -1,5 +1,6 @@
 """The product's four runs as job chains. Stage order is meaning and is kept."""
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -47,14 +48,21 @@ def sequence_sources(frames) -> DataFrame:
 
     Each frame keeps its own order in ``seq`` or in ``at`` (any comparable value).
     """
+    kinds: dict = {}
+    for frame in frames:
+        own = "seq" if "seq" in frame.columns else "at"
+        kinds.setdefault(frame.schema[own].dataType, f"_own{len(kinds)}")
     placed = []
     for rank, frame in enumerate(frames):
         own = "seq" if "seq" in frame.columns else "at"
+        # frames whose places have one type share a key column; of the others' columns theirs are null
+        places = [(F.col(own) if kind == frame.schema[own].dataType else F.lit(None).cast(kind)).alias(name)
+                  for kind, name in kinds.items()]
         # rows of one place are told apart by a hash, so that no long text becomes a sort key
-        indexed = with_row_index(frame, [own, F.xxhash64(*BROAD_FIELDS)], "_own")
-        placed.append(indexed.select(F.lit(rank).alias("_rank"), "_own", *BROAD_FIELDS))
-    union = metrics.union_sources(*placed)
-    return with_row_index(union, ["_rank", "_own"], "seq").select("seq", *BROAD_FIELDS)
+        placed.append(frame.select(
+            F.lit(rank).alias("_rank"), *places, F.xxhash64(*BROAD_FIELDS).alias("_hash"), *BROAD_FIELDS))
+    union = reduce(DataFrame.unionByName, placed).fillna("", BROAD_FIELDS)
+    return with_row_index(union, ["_rank", *kinds.values(), "_hash"], "seq").select("seq", *BROAD_FIELDS)
 
 
 def broad_search(postings: DataFrame, as_of, days_old: int = 30, strict: bool = True, phrases=None) -> BroadResult:
@@ -66,7 +74,7 @@ def broad_search(postings: DataFrame, as_of, days_old: int = 30, strict: bool =
 
 def broad_run(frames, as_of, days_old: int = 30, strict: bool = True, phrases=None) -> BroadRun:
     """Landed sources to the broad result, with postings per source and rows left after each stage."""
-    postings = cut_lineage(sequence_sources(frames))
+    postings = sequence_sources(frames)  # written once, by its sort
     result = broad_search(postings, as_of, days_old, strict, phrases)
     raw = postings.agg(F.count("*").alias("rows")).select(F.lit("raw").alias("stage"), "rows")
     # what is left of the merged table is counted in one scan of it, not in one per stage

@@ -3,9 +3,12 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from jobflow.fixtures import dealt
+from jobflow.fixtures import dealt, postings_docs
 from jobflow.functions import html, names
-from jobflow.plans import catalog
+from jobflow.operators import dedup
+from jobflow.operators.indexing import with_row_index
+from jobflow.plans import catalog, searches
+from jobflow.schema import BROAD_FIELDS
 
 
 def test_a_small_file_of_names_is_dealt_to_all_cores(spark, tmp_path):
@@ -33,3 +36,30 @@ def test_pages_are_parsed_in_small_pieces():
     pieces = list(html.slices([pd.Series(range(300)), pd.Series([], dtype=object), pd.Series(range(5))], 128))
     assert [len(p) for p in pieces] == [128, 128, 44, 5]
     assert [x for p in pieces for x in p] == [*range(300), *range(5)]
+
+
+def test_sources_of_any_places_are_sorted_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(searches, "with_row_index", lambda *a: calls.append(a[1]) or with_row_index(*a))
+    fields = ", ".join(f"{f} string" for f in BROAD_FIELDS)
+
+    def source(kind, name, places):
+        rows = [(p, *[f"{t}" if f == "title" else None for f in BROAD_FIELDS]) for p, t in places]
+        return spark.createDataFrame(rows, f"{name} {kind}, {fields}")
+
+    frames = [
+        source("long", "seq", [(9, "b"), (-3, "a"), (10, "c")]), source("string", "at", [("9", "f"), ("10", "e"), (None, "d")]),
+        source("long", "at", [(2, "h"), (1, "g")]), source("struct<x: int, y: string>", "at", [((2, "a"), "j"), ((1, "z"), "i")]),
+    ]
+    got = searches.sequence_sources(frames)
+    assert len(calls) == 1 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(10)) and "".join(r.title for r in rows) == "abcdefghij"
+    assert {r.url for r in rows} == {""}
+
+
+def test_rounds_of_the_entity_merge_carry_no_texts(spark):
+    facts = dedup.entity_facts(postings_docs(spark, "/root/testdata/sf0.001"))
+    assigned, _ = dedup.assign_entities(facts)
+    assert assigned.count() == facts.count()
+    assert {kind for _, kind in assigned.dtypes} <= {"bigint", "int"}
