@@ -16,7 +16,7 @@ they bear the names it adds.
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from jobflow.llm.common import WORD, written
+from jobflow.llm.common import WORD, forget, written
 from jobflow.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
@@ -35,10 +35,13 @@ def _hash(*parts):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): words of every whole text."""
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", count.alias("size"))
+    return docs.select("doc_id", "source", _size().alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -98,18 +101,23 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     return nodes.select("shard", F.explode("have").alias("x")).selectExpr("shard", "x.sid AS sid", "x.quota AS part")
 
 
-def draw(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS,
-         shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """Per row of ``sizes`` (doc_id, source, size): source_size, target and ``draws``, the places
-    (pass, shard) at which the mix holds it."""
+def _in_blocks(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Rows (doc_id, source, more) with the columns of their source and their block of it."""
+    named = targets.withColumnRenamed("source", "_source")
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.withColumn("block", _hash("doc_id", seed) % F.col("blocks"))
+
+
+def plan_draws(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS,
+               shard_words: int = SHARD_WORDS, seed: int = SEED):
+    """Written tables of the mix of ``sizes`` (doc_id, source, size): rows in their blocks, a row per source, the
+    places of every block, and the documents that the last pass takes of the blocks in which it ends."""
     targets = source_targets(sizes, weights, cap).withColumn(
         "blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = written(targets.withColumn("passes", whole.cast("long")).withColumn(
         "rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
-    named = targets.withColumnRenamed("source", "_source")
-    rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = written(rows.withColumn("block", _hash("doc_id", seed) % F.col("blocks")), "rows")
+    rows = written(_in_blocks(sizes, targets, seed), "rows")
 
     # whole blocks of the last pass, and the block in which it ends
     per_block = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"))
@@ -142,33 +150,45 @@ def draw(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, block_words: int = B
         F.array_sort(F.collect_list(F.struct("shard", "part"))).alias("parts")).join(drawn, "sid").withColumn(
         "tops", F.expr("""aggregate(parts, CAST(array() AS array<bigint>), (s, p) ->
             concat(s, array(p.part + IF(size(s) = 0, 0L, element_at(s, -1)))))"""))
-    places = ends.join(written(shares.select("sid", "blocks", "quota", "tops"), "shares"), "sid").select(
+    shares = written(shares.select("sid", "blocks", "quota", "tops"), "shares")
+    places = ends.join(shares, "sid").select(
         "sid", "block", "last", F.expr(f"""transform(
             IF(passes + 1 > 0, sequence(0L, passes), array()), p -> named_struct('pass', p, 'shard',
               CAST(size(filter(tops, t -> t <= pmod((p * blocks + block) * {_STEP}L + {seed}L, quota))) AS bigint)))
             """).alias("places"))
+    places, fits = written(places, "places"), written(fits, "fits")
+    forget(shares, ends)
+    return rows, targets, places, fits
+
+
+def _drawn(rows: DataFrame, places: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rows in their blocks with ``draws``. A block has one row in ``places``, and ``fits`` are documents of one
+    block of each source: where the planner broadcasts both, the rows stay where they are."""
     out = rows.join(places, ["sid", "block"]).join(fits, (
         F.col("sid") == F.col("_sid")) & (F.col("block") == F.col("_block"))
         & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_size")), "left")
     more = (F.col("last") == "whole") | F.coalesce(F.col("fits"), F.lit(False))
     n = F.when(F.col("size") > 0, F.col("passes") + F.when(more, 1).otherwise(0)).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target",
-                      F.slice("places", F.lit(1), n.cast("int")).alias("draws"))
+    return out.withColumn("draws", F.slice("places", F.lit(1), n.cast("int")))
+
+
+def draw(sizes: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """Per row of ``sizes`` (doc_id, source, size): source_size, target and ``draws``, the places
+    (pass, shard) at which the mix holds it."""
+    rows, _, places, fits = plan_draws(sizes, seed=seed, **options)
+    return _drawn(rows, places, fits).select("doc_id", "source", "size", "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as drawn, with the columns ``mix_pass`` and
-    ``mix_shard``, one partition per shard in shuffled order."""
-    drawn = draw(sizes_of(docs), seed=seed, **options)
-    drawn = drawn.where(F.size("draws") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_size"), "draws").dropDuplicates(
-        ["_id", "_from", "_size"])
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.drop("mix_pass", "mix_shard").withColumn("_words", size).join(
-        drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from"))
-        & (F.col("_words") == F.col("_size")))
-    rows = rows.withColumn("_d", F.explode("draws")).withColumn("mix_pass", F.col("_d.pass")).withColumn(
-        "mix_shard", F.col("_d.shard")).drop("_d", "draws", "_id", "_from", "_size", "_words")
+    ``mix_shard``, one partition per shard in shuffled order. Texts are shuffled once, to their shards."""
+    sized, targets, places, fits = plan_draws(sizes_of(docs), seed=seed, **options)
+    forget(sized)
+    docs = docs.drop("mix_pass", "mix_shard")
+    rows = docs.withColumn("_row", F.struct(*docs.columns))  # columns may be named like ours
+    rows = rows.select("_row", "doc_id", "source", _size().alias("size"))
+    rows = _drawn(_in_blocks(rows, targets, seed), places, fits).select("_row", F.explode("draws").alias("_d"))
+    rows = rows.select("_row.*", F.col("_d.pass").alias("mix_pass"), F.col("_d.shard").alias("mix_shard"))
     return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), "doc_id", "mix_pass"))
 
 

@@ -472,6 +472,7 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     found = written(tiles(docs, tile), "tiles")
     docs_sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s"), F.col("na").alias("n"))
+    docs_sets = written(docs_sets, "doc_sets")  # narrow: what the result reads when the tiles are gone
     reps = written(docs_sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id")), "reps")
     pairs = written(found.where("kind IN (1, 3)").select("a", "b").distinct(), "pairs")
     bits = found.where("kind = 0 AND bits IS NOT NULL").select(F.col("b").alias("s"), F.col("na").alias("n"), "bits")
@@ -507,6 +508,7 @@ def join_documents(docs: DataFrame, tile: int = TILE) -> DataFrame:
     named = edges.join(by_doc.toDF("a", "da"), "a").join(by_doc.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     labels = components(named).toDF("d", "component")
     per_set = written(by_doc.join(labels, "d", "left").select("s", F.coalesce("component", "d").alias("component")), "per_set")
+    forget(found, reps, pairs, crowded, edges)
     out = docs_sets.join(per_set, "s", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     null = F.lit(_NULL)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import buckets_for, mix, passes, slices, text_buffers, word_hashes, word_spans, written
+from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, word_hashes, word_spans, written
 from jobflow.llm.registry import query
 
 MIN_WORDS = 15
@@ -279,7 +279,9 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
     def find(batch, a, b, data, offsets):
         return windows(data, offsets, [np.asarray(x) for x in batch.column("near").slice(a, b - a).to_pylist()])
 
-    return written(_shared(ready.join(near.withColumnRenamed("at", "near"), "doc_id"), find, False, buckets), "windows")
+    found = written(_shared(ready.join(near.withColumnRenamed("at", "near"), "doc_id"), find, False, buckets), "windows")
+    forget(near)
+    return found
 
 
 def cut_runs(text: str, at, min_words: int, starts=()) -> tuple[str, list, int]:
@@ -318,8 +320,10 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and the columns ``spans`` (characters of
     the original text) and ``removed_words``."""
     buckets = buckets_for(docs)
-    marks = repeated_units(docs, buckets).withColumnRenamed("at", "_at")
-    marks = marks.join(repeated_windows(docs, buckets).withColumnRenamed("at", "_starts"), "doc_id", "full")
+    marks, starts = repeated_units(docs, buckets).withColumnRenamed("at", "_at"), repeated_windows(docs, buckets)
+    # written, so that the postings are gone before the texts are shuffled
+    marks = written(marks.join(starts.withColumnRenamed("at", "_starts"), "doc_id", "full"), "marks")
+    forget(starts)
     docs = docs.drop("spans", "removed_words")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
     rows = docs.withColumn("_key", key).join(marks.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -285,6 +286,32 @@ def test_mix_returns_the_drawn_rows(spark):
     assert {k: v for k, v in drawn.items() if v} == dict(rows)
 
 
+def test_mix_shuffles_texts_once(spark):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(None if k % 3 else 7, t, None if k % 2 else "odd") for k, t in enumerate(ODD)] + rows[:5]
+    df = frame(spark, rows).select("doc_id", "text", "source", F.lit("clash").alias("block"), F.lit(1).alias("size"))
+    options = {"block_words": 400, "shard_words": 2000}
+    mixed = mixing.mix(df, **options)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(mix_shard") == 1 and "SortMergeJoin" not in plan
+    assert mixed.columns == ["doc_id", "text", "source", "block", "size", "mix_pass", "mix_shard"]
+    want = collections.Counter((r.doc_id, r.source, r.size, d["pass"], d["shard"])
+                               for r in mixing.draw(mixing.sizes_of(df), **options).collect() for d in r.draws)
+    got = mixed.select("doc_id", "source", mixing._size().alias("n"), "mix_pass", "mix_shard").collect()
+    assert collections.Counter(map(tuple, got)) == want and len({k[-1] for k in want}) > 8
+
+
+def test_scratch_tables_that_nothing_reads_are_gone(spark, monkeypatch):
+    made, gone = [], []
+    for module in (ngram_join, passages, mixing):
+        monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or common.written(df, name))
+        monkeypatch.setattr(module, "forget", lambda *tables: gone.extend(re.sub(r".*/|-[^-]*$", "", t._scratch) for t in tables) or common.forget(*tables))
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    for done, left in ((lambda: ngram_join.join_documents(df.select("doc_id", "text")), {"tiles", "pairs", "reps"}),
+                       (lambda: passages.dedup_passages(df), {"fingerprints", "windows"}), (lambda: mixing.mix(df), {"rows", "shares"})):
+        assert done().count() and left <= set(gone) and left <= set(made)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
