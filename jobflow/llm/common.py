@@ -92,6 +92,27 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(run):
+    """``run`` over batches, whose worker gives back at the end what the task has freed."""
+
+    def over(batches):
+        yield from run(batches)
+        give_back()
+
+    return over
+
+
+def tidy_group(run):
+    """``run`` over one group, likewise."""
+
+    def over(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return over
+
+
 def slices(batches, most: int = 4 * PASS_BYTES, column: str = "text"):
     """Arrow batches cut so that each holds about ``most`` bytes of text: bounds a worker's memory."""
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, word_hashes, written
+from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, tidy, word_hashes, written
 from jobflow.llm.registry import query
 
 SHARE = 2.0 ** -20
@@ -86,7 +86,7 @@ def count_words(train: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(word.view(np.int64)), pa.array(kept), pa.array(deleted)], ["word", "kept", "deleted"])
 
-    return train.select("text", "part").mapInArrow(count, "word long, kept long, deleted long").groupBy("word").agg(
+    return train.select("text", "part").mapInArrow(tidy(count), "word long, kept long, deleted long").groupBy("word").agg(
         F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"))
 
 

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobflow.llm.common import buckets_for, components, forget, give_back, mix, passes, slices, text_buffers, word_hashes, written
+from jobflow.llm.common import buckets_for, components, forget, give_back, mix, passes, slices, text_buffers, tidy, tidy_group, word_hashes, written
 from jobflow.llm.lm import count_words
 from jobflow.llm.registry import query
 
@@ -251,8 +251,8 @@ def tiles(docs: DataFrame, tile: int = TILE, share: float = SHARE) -> DataFrame:
         return pa.table({"kind": kind, "a": a, "b": b, "na": na, "nb": nb, "bits": pa.array(bits, pa.binary())})
 
     ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
-    return ready.mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary, maps array<binary>").groupBy(
-        "bucket").applyInArrow(meet, "kind int, a long, b long, na int, nb int, bits binary")
+    return ready.mapInArrow(tidy(post), "bucket int, kind int, x binary, y binary, z binary, maps array<binary>").groupBy(
+        "bucket").applyInArrow(tidy_group(meet), "kind int, a long, b long, na int, nb int, bits binary")
 
 
 def _pairs(found, kind):
@@ -284,7 +284,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text").join(wanted, "doc_id")
     rows = rows.dropDuplicates(["doc_id"])  # where the join has put them: repeated rows of one document
-    return rows.select("s", "text").mapInArrow(build, "s long, hashes binary")
+    return rows.select("s", "text").mapInArrow(tidy(build), "s long, hashes binary")
 
 
 def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
                 [batch.column(c).filter(pa.array(keep)) for c in ("a", "b")] + [pa.array((most / (na + nb - most))[keep])],
                 ["a", "b", "most"])
 
-    return rows.mapInArrow(run, "a long, b long, most double")
+    return rows.mapInArrow(tidy(run), "a long, b long, most double")
 
 
 def linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def linked(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 keep.append(bool(similar(overlap(x, y), len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -413,17 +413,16 @@ def _across(rows: DataFrame, mixed: DataFrame, sets: DataFrame, block: int = BLO
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         found = [(np.full(len(at), k), at, most) for k, at, most in _met(side, n, crowded, label, [bitmap(x, SHARP) for x in sets])]
         a, b = _joining(found, sets, label)
-        give_back()
         return pa.table({"a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
     sketches = sets.join(used.select("s").distinct(), "s", "left_semi").select("s", "hashes")
-    sketches = written(sketches.mapInArrow(sketch, "s long, bits binary"), "sketches")
+    sketches = written(sketches.mapInArrow(tidy(sketch), "s long, bits binary"), "sketches")
     placed = left.select(columns).unionByName(right.select(columns))
     some = placed.join(sketches, "s").groupBy("h", "i", "j").applyInArrow(
-        hopeful, "h long, i long, j long, side int, s long, n long, crowded boolean, label long")
+        tidy_group(hopeful), "h long, i long, j long, side int, s long, n long, crowded boolean, label long")
     some = written(some, "hopeful")
     forget(sketches)
-    return some.join(sets, "s").groupBy("h", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return some.join(sets, "s").groupBy("h", "i", "j").applyInArrow(tidy_group(meet), "a long, b long").distinct()
 
 
 def _met(side, n, crowded, label, bits):

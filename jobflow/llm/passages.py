@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, word_hashes, word_spans, written
+from jobflow.llm.common import buckets_for, forget, mix, passes, slices, text_buffers, tidy, tidy_group, word_hashes, word_spans, written
 from jobflow.llm.registry import query
 
 MIN_WORDS = 15
@@ -138,7 +138,7 @@ def _per_document(marks: DataFrame) -> DataFrame:
         ids, lists = _grouped(doc[new], at[new])
         return pa.table([pa.array(ids, pa.int64()), lists], ["doc_id", "at"])
 
-    return marks.groupBy("group").applyInArrow(unite, "doc_id long, at array<int>")
+    return marks.groupBy("group").applyInArrow(tidy_group(unite), "doc_id long, at array<int>")
 
 
 def _rows(out, names):
@@ -189,8 +189,8 @@ def repeated_units(docs: DataFrame, buckets: int) -> DataFrame:
 
     ready = docs.where("text IS NOT NULL").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
-    return _per_document(ready.mapInArrow(post, "bucket int, doc binary, digest binary, at binary, counts binary").groupBy(
-        "bucket").applyInArrow(settle, "group int, doc binary, at binary"))
+    return _per_document(ready.mapInArrow(tidy(post), "bucket int, doc binary, digest binary, at binary, counts binary").groupBy(
+        "bucket").applyInArrow(tidy_group(settle), "group int, doc binary, at binary"))
 
 
 def _grams(hashes, size):
@@ -265,8 +265,8 @@ def _shared(docs: DataFrame, find, first_too: bool, buckets: int) -> DataFrame:
             marks.append((doc[mark], at[mark]))
         return _by_document(buckets, *(np.concatenate(x) for x in zip(*marks, strict=True)))
 
-    return _per_document(docs.mapInArrow(post, "bucket int, doc binary, digest binary, at binary").groupBy(
-        "bucket").applyInArrow(settle, "group int, doc binary, at binary"))
+    return _per_document(docs.mapInArrow(tidy(post), "bucket int, doc binary, digest binary, at binary").groupBy(
+        "bucket").applyInArrow(tidy_group(settle), "group int, doc binary, at binary"))
 
 
 def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -342,7 +342,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns + [spans, pa.array([d[2] for d in done], pa.int64())],
                                                  names + ["spans", "removed_words"])
 
-    return rows.mapInArrow(cut, T.StructType(docs.schema.fields + [
+    return rows.mapInArrow(tidy(cut), T.StructType(docs.schema.fields + [
         T.StructField("spans", span), T.StructField("removed_words", T.LongType())]))
 
 

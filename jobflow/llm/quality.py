@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jobflow.llm.common import give_back, mix, passes, text_buffers, word_hashes, word_spans
+from jobflow.llm.common import give_back, mix, passes, text_buffers, tidy, word_hashes, word_spans
 from jobflow.llm.registry import query
 
 FIT_ROWS = 6000
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     scores[a:b] = 1 / (1 + np.exp(-np.clip(logit / m["net"]["temperature"], -500, 500)))
             yield batch.append_column("score", pa.array(scores))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType(docs.schema.fields + [T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

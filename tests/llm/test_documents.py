@@ -312,6 +312,12 @@ def test_scratch_tables_that_nothing_reads_are_gone(spark, monkeypatch):
         assert done().count() and left <= set(gone) and left <= set(made)
 
 
+def test_tasks_give_back_what_they_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(iter)([1, 2])) == [1, 2] and common.tidy_group(lambda t: t)(3) == 3 and len(calls) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
