@@ -7,21 +7,22 @@ neighbouring token ends, so the ends of both tokenizers, merged, list all links.
 
 Counts of id pairs come in steps, each a Spark shuffle of packed arrays:
 
-1. texts are encoded once, in units of about ``UNIT`` bytes, into a written table: ids, and the unit's
-   distinct pairs with their counts;
+1. texts are encoded once into a written table: a row of ids per ``CALL`` bytes of text, and a row of the
+   distinct pairs with their counts per unit of about ``UNIT`` bytes;
 2. pairs are dealt by B id to buckets, units to salts. Distinct pairs of a bucket are united salt by salt,
    then over the salts, and get a minimal perfect hash: levels of bit arrays in which a key owns a bit if
    no other key of the level falls on it, the rest goes to the next level;
 3. a salt's counts become a dense vector indexed by the hash; vectors are summed over the salts. The key
    at every place is stored, so a look-up is verified;
-4. units look their pairs up in the salts' copies of the tables, and the second pass aligns every document
-   of the written table again and reads its links' counts.
+4. units look their pairs up in the salts' copies of the tables, and the second pass meets a unit's rows with
+   its answers, aligns every document of the written table again and reads its links' counts.
 
-So no step holds the counts of all pairs, and nothing is broadcast but the two model files.
+So no step holds the counts of all pairs, and nothing is broadcast but the two model files. A task holds one
+unit of text, in either pass and however large its split is; the written tables have small row groups.
 
 Texts that are null, empty, or whose joined A or B bytes differ from space + text have no tokens: zeros, and
 empty ``groups``. Strings of special tokens are plain text. Null, repeated ids: every row has its own
-result. Long texts are a unit of their own. Ties of counts are all best. Empty tables give
+result. Long texts are a row of their own. Ties of counts are all best. Empty tables give
 empty results. Extra columns are not read.
 """
 
@@ -43,6 +44,8 @@ PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model
 UNIT, CALL, ALIGN = 1 << 22, 1 << 18, 1 << 20
 #: pairs that a (bucket, salt) should hold
 PAIRS = 1 << 20
+#: bytes of a row group of the written tables
+GROUP = 1 << 24
 
 #: how byte-level vocabularies of this kind cut a text before they merge (fixed value)
 _CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -252,8 +255,12 @@ def _open_levels(levels):
 
 def _looked_up(row: dict, keys: np.ndarray) -> np.ndarray:
     """Verified indexes of ``keys`` in a bucket's table."""
-    at = hash_of(_open_levels(row["levels"]), keys)
-    if (at < 0).any() or (_open(row["keys"])[at] != keys).any():
+    return _found(_open_levels(row["levels"]), _open(row["keys"]), keys)
+
+
+def _found(levels, ordered, keys):
+    at = hash_of(levels, keys)
+    if (at < 0).any() or (ordered[at] != keys).any():
         raise ValueError("a pair is missing from its bucket's table")
     return at
 
@@ -265,34 +272,57 @@ def _counted(a, b, at_a, at_b):
     return np.unique((b[at_b] << 32) | a[at_a], return_counts=True)
 
 
+def _summed(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some (keys, counts), ascending, and their summed counts."""
+    keys, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, where, np.concatenate([c for _, c in found]))
+    return keys, counts
+
+
 def encode_units(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PIECE_MODEL):
-    """(units, models): a written table of encoded units, and the broadcast contents of the models."""
+    """(units, models): a written table of encoded units, and the broadcast contents of the models. Its rows
+    hold the ids of some texts (``keys`` is null) or a unit's pairs (``ids`` is null)."""
     with open(byte_model, encoding="utf-8") as a, open(piece_model, "rb") as b:
         held = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
+    def record(*row):
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, UNIT_TYPES, strict=True)], UNIT_COLUMNS)
+
+    def paired(unit, found):
+        keys, counts = _summed(found)
+        return record(unit, *[None] * 5, len(keys), _pack_sorted(keys), _pack(counts))
+
     def run(batches):
         models = load_models(held.value)
-        first = TaskContext.get().partitionId() << 32
-        for n, batch in enumerate(slices(batches, UNIT)):
+        unit, size, found = TaskContext.get().partitionId() << 32, 0, []
+        for batch in slices(batches, UNIT):
             _, offsets = text_buffers(batch.column("text"))
-            found = [encode(models, batch.column("text").slice(x, y - x).to_pylist()) for x, y in passes(offsets, CALL)]
-            a, b, n_a, n_b = (np.concatenate(x) for x in zip(*found, strict=True))
-            pairs = [_counted(pa_, pb, *align(models, pa_, pb, na, nb)[:2]) for pa_, pb, na, nb in found]
-            keys, where = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-            counts = np.zeros(len(keys), np.int64)
-            np.add.at(counts, where, np.concatenate([p[1] for p in pairs]))
-            row = [first | n, batch.column("doc_id").cast(pa.int64()).to_pylist(), _pack(n_a), _pack(n_b), _pack(a), _pack(b),
-                   len(keys), _pack_sorted(keys), _pack(counts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(),
-                                                        *[pa.binary()] * 2], strict=True)], UNIT_COLUMNS)
+            for x, y in passes(offsets, CALL):
+                part = batch.slice(x, y - x)
+                a, b, n_a, n_b = encode(models, part.column("text").to_pylist())
+                found.append(_counted(a, b, *align(models, a, b, n_a, n_b)[:2]))
+                yield record(unit, part.column("doc_id").cast(pa.int64()).to_pylist(), _pack(n_a), _pack(n_b), _pack(a), _pack(b), 0, None, None)
+                size += int(offsets[y] - offsets[x])
+                if size >= UNIT:
+                    yield paired(unit, found)
+                    unit, size, found = unit + 1, 0, []
+        if found:
+            yield paired(unit, found)
 
     units = docs.select("doc_id", "text").mapInArrow(
         run, "unit long, ids array<long>, n_a binary, n_b binary, a binary, b binary, pairs long, keys binary, counts binary")
-    return written(units, "units"), held
+    return written(units, "units", GROUP, UNIT), held
 
 
 UNIT_COLUMNS = ["unit", "ids", "n_a", "n_b", "a", "b", "pairs", "keys", "counts"]
+UNIT_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), *[pa.binary()] * 2]
+
+
+def _rows(batch):
+    """Rows of a batch or table one by one, as dicts."""
+    for k in range(batch.num_rows):
+        yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
 
 
 def _table(columns: dict, schema: list) -> pa.Table:
@@ -312,7 +342,7 @@ def pair_tables(units: DataFrame):
 
     def deal(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, counts = _open_sorted(row["keys"]), _open(row["counts"])
                 bucket = (mix((keys >> 32).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 rows = [(int(k), row["unit"] % salts, row["unit"], _pack_sorted(keys[bucket == k]), _pack(counts[bucket == k]))
@@ -322,8 +352,8 @@ def pair_tables(units: DataFrame):
                         pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)],
                         ["bucket", "salt", "unit", "keys", "counts"])
 
-    posts = written(units.select("unit", "keys", "counts").mapInArrow(
-        deal, "bucket int, salt long, unit long, keys binary, counts binary"), "postings")
+    posts = written(units.where("keys is not null").select("unit", "keys", "counts").mapInArrow(
+        deal, "bucket int, salt long, unit long, keys binary, counts binary"), "postings", GROUP, UNIT)
 
     def united(table):
         rows = table.to_pylist()
@@ -339,7 +369,7 @@ def pair_tables(units: DataFrame):
                       _TABLE[:3])
 
     one = posts.select("bucket", "salt", "keys").groupBy("bucket", "salt").applyInArrow(united, "bucket int, keys binary")
-    hashes = written(one.groupBy("bucket").applyInArrow(hashed, "bucket int, levels array<binary>, keys binary"), "hashes")
+    hashes = written(one.groupBy("bucket").applyInArrow(hashed, "bucket int, levels array<binary>, keys binary"), "hashes", GROUP)
 
     def vector(left, right):
         rows, table = left.to_pylist(), right.to_pylist()
@@ -364,7 +394,7 @@ def pair_tables(units: DataFrame):
     vectors = posts.select("bucket", "salt", "keys", "counts").groupBy("bucket", "salt").cogroup(
         salted(hashes, salts).groupBy("bucket", "salt")).applyInArrow(vector, "bucket int, totals binary")
     tables = written(vectors.groupBy("bucket").cogroup(hashes.groupBy("bucket")).applyInArrow(
-        summed, "bucket int, levels array<binary>, keys binary, totals binary, best binary"), "pair_tables")
+        summed, "bucket int, levels array<binary>, keys binary, totals binary, best binary"), "pair_tables", GROUP)
     forget(hashes)
     return posts, tables, salts
 
@@ -395,46 +425,48 @@ def aligned(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = PI
     posts, tables, salts = pair_tables(units)
 
     def answered(left, right):
-        rows, table = left.to_pylist(), right.to_pylist()
         out = {"unit": [], "keys": [], "totals": [], "best": []}
-        if rows:
-            totals, best = _open(table[0]["totals"]), _open(table[0]["best"])
-        for row in rows:
-            keys = _open_sorted(row["keys"])
-            at = _looked_up(table[0], keys)
+        if left.num_rows:
+            table = right.to_pylist()[0]
+            levels, ordered, totals, best = _open_levels(table["levels"]), *(_open(table[c]) for c in ("keys", "totals", "best"))
+        for row in _rows(left):
+            at = _found(levels, ordered, _open_sorted(row["keys"]))
             for name, x in (("unit", row["unit"]), ("keys", row["keys"]), ("totals", _pack(totals[at])), ("best", _pack(best[at]))):
                 out[name].append(x)
         return _table(out, [("unit", pa.int64()), *[(n, pa.binary()) for n in ("keys", "totals", "best")]])
 
-    answers = posts.select("bucket", "salt", "unit", "keys").groupBy("bucket", "salt").cogroup(
+    answers = written(posts.select("bucket", "salt", "unit", "keys").groupBy("bucket", "salt").cogroup(
         salted(tables, salts).groupBy("bucket", "salt")).applyInArrow(
-        answered, "unit long, keys binary, totals binary, best binary")
-    answers = written(answers, "answers").groupBy("unit").agg(F.collect_list(F.struct("keys", "totals", "best")).alias("known"))
-    rows = units.select("unit", "ids", "n_a", "n_b", "a", "b").join(answers, "unit", "left").select(
-        "ids", "n_a", "n_b", "a", "b", "known")
+        answered, "unit long, keys binary, totals binary, best binary"), "answers", GROUP)
+    texts = units.where("ids is not null").select("unit", "ids", "n_a", "n_b", "a", "b")
 
-    def second_pass(batches):
+    def second_pass(left, right):
         models = load_models(held.value)
         widths = np.diff(models["a_bytes"][1])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                yield from _results(models, widths, row)
-                give_back()
+        known = _known(right)
+        out = [part for row in _rows(left) for part in _results(models, widths, row, known)]
+        give_back()
+        return pa.Table.from_batches(out, _RESULT)
 
-    out = rows.mapInArrow(second_pass, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long,"
-                          " count_sum long, groups string")
-    return out
+    return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
+        second_pass, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
-def _results(models, widths, row):
-    """Result rows of a unit, in passes of about ``ALIGN`` bytes of tokens."""
-    n_a, n_b, a, b = (_open(row[c]) for c in ("n_a", "n_b", "a", "b"))
-    known = row["known"] or []
-    keys = np.concatenate([_open_sorted(x["keys"]) for x in known]) if known else np.zeros(0, np.int64)
+_RESULT = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups", pa.string())])
+
+
+def _known(answers):
+    """(keys, totals, best) of a unit's pairs, by ascending key."""
+    parts = [[_open_sorted(r["keys"]), _open(r["totals"]), _open(r["best"])] for r in _rows(answers)]
+    keys, totals, best = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
     order = np.argsort(keys)
-    keys = keys[order]
-    totals, best = ((np.concatenate([_open(x[c]) for x in known])[order] if known else keys) for c in ("totals", "best"))
+    return keys[order], totals[order], best[order]
+
+
+def _results(models, widths, row, known):
+    """Result rows of a row of encoded texts, in passes of about ``ALIGN`` bytes of tokens."""
+    n_a, n_b, a, b = (_open(row[c]) for c in ("n_a", "n_b", "a", "b"))
+    keys, totals, best = known
     till_a, till_b = (np.concatenate([[0], np.cumsum(x)]) for x in (n_a, n_b))
     sizes = np.concatenate([[0], np.cumsum(widths[a])])[till_a]
     for x, y in passes(sizes, ALIGN):
@@ -447,8 +479,7 @@ def _results(models, widths, row):
         yield pa.RecordBatch.from_arrays(
             [pa.array(row["ids"][x:y], pa.int64()), pa.array(na), pa.array(nb), pa.array(total(ends)),
              pa.array(np.bincount(text, minlength=y - x).astype(np.int64)), pa.array(total(best[at])), pa.array(sums),
-             written_groups(models, a_, b_, na, nb, at_a, at_b, ends)],
-            ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+             written_groups(models, a_, b_, na, nb, at_a, at_b, ends)], schema=_RESULT)
 
 
 @query("op13_align")

@@ -22,20 +22,29 @@ _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 2**64)
 _powers: dict = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_bytes: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors.
 
-    Nothing reads the shuffles of the write again, so their files go as soon as it has ended.
+    Nothing reads the shuffles of the write again, so their files go as soon as it has ended. Tables of
+    large rows ask for row groups of ``group_bytes``: by itself the format looks at a group's size after
+    100 rows first, and holds whole groups in memory when it writes and reads them. ``batch_bytes`` bounds
+    the Arrow batches that Python gets.
     """
     path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({} if batch_bytes is None else {_BATCH: str(batch_bytes)})
+    before = {k: conf.get(k, None) for k in settings}
+    writer = df.write if group_bytes is None else df.write.options(**{
+        "parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
     try:
-        df.write.parquet(path)
+        for k, v in settings.items():
+            conf.set(k, v)
+        writer.parquet(path)
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

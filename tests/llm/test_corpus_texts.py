@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,29 @@ def test_alignment_matches_brute_force(spark, monkeypatch, pairs):
     assert collections.Counter(map(tuple, got)) == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_units_are_written_in_small_rows_and_groups(spark, monkeypatch):
+    """What a task holds of the written texts does not grow with the texts of its split."""
+    monkeypatch.setattr(alignment, "UNIT", 1 << 16)
+    monkeypatch.setattr(alignment, "CALL", 1 << 13)
+    monkeypatch.setattr(alignment, "GROUP", 1 << 15, raising=False)
+    rnd = random.Random(5)
+    rows = [(k, " ".join(str(rnd.random()) for _ in range(rnd.randint(1, 100)))) for k in range(600)]
+    size = {k: len(t) for k, t in rows}
+    units, _ = alignment.encode_units(frame(spark, rows, "a").coalesce(1))
+    kept = units.where("ids is not null").select("unit", "ids").collect()
+    assert sorted(k for r in kept for k in r.ids) == sorted(size)
+    assert max(sum(size[k] for k in r.ids) for r in kept) <= alignment.CALL
+    texts = collections.Counter()
+    for r in kept:
+        texts[r.unit] += sum(size[k] for k in r.ids)
+    assert len(texts) > 5 and max(texts.values()) <= alignment.UNIT + alignment.CALL
+    pairs = [r.unit for r in units.where("keys is not null").collect()]
+    assert sorted(pairs) == sorted(texts)
+    groups = [f.row_group(k).total_byte_size for name in units.inputFiles()
+              for f in [pq.ParquetFile(name.removeprefix("file://")).metadata] for k in range(f.num_row_groups)]
+    assert len(groups) > 3 and max(groups) <= 2 * alignment.GROUP
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50000):
