@@ -253,7 +253,7 @@ def keyword_file(spark, sf):
 def profile_files(spark, sf):
     """A profile file per page, its whole source as text: each upload is a file of its own."""
     path = scratch_path(spark, "profiles")
-    table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    writers.write_text_per(table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")), "page_id", path)
     read = files.read_profiles(spark, path)
     number = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
     # the writer ends a file with one line end of its own

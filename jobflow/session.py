@@ -42,8 +42,22 @@ def cut_lineage(df: DataFrame, written: list | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """(path, file system) of the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, paths) -> None:
     """Delete written tables that no later step reads."""
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target, store = _store(spark, path)
+        store.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> str | None:
+    """Make a folder; where the system mounts it for every process (a ``file`` path), its name there."""
+    target, store = _store(spark, path)
+    store.mkdirs(target)
+    there = store.makeQualified(target).toUri()
+    return there.getPath() if there.getScheme() == "file" else None

@@ -1,11 +1,18 @@
 """Result files. Every writer is a distributed Spark write; folders replace single files."""
 
+import os
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobflow.operators.evidence import registry_by_name
 from jobflow.operators.indexing import with_row_index
 from jobflow.schema import BROAD_FIELDS, COMPANY_FIELDS
+from jobflow.session import make_folder
 
+#: folders to which the files of a column's values are dealt
+FOLDERS = 256
 #: postings per chunk file of a run that does not say otherwise
 CHUNK_ROWS = 10_000
 _RULE = "\n\n" + "-" * 80 + "\n\n"
@@ -74,6 +81,49 @@ def write_lines(df: DataFrame, path: str, line_sep: str = "\n") -> None:
     df.write.mode("overwrite").option("lineSep", line_sep).text(path)
 
 
+def write_text_per(df: DataFrame, key: str, path: str) -> None:
+    """A text file per value of the integer column ``key``, with the column ``value`` of its rows as lines;
+    the file's path has ``key=value`` in it.
+
+    On a mounted folder the tasks write the files themselves, in ``FOLDERS`` folders: Spark's own writer
+    starts processes there for the permissions of every file, and its commit moves one folder per file. A file
+    appears whole under a name that follows from the key, so a task that runs again replaces it. Other
+    stores get Spark's writer, a folder per value.
+    """
+    root = make_folder(df.sparkSession, path)
+    if root is None:
+        df.select(key, "value").repartition(key).write.mode("append").partitionBy(key).text(path)
+        return
+    name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(".txt"))
+    folder = F.concat(F.lit("folder="), F.pmod(F.hash(key), F.lit(FOLDERS)).cast("string"))
+    lines = df.select(folder.alias("folder"), name.alias("name"), F.col("value").cast("binary").alias("value"))
+
+    def run(batches):
+        attempt, made, at, out, n = TaskContext.get().taskAttemptId(), set(), None, None, 0
+
+        def close():
+            out.close()
+            os.replace(out.name, f"{root}/{at[0]}/{at[1]}")
+
+        for batch in batches:
+            for place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place[:2] != at:
+                    if out is not None:
+                        close()
+                    at, n = place[:2], n + 1
+                    if at[0] not in made:
+                        os.makedirs(f"{root}/{at[0]}", exist_ok=True)
+                        made.add(at[0])
+                    out = open(f"{root}/{at[0]}/.{at[1]}.{attempt}", "wb")  # noqa: SIM115 (rows of a file may span batches)
+                out.write((place[2] or b"") + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    dealt = lines.repartition("folder", "name").sortWithinPartitions("folder", "name")
+    dealt.mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+
+
 def write_unmatched(unmatched: DataFrame, path: str) -> None:
     """Unmatched mailbox rows with separator lines."""
     write_lines(unmatched.select("row"), path, "\n---\n")

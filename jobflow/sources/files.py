@@ -11,6 +11,8 @@ from jobflow.schema import BROAD_POSTING, REGISTRY_RECORD
 
 #: lines per chunk of a running sum over a file
 CHUNK_LINES = 100_000
+#: bytes of profiles that one task reads
+READ_BYTES = 1 << 26
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
@@ -86,11 +88,14 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of uploaded plain-text or markdown profiles. Folders are listed by some tasks per
-    core: Spark's own number is a task per folder, up to 10,000."""
-    before = spark.conf.get(_LISTING, None)
-    spark.conf.set(_LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    core: Spark's own number is a task per folder, up to 10,000. Files are read by some tasks per core, more
+    only where a task would get over ``READ_BYTES``: Spark's own number is a task per 32 small files."""
+    before, some = spark.conf.get(_LISTING, None), 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(_LISTING, str(some))
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(path)
     finally:
         spark.conf.unset(_LISTING) if before is None else spark.conf.set(_LISTING, before)
+    size = int(files._jdf.queryExecution().analyzed().stats().sizeInBytes())  # of the listed files
+    files = files.coalesce(max(some, -(-size // READ_BYTES)))
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
